@@ -6,8 +6,8 @@ threshold share a shingle among the first few of each: their prefixes. Sets with
 size are one group, and the index of prefix shingles holds groups. What shares an index entry is compared in
 two steps, neither of which makes all pairs of a group of copies:
 
-1. stars: each group against one group of each of its entries and sizes, each member of a group against one of its
-   members; verified pairs give components.
+1. stars: each group against a few groups of each of its entries, each member of a group against one of its
+   members; verified pairs give components. Later rounds compare with more, where an entry still holds several components.
 2. the rest: entries whose sets lie in more than one component are expanded to members, and the pairs of different
    components that pass the filters of size and place are verified. Pairs inside a component add nothing.
 
@@ -25,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, table, texts_of
@@ -34,6 +34,8 @@ from .common import cut, map_batches, table, texts_of
 FREQUENT, REPORTED, FILTER_BITS = 1 << 16, 8, 1 << 26
 #: Bytes of text that are hashed at once, and shingles that are counted at once.
 CHUNK, COUNTED = 1 << 20, 1 << 21
+#: Sets of an entry that the others are compared with, in each round of stars.
+CENTRES = (4, 16, 64)
 U = np.uint64
 
 
@@ -259,23 +261,16 @@ def _once(batches):
 def _verify(k: int, num: int, den: int):
     def work(batches):
         open_up = zstandard.ZstdDecompressor()
-        known: dict[bytes, np.ndarray] = {}
-
-        def get(key: bytes, packed: bytes) -> np.ndarray:
-            if key not in known:
-                if len(known) > 32:
-                    known.clear()
-                known[key] = next(sets_of([open_up.decompress(packed).decode("utf-8", "surrogatepass")], k))
-            return known[key]
-
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            # a text that is in many pairs of a batch is hashed once
+            packed = dict(zip(a, batch.column("packed_a").to_pylist(), strict=True)) | dict(zip(b, batch.column("packed_b").to_pylist(), strict=True))
+            own = dict(zip(packed, sets_of([open_up.decompress(x).decode("utf-8", "surrogatepass") for x in packed.values()], k), strict=True))
             linked = []
-            for x, y, px, py in zip(a, b, batch.column("packed_a").to_pylist(), batch.column("packed_b").to_pylist(), strict=True):
-                sx, sy = get(x, px), get(y, py)
-                small, large = (sx, sy) if len(sx) <= len(sy) else (sy, sx)
+            for x, y in zip(a, b, strict=True):
+                small, large = (own[x], own[y]) if len(own[x]) <= len(own[y]) else (own[y], own[x])
                 both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                linked.append(den * both >= num * (len(sx) + len(sy) - both))
+                linked.append(den * both >= num * (len(small) + len(large) - both))
             yield {"a": a, "b": b, "linked": linked}
 
     return work
@@ -305,42 +300,60 @@ class Join:
         shared = entries.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
         self.shared = cut(entries.join(shared, "shingle").distinct(), "shared")
         self.members = cut(members, "members")
-        heads = self.members.groupBy("g").agg(F.min("key").alias("head"))
-        linked, checked = self.stars(heads)
+        heads = self.members.groupBy("g", "n").agg(F.min("key").alias("head"))
+        inside = self.members.join(heads, ["g", "n"]).where("key <> head").select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b"))
+        own = self.shared.join(heads, ["g", "n"]).select(F.col("shingle").alias("e"), F.lit(0).alias("kind"), "n", F.col("head").alias("key"), F.xxhash64("head").alias("r"))
+        pairs = cut(inside.union(self.stars(own, CENTRES[0])).distinct(), "pairs")
+        linked, checked = self.verify(pairs), pairs
+        for centres in (*CENTRES[1:], None):
+            roots = components(linked)
+            own = self.mixed(roots)
+            met = self.rest(own) if centres is None else self.stars(own, centres)
+            pairs = cut(met.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
+            linked, checked = linked.union(self.verify(pairs)), checked.union(pairs)
         roots = components(linked)
-        more = self.verify(self.rest(roots, checked))
-        roots = components(linked.union(more))
         ids = self.reps.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
         smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         by_key = ids.join(smallest, "root").select("key", "component_id")
         return self.rows.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
-    def stars(self, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links, and the pairs that were checked for them."""
-        inside = self.members.join(heads, "g").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(self.den / self.num))).cast("int")
-        own = self.shared.select("shingle", "g", band.alias("band"))
-        centre = own.groupBy("shingle", "band").agg(F.min("g").alias("c"))
-        pairs = own.join(centre, ["shingle", "band"]).where("g <> c").select("g", "c").distinct()
-        across = pairs.join(heads.toDF("g", "a"), "g").join(heads.toDF("c", "b"), "c").select("a", "b")
-        checked = cut(inside.union(across).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-        return self.verify(checked), checked
-
-    def rest(self, roots: DataFrame, checked: DataFrame) -> DataFrame:
-        """Pairs of different components that an index entry or a group holds together and that pass the filters."""
+    def mixed(self, roots: DataFrame) -> DataFrame:
+        """Members of the entries, and of the groups (kind 1), that lie in more than one component r."""
+        place = self.members.join(roots, "key", "left").select("g", "n", "key", F.xxhash64(F.coalesce("root", "key")).alias("r"))
+        by_entry = self.shared.join(place, ["g", "n"]).select(F.col("shingle").alias("e"), F.lit(0).alias("kind"), "n", "key", "r")
+        by_group = place.select(F.col("g").alias("e"), F.lit(1).alias("kind"), "n", "key", "r")
+        own = cut(by_entry.union(by_group), "placed")
+        several = own.groupBy("e", "kind").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("e", "kind")
+        return cut(own.join(several, ["e", "kind"]), "mixed")
+
+    def stars(self, own: DataFrame, centres: int) -> DataFrame:
+        """Pairs of each set with some sets of its entries, and of other components, that pass the filters."""
+        centre = own.groupBy("e", "kind", F.pmod(F.xxhash64("key", F.lit(centres)), F.lit(centres)).alias("part")).agg(F.min(F.struct("key", "n", "r")).alias("c"))
+        centre = centre.select("e", "kind", F.col("c.key").alias("b"), F.col("c.n").alias("n2"), F.col("c.r").alias("r2"))
+        met = own.withColumnRenamed("key", "a").join(centre, ["e", "kind"]).where((F.col("r") != F.col("r2")) & self.enough("n", "n2"))
+        return self.common(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    def rest(self, own: DataFrame) -> DataFrame:
+        """All pairs of different components that an entry holds together and that pass the filters."""
+        x, y = own.toDF("e", "kind", "n", "a", "r"), own.toDF("e", "kind", "n2", "b", "r2")
+        met = x.join(y, ["e", "kind"]).where((F.col("r") != F.col("r2")) & (F.col("a") > F.col("b")) & self.enough("n", "n2"))
+        return self.common(met).select("a", "b")
+
+    def common(self, met: DataFrame) -> DataFrame:
+        # a group's own entry stands for all of its prefix
+        both = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(1)).alias("common")
+        return met.groupBy("a", "b", "n", "n2").agg(both).where(self.enough("n", "n2", "common"))
+
+    def enough(self, n: str, n2: str, common: str | None = None) -> Column:
+        """Whether sizes n and n2 can reach the threshold, and with so many shingles common to both prefixes.
+
+        Of sets that overlap in `least` shingles, the first n - least + l and n2 - least + l have l in common.
+        """
         num, den = self.num, self.den
-        place = self.members.select("g", "n", "key").join(roots, "key", "left").select("g", "n", "key", F.xxhash64(F.coalesce("root", "key")).alias("r"))
-        place = cut(place, "placed")
-        by_entry = self.shared.select("shingle", "place", "g").join(place, "g").select(F.col("shingle").alias("e"), F.lit(0).alias("kind"), "place", "n", "key", "r")
-        by_group = place.select(F.col("g").alias("e"), F.lit(1).alias("kind"), F.lit(0).alias("place"), "n", "key", "r")
-        own = by_entry.union(by_group)
-        mixed = own.groupBy("e", "kind").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("e", "kind")
-        own = cut(own.join(mixed, ["e", "kind"]), "mixed")
-        x, y = own.toDF("e", "kind", "place", "n", "a", "r"), own.toDF("e", "kind", "place2", "n2", "b", "r2")
-        least = F.ceil((F.col("n") + F.col("n2")) * num / (num + den) - 1e-6)
-        left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-        near = x.join(y, ["e", "kind"]).where((F.col("r") != F.col("r2")) & (F.col("a") > F.col("b")) & (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num) & (left >= least))
-        return cut(near.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
+        x, y = F.col(n).cast("long"), F.col(n2).cast("long")
+        least = F.expr(f"(({n} + {n2}) * {num}L + {num + den - 1}) div {num + den}")
+        sizes = F.least(x, y) >= least
+        return sizes if common is None else sizes & (F.col(common) >= least + 1 - F.greatest(F.expr(f"({n} * {num}L + {den - 1}) div {den}"), F.expr(f"({n2} * {num}L + {den - 1}) div {den}")))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
