@@ -2,14 +2,14 @@
 
 A document's set is that of its distinct word shingles, as 64-bit hashes. Equal sets are one set from the first pass on.
 Under one order of all shingles (frequent ones last, else by hash), two sets that reach the
-threshold share a shingle among the first few of each: their prefixes. Sets with the same prefix and
-size are one group, and the index of prefix shingles holds groups. What shares an index entry is compared in
+threshold share some shingles among the first of each: their prefixes. Sets with the same prefix and
+size are one group, and the index of prefix shingles holds groups; those that share too few entries with others leave it. What shares an index entry is compared in
 two steps, neither of which makes all pairs of a group of copies:
 
 1. stars: each group against a few groups of each of its entries, each member of a group against one of its
    members; verified pairs give components. Later rounds compare with more, where an entry still holds several components.
 2. the rest: entries whose sets lie in more than one component are expanded to members, and the pairs of different
-   components that pass the filters of size and place are verified. Pairs inside a component add nothing.
+   components that pass the filters of size and common shingles are verified. Pairs inside a component add nothing.
 
 Every link of different texts is thus found or lies inside a component already. The order of shingles only steers the
 work: it comes from counts over all documents, of which a bounded number of the largest is passed on.
@@ -36,6 +36,8 @@ FREQUENT, REPORTED, FILTER_BITS = 1 << 16, 8, 1 << 26
 CHUNK, COUNTED = 1 << 20, 1 << 21
 #: Sets of an entry that the others are compared with, in each round of stars.
 CENTRES = (4, 16, 64)
+#: Shingles that prefixes are longer than they must be, so that sets with a link share at least so many.
+EXTRA = 16
 U = np.uint64
 
 
@@ -149,7 +151,7 @@ class Counts:
 
 
 def _prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+    return min(n, n - -(-num * n // den) + EXTRA)
 
 
 def classes(own: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -203,7 +205,7 @@ def _index(k: int, num: int, den: int, frequent: np.ndarray, level: np.ndarray):
     def work(batches):
         seen, groups = set(), set()
         for batch in batches:
-            rows: dict[str, list] = {"shingle": [], "place": [], "n": [], "g": [], "key": []}
+            rows: dict[str, list] = {"shingle": [], "n": [], "g": [], "key": []}
             for own in sets_of(batch.column("text").to_pylist(), k):
                 key = key_of(own)
                 if key is None or key in seen:
@@ -216,7 +218,6 @@ def _index(k: int, num: int, den: int, frequent: np.ndarray, level: np.ndarray):
                 groups.add(g)
                 p = len(new[0])
                 rows["shingle"] += [*new[0], None]
-                rows["place"] += [*range(p), None]
                 rows["n"] += [n] * (p + 1)
                 rows["g"] += [g] * (p + 1)
                 rows["key"] += [None] * p + [key]
@@ -293,12 +294,15 @@ class Join:
         frequent, count = top["shingle"].to_numpy().view(U), top["c"].to_numpy()
         by = np.argsort(frequent)
         frequent, level = frequent[by], np.log2(count[by] / REPORTED).astype(np.int64)
-        index = map_batches(self.texts.select("text"), _index(k, num, den, frequent, level), "shingle long, place int, n int, g long, key binary")
+        index = map_batches(self.texts.select("text"), _index(k, num, den, frequent, level), "shingle long, n int, g long, key binary")
         index = cut(index, "index")
-        entries = index.where("shingle IS NOT NULL").select("shingle", "place", "n", "g")
+        entries = index.where("shingle IS NOT NULL").select("shingle", "n", "g")
         members = index.where("key IS NOT NULL").select("g", "n", "key").distinct()
         shared = entries.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
-        self.shared = cut(entries.join(shared, "shingle").distinct(), "shared")
+        shared = cut(entries.join(shared, "shingle").distinct(), "shared")
+        # a set with a link has EXTRA shingles of its prefix in common with another, or as many as the threshold asks for
+        able = shared.groupBy("g", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(EXTRA), F.expr(f"(n * {num}L + {den - 1}) div {den}"))).select("g", "n")
+        self.shared = cut(shared.join(able, ["g", "n"]), "able")
         self.members = cut(members, "members")
         heads = self.members.groupBy("g", "n").agg(F.min("key").alias("head"))
         inside = self.members.join(heads, ["g", "n"]).where("key <> head").select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b"))
@@ -353,7 +357,9 @@ class Join:
         x, y = F.col(n).cast("long"), F.col(n2).cast("long")
         least = F.expr(f"(({n} + {n2}) * {num}L + {num + den - 1}) div {num + den}")
         sizes = F.least(x, y) >= least
-        return sizes if common is None else sizes & (F.col(common) >= least + 1 - F.greatest(F.expr(f"({n} * {num}L + {den - 1}) div {den}"), F.expr(f"({n2} * {num}L + {den - 1}) div {den}")))
+        # shingles that a prefix leaves out
+        out = [F.expr(f"({c} * {num}L + {den - 1}) div {den}") - EXTRA for c in (n, n2)]
+        return sizes if common is None else sizes & (F.col(common) >= least - F.greatest(F.lit(0), *out))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
