@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -34,13 +35,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: lost executors don't cost what led to it."""
+def cut(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: lost executors don't cost what led to it. The place is added to paths."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*paths: str, spark: SparkSession) -> None:
+    """Deletes what was cut and isn't needed any more, and lets Spark clean the shuffle files that nothing refers to."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """work turns the Arrow batches of a partition into dicts of columns."""
     conf = df.sparkSession.conf

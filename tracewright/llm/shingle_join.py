@@ -28,14 +28,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, table, texts_of
+from .common import cut, discard, map_batches, table, texts_of
 
 #: Frequent shingles that are passed on to the tasks (16 bytes each), the least count in a task that is reported, and bits of the filter of wanted texts.
 FREQUENT, REPORTED, FILTER_BITS = 1 << 16, 8, 1 << 26
 #: Bytes of text that are hashed at once, and shingles that are counted at once.
 CHUNK, COUNTED = 1 << 20, 1 << 21
 #: Sets of an entry that the others are compared with, in each round of stars.
-CENTRES = (4, 16, 64)
+CENTRES = (8, 64)
+#: Sets of an entry from which on a pair is made once, at its first such entry, and not at each.
+CROWDED = 64
 #: Shingles that prefixes are longer than they must be, so that sets with a link share at least so many.
 EXTRA = 16
 U = np.uint64
@@ -310,11 +312,12 @@ class Join:
         pairs = cut(inside.union(self.stars(own, CENTRES[0])).distinct(), "pairs")
         linked, checked = self.verify(pairs), pairs
         for centres in (*CENTRES[1:], None):
-            roots = components(linked)
-            own = self.mixed(roots)
+            self.done: list[str] = []
+            own = self.mixed(components(linked))
             met = self.rest(own) if centres is None else self.stars(own, centres)
             pairs = cut(met.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
             linked, checked = linked.union(self.verify(pairs)), checked.union(pairs)
+            discard(*self.done, spark=self.spark)
         roots = components(linked)
         ids = self.reps.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
         smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -326,9 +329,9 @@ class Join:
         place = self.members.join(roots, "key", "left").select("g", "n", "key", F.xxhash64(F.coalesce("root", "key")).alias("r"))
         by_entry = self.shared.join(place, ["g", "n"]).select(F.col("shingle").alias("e"), F.lit(0).alias("kind"), "n", "key", "r")
         by_group = place.select(F.col("g").alias("e"), F.lit(1).alias("kind"), "n", "key", "r")
-        own = cut(by_entry.union(by_group), "placed")
-        several = own.groupBy("e", "kind").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("e", "kind")
-        return cut(own.join(several, ["e", "kind"]), "mixed")
+        own = cut(by_entry.union(by_group), "placed", self.done)
+        several = own.groupBy("e", "kind").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("crowd")).where("lo < hi").select("e", "kind", "crowd")
+        return cut(own.join(several, ["e", "kind"]), "mixed", self.done)
 
     def stars(self, own: DataFrame, centres: int) -> DataFrame:
         """Pairs of each set with some sets of its entries, and of other components, that pass the filters."""
@@ -338,10 +341,25 @@ class Join:
         return self.common(met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
     def rest(self, own: DataFrame) -> DataFrame:
-        """All pairs of different components that an entry holds together and that pass the filters."""
-        x, y = own.toDF("e", "kind", "n", "a", "r"), own.toDF("e", "kind", "n2", "b", "r2")
-        met = x.join(y, ["e", "kind"]).where((F.col("r") != F.col("r2")) & (F.col("a") > F.col("b")) & self.enough("n", "n2"))
-        return self.common(met).select("a", "b")
+        """All pairs of different components that an entry holds together and that pass the filters.
+
+        Pairs without a crowded entry in common are counted entry by entry. Others are made once, at the smallest crowded
+        entry that they share, where the lists of both sets give the count.
+        """
+        apart = (F.col("r") != F.col("r2")) & (F.col("a") > F.col("b")) & self.enough("n", "n2")
+        few = own.where((F.col("crowd") <= CROWDED) | (F.col("kind") == 1)).drop("crowd")
+        met = few.toDF("e", "kind", "n", "a", "r").join(few.toDF("e", "kind", "n2", "b", "r2"), ["e", "kind"]).where(apart)
+        by_count = self.common(met).select("a", "b")
+        entries = own.where("kind = 0")
+        crowded = F.col("crowd") > CROWDED
+        # as long as a set's prefix at most
+        lists = entries.groupBy("key").agg(F.collect_list("e").alias("all"), F.collect_list(F.when(crowded, F.col("e"))).alias("many")).where(F.size("many") > 0)
+        rows = cut(entries.where(crowded).select("e", "n", "key", "r").join(lists, "key").select("e", "n", "key", "r", "all", "many"), "crowded", self.done)
+        x, y = rows.toDF("e", "n", "a", "r", "all", "many"), rows.toDF("e", "n2", "b", "r2", "all2", "many2")
+        count = F.size(F.array_intersect("all", "all2"))
+        first = F.array_min(F.array_intersect("many", "many2")) == F.col("e")
+        by_list = x.join(y, "e").where(apart & first & self.reached("n", "n2", count)).select("a", "b")
+        return by_count.union(by_list)
 
     def common(self, met: DataFrame) -> DataFrame:
         # a group's own entry stands for all of its prefix
@@ -349,17 +367,18 @@ class Join:
         return met.groupBy("a", "b", "n", "n2").agg(both).where(self.enough("n", "n2", "common"))
 
     def enough(self, n: str, n2: str, common: str | None = None) -> Column:
-        """Whether sizes n and n2 can reach the threshold, and with so many shingles common to both prefixes.
+        """Whether sizes n and n2 can reach the threshold, and with so many shingles common to both prefixes."""
+        sizes = F.least(n, n2) >= self.least(n, n2)
+        return sizes if common is None else sizes & self.reached(n, n2, F.col(common))
 
-        Of sets that overlap in `least` shingles, the first n - least + l and n2 - least + l have l in common.
-        """
-        num, den = self.num, self.den
-        x, y = F.col(n).cast("long"), F.col(n2).cast("long")
-        least = F.expr(f"(({n} + {n2}) * {num}L + {num + den - 1}) div {num + den}")
-        sizes = F.least(x, y) >= least
+    def least(self, n: str, n2: str) -> Column:
+        return F.expr(f"((cast({n} as long) + {n2}) * {self.num}L + {self.num + self.den - 1}) div {self.num + self.den}")
+
+    def reached(self, n: str, n2: str, common: Column) -> Column:
+        """Of sets that overlap in `least` shingles, the first n - least + l and n2 - least + l have l in common."""
         # shingles that a prefix leaves out
-        out = [F.expr(f"({c} * {num}L + {den - 1}) div {den}") - EXTRA for c in (n, n2)]
-        return sizes if common is None else sizes & (F.col(common) >= least - F.greatest(F.lit(0), *out))
+        out = [F.expr(f"({c} * {self.num}L + {self.den - 1}) div {self.den}") - EXTRA for c in (n, n2)]
+        return common >= self.least(n, n2) - F.greatest(F.lit(0), *out)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
