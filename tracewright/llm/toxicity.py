@@ -66,7 +66,7 @@ class Severity:
                 own_sets[int(t)].append(words)
         bad = Counter(f for words in own_sets[1] for f in words | beginnings(words))
         n, all_toxic = len(own_sets[0]) + len(own_sets[1]), len(own_sets[1])
-        least = max(3, np.log(len(bad) / CHANCE) / np.log(n / all_toxic))
+        least = max(3, np.log(len(bad) / CHANCE) / max(np.log(n / all_toxic), 1e-9))
         self.weights = {f: 1.0 for f, c in bad.items() if c >= least}
         good = Counter(f for words in own_sets[0] for f in self.features(words))
         chosen = sorted((f for f in self.weights if bad[f] >= PURE * (bad[f] + good[f])), key=lambda f: (-bad[f], f))[:MOST]
