@@ -21,8 +21,10 @@ from .common import cut, map_batches, table
 
 #: Codebooks, codewords in each, hypotheses kept by the beam search, vectors that codebooks are fitted on.
 BOOKS, WORDS, BEAM, FIT_ROWS, ROUNDS = 16, 256, 4, 8_000, 6
-#: Candidates of a query in each block of codes that are ranked again, and rows of a block of queries or codes.
+#: Candidates of a query in each lane of codes that are ranked again, and rows of a block of queries or codes.
 RERANK, QUERY_BLOCK, CODE_BLOCK = 300, 512, 8192
+#: Parts of the codes whose blocks one task holds against a block of queries, keeping the best of all of them.
+LANES = 2
 
 
 def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -109,31 +111,43 @@ def search(embeddings: DataFrame, step: int = 50, k: int = 5, rerank: int = RERA
     codes = map_batches(dealt, code, "vec_id long, code binary, length float, block int").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "code", "length"))).alias("codes"))
     queries = own.where(F.col("vec_id") % step == 0).dropDuplicates(["vec_id"])
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks))).groupBy("q").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("v"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).groupBy("q").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("v"))
+    # codes are shorter than the candidates that a block of them would give, so they travel to the queries
+    asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    codes = codes.withColumn("lane", F.col("block") % LANES).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def score(batches):
+        # rows of a block of queries and lane come one after the other; if they don't, only more candidates come out
+        now, ids, best = None, None, []
+
+        def kept():
+            for i, (vec, near) in enumerate(best):
+                yield {"query_id": np.full(len(vec), ids[i]), "vec_id": vec, "near": near}
+
         for batch in batches:
-            for ids, v, held in zip(batch.column("ids"), batch.column("v"), batch.column("codes"), strict=True):
-                ids = ids.values.to_numpy()
-                x = unit(v.values.to_numpy().reshape(len(ids), -1)).astype(np.float32)
-                held = held.values
-                vec, length = held.field("vec_id").to_numpy(), held.field("length").to_numpy()
-                code = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(vec), -1)
-                near = np.zeros((len(ids), len(vec)), np.float32)
-                for b in range(code.shape[1]):
-                    near += (x @ books[b].T)[:, code[:, b]]
-                near /= np.sqrt(np.maximum(length, 1e-12))
+            key = (batch.column("q")[0].as_py(), batch.column("lane")[0].as_py())
+            if key != now:
+                yield from kept()
+                now, ids = key, batch.column("ids")[0].values.to_numpy()
+                x = unit(batch.column("v")[0].values.to_numpy().reshape(len(ids), -1)).astype(np.float32)
+                best = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(ids)
+            held = batch.column("codes")[0].values
+            vec, length = held.field("vec_id").to_numpy(), held.field("length").to_numpy()
+            code = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(vec), -1)
+            near = np.zeros((len(ids), len(vec)), np.float32)
+            for b in range(code.shape[1]):
+                near += (x @ books[b].T)[:, code[:, b]]
+            near /= np.sqrt(np.maximum(length, 1e-12))
+            for i, row in enumerate(near):
                 most = min(len(vec), rerank + 1)
-                # rows are in order of vec_id, so a stable sort gives ties to the smaller one
-                for i, row in enumerate(near):
-                    least = -np.partition(-row, most - 1)[most - 1]
-                    own_rows = np.flatnonzero(row >= least)
-                    best = own_rows[np.argsort(-row[own_rows], kind="stable")[:most]]
-                    yield {"query_id": np.full(len(best), ids[i]), "vec_id": vec[best], "near": row[best]}
-
-    met = asked.join(codes, "block")
-    found = _one_by_one(met.select("ids", "v", "codes"), score, "query_id long, vec_id long, near float").where("query_id <> vec_id")
+                own_rows = np.flatnonzero(row >= -np.partition(-row, most - 1)[most - 1])
+                all_vec, all_near = np.concatenate((best[i][0], vec[own_rows])), np.concatenate((best[i][1], row[own_rows]))
+                first = np.lexsort((all_vec, -all_near))[: rerank + 1]
+                best[i] = all_vec[first], all_near[first]
+        yield from kept()
+
+    met = asked.hint("merge").join(codes, ["q", "lane"])
+    found = _one_by_one(met.select("q", "lane", "ids", "v", "codes"), score, "query_id long, vec_id long, near float").where("query_id <> vec_id")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     best = found.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= rerank).select("query_id", "vec_id").distinct()
     with_v = best.join(own.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query_id")
