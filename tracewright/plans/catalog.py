@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import octets as B
+from ..functions import policy
 from ..functions import scalar as S
 from ..functions import versions as V
 from ..operators import detections, facts, graph, joins, vulnerabilities, windows
@@ -497,3 +499,90 @@ def _places(key):
 for _name, _key in (("debian", V.debian_key), ("rpm", V.rpm_key), ("python", V.python_key)):
     _places(_key)
     QUERIES[f"{_name}_order"], ORACLE_SQL[f"{_name}_order"] = QUERIES.pop("order"), ORACLE_SQL.pop("order")
+
+
+# --- policies and bytes
+
+STATES = ("new", "in_progress", "blocked", "solved", "archived")
+KINDS = ("view", "click", "error", "purchase", "signup")
+FOLLOWS_SQL = " OR ".join(f"(a = '{a}' AND b IN ({', '.join(repr(b) for b in nexts)}))" for a, nexts in policy.CHALLENGE.items())
+
+
+@query(f"""
+WITH s AS (SELECT user_id, ts, event_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{s}'" for k, s in zip(KINDS, STATES, strict=True))} END AS b FROM events),
+p AS (SELECT event_id, b, lag(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM s)
+SELECT event_id, a AS before, b AS after FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND NOT (a = b OR {FOLLOWS_SQL})""")
+def illegal_transitions(t):
+    from pyspark.sql.window import Window
+
+    state = F.lit(None).cast("string")
+    for kind, name in zip(KINDS, STATES, strict=True):
+        state = F.when(F.col("event_type") == kind, name).otherwise(state)
+    rows = t("events").select("user_id", "ts", "event_id", state.alias("after"))
+    rows = rows.withColumn("before", F.lag("after").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return rows.where(~policy.may_follow(policy.CHALLENGE, F.col("before"), F.col("after"))).select("event_id", "before", "after")
+
+
+@query("""SELECT o_orderkey, date_sub('day', o_orderdate, TIMESTAMP '1998-12-31 12:00:00') > CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 14 ELSE 30 END AS stale FROM orders""")
+def feed_freshness(t):
+    kind = F.element_at(F.array(*map(F.lit, policy.FRESH_DAYS)), (F.col("o_orderkey") % 4).cast("int") + 1)
+    return t("orders").select("o_orderkey", policy.stale(kind, F.col("o_orderdate"), F.lit("1998-12-31 12:00:00").cast(t("orders").schema["o_orderdate"].dataType)).alias("stale"))
+
+
+@query("""SELECT p_partkey, p_partkey % 3 <> 0 AND (p_partkey % 2 = 0 OR contains(p_name, ' ')) AS risk FROM part""")
+def unquoted_service_paths(t):
+    folder = F.when(F.col("p_partkey") % 2 == 0, r"C:\My Files\\").otherwise(r"C:\bin\\")
+    path = F.concat(F.when(F.col("p_partkey") % 3 == 0, '"').otherwise(" "), folder, F.col("p_name"), F.lit(".EXE --run all"))
+    return t("part").select("p_partkey", policy.open_to_hijack(path).alias("risk"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN c_nationkey % 2 = 0 WHEN 2 THEN c_nationkey % 2 = 0 OR c_nationkey % 4 = 1 WHEN 3 THEN c_nationkey % 2 = 0 ELSE c_nationkey % 4 = 3 END AS allowed FROM customer""")
+def role_permissions(t):
+    role = F.element_at(F.array(*map(F.lit, ("Owner", "guest", "analyst", "Responder", "CTF_Participant"))), (F.col("c_custkey") % 5).cast("int") + 1)
+    permission = F.element_at(F.array(*map(F.lit, ("CaseRead", "EvidenceAdd", "EvidenceRead", "CtfIsolatedOnly"))), F.col("c_nationkey") % 4 + 1)
+    return t("customer").select("c_custkey", policy.may(role, permission).alias("allowed"))
+
+
+@query("""SELECT DISTINCT l_partkey AS case_id, l_suppkey AS user_id FROM lineitem WHERE l_suppkey % 10 = 0 OR EXISTS (SELECT 1 FROM lineitem m WHERE m.l_returnflag = 'R' AND m.l_partkey = lineitem.l_partkey AND m.l_suppkey = lineitem.l_suppkey)
+  OR EXISTS (SELECT 1 FROM part JOIN supplier ON s_nationkey = p_size % 25 WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey)""")
+def case_access(t):
+    pairs = t("lineitem").select(F.col("l_partkey").alias("case_id"), F.col("l_suppkey").alias("user_id"), "l_returnflag")
+    users = t("supplier").select(F.col("s_suppkey").alias("user_id"), F.when(F.col("s_suppkey") % 10 == 0, "Admin").otherwise("Viewer").alias("role"))
+    channels = t("part").select(F.col("p_partkey").alias("case_id"), (F.col("p_size") % 25).alias("team_id"))
+    teams = t("supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_nationkey").alias("team_id"))
+    return policy.case_access(pairs, users, pairs.where("l_returnflag = 'R'").select("case_id", "user_id"), channels, teams)
+
+
+@query("""SELECT *, tpr - fpr AS score FROM (SELECT *, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS tpr, CASE WHEN fp + tn = 0 THEN 0.0 ELSE fp / (fp + tn) END AS fpr FROM
+  (SELECT p_brand, count(*) FILTER (r AND f) AS tp, count(*) FILTER (r AND NOT f) AS fn, count(*) FILTER (NOT r AND f) AS fp, count(*) FILTER (NOT r AND NOT f) AS tn FROM (SELECT p_brand, p_size > 20 AS r, p_retailprice > 1200 AS f FROM part) GROUP BY 1))""")
+def detection_rates(t):
+    return policy.rates(t("part").select("p_brand", (F.col("p_size") > 20).alias("real"), (F.col("p_retailprice") > 1200).alias("found")), "p_brand", "real", "found")
+
+
+@query("SELECT page_id, url_encode(url) AS escaped, url AS back FROM pages")
+def url_escapes(t):
+    return t("pages").select("page_id", B.escape(F.col("url")).alias("escaped"), B.unescape(B.escape(F.col("url"))).alias("back"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'KB' || p_partkey END AS kb FROM part")
+def update_numbers(t):
+    at = F.col("p_partkey")
+    return t("part").select("p_partkey", B.update_number(F.concat(F.element_at(F.array(F.lit(" kb"), F.lit(""), F.lit("Q")), (at % 3).cast("int") + 1), at.cast("string"))).alias("kb"))
+
+
+@query("SELECT s_suppkey, upper(array_to_string(list_transform(range(1, len(s_name) + 1), lambda i: lpad(to_hex(xor(ord(s_name[i]), CASE i % 2 WHEN 1 THEN 75 ELSE 200 END)), 2, '0')), '')) AS hex FROM supplier")
+def repeating_xor(t):
+    return t("supplier").select("s_suppkey", F.hex(B.exclusive_or(F.col("s_name").cast("binary"), bytes((75, 200)))).alias("hex"))
+
+
+HEX_SQL = "SELECT doc_id, block, unnest(regexp_extract_all(substr(h, 512 * block + 1, 512), '..')) AS c FROM (SELECT doc_id, h, unnest(range(0, (len(h) + 511) // 512)) AS block FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''))"
+
+
+@query(f"SELECT doc_id, CAST(block AS INT) AS block, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT doc_id, block, c, count(*) AS n FROM ({HEX_SQL}) GROUP BY ALL) GROUP BY 1, 2")
+def entropy_map(t):
+    return B.block_entropy(t("documents"), "doc_id", F.col("text").cast("binary"))
+
+
+@query(f"""SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS kinds, max(n) AS most, round(sum(n * n) * 256 / sum(n) - sum(n), 4) AS chi_square FROM (SELECT doc_id, c, count(*) AS n FROM ({HEX_SQL}) GROUP BY ALL) GROUP BY 1""")
+def byte_statistics(t):
+    return B.byte_statistics(t("documents"), "doc_id", F.col("text").cast("binary"))

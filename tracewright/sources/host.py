@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: States of TCP by code, and shells without a login.
+#: States of TCP by code, shells without a login, and keys of timers in their order.
 TCP_STATES = ("Established", "SynSent", "SynReceived", "FinWait1", "FinWait2", "TimeWait", "Closed", "CloseWait", "LastAck", "Listen", "Closing", "NewSynRecv")
 NO_LOGIN = ("nologin", "false", "sync", "shutdown", "halt")
+TIMER_KEYS = ("OnCalendar", "OnBootSec", "OnStartupSec", "OnUnitActiveSec", "OnUnitInactiveSec", "OnActiveSec")
 LINE = r"\r?\n"
 
 
@@ -116,3 +117,85 @@ def user_groups(spark: SparkSession, path: str) -> DataFrame:
     """Rows of group files with their members."""
     members = F.filter(F.transform(F.split(F.get("p", F.lit(3)), ","), lambda m: F.trim(m)), lambda m: m != "")
     return _colons(spark, path, 4).select("file", F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(2)).try_cast("long").alias("gid"), members.alias("members")).where("gid IS NOT NULL")
+
+
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, section, key and value of files with [sections]. Continued lines are joined; comments are left out."""
+    from pyspark.sql.window import Window
+
+    text = F.regexp_replace("value", r"(?m)^[ \t]*[#;].*$", "")
+    text = F.regexp_replace(text, r"[ \t]*\\[ \t]*\r?\n[ \t]*", " ")
+    rows = whole(spark, path).select("file", F.posexplode(F.split(text, LINE)).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    head = F.when(F.col("line").rlike(r"^\[.*\]$"), F.regexp_extract("line", r"^\[(.*)\]$", 1))
+    # a file is small, and one task's own
+    rows = rows.withColumn("section", F.last(head, ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no")))
+    key, value = F.trim(F.regexp_extract("line", "^([^=]*)=", 1)), F.trim(F.regexp_extract("line", "^[^=]*=(.*)$", 1))
+    return rows.where(head.isNull() & F.contains("line", F.lit("="))).select("file", (F.col("line_no") + 1).alias("line_no"), F.coalesce("section", F.lit("")).alias("section"), key.alias("key"), value.alias("value"))
+
+
+def timers(spark: SparkSession, path: str) -> DataFrame:
+    """The schedule of each unit file with a [Timer]: its entries by kind, then as they stand."""
+    rank = F.array_position(F.array(*map(F.lit, TIMER_KEYS)), F.col("key"))
+    rows = sections(spark, path).where((F.col("section") == "Timer") & (rank > 0))
+    listed = F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "line_no", F.concat_ws("=", "key", "value").alias("entry"))))
+    return rows.groupBy("file").agg(F.array_join(F.transform(listed, lambda x: x["entry"]), "; ").alias("schedule"))
+
+
+def desktop_entries(spark: SparkSession, path: str) -> DataFrame:
+    """name, exec and hidden of each file with a [Desktop Entry]; of repeated keys the last counts."""
+    rows = sections(spark, path).where("section = 'Desktop Entry'")
+    last = lambda key: F.max_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, F.col("line_no")))
+    off = ((F.col("key") == "Hidden") & (F.lower("value") == "true")) | ((F.col("key") == "X-GNOME-Autostart-enabled") & (F.lower("value") == "false"))
+    return rows.groupBy("file").agg(last("Name").alias("name"), last("Exec").alias("exec"), F.bool_or(off).alias("hidden"))
+
+
+def start_commands(spark: SparkSession, path: str) -> DataFrame:
+    """Commands of rc.local files."""
+    rows = lines(spark, path).withColumn("command", F.trim("line"))
+    return rows.where((F.col("command") != "") & ~F.col("command").startswith("#") & (F.col("command") != "exit 0")).select("file", "line_no", "command")
+
+
+def preloaded(spark: SparkSession, path: str) -> DataFrame:
+    """Libraries of ld.so.preload files, in order."""
+    words = F.filter(F.split(F.regexp_replace("line", "#.*$", ""), r"\s+"), lambda w: w != "")
+    return lines(spark, path).select("file", "line_no", F.explode(words).alias("library"))
+
+
+def firewall_rules(spark: SparkSession, path: str, family: str) -> DataFrame:
+    """Policies and rules of `iptables -S` output."""
+    p = F.split(F.trim("line"), r"\s+")
+    rows = lines(spark, path).withColumn("p", p).where(F.get("p", F.lit(0)).isin("-P", "-A") & (F.size("p") >= F.when(F.get("p", F.lit(0)) == "-P", 3).otherwise(2)))
+    rest = F.slice("p", 3, F.size("p"))
+    # a place from 1 is that of the next element from 0
+    after = lambda flag: F.when(F.array_position(rest, flag) > 0, F.get(rest, F.array_position(rest, flag).cast("int")))
+    is_policy, chain = F.get("p", F.lit(0)) == "-P", F.get("p", F.lit(1))
+    name = F.when(is_policy, F.concat(F.lit("policy "), chain)).otherwise(F.trim("line"))
+    direction = F.when(chain == "INPUT", "Inbound").when(chain == "OUTPUT", "Outbound").when(chain == "FORWARD", "Forward").otherwise(chain)
+    action = F.when(is_policy, F.get("p", F.lit(2))).otherwise(F.coalesce(after("-j"), after("-g"), F.lit("(no target)")))
+    return rows.select("file", "line_no", F.concat(name, F.lit(f" ({family})")).alias("name"), direction.alias("direction"), action.alias("action"), F.when(~is_policy, after("-p")).alias("protocol"))
+
+
+def os_releases(spark: SparkSession, path: str) -> DataFrame:
+    """id, name, version and the ecosystem of packages of each os-release file; empty where a value is absent."""
+    own = F.filter(F.transform(F.split("value", LINE), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("=")) & ~x.startswith("#"))
+
+    def value(name: str) -> Column:
+        last = F.try_element_at(F.filter("l", lambda x: F.trim(F.substring_index(x, "=", 1)) == name), F.lit(-1))
+        raw = F.trim(F.regexp_extract(last, "^[^=]*=(.*)$", 1))
+        inner = F.regexp_replace(F.regexp_extract(raw, '^"(.*)"$', 1), r"\\(.)", "$1")
+        return F.coalesce(F.when(raw.rlike('^".*"$'), inner).otherwise(F.regexp_replace(raw, "^'(.*)'$", "$1")), F.lit(""))
+
+    rows = whole(spark, path).select("file", own.alias("l"))
+    rows = rows.select("file", F.lower(value("ID")).alias("id"), value("NAME").alias("name"), value("VERSION").alias("version"), value("VERSION_ID").alias("version_id"), value("PRETTY_NAME").alias("pretty_name"))
+    major, version = F.substring_index("version_id", ".", 1), F.col("version_id")
+    lts = F.when(F.contains(F.concat("version", F.lit(" "), "pretty_name"), F.lit("LTS")), ":LTS").otherwise("")
+    is_id = lambda name: F.col("id") == name
+    ecosystem = (
+        F.when(version == "", None).when(is_id("debian"), F.concat(F.lit("Debian:"), major)).when(is_id("ubuntu"), F.concat(F.lit("Ubuntu:"), version, lts))
+        .when(is_id("almalinux"), F.concat(F.lit("AlmaLinux:"), major)).when(is_id("rocky"), F.concat(F.lit("Rocky Linux:"), major))
+        .when(is_id("alpine") & F.contains(version, F.lit(".")), F.concat(F.lit("Alpine:v"), F.substring_index("version_id", ".", 2)))
+        .when(is_id("opensuse-leap"), F.concat(F.lit("openSUSE:Leap "), version)).when(is_id("rhel"), F.lit("Red Hat"))
+    )
+    both = F.trim(F.concat_ws(" ", "name", "version"))
+    shown = F.when(F.col("pretty_name") != "", F.col("pretty_name")).when(F.col("name") != "", both).otherwise("Linux")
+    return rows.withColumn("shown", shown).withColumn("ecosystem", ecosystem)
