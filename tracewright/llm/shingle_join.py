@@ -183,6 +183,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots, as components gives them, with further links. Only the links between components are followed, root to root."""
+    at = [roots.toDF(end, f"root_{end}") for end in ("a", "b")]
+    between = links.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    between = cut(between.distinct(), "between")
+    if between.isEmpty():
+        return roots
+    moved = components(between)
+    over = roots.join(moved.toDF("root", "to"), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+    return cut(over.union(moved), "roots")
+
+
 def _sets(k: int):
     def work(batches):
         counts, seen = Counts(), set()
@@ -310,15 +322,14 @@ class Join:
         inside = self.members.join(heads, ["g", "n"]).where("key <> head").select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b"))
         own = self.shared.join(heads, ["g", "n"]).select(F.col("shingle").alias("e"), F.lit(0).alias("kind"), "n", F.col("head").alias("key"), F.xxhash64("head").alias("r"))
         pairs = cut(inside.union(self.stars(own, CENTRES[0])).distinct(), "pairs")
-        linked, checked = self.verify(pairs), pairs
+        roots, checked = components(self.verify(pairs)), pairs
         for centres in (*CENTRES[1:], None):
             self.done: list[str] = []
-            own = self.mixed(components(linked))
+            own = self.mixed(roots)
             met = self.rest(own) if centres is None else self.stars(own, centres)
             pairs = cut(met.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-            linked, checked = linked.union(self.verify(pairs)), checked.union(pairs)
+            roots, checked = merged(roots, self.verify(pairs)), checked.union(pairs)
             discard(*self.done, spark=self.spark)
-        roots = components(linked)
         ids = self.reps.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
         smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         by_key = ids.join(smallest, "root").select("key", "component_id")
