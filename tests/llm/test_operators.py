@@ -8,7 +8,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tracewright.llm import additive, bpe, html_text, media, packing, pii, quality, secrets, shingle_join, toxicity
+from tracewright.llm import additive, bpe, media, packing, pii, quality, secrets, shingle_join, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, g long, label int, words string, row long"
 LONG = " ".join(f"word{i}" for i in range(40_000))
@@ -108,14 +108,6 @@ def test_packing_meets_its_bound():
     assert packing.lower_bound(np.full(10, 700), 2048) == 5
 
 
-def test_main_text_of_labelled_pages():
-    for page in html_text.LABELLED:
-        parts = re.split(r"(?<=>)\[\[|\]\]", page)
-        want = [w for p in parts[1::2] for w in re.sub("<[^>]*>", " ", p).split()]
-        assert html_text.main_text("".join(parts)).split() == want
-    assert html_text.main_text("") == "" and html_text.main_text("<nav>a b</nav>") == ""
-
-
 def test_join_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(300)]

@@ -1,12 +1,14 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page becomes a sequence of tags and words. Words score by where they stand (most of them positive), tags
-negative; both weights are log odds counted on labelled pages. One linear scan finds the contiguous region
-with the largest sum; its blocks, without those of menus, notices, adverts, forms, comments and the like that
-the region spans, are the text.
+A page becomes a sequence of tags and of blocks of words. Every word scores by where it stands, every tag negative; the
+weights are those of a logistic regression on pages labelled by hand (pages_labelled), on the names, classes and ids of the
+elements around a block, its length, its links and its end. One linear scan finds the contiguous region with the largest sum. Blocks in it whose words score below 0
+(adverts, notices and the like between paragraphs) are left out.
+
+A page is read in one pass whose time grows with its length alone, whatever it holds.
 
 Defined cases: a null or empty html, or a page without a region over 0, has an empty text; of equal sums the first region
-counts; unclosed and stray tags are read as browsers mostly do; repeated rows and nulls in page_id or url come
+counts; unclosed and stray tags are read as browsers mostly do; a tag, comment, script or the like that the page doesn't close ends it; repeated rows and nulls in page_id or url come
 back as they came; an empty table gives no rows; other columns are ignored.
 """
 
@@ -16,193 +18,339 @@ import html
 import re
 from collections import Counter
 from functools import cache
-from math import log
+from math import tanh
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, table
+from .pages_labelled import LAYOUTS, composed, parts
 
 # Elements by what they do to the text around them.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SPACE = frozenset(("br", "wbr", "img", "input"))
-ASIDE = frozenset("nav footer aside form head select button menu dialog fieldset label datalist iframe object".split())
-SEMANTIC = frozenset(("article", "main"))
-ENDS_P = BLOCKS - {"body", "html", "head", "caption", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
-#: Words of class and id that mark what isn't the article's text.
-HINTS = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner comment comments reply replies respond discussion disqus sidebar side menu navbar nav navigation topnav breadcrumb breadcrumbs footer foot masthead topbar header cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended recommendations widget newsletter subscribe subscription signup login search pager pagination pagenav toolbar copyright legal disclaimer skip".split())
-#: Words that mark it, over hints of elements around.
-MAIN_HINTS = frozenset("article content main post entry story body text".split())
-
-TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(script|style|textarea|noscript|template|svg|math|title|iframe|xmp|noframes|noembed)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>|([^<]+|<)",
-    re.I | re.S,
-)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*")
-
-
-def hinted(attributes: str) -> str:
-    """'aside', 'main' or '' by the words of class, id and role."""
-    words = {w.lower() for m in NAMED.finditer(attributes) for w in PIECES.findall(m[1] or m[2] or m[3] or "")}
-    return "aside" if words & HINTS else "main" if words & MAIN_HINTS else ""
-
-
-#: An item: its key for the weights, the number of words (0 for a tag), the text, whether it belongs to something aside, and whether a block starts before it.
-Item = tuple[str, int, str, bool, bool]
-
-
-def items(page: str) -> list[Item]:
-    out: list[Item] = []
-    stack: list[tuple[str, str, bool]] = []  # name, place, aside
-    place, aside, fresh = "plain", False, True
-    link = 0
-    for m in TOKEN.finditer(page):
-        raw_name, slash, name, attributes, text = m.groups()
-        if text is not None:
-            words = html.unescape(text) if "&" in text else text
-            n = len(words.split())
-            if n:
-                kind = "long" if n > 12 else "short"
-                out.append((f"word {place} {'link' if link else kind}", n, words, aside, fresh))
+#: Elements whose content isn't text of the page.
+HIDDEN = frozenset("script style textarea noscript template svg math title iframe xmp noframes noembed object canvas audio video".split())
+#: Of these, those that a page ends in where it doesn't close them.
+RAW = frozenset("script style textarea title iframe xmp noframes noembed".split())
+ENDS_P = BLOCKS - {"body", "html", "head", "caption", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "label", "button", "select"}
+#: Elements that end those of the same row when they start.
+CLOSES = {name: group for group in (("li",), ("dt", "dd"), ("option",), ("tr",), ("td", "th"), ("p",)) for name in group}
+
+SPACES, KEY, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+COMMENT_END = re.compile("--!?>")
+PLAIN = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)>")
+PIECES = re.compile(r"[a-z]+")
+#: Class names that tell a state of the page, not what an element is.
+STATES = ("has-", "with-", "no-", "is-", "has_", "with_", "no_", "is_")
+
+
+@cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str] | None, int]:
+    """Attributes of a tag from behind its name on, and the place behind it; None where the page doesn't close it."""
+    found: dict[str, str] = {}
+    while True:
+        at = SPACES.match(page, at).end()
+        if at >= len(page):
+            return None, at
+        if page[at] == ">":
+            return found, at + 1
+        m = KEY.match(page, at)
+        key, value, at = m[0].lower(), "", m.end()
+        if m := EQUALS.match(page, at):
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote and quote in "\"'":
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return None, len(page)
+                value, at = page[at + 1 : end], end + 1
             else:
-                out.append(("", 0, " ", aside, fresh))
-            fresh = False
+                m = BARE.match(page, at)
+                value, at = m[0], m.end()
+        found.setdefault(key, value)
+
+
+def tokens(page: str):
+    """("text", text, None), ("start", name, attributes) and ("end", name, None) in order."""
+    at, n, missing = 0, len(page), set()
+    while at < n:
+        lt = page.find("<", at)
+        while lt >= 0 and not (page[lt + 1 : lt + 2].isascii() and (page[lt + 1 : lt + 2].isalpha() or page[lt + 1 : lt + 2] in ("/", "!", "?"))):
+            lt = page.find("<", lt + 1)
+        if lt < 0:
+            yield "text", page[at:], None
+            return
+        if lt > at:
+            yield "text", page[at:lt], None
+        if page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):
+                at = page.index(">", lt) + 1
+                continue
+            end = COMMENT_END.search(page, lt + 4)
+            if not end:
+                return
+            at = end.end()
             continue
-        if raw_name:
-            if raw_name.lower() in ("iframe", "textarea", "title"):
-                fresh = True
+        end_tag = page[lt + 1] == "/"
+        m = NAME.match(page, lt + 1 + end_tag)
+        if not m:
+            at = page.find(">", lt) + 1
+            if not at:
+                return
             continue
-        if name is None:
+        if plain := PLAIN.match(page, lt + 1 + end_tag):
+            own, at, name = {}, plain.end(), plain[1].lower()
+        else:
+            name = m[0].lower()
+            own, at = attributes(page, m.end())
+            if own is None:
+                return
+        if end_tag:
+            yield "end", name, None
             continue
-        name = name.lower()
-        if name in SPACE:
-            out.append((f"tag {place} {name}", 0, " ", aside, fresh))
-            fresh = False
+        yield "start", name, own
+        if name in HIDDEN and name not in missing:
+            close = _closing(name).search(page, at)
+            if close:
+                own, at = attributes(page, close.end())
+                if own is None:
+                    return
+                yield "end", name, None
+            elif name in RAW:
+                return
+            else:
+                missing.add(name)
+
+
+class Open:
+    """An open element, with what it and those around it say of the words in it.
+
+    near holds the marks of the elements up to the closest article or main, far those of the elements around that.
+    """
+
+    __slots__ = ("name", "near", "far", "form", "block")
+
+    def __init__(self, name: str, near: frozenset, far: frozenset, form: int | None, block: str) -> None:
+        self.name, self.near, self.far, self.form, self.block = name, near, far, form, block
+
+
+def marks(name: str, own: dict[str, str]) -> frozenset:
+    """What an element is: its name if it is a block, the words of its classes, id and role."""
+    out = {f"<{name}>"} if name in BLOCKS else set()
+    if own and name not in ("html", "body"):
+        for key in ("class", "id", "role"):
+            for whole in own.get(key, "").lower().split()[:20]:
+                if not whole.startswith(STATES):
+                    out.update(w.removesuffix("s") for w in PIECES.findall(whole)[:8])
+    return frozenset(out)
+
+
+class Block:
+    """A run of words without a block's border in it."""
+
+    __slots__ = ("near", "far", "form", "name", "texts", "words", "linked")
+
+    def __init__(self, at: Open) -> None:
+        self.near, self.far, self.form, self.name = at.near, at.far, at.form, at.block
+        self.texts: list[str] = []
+        self.words = self.linked = 0
+
+
+#: Elements around a word that are looked at; farther ones don't count, so that deep nesting stays cheap.
+MARKS = 40
+
+
+def read(page: str) -> list[Block | str]:
+    """Blocks of words and names of tags, in order."""
+    out: list[Block | str] = []
+    root = Open("", frozenset(), frozenset(), None, "")
+    stack, borders = [root], [0]  # borders: places of the blocks among them
+    places: dict[str, list[int]] = {}
+    now: Block | None = None
+    links = forms = 0
+
+    def drop(down: int) -> None:
+        nonlocal links
+        while len(stack) > down:
+            gone = stack.pop()
+            places[gone.name].pop()
+            links -= gone.name == "a"
+            if borders[-1] == len(stack):
+                borders.pop()
+
+    for kind, what, own in tokens(page):
+        if kind == "text":
+            if what.isspace() and now is None:
+                continue
+            if now is None:
+                now = Block(stack[-1])
+                out.append(now)
+            text = html.unescape(what) if "&" in what else what
+            n = len(text.split())
+            now.texts.append(text)
+            now.words += n
+            now.linked += n if links else 0
             continue
-        out.append((f"tag {place} {name}", 0, "", aside, False))
-        if name in BLOCKS:
-            fresh = True
-        if name in VOID:
+        name = what
+        if kind == "start" and name == "br":
+            if now is not None:
+                now.texts.append(" ")
             continue
-        if slash:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
+        if name in BLOCKS or name in HIDDEN:
+            now = now if name in HIDDEN else None
+        out.append(name)
+        if kind == "end":
+            held = places.get(name)
             # a stray end of something inline doesn't reach out of a block
-            if at < 0 or (name not in BLOCKS and any(x[0] in BLOCKS for x in stack[at + 1 :])):
-                continue
-            link -= sum(x[0] == "a" for x in stack[at:])
-            del stack[at:]
+            if held and (name in BLOCKS or held[-1] > borders[-1]):
+                drop(held[-1])
+            continue
+        if name in VOID or name in ("html", "head", "body"):
+            continue
+        innermost = stack[borders[-1]].name
+        if (innermost == "p" and name in ENDS_P) or innermost in CLOSES.get(name, ()):
+            drop(borders[-1])
+        up = stack[-1]
+        more = marks(name, own)
+        if name in ("article", "main"):
+            near, far = more, (up.near | up.far) if len(up.far) < MARKS else up.far
         else:
-            if name in ENDS_P and any(x[0] == "p" for x in stack[-8:]):
-                at = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p")
-                if not any(x[0] in BLOCKS for x in stack[at + 1 :]):
-                    link -= sum(x[0] == "a" for x in stack[at:])
-                    del stack[at:]
-            elif name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-                stack.pop()
-            if name == "body":
-                link = 0
-                stack.clear()
-            above, around = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
-            hint = hinted(attributes) if attributes and "=" in attributes else ""
-            if name in ASIDE or (name == "header" and above != "main") or (hint == "aside" and name not in ("body", "html", "article", "main")):
-                own = ("aside", True)
-            elif (name in SEMANTIC or hint == "main") and not around:
-                own = ("main" if name in SEMANTIC or above == "main" else "hinted", False)
-            else:
-                own = (above, around)
-            stack.append((name, *own))
-            link += name == "a"
-        place, aside = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
+            near, far = (up.near | more) if more and len(up.near) < MARKS else up.near, up.far
+        form = up.form
+        if name == "form":
+            forms, form = forms + 1, forms
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            borders.append(len(stack))
+        links += name == "a"
+        stack.append(Open(name, near, far, form, name if name in BLOCKS else up.block))
     return out
 
 
-# Pages labelled by hand: what stands between [[ and ]] is the main text. Names, words and layouts are invented.
-LABELLED = (
-    '<html><head><title>T</title></head><body><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav><article>[[<h1>Rain fell over the hills</h1><p>It had rained all night and the river rose until it met the road near the mill.</p><p>By noon it was over.</p>]]</article><footer>Copyright notice, all rights reserved</footer></body></html>',
-    '<body><header><div class=logo>Daily Page</div><a href=x>Log in</a></header><main>[[<h1>A short walk</h1><p>We went out at six, before the heat, and followed the <em>old</em> wall.</p>]]<aside><h3>More</h3><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></aside>[[<h2>Down to the sea</h2><p>There the path turns left and runs along a ditch for a mile or so.</p>]]</main><footer><p>Contact us</p></footer></body>',
-    '<body><div id=top><a href=1>Start</a> | <a href=2>Shop</a> | <a href=3>Help</a></div><div class=content>[[<h1>How bread is made</h1><p>Flour, water, salt and time; little else is needed, and the oven does the rest of the work.</p><ul><li>Mix the dough and let it rest</li><li>Fold it twice</li></ul>]]</div><div class=comments><h3>Comments</h3><p>Great post, thanks for sharing this with all of us!</p></div><div>Terms Privacy</div></body>',
-    '<body><table><tr><td><a href=1>Index</a><br><a href=2>Links</a><br><a href=3>Guestbook</a></td><td>[[<p>This page has been here for a long time, and what it says about lamps is still true today.</p><p>The wick should be cut straight and kept damp before it is lit for the first time.</p>]]</td></tr></table><p><a href=m>Mail</a></p></body>',
-    '<body><div class=cookie-notice>We use cookies to make this site better for you. <button>OK</button></div><div class=ad>Buy two and get a third one for free, this week only in all our shops.</div><article class=post>[[<h2>Notes on wind</h2><p>A light wind from the east is called by many names along this coast.</p><blockquote>None of them is kind.</blockquote>]]<div class=share><a href=1>Share</a><a href=2>Send</a></div></article><div class=sidebar><h4>Popular</h4><a href=1>Ten ways to sleep</a></div></body>',
-    '<body><form action=s><input name=q><button>Search</button></form><div><div>[[<p>The committee met on Tuesday and agreed, after some debate, that the bridge should be closed in winter.</p><p>Work is to start in May.</p><p>It will take two years, or three if the ground is as wet as it was last time.</p>]]</div></div><div><a href=1>Older</a> <a href=2>Newer</a></div></body>',
-)
+def keys(block: Block, large: set[int]) -> list[str]:
+    """Features of a block; large has the forms that hold most of the page's words and so aren't what forms mostly are."""
+    n, share = block.words, block.linked / max(1, block.words)
+    end = "".join(block.texts[-1:]).rstrip()[-1:]
+    near = block.near - {"<form>"} if block.form in large else block.near
+    size = next((k for k, x in enumerate((2, 5, 9, 16, 40)) if n <= x), 5)
+    home = "article" if "<article>" in near or "<main>" in near else "page"
+    return [
+        home, f"in {block.name}", f"size {size} of {home}", f"links {0 if not share else 1 if share < 0.5 else 2}",
+        "sentence" if end in ".!?…:;,\"'»”" and end else "open", *(f"near {m}" for m in near), *(f"far {m}" for m in block.far if m != "<form>"),
+    ]
 
 
-@cache
-def weights() -> dict[str, float]:
-    """Log odds of each key between the inside and the outside of labelled regions: words at 4 at most, tags below 0."""
+def large_forms(own: list[Block | str]) -> set[int]:
+    held = Counter()
+    for b in own:
+        if not isinstance(b, str):
+            held[b.form] += b.words
+    total = held.total()
+    return {f for f, n in held.items() if f is not None and 2 * n > total}
+
+
+RIDGE, STEPS, COMPOSED = 1e-5, 25, 500
+
+
+def learn(pages: list[list[str]]) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of the features of blocks, and those of tags, from labelled pages in parts. Every weight of a tag is below 0."""
+    rows, labels, counts = [], [], []
     inside, outside = Counter(), Counter()
-    for page in LABELLED:
-        for k, part in enumerate(re.split(r"(?<=>)\[\[|\]\]", page)):
-            mark = inside if k % 2 else outside
-            before = "".join(re.split(r"(?<=>)\[\[|\]\]", page)[:k])
-            for key, n, *_ in items(before + part)[len(items(before)) :]:
-                mark[key] += max(1, n)
-    mine, others = sum(inside.values()), sum(outside.values())
-    odds = {key: log((inside[key] + 0.5) / (mine + 1)) - log((outside[key] + 0.5) / (others + 1)) for key in {*inside, *outside} if key}
-    out = {}
-    for key, x in odds.items():
-        out[key] = min(max(x, -4.0), 4.0) if key.startswith("word") else min(max(x / 2, -3.0), -0.05)
+    for page in pages:
+        by_part = _by_part(page)
+        large = large_forms([b for own in by_part for b in own])
+        for k, own in enumerate(by_part):
+            for b in own:
+                if isinstance(b, str):
+                    (inside if k % 2 else outside)[b] += 1
+                elif b.words:
+                    rows.append(keys(b, large))
+                    labels.append(k % 2)
+                    counts.append(b.words)
+    names = sorted({key for r in rows for key in r})
+    place = {key: i for i, key in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        x[i, [place[key] for key in r]] = 1
+    y, weight = np.array(labels, float), np.sqrt(np.array(counts, float))
+    weight /= weight.sum()
+    w = np.zeros(len(names))
+    for _ in range(STEPS):  # Newton on the logistic loss, words of a block counting less than in proportion
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (weight * (p - y)) + RIDGE * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(names))
+        w -= np.linalg.solve(curve, slope)
+    total = inside.total() + outside.total()
+    # less than a word's score, or paragraphs of one word would be lost at the ends
+    tags = {t: -0.01 - 0.1 * (outside[t] + total / 1000) / (inside[t] + outside[t] + total / 500) for t in {*inside, *outside}}
+    return dict(zip(names, w.tolist(), strict=True)), tags
+
+
+def _by_part(page: list[str]) -> list[list[Block | str]]:
+    """What read() gives for the whole page, dealt to the page's parts by a mark in the text."""
+    own = read("\0".join(page))
+    out: list[list[Block | str]] = [[]]
+    for b in own:
+        if isinstance(b, str):
+            out[-1].append(b)
+            continue
+        texts = "".join(b.texts).split("\0")
+        for k, text in enumerate(texts):
+            if k:
+                out.append([])
+            if text.strip():
+                part = Block(Open("", b.near, b.far, b.form, b.name))
+                part.texts, part.words = [text], len(text.split())
+                part.linked = min(b.linked, part.words)
+                out[-1].append(part)
     return out
 
 
-#: For keys that no labelled page has: words and tags by their place.
-DEFAULT = {"word main": 1.5, "word hinted": 1.0, "word plain": 0.25, "word aside": -2.0, "tag main": -0.05, "tag hinted": -0.1, "tag plain": -0.4, "tag aside": -1.0}
+@cache
+def weights() -> tuple[dict[str, float], dict[str, float]]:
+    return learn(parts([*LAYOUTS * 3, *composed(COMPOSED)]))
 
 
-@cache
-def weight(key: str) -> float:
-    if not key:
-        return 0.0
-    kind, place, name = key.split(" ", 2)
-    known = weights().get(key)
-    if place == "main" and name != "link":
-        # inside the element that HTML has for it
-        return max(1.0, known or 0) if kind == "word" else -0.05
-    return DEFAULT[f"{kind} {place}"] if known is None else known
-
-
-def region(own: list[Item]) -> tuple[int, int]:
-    """Start and end of the contiguous items with the largest sum over 0."""
-    best, found, sum_, start = 0.0, (0, 0), 0.0, 0
-    for k, (key, n, *_) in enumerate(own):
-        if sum_ <= 0:
-            sum_, start = 0.0, k
-        sum_ += weight(key) * (n or 1)
-        if sum_ > best:
-            best, found = sum_, (start, k + 1)
-    return found
-
-
-def main_text(page: str) -> str:
-    own = items(page)
-    start, end = region(own)
-    blocks: list[list[str]] = []
-    before = True
-    for _, _, text, aside, fresh in own[start:end]:
-        if aside:
-            before = True
-            continue
-        if text:
-            if fresh or before or not blocks:
-                blocks.append([])
-            blocks[-1].append(text)
-            before = False
-    joined = (" ".join("".join(b).split()) for b in blocks)
-    return "\n\n".join(b for b in joined if b)
+#: What a block inside of an article costs at most, so that a long advert doesn't cut the article in two.
+LOSS = 3.0
+#: Of a tag that no labelled page has.
+UNKNOWN_TAG = -0.06
 
 
-def _extract(batches):
-    for batch in batches:
-        texts = [main_text(p) for p in batch.column("html").to_pylist()]
-        yield {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
+def main_text(page: str, learned: tuple[dict[str, float], dict[str, float]] | None = None) -> str:
+    own = read(page)
+    known, tags = learned or weights()
+    large = large_forms(own)
+    scores = [tags.get(b, UNKNOWN_TAG) if isinstance(b, str) else max(-LOSS, b.words * tanh(sum(known.get(key, 0.0) for key in keys(b, large)) / 2)) for b in own]
+    best, found, total, start = 0.0, (0, 0), 0.0, 0
+    for k, s in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, k
+        total += s
+        if total > best:
+            best, found = total, (start, k + 1)
+    kept = ("".join(b.texts).split() for b, s in zip(own[slice(*found)], scores[slice(*found)], strict=True) if not isinstance(b, str) and s > 0)
+    return "\n\n".join(" ".join(words) for words in kept if words)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each row of pages; no shuffle."""
+    """page_id, url, text and n_chars for each row of pages; no shuffle. The weights are learned once and travel to the tasks."""
+    learned = weights()
+
+    def work(batches):
+        for batch in batches:
+            texts = [main_text(p, learned) for p in batch.column("html").to_pylist()]
+            yield {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
+
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return map_batches(own, _extract, "page_id long, url string, text string, n_chars long")
+    return map_batches(own, work, "page_id long, url string, text string, n_chars long")
 
 
 def op5_subsequence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
