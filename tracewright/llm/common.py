@@ -8,9 +8,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes of an Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -45,20 +48,52 @@ def cut(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
 
 
 def discard(*paths: str, spark: SparkSession) -> None:
-    """Deletes what was cut and isn't needed any more, and lets Spark clean the shuffle files that nothing refers to."""
-    jvm = spark.sparkContext._jvm
+    """Empties what was cut and isn't needed any more, and drops what Python holds of it, so that Spark cleans its shuffle files."""
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        spark.range(0).write.mode("overwrite").parquet(p)
     gc.collect()
-    jvm.System.gc()
+
+
+def known(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table at path; None where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session's queries in rows and bytes; each operator here that reads texts asks for it, and it lasts, since Spark reads it when a query is run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def change_batches(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], more: StructType | None = None) -> DataFrame:
+    """docs, each Arrow batch changed by work; with further columns, if any."""
+    bounded(docs.sparkSession)
+    fields = [*docs.schema.fields, *(more or StructType()).fields]
+    # names may hold dots, which mapInArrow doesn't take
+    plain = [f"c{k}" for k in range(len(fields))]
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(plain, fields, strict=True)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(work(batch).columns, names=plain)
+
+    return docs.toDF(*plain[: len(docs.columns)]).mapInArrow(run, schema).toDF(*(f.name for f in fields))
+
+
+def keep_batches(docs: DataFrame, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """The rows of docs for whose texts (a null one as an empty one) keep says so, with their columns."""
+    at = docs.columns.index("text")
+    return change_batches(docs, lambda batch: batch.filter(pa.array(keep([t or "" for t in batch.column(at).to_pylist()]), pa.bool_())))
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """work turns the Arrow batches of a partition into dicts of columns."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bounded(df.sparkSession)
     fields = [x.split() for x in schema.split(",")]
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
@@ -82,7 +117,16 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """At most so many rows, chosen by the hash of their keys. Most others are left out before the sort, by a share of the hashes that follows from the count."""
+    h = F.xxhash64(*keys)
+    part = F.pmod(h, F.lit(1 << 30))
+    share = 1.5 * rows / max(1, df.count())
+    few = df.where(part < int(share * (1 << 30))) if share < 1 else df
+    return few.orderBy(part, h, *keys).limit(rows)
+
+
 def bounded_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
     """At most so many labelled doc_ids, chosen by their hash; one whose rows disagree counts as its largest label."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return hashed_sample(one, ["doc_id"], rows)

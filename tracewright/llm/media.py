@@ -76,7 +76,17 @@ BITS, COUNT = _block_codes()
 
 
 def write(payloads: list[bytes]) -> list[bytes]:
-    """A JPEG stream for each payload, whose length is a positive multiple of ROW."""
+    """A JPEG stream for each payload, whose length is a positive multiple of ROW; coded picture by picture, about CHUNK bytes at once."""
+    pictures = [(k, x[at : at + TALLEST]) for k, x in enumerate(payloads) for at in range(0, len(x), TALLEST)]
+    coded: list[list[bytes]] = [[] for _ in payloads]
+    for a, b in chunks([x for _, x in pictures]):
+        for (k, _), stream in zip(pictures[a:b], _written([x for _, x in pictures[a:b]]), strict=True):
+            coded[k].append(stream)
+    return [b"".join(x) for x in coded]
+
+
+def _written(payloads: list[bytes]) -> list[bytes]:
+    """A picture for each payload of at most TALLEST bytes."""
     flat = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ROW).astype(np.int16) - 128
     diff = flat.copy()
     diff[:, 1:] -= flat[:, :-1]
@@ -119,13 +129,10 @@ def write(payloads: list[bytes]) -> list[bytes]:
     row_start = np.concatenate(([0], row_end[:-1]))
     streams, row = [], 0
     for payload in payloads:
-        parts, left = [], len(payload) // ROW
-        while left:
-            rows = min(left, TALLEST // ROW)
-            out[row_end[row : row + rows] - 1] = 0xD0 + np.arange(rows) % 8
-            parts += [_header(rows), out[row_start[row] : row_end[row + rows - 1] - 2].tobytes(), b"\xff\xd9"]
-            row, left = row + rows, left - rows
-        streams.append(b"".join(parts))
+        rows = len(payload) // ROW
+        out[row_end[row : row + rows] - 1] = 0xD0 + np.arange(rows) % 8
+        streams.append(_header(rows) + out[row_start[row] : row_end[row + rows - 1] - 2].tobytes() + b"\xff\xd9")
+        row += rows
     return streams
 
 
@@ -272,13 +279,14 @@ def read(streams: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
             at = p.next
     thumbs: list[list] = [[] for _ in streams]
     found = {}
-    for own in kinds.values():
-        chosen = [pictures[i] for i in own]
-        for i, dc in zip(own, luminance_dc([streams[k][p.start : p.end] for k, p in chosen], [p for _, p in chosen]), strict=True):
-            found[i] = dc
+    for all_own in kinds.values():
+        scans = [streams[k][p.start : p.end] for k, p in map(pictures.__getitem__, all_own)]
+        for a, b in chunks(scans):
+            own = all_own[a:b]
+            found.update(zip(own, luminance_dc(scans[a:b], [pictures[i][1] for i in own]), strict=True))
     for i, (k, p) in enumerate(pictures):
         h, v = p.parts[0][:2]
-        grid = found[i].reshape(p.down, p.across, v, h).swapaxes(1, 2).reshape(p.down * v, p.across * h)
+        grid = found.pop(i).reshape(p.down, p.across, v, h).swapaxes(1, 2).reshape(p.down * v, p.across * h)
         thumbs[k].append((p, np.clip(np.rint(grid * (p.quant / 8) + 128), 0, 255).astype(np.uint8)[: -(-p.height // 8), : -(-p.width // 8)]))
     return [(own[0][0].width, sum(p.height for p, _ in own), np.concatenate([t for _, t in own]) if len(own) > 1 else own[0][1]) for own in thumbs]
 
@@ -312,14 +320,13 @@ def chunks(items: list[bytes]):
 def _store(batches):
     for batch in batches:
         sizes, raw = zip(*map(payload, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ((), ())
-        media = [m for a, b in chunks(raw) for m in write(list(raw[a:b]))]
-        yield {"doc_id": batch.column("doc_id"), "n_bytes": list(sizes), "media": media}
+        yield {"doc_id": batch.column("doc_id"), "n_bytes": list(sizes), "media": write(list(raw))}
 
 
 def _features(batches):
     for batch in batches:
         media = batch.column("media").to_pylist()
-        rows = [r for a, b in chunks(media) for r in read(media[a:b])]
+        rows = read(media)
         stored = [t.tobytes() for _, _, t in rows]
         yield {
             "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "payload_bytes": [len(x) for x in stored], "payload_sha256": [hashlib.sha256(x).hexdigest() for x in stored],

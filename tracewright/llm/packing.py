@@ -3,9 +3,10 @@
 Documents become ids of a word-level BPE and pieces of at most SEQUENCE tokens. Full pieces are sequences of
 their own; the others are dealt to partitions of bounded size and packed there by best-fit decreasing. Dual
 feasible functions bound from below how many sequences a partition needs: where the packing meets the bound it
-is certified and final. Partitions with a gap keep their full sequences and exchange the others, whole, with
+is certified, and gives away its emptiest sequence alone. Partitions with a gap keep their full sequences and exchange the others, whole, with
 one another; best-fit decreasing runs again on what came together and its result is taken where it needs
-fewer sequences than the ones that came. This ends when all is certified, one partition is left, or after ROUNDS rounds.
+fewer sequences than the ones that came. This ends when the sequences are as few as the bound of all pieces together, when one partition is left, or
+when a round has saved none.
 
 Defined cases: a null or empty text is the one piece of the closing id; repeated rows and null doc_ids are
 packed as rows of their own; an empty table gives no rows; other columns are ignored.
@@ -29,8 +30,8 @@ from .common import cut, map_batches, table, texts_of
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 2048
-#: Pieces that one task packs, and rounds of exchange.
-IN_TASK, ROUNDS = 50_000, 5
+#: Pieces that one task packs.
+IN_TASK = 50_000
 END = b"\0\0\0\0"
 
 
@@ -85,15 +86,19 @@ def pieces(docs: DataFrame, path: str = WORDS, sequence: int = SEQUENCE) -> Data
 
 
 def lower_bound(lengths: np.ndarray, room: int) -> int:
-    """Sequences that any packing needs: the best of the threshold functions and of the rounding functions u(k)."""
-    if not len(lengths):
+    """Sequences that any packing of these lengths needs."""
+    return bound_of_counts(np.bincount(lengths, minlength=room + 1), room)
+
+
+def bound_of_counts(counts: np.ndarray, room: int) -> int:
+    """Sequences that any packing of so many pieces of each length needs: the best of the threshold functions and of the rounding functions u(k)."""
+    if not counts.any():
         return 0
-    counts = np.bincount(lengths, minlength=room + 1)
     sizes = np.arange(room + 1)
     number, total = np.cumsum(counts), np.cumsum(counts * sizes)
     cuts = np.arange(1, room // 2 + 1)
     # pieces over room - cut fill a sequence, those under cut count nothing
-    best = np.max(-(-(room * (len(lengths) - number[room - cuts]) + total[room - cuts] - total[cuts - 1]) // room))
+    best = np.max(-(-(room * (number[-1] - number[room - cuts]) + total[room - cuts] - total[cuts - 1]) // room))
     best = max(best, -(-total[-1] // room))
     for k in range(1, 33):
         scaled = np.where((k + 1) * sizes % room == 0, sizes * k, (k + 1) * sizes // room * room)
@@ -128,7 +133,7 @@ COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 KEPT = ("doc_id", "piece", "start", "length", "ids_crc32")
 
 
-def pack(found: DataFrame, sequence: int = SEQUENCE, in_task: int = IN_TASK, rounds: int = ROUNDS) -> DataFrame:
+def pack(found: DataFrame, sequence: int = SEQUENCE, in_task: int = IN_TASK) -> DataFrame:
     """found (as pieces() gives it) with sequence_id and offset. Ids of full pieces are even, the others odd."""
 
     def packed(turn: int):
@@ -147,11 +152,13 @@ def pack(found: DataFrame, sequence: int = SEQUENCE, in_task: int = IN_TASK, rou
                 again, at = best_fit(lengths, sequence)
                 if (n := int(again.max()) + 1) < came:
                     bins, places, used = ((turn << 52) + (TaskContext.get().partitionId() << 26) + again) * 2 + 1, at, n
+            _, where = np.unique(bins, return_inverse=True)
+            filled = np.bincount(where, lengths)
+            final = filled == sequence
             if used <= least:
-                final = np.ones(len(lengths), bool)
-            else:
-                _, where = np.unique(bins, return_inverse=True)
-                final = np.bincount(where, lengths)[where] == sequence
+                final[:] = True
+                final[filled.argmin()] = filled.min() == sequence
+            final = final[where]
             first = 0
             for b in held:
                 rows = slice(first, first := first + b.num_rows)
@@ -159,22 +166,28 @@ def pack(found: DataFrame, sequence: int = SEQUENCE, in_task: int = IN_TASK, rou
 
         return work
 
+    # one row a length
+    by_length = found.groupBy("length").agg(F.count("*").alias("n")).collect()
+    counts = np.zeros(sequence + 1, np.int64)
+    counts[[r["length"] for r in by_length]] = [r["n"] for r in by_length]
     whole = found.where(F.col("length") == sequence).select(*KEPT, (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, rest = [whole], found.where(F.col("length") < sequence).select(*KEPT, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    tasks = 0
-    for turn in range(rounds):
-        n = rest.count()
-        if not n:
-            break
-        wanted = -(-n // in_task)
-        if turn and tasks == 1:
-            break
-        # what is left after a turn is dealt to fewer tasks where it fits, so that other sequences meet
-        tasks = wanted if not turn else max(1, min(tasks - 1, wanted))
+    least, left, tasks, turn = bound_of_counts(counts, sequence) - int(counts[sequence]), int(counts[:sequence].sum()), 0, 0
+    settled, open_before = 0, None
+    while left:
+        # what is left after a turn is dealt to fewer tasks where it fits, and otherwise each time, so that other sequences meet
+        tasks = -(-left // in_task)
         dealt = rest.repartition(tasks) if not turn else rest.repartition(tasks, F.xxhash64("sequence_id", F.lit(turn)))
         out = cut(map_batches(dealt, packed(turn), COLUMNS), f"packed{turn}")
+        # each sequence has one piece at its start
+        starts = F.col("offset") == 0
+        now = out.agg(F.count_if(~F.col("final")).alias("left"), F.count_if(starts & F.col("final")).alias("final"), F.count_if(starts & ~F.col("final")).alias("open")).first()
         done.append(out.where("final").drop("final"))
-        rest = out.where(~F.col("final")).drop("final")
+        rest, left, turn = out.where(~F.col("final")).drop("final"), now["left"], turn + 1
+        saved = open_before is None or now["final"] + now["open"] < open_before
+        settled, open_before = settled + now["final"], now["open"]
+        if tasks == 1 or not saved or settled + now["open"] <= least:
+            break
     done.append(rest)
     result = done[0]
     for more in done[1:]:

@@ -14,10 +14,11 @@ from __future__ import annotations
 from functools import cache
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, sha, table, texts_of
+from .common import change_batches, map_batches, sha, table, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("login", "ssn")
@@ -180,21 +181,15 @@ def find(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span masked and n_chars made to fit; its columns and rows as they were."""
-    fields = docs.schema
     at = docs.columns.index("text")
 
-    def work(batches):
-        import pyarrow as pa
+    def work(batch):
+        clean = [None if t is None else masked(t, pii_spans(t)) for t in batch.column(at).to_pylist()]
+        return batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-        for batch in batches:
-            clean = [None if t is None else masked(t, pii_spans(t)) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array(clean, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    out = docs.mapInArrow(work, fields)
+    out = change_batches(docs, work)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(fields["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out
 
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, map_batches, table, texts_of
+from .common import bounded_labels, keep_batches, map_batches, table, texts_of
 
 FIT_ROWS, PAIRS, RIDGE, STEPS, CUT = 20_000, 60_000, 1e-3, 40, 0.3
 NAMES = (
@@ -100,16 +100,17 @@ class Ranking:
 
 def _rows(batches):
     for batch in batches:
-        yield {"label": batch.column("label"), "x": list(features(batch.column("text").to_pylist()))}
+        yield {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": list(features(batch.column("text").to_pylist()))}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ranking:
-    """The model of a bounded sample of labelled rows in the training folds."""
+    """The model of a bounded sample of labelled documents in the training folds; of rows that repeat a doc_id one counts, that with the smallest features."""
     inside = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     chosen = bounded_labels(inside, "quality", rows)
     # at most `rows` rows of 12 bytes
     own = texts_of(docs).join(F.broadcast(chosen), "doc_id")
-    got = map_batches(own.select("label", "text"), _rows, "label int, x array<double>").toArrow()
+    one = map_batches(own.select("doc_id", "label", "text"), _rows, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x"))
+    got = one.toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(NAMES))
     y = got["label"].to_numpy()
     by = np.lexsort((*x.T, y))
@@ -131,19 +132,7 @@ def score(docs: DataFrame, model: Ranking) -> DataFrame:
 
 def keep(docs: DataFrame, model: Ranking) -> DataFrame:
     """The rows of docs that the model doesn't reject, with their columns; a null text is rejected as an empty one."""
-    at = docs.columns.index("text")
-
-    def work(batches):
-        for batch in batches:
-            yield batch.filter(np_mask(model.score(features([t or "" for t in batch.column(at).to_pylist()])) >= CUT))
-
-    return docs.mapInArrow(work, docs.schema)
-
-
-def np_mask(kept: np.ndarray):
-    import pyarrow as pa
-
-    return pa.array(kept)
+    return keep_batches(docs, lambda texts: model.score(features(texts)) >= CUT)
 
 
 def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

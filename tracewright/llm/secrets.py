@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, new_path, sha, table, texts_of
+from .common import known, map_batches, new_path, sha, table, texts_of
 
 RULES = "2"
 BASE = ("assign", "access", "hex")
@@ -28,6 +28,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Kinds besides the base, in the order listed.
 MORE = {"github": (re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}"), "_"), "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), "-----BEGIN ")}
 ORDER = {kind: k for k, kind in enumerate((*BASE, *MORE))}
+#: The session's setting that names a ledger to go on with, and parts that the paths of a blob are dealt over.
+LASTING, PARTS = "spark.tracewright.secretLedger", 8
 LEDGER = "blob binary, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -82,23 +84,28 @@ def _scan(batches):
 
 
 def scan(docs: DataFrame, ledger: str) -> DataFrame:
-    """Scans what the ledger (a Parquet folder) hasn't seen under RULES, adds it there, and returns a row for each row of docs."""
+    """Scans what the ledger (a Parquet folder) hasn't seen under RULES, adds it there, and returns a row for each row of docs.
+
+    Two scans at a time may both add a blob; it counts once all the same.
+    """
     spark = docs.sparkSession
     texts = texts_of(docs)
     blobs = map_batches(texts.select("text"), _blobs, "blob binary, packed binary")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(ledger)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rules") == RULES).select("blob")
-        blobs = blobs.join(known, "blob", "left_anti")
+    seen = known(spark, ledger, LEDGER)
+    if seen is not None:
+        blobs = blobs.join(seen.where(F.col("rules") == RULES).select("blob"), "blob", "left_anti")
     map_batches(blobs.repartition("blob"), _scan, LEDGER).write.mode("append").parquet(ledger)
-    found = spark.read.schema(LEDGER).parquet(ledger).where((F.col("rules") == RULES) & (F.col("spans") != "")).drop("rules")
-    paths = texts.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"))
-    return paths.join(found, "blob", "left")
+    found = spark.read.schema(LEDGER).parquet(ledger).where((F.col("rules") == RULES) & (F.col("spans") != "")).drop("rules").dropDuplicates(["blob"])
+    # a blob may be the text of a third of all paths: they are dealt over parts, and the findings, far fewer and shorter, go to each
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    paths = texts.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"), part.alias("part"))
+    return paths.join(found, ["blob", "part"], "left").drop("part")
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), new_path(spark, "ledger"))
+    """With a ledger of this run's own, or with the one that the setting LASTING names, which later runs go on with."""
+    found = scan(table(spark, sf_dir, "documents"), spark.conf.get(LASTING, None) or new_path(spark, "ledger"))
     return found.select(
         "doc_id", *(F.coalesce(f"n_{kind}", F.lit(0).cast("long")).alias(f"n_{kind}") for kind in BASE),
         F.coalesce("base_sha256", F.lit(sha(""))).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),

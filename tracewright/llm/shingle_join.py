@@ -14,30 +14,40 @@ two steps, neither of which makes all pairs of a group of copies:
 Every link of different texts is thus found or lies inside a component already. The order of shingles only steers the
 work: it comes from counts over all documents, of which a bounded number of the largest is passed on.
 
+Shingles are compared by their hashes. Of n different shingles, some two have the same 64-bit hash with a probability of n * n / 2 ** 65:
+a chance of 3 in 100 for 10 ** 9 of them, and a wrong one changes a result only where it tips a similarity over the threshold. Keys of sets have 128 bits.
+
 Defined cases: texts without words, or null, have an empty set and stand alone; a component's id is its smallest non-null
 doc_id (null if it has none); repeated rows come back as they came; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut, discard, map_batches, table, texts_of
+from .common import change_batches, cut, discard, map_batches, table, texts_of
 
-#: Frequent shingles that are passed on to the tasks (16 bytes each), the least count in a task that is reported, and bits of the filter of wanted texts.
-FREQUENT, REPORTED, FILTER_BITS = 1 << 16, 8, 1 << 26
+#: Frequent shingles that are passed on to the tasks (16 bytes each), the least count in a task that is reported, and the least and most bits of the filter of wanted texts.
+FREQUENT, REPORTED, FILTER_BITS = 1 << 16, 8, (1 << 20, 1 << 28)
 #: Bytes of text that are hashed at once, and shingles that are counted at once.
 CHUNK, COUNTED = 1 << 20, 1 << 21
 #: Sets of an entry that the others are compared with, in each round of stars.
 CENTRES = (8, 64)
 #: Sets of an entry from which on a pair is made once, at its first such entry, and not at each.
 CROWDED = 64
+#: Members of an entry that are compared with one another in one task: larger entries are dealt into blocks of about so many, and pairs of blocks compared.
+BLOCK = 4096
+#: Components that move in a round up to which they are broadcast (32 bytes each).
+MOVED = 500_000
 #: Shingles that prefixes are longer than they must be, so that sets with a link share at least so many.
 EXTRA = 16
 U = np.uint64
@@ -57,15 +67,28 @@ STEP = 0x9E3779B97F4A7C15
 
 
 @cache
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of STEP and of its inverse, modulo 2 ** 64."""
-    inverse = pow(STEP, -1, 1 << 64)
-    out = []
-    for base in (STEP, inverse):
-        p = np.full(n, base, U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def powers(base: int) -> np.ndarray:
+    """The first TABLE powers of base, modulo 2 ** 64."""
+    p = np.full(TABLE, base, U)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+TABLE = 1 << 16
+
+
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """base to the powers at, modulo 2 ** 64, from tables of a fixed size."""
+    low = powers(base)[at & (TABLE - 1)]
+    high = at >> 16
+    if not len(at) or not high.any():
+        return low
+    steps = np.full(int(high.max()) + 1, pow(base, TABLE, 1 << 64), U)
+    steps[0] = 1
+    return low * np.multiply.accumulate(steps)[high]
+
+
+INVERSE = pow(STEP, -1, 1 << 64)
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +97,13 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     blank = SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    size = 1 << max(16, (len(raw) + 1).bit_length())
-    up, down = powers(size)
-    total = np.concatenate(([U(0)], np.cumsum(LETTER[data] * up[: len(data)])))
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U)), start
+    # LETTER times STEP ** place, summed up
+    total = np.zeros(len(data) + 1, U)
+    for at in range(0, len(data), TABLE):
+        part = data[at : at + TABLE]
+        total[at + 1 : at + 1 + len(part)] = LETTER[part] * powers(STEP)[: len(part)] * U(pow(STEP, at, 1 << 64))
+    np.cumsum(total, out=total)
+    return mix((total[end] - total[start]) * power(INVERSE, start) + (end - start).astype(U)), start
 
 
 def pieces(raw: bytes):
@@ -191,7 +217,9 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     if between.isEmpty():
         return roots
     moved = components(between)
-    over = roots.join(moved.toDF("root", "to"), "root", "left").select("key", F.coalesce("to", "root").alias("root"))
+    to = moved.toDF("root", "to")
+    # a root may hold a third of all keys: where few roots move, its keys needn't meet in one task
+    over = roots.join(F.broadcast(to) if moved.count() <= MOVED else to, "root", "left").select("key", F.coalesce("to", "root").alias("root"))
     return cut(over.union(moved), "roots")
 
 
@@ -240,18 +268,18 @@ def _index(k: int, num: int, den: int, frequent: np.ndarray, level: np.ndarray):
     return work
 
 
-def slot(doc_ids: np.ndarray) -> np.ndarray:
-    return (mix(doc_ids.astype(np.int64).view(U)) % U(FILTER_BITS)).astype(np.int64)
+def slot(doc_ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix(doc_ids.astype(np.int64).view(U)) % U(size)).astype(np.int64)
 
 
-def _wanted(k: int, bits: bytes):
+def _wanted(k: int, bits: bytes, size: int):
     def work(batches):
         have = np.unpackbits(np.frombuffer(zstandard.decompress(bits), np.uint8))
         seen, squeeze = set(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id")
             missing = ids.is_null().to_numpy(zero_copy_only=False)
-            chosen = np.flatnonzero(missing | (have[slot(ids.fill_null(0).to_numpy())] == 1))
+            chosen = np.flatnonzero(missing | (have[slot(ids.fill_null(0).to_numpy(), size)] == 1))
             texts = batch.column("text").take(chosen).to_pylist()
             keys, packed = [], []
             for text, own in zip(texts, sets_of(texts, k), strict=True):
@@ -297,8 +325,8 @@ class Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int) -> None:
         self.texts, self.k, self.num, self.den, self.spark = texts_of(docs), k, num, den, docs.sparkSession
 
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles and component_id for each row of docs."""
+    def roots(self) -> DataFrame:
+        """key, smallest doc_id and root, the smallest key of the component, of each different set."""
         k, num, den = self.k, self.num, self.den
         first = cut(map_batches(self.texts, _sets(k), "doc_id long, key binary, n long, shingle long"), "sets")
         self.rows = first.where("shingle IS NULL").select("doc_id", "key", "n")
@@ -330,11 +358,20 @@ class Join:
             pairs = cut(met.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
             roots, checked = merged(roots, self.verify(pairs)), checked.union(pairs)
             discard(*self.done, spark=self.spark)
-        ids = self.reps.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+        return self.reps.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+
+    def run(self) -> DataFrame:
+        """doc_id, n_shingles and component_id for each row of docs."""
+        ids = self.roots()
         smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         by_key = ids.join(smallest, "root").select("key", "component_id")
         return self.rows.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def firsts(self) -> DataFrame:
+        """key and doc_id of one set of each component: that with the smallest doc_id that isn't null, if any is, and then the smallest key."""
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r")
+        return self.roots().groupBy("root").agg(first).select("r.key", "r.doc_id")
+
     def mixed(self, roots: DataFrame) -> DataFrame:
         """Members of the entries, and of the groups (kind 1), that lie in more than one component r."""
         place = self.members.join(roots, "key", "left").select("g", "n", "key", F.xxhash64(F.coalesce("root", "key")).alias("r"))
@@ -358,20 +395,27 @@ class Join:
         entry that they share, where the lists of both sets give the count.
         """
         apart = (F.col("r") != F.col("r2")) & (F.col("a") > F.col("b")) & self.enough("n", "n2")
-        few = own.where((F.col("crowd") <= CROWDED) | (F.col("kind") == 1)).drop("crowd")
-        met = few.toDF("e", "kind", "n", "a", "r").join(few.toDF("e", "kind", "n2", "b", "r2"), ["e", "kind"]).where(apart)
+        few = self.dealt(own.where((F.col("crowd") <= CROWDED) | (F.col("kind") == 1)))
+        met = few.toDF("e", "kind", "n", "a", "r", "pair").join(few.toDF("e", "kind", "n2", "b", "r2", "pair"), ["e", "kind", "pair"]).where(apart)
         by_count = self.common(met).select("a", "b")
         entries = own.where("kind = 0")
         crowded = F.col("crowd") > CROWDED
         # as long as a set's prefix at most
         lists = entries.groupBy("key").agg(F.collect_list("e").alias("all"), F.collect_list(F.when(crowded, F.col("e"))).alias("many")).where(F.size("many") > 0)
-        rows = cut(entries.where(crowded).select("e", "n", "key", "r").join(lists, "key").select("e", "n", "key", "r", "all", "many"), "crowded", self.done)
-        x, y = rows.toDF("e", "n", "a", "r", "all", "many"), rows.toDF("e", "n2", "b", "r2", "all2", "many2")
+        rows = cut(self.dealt(entries.where(crowded).join(lists, "key").select("e", "n", "key", "r", "all", "many", "crowd")), "crowded", self.done)
+        x, y = rows.toDF("e", "n", "a", "r", "all", "many", "pair"), rows.toDF("e", "n2", "b", "r2", "all2", "many2", "pair")
         count = F.size(F.array_intersect("all", "all2"))
         first = F.array_min(F.array_intersect("many", "many2")) == F.col("e")
-        by_list = x.join(y, "e").where(apart & first & self.reached("n", "n2", count)).select("a", "b")
+        by_list = x.join(y, ["e", "pair"]).where(apart & first & self.reached("n", "n2", count)).select("a", "b")
         return by_count.union(by_list)
 
+    def dealt(self, own: DataFrame) -> DataFrame:
+        """own with the pairs of blocks that a row is compared in; two rows of an entry meet in exactly one. Entries of up to BLOCK rows are one block."""
+        blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
+        mine, other = F.pmod(F.xxhash64("key", F.lit(7)), blocks).cast("int"), F.col("_o")
+        spread = own.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        return spread.withColumn("pair", F.least(mine, other).cast("long") * (1 << 32) + F.greatest(mine, other)).drop("_o", "crowd")
+
     def common(self, met: DataFrame) -> DataFrame:
         # a group's own entry stands for all of its prefix
         both = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(1)).alias("common")
@@ -400,22 +444,23 @@ class Join:
         return cut(map_batches(both, _verify(self.k, self.num, self.den), "a binary, b binary, linked boolean").where("linked").select("a", "b"), "linked")
 
     def texts_for(self, need: DataFrame) -> DataFrame:
-        """key and packed text of the keys needed. A filter of fixed size passes over most other texts; the join after it is exact."""
+        """key and packed text of the keys needed. A filter of some bits a key passes over most other texts; the join after it is exact."""
         need = cut(need, "need")
+        size = min(max(FILTER_BITS[0], 1 << (8 * need.count()).bit_length()), FILTER_BITS[1])
         ids = need.join(self.reps, "key").where("doc_id IS NOT NULL").select("doc_id")
 
         def slots(batches):
             for batch in batches:
-                at = np.unique(slot(batch.column("doc_id").to_numpy()))
+                at = np.unique(slot(batch.column("doc_id").to_numpy(), size))
                 yield {"word": at >> 5, "bit": np.left_shift(1, at & 31)}
 
         words = map_batches(ids, slots, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-        have = np.zeros(FILTER_BITS, np.uint8)
+        have = np.zeros(size, np.uint8)
         word, bits = words["word"].to_numpy(), words["bits"].to_numpy()
         for j in range(32):
             have[(word[(bits >> j) & 1 == 1] << 5) + j] = 1
         packed = zstandard.compress(np.packbits(have).tobytes(), 3)
-        texts = map_batches(self.texts, _wanted(self.k, packed), "key binary, packed binary").join(need, "key", "left_semi")
+        texts = map_batches(self.texts, _wanted(self.k, packed, size), "key binary, packed binary").join(need, "key", "left_semi")
         return map_batches(texts.repartition("key"), _once, "key binary, packed binary")
 
 
@@ -424,6 +469,37 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     return Join(docs, k, num, den).run()
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component, its columns as they were: of the smallest doc_id that isn't null, of rows that repeat it the one with the smallest set and then text.
+
+    Rows belong together by their texts alone: two of one doc_id with different texts are two documents. Rows without words stay, each.
+    """
+    own, doc, nameless = (free(name, docs.columns) for name in ("_set", "_doc", "_nameless"))
+    at, names, number = docs.columns.index("text"), [f"`{c.replace('`', '``')}`" for c in docs.columns], F.col("doc_id").cast("long")
+
+    def with_key(batch):
+        keys = [key_of(x) for x in sets_of([t or "" for t in batch.column(at).to_pylist()], k)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, own])
+
+    keyed = change_batches(docs, with_key, StructType().add(own, "binary"))
+    firsts = Join(docs, k, num, den).firsts().select(F.col("key").alias(own), F.coalesce("doc_id", F.lit(-1)).alias(doc), F.col("doc_id").isNull().alias(nameless))
+    there = keyed.withColumn(doc, F.coalesce(number, F.lit(-1))).withColumn(nameless, number.isNull())
+    # by the doc_id too, so that copies of one text don't meet in one task
+    kept = there.join(firsts, [own, doc, nameless], "left_semi")
+    # maps and variants have no order
+    sortable = [n for n, f in zip(names, docs.schema.fields, strict=True) if not {"map<", "variant"} & set(re.findall("map<|variant", f.dataType.simpleString()))]
+    row = F.min_by(F.struct(*names), F.struct("text", F.xxhash64(*sortable)))
+    kept = kept.groupBy(own, doc, nameless).agg(row.alias("_row")).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    return kept.union(keyed.where(F.col(own).isNull()).select(*names))
+
+
+def free(name: str, columns: list[str]) -> str:
+    """name, made longer until it is none of columns."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def op4_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 

@@ -1,15 +1,18 @@
 """Severity of toxicity by cumulative-link ordinal regression.
 
 Features are a text's distinct words and their beginnings of 4 to 8 letters, sparse and binary. A first look at the
-labelled documents keeps the features that stand out in toxic ones beyond chance, with a group of near copies counting once;
-grades 1 to GRADES - 1 of toxic documents follow from how many words with such features they hold, 0 is clean. One vector of weights serves all ordered thresholds: P(grade > k) = sigmoid(w x - t_k). The
+labelled documents, counted by Spark, keeps the features that stand out in toxic ones beyond chance, with a group of near copies counting once.
+One vector of weights serves all ordered thresholds: P(grade > k) = sigmoid(w x - t_k). The
 result is the expected severity; a document is toxic where it reaches CUT.
 
+Grades are those of the labels, 0 for clean. Labels that only say 0 or 1 hold no order: then grades 1 to GRADES - 1 of toxic documents
+follow from how many words with such features they hold.
+
 The model is fitted on at most FIT_ROWS labelled documents, chosen by the hash of doc_id, in the folds in which crc32
 of doc_id as text, modulo 5, is not 0; the others measure it. Nothing but the text is an input of a score.
 
 Defined cases: a null text is an empty one, which is clean; a doc_id whose label rows disagree counts as its largest
-label; without toxic labels every severity is 0; repeated rows and null doc_ids come back as they came; an
+label, and of rows of documents that repeat a doc_id one is learned from; grades above GRADES - 1 count as that; without toxic or without clean labels every severity is 0; repeated rows and null doc_ids come back as they came; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -23,8 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, map_batches, table, texts_of
-from .quality import np_mask
+from .common import bounded_labels, cut, keep_batches, map_batches, table, texts_of
 
 FIT_ROWS, GRADES, CUT = 8_000, 4, 0.5
 #: A feature's share of toxic documents among those that hold it, the chance of any wrong feature, and the most features.
@@ -42,51 +44,34 @@ def beginnings(words: set[str]) -> set[str]:
     return {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n}
 
 
-def copies(sets: list[set[str]]) -> list[tuple[int, int]]:
-    """Two least hashes of each set's rarer words: near copies mostly share them."""
-    held = Counter(w for words in sets for w in words)
-    rare = max(2, len(sets) // 100)
-    hashes = {w: (zlib.crc32(w.encode()), zlib.crc32(b"2" + w.encode())) for w, c in held.items() if c <= rare}
-    own = [[hashes[w] for w in words if w in hashes] for words in sets]
-    return [(min(h[0] for h in x), min(h[1] for h in x)) if x else (-1, k) for k, x in enumerate(own)]
+def near(text: str) -> int:
+    """The least hashes, by two functions, of a text's three-word shingles: near copies mostly share them."""
+    words = text.lower().split()
+    own = [" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 2))]
+    return (min(map(zlib.crc32, own)) << 31) ^ min(zlib.crc32(b"2" + x) for x in own)
 
 
 class Severity:
-    """Weights of features and ordered thresholds; learned from sets of words and 0/1 labels."""
+    """Weights of features and ordered thresholds."""
 
-    def __init__(self, sets: list[set[str]], toxic: np.ndarray) -> None:
-        self.weights: dict[str, float] = {}
+    def __init__(self, features: list[str]) -> None:
+        self.chosen = features
+        self.weights = dict.fromkeys(features, 1.0)
         self.thresholds = np.full(GRADES - 1, 50.0)
-        if not toxic.any() or toxic.all():
-            return
-        seen, own_sets = set(), ([], [])
-        for words, t, group in zip(sets, toxic, copies(sets), strict=True):
-            if (group, t) not in seen:
-                seen.add((group, t))
-                own_sets[int(t)].append(words)
-        bad = Counter(f for words in own_sets[1] for f in words | beginnings(words))
-        n, all_toxic = len(own_sets[0]) + len(own_sets[1]), len(own_sets[1])
-        least = max(3, np.log(len(bad) / CHANCE) / max(np.log(n / all_toxic), 1e-9))
-        self.weights = {f: 1.0 for f, c in bad.items() if c >= least}
-        good = Counter(f for words in own_sets[0] for f in self.features(words))
-        chosen = sorted((f for f in self.weights if bad[f] >= PURE * (bad[f] + good[f])), key=lambda f: (-bad[f], f))[:MOST]
-        self.weights = dict.fromkeys(chosen, 1.0)
-        place = {f: k for k, f in enumerate(chosen)}
-        rows = []
-        for words, t in zip(sets, toxic, strict=True):
-            own = self.features(words)
-            marked = sum(w in place or any(w[:n] + "*" in place for n in BEGINNINGS if len(w) >= n) for w in words) if t and own else 0
-            rows.append((sorted(place[f] for f in own), 0 if not t else max(1, min(GRADES - 1, marked))))
-        self._fit(rows, len(chosen))
-        self.weights = {f: float(self.w[k]) for f, k in place.items()}
 
     def features(self, words: set[str]) -> set[str]:
         known = self.weights.keys()
         return (words & known) | (beginnings(words) & known)
 
-    def _fit(self, rows: list[tuple[list[int], int]], size: int) -> None:
-        """Gradient steps, each feature at a rate of its own, on the mean loss of all thresholds."""
-        tally = Counter((tuple(x), g) for x, g in rows)  # equal rows count together
+    def marked(self, words: set[str]) -> int:
+        """How many words are features or begin with one."""
+        known = self.weights
+        return sum(w in known or any(w[:n] + "*" in known for n in BEGINNINGS if len(w) >= n) for w in words)
+
+    def fit(self, rows: list[tuple[tuple[int, ...], int]]) -> Severity:
+        """Learns from places of features and grades: gradient steps, each feature at a rate of its own, on the mean loss of all thresholds."""
+        size = len(self.chosen)
+        tally = Counter(rows)  # equal rows count together
         kinds = sorted(tally)
         number = np.array([tally[k] for k in kinds], float) / len(rows)
         owner = np.repeat(np.arange(len(kinds)), [len(x) for x, _ in kinds])
@@ -103,7 +88,8 @@ class Severity:
             seen_w, seen_t = seen_w * 0.9 + by_w**2 * 0.1, seen_t * 0.9 + by_t**2 * 0.1
             w = np.maximum(w - 0.05 * by_w / np.sqrt(seen_w), 0)
             t = np.sort(t - 0.05 * by_t / np.sqrt(seen_t))
-        self.w, self.thresholds = w, t
+        self.weights, self.thresholds = dict(zip(self.chosen, w.tolist(), strict=True)), t
+        return self
 
     def above(self, texts: list[str]) -> np.ndarray:
         """P(grade > k) for each text and threshold."""
@@ -112,19 +98,63 @@ class Severity:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - s.reshape(-1, 1), -50, 50)))
 
 
-def _rows(batches):
+def _looks(batches):
     for batch in batches:
-        yield {"label": batch.column("label"), "words": [" ".join(sorted(words_of(t))) for t in batch.column("text").to_pylist()]}
+        texts = batch.column("text").to_pylist()
+        yield {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "near": [near(t) for t in texts], "words": [" ".join(sorted(words_of(t))) for t in texts]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Severity:
-    """The model of a bounded sample of labelled rows in the training folds."""
+def _counts(batches):
+    """Documents of a task that hold each feature, clean and toxic ones; given out now and then, so that they stay few."""
+    held: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def rows(one: int) -> dict:
+        found = held[one]
+        return {"feature": list(found), "toxic": [one] * len(found), "n": list(found.values())}
+
+    for batch in batches:
+        for words, label in zip(batch.column("words").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            own = set(words.split())
+            held[int(label > 0)].update(own | beginnings(own))
+        for one in (0, 1):
+            if len(held[one]) > 200_000:
+                yield rows(one)
+                held[one].clear()
+    yield rows(0)
+    yield rows(1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str = "toxic") -> Severity:
+    """The model of a bounded sample of labelled documents in the training folds; the driver gets at most MOST features, and for each document its places among them."""
     inside = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    chosen = bounded_labels(inside, "toxic", rows)
+    chosen = bounded_labels(inside, column, rows)
     # at most `rows` rows of 12 bytes
     own = texts_of(docs).join(F.broadcast(chosen), "doc_id")
-    got = map_batches(own.select("label", "text"), _rows, "label int, words string").toArrow()
-    return Severity([set(x.split()) for x in got["words"].to_pylist()], got["label"].to_numpy())
+    looks = map_batches(own.select("doc_id", "label", "text"), _looks, "doc_id long, label int, near long, words string")
+    looks = cut(looks.groupBy("doc_id").agg(F.min(F.struct("label", "near", "words")).alias("r")).select("r.*"), "looks")
+    # near copies count once
+    once = looks.groupBy("near", (F.col("label") > 0).alias("toxic")).agg(F.min("words").alias("words"), F.max("label").alias("label"))
+    found = map_batches(once.select("label", "words"), _counts, "feature string, toxic int, n long")
+    found = cut(found.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("all")).where("bad > 0"), "features")
+    sizes = once.agg(F.count("*").alias("n"), F.count_if("toxic").alias("bad"), F.max("label").alias("top")).first()
+    if not sizes["bad"] or sizes["bad"] == sizes["n"]:
+        return Severity([])
+    chance = np.log(max(1.0, found.count() / CHANCE)) / np.log(sizes["n"] / sizes["bad"])
+    best = found.where((F.col("bad") >= float(max(3.0, chance))) & (F.col("bad") >= PURE * F.col("all"))).orderBy(F.desc("bad"), "feature").limit(MOST)
+    model = Severity(best.toArrow()["feature"].to_pylist())
+    place, ordered = {f: k for k, f in enumerate(model.chosen)}, sizes["top"] > 1
+
+    def places(batches):
+        for batch in batches:
+            at, grades = [], []
+            for words, label in zip(batch.column("words").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                own = set(words.split())
+                at.append(sorted(place[f] for f in model.features(own)))
+                grades.append(min(max(label, 0), GRADES - 1) if ordered or label <= 0 else max(1, min(GRADES - 1, model.marked(own))))
+            yield {"at": at, "grade": grades}
+
+    got = map_batches(looks.select("label", "words"), places, "at array<int>, grade int").toArrow()
+    return model.fit([(tuple(x), g) for x, g in zip(got["at"].to_pylist(), got["grade"].to_pylist(), strict=True)])
 
 
 def score(docs: DataFrame, model: Severity) -> DataFrame:
@@ -143,13 +173,7 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
 
 def keep(docs: DataFrame, model: Severity) -> DataFrame:
     """The rows of docs that aren't toxic, with their columns; a null text is clean."""
-    at = docs.columns.index("text")
-
-    def work(batches):
-        for batch in batches:
-            yield batch.filter(np_mask(model.above([t or "" for t in batch.column(at).to_pylist()]).sum(1) < CUT))
-
-    return docs.mapInArrow(work, docs.schema)
+    return keep_batches(docs, lambda texts: model.above(texts).sum(1) < CUT)
 
 
 def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
