@@ -7,7 +7,6 @@ the columns of docs. A stage's defined cases are those of the operator it calls;
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracewright.llm import packing, pii, quality, shingle_join, toxicity
 from tracewright.llm.common import cut, table
@@ -24,16 +23,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by five-word shingles and a similarity of 0.8: the one with the smallest
-    doc_id, of rows that repeat a doc_id the one with the smallest text. Documents without words or without a doc_id stay."""
-    found = shingle_join.linked_components(docs, 5, 80, 100)
-    first = found.where("n_shingles > 0 AND component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    no_words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "") == ""
-    nameless = F.col("doc_id").isNull()
-    named = docs.where(~no_words & ~nameless).join(first, "doc_id", "left_semi").select(*docs.columns)
-    named = named.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("row"))
-    named = named.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns))
-    return named.union(docs.where(no_words | nameless))
+    """One document of each group of near duplicates, by five-word shingles and a similarity of 0.8. Documents without words stay."""
+    return shingle_join.one_of_each(docs, 5, 80, 100)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
