@@ -5,8 +5,8 @@ their own; the others are dealt to partitions of bounded size and packed there b
 feasible functions bound from below how many sequences a partition needs: where the packing meets the bound it
 is certified, and gives away its emptiest sequence alone. Partitions with a gap keep their full sequences and exchange the others, whole, with
 one another; best-fit decreasing runs again on what came together and its result is taken where it needs
-fewer sequences than the ones that came. This ends when the sequences are as few as the bound of all pieces together, when one partition is left, or
-when a round has saved none.
+fewer sequences than the ones that came. Where that has ended and there are still more sequences than the bound of all pieces together asks for, certified partitions
+give away all sequences that aren't full, and the exchange goes on. It ends when the bound is met, one partition is left, or a round has closed less than GAIN of the gap.
 
 Defined cases: a null or empty text is the one piece of the closing id; repeated rows and null doc_ids are
 packed as rows of their own; an empty table gives no rows; other columns are ignored.
@@ -30,8 +30,8 @@ from .common import cut, map_batches, table, texts_of
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE = 2048
-#: Pieces that one task packs.
-IN_TASK = 50_000
+#: Pieces that one task packs, and the part of the gap to the bound that a round must close for another one to follow.
+IN_TASK, GAIN = 50_000, 0.01
 END = b"\0\0\0\0"
 
 
@@ -129,14 +129,14 @@ def best_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, places
 
 
-COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean"
+COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean, filled boolean"
 KEPT = ("doc_id", "piece", "start", "length", "ids_crc32")
 
 
 def pack(found: DataFrame, sequence: int = SEQUENCE, in_task: int = IN_TASK) -> DataFrame:
     """found (as pieces() gives it) with sequence_id and offset. Ids of full pieces are even, the others odd."""
 
-    def packed(turn: int):
+    def packed(turn: int, certified_rest: bool):
         def work(batches):
             from pyspark import TaskContext
 
@@ -154,15 +154,16 @@ def pack(found: DataFrame, sequence: int = SEQUENCE, in_task: int = IN_TASK) ->
                     bins, places, used = ((turn << 52) + (TaskContext.get().partitionId() << 26) + again) * 2 + 1, at, n
             _, where = np.unique(bins, return_inverse=True)
             filled = np.bincount(where, lengths)
-            final = filled == sequence
-            if used <= least:
+            full = filled == sequence
+            final = full.copy()
+            if used <= least and certified_rest:
                 final[:] = True
-                final[filled.argmin()] = filled.min() == sequence
-            final = final[where]
+                final[filled.argmin()] = full.all()
+            final, full = final[where], full[where]
             first = 0
             for b in held:
                 rows = slice(first, first := first + b.num_rows)
-                yield {name: b.column(name) for name in KEPT} | {"sequence_id": bins[rows], "offset": places[rows], "final": final[rows]}
+                yield {name: b.column(name) for name in KEPT} | {"sequence_id": bins[rows], "offset": places[rows], "final": final[rows], "filled": full[rows]}
 
         return work
 
@@ -170,28 +171,41 @@ def pack(found: DataFrame, sequence: int = SEQUENCE, in_task: int = IN_TASK) ->
     by_length = found.groupBy("length").agg(F.count("*").alias("n")).collect()
     counts = np.zeros(sequence + 1, np.int64)
     counts[[r["length"] for r in by_length]] = [r["n"] for r in by_length]
-    whole = found.where(F.col("length") == sequence).select(*KEPT, (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    done, rest = [whole], found.where(F.col("length") < sequence).select(*KEPT, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    least, left, tasks, turn = bound_of_counts(counts, sequence) - int(counts[sequence]), int(counts[:sequence].sum()), 0, 0
-    settled, open_before = 0, None
-    while left:
-        # what is left after a turn is dealt to fewer tasks where it fits, and otherwise each time, so that other sequences meet
-        tasks = -(-left // in_task)
-        dealt = rest.repartition(tasks) if not turn else rest.repartition(tasks, F.xxhash64("sequence_id", F.lit(turn)))
-        out = cut(map_batches(dealt, packed(turn), COLUMNS), f"packed{turn}")
-        # each sequence has one piece at its start
-        starts = F.col("offset") == 0
-        now = out.agg(F.count_if(~F.col("final")).alias("left"), F.count_if(starts & F.col("final")).alias("final"), F.count_if(starts & ~F.col("final")).alias("open")).first()
-        done.append(out.where("final").drop("final"))
-        rest, left, turn = out.where(~F.col("final")).drop("final"), now["left"], turn + 1
-        saved = open_before is None or now["final"] + now["open"] < open_before
-        settled, open_before = settled + now["final"], now["open"]
-        if tasks == 1 or not saved or settled + now["open"] <= least:
+    zero = F.lit(0).cast("long")
+    done = [found.where(F.col("length") == sequence).select(*KEPT, (F.monotonically_increasing_id() * 2).alias("sequence_id"), zero.alias("offset"))]
+    rest = found.where(F.col("length") < sequence).select(*KEPT, zero.alias("sequence_id"), zero.alias("offset"))
+    # sequences that are needed and there, besides those of full pieces
+    least, used, turn = bound_of_counts(counts, sequence) - int(counts[sequence]), None, 0
+    left, settled = int(counts[:sequence].sum()), 0
+    for certified_rest in (True, False):
+        while left:
+            # what is left after a turn is dealt to fewer tasks where it fits, and otherwise each time, so that other sequences meet
+            tasks = -(-left // in_task)
+            dealt = rest.repartition(tasks) if not turn else rest.repartition(tasks, F.xxhash64("sequence_id", F.lit(turn)))
+            out = cut(map_batches(dealt, packed(turn, certified_rest), COLUMNS), f"packed{turn}")
+            # each sequence has one piece at its start
+            starts = F.col("offset") == 0
+            now = out.agg(F.count_if(~F.col("final")).alias("left"), F.count_if(starts & F.col("final")).alias("final"), F.count_if(starts & ~F.col("final")).alias("open")).first()
+            done.append(out.where("final").drop("final"))
+            rest, left, turn, settled = out.where(~F.col("final")).drop("final"), now["left"], turn + 1, settled + now["final"]
+            before, used = used, settled + now["open"]
+            if tasks == 1 or used <= least or (before is not None and before - used <= GAIN * (before - least)):
+                break
+        if used is None or used <= least or turn == 1 and tasks == 1:
             break
+        if certified_rest:
+            # sequences of certified partitions that aren't full
+            opened = [d.where(~F.col("filled")) for d in done[1:]]
+            for d in opened:
+                rest = rest.unionByName(d)
+            done = [done[0], *(d.where("filled") for d in done[1:])]
+            counted = rest.agg(F.count("*").alias("left"), F.count_if(F.col("offset") == 0).alias("open")).first()
+            left, settled = counted["left"], used - counted["open"]
     done.append(rest)
+    columns = [*KEPT, "sequence_id", "offset"]
     result = done[0]
     for more in done[1:]:
-        result = result.unionByName(more)
+        result = result.unionByName(more.select(*columns))
     return result
 
 

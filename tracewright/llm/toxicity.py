@@ -12,7 +12,7 @@ The model is fitted on at most FIT_ROWS labelled documents, chosen by the hash o
 of doc_id as text, modulo 5, is not 0; the others measure it. Nothing but the text is an input of a score.
 
 Defined cases: a null text is an empty one, which is clean; a doc_id whose label rows disagree counts as its largest
-label, and of rows of documents that repeat a doc_id one is learned from; grades above GRADES - 1 count as that; without toxic or without clean labels every severity is 0; repeated rows and null doc_ids come back as they came; an
+label, and of rows of documents that repeat a doc_id one is learned from; grades above GRADES - 1 count as that; without toxic or without clean labels, or where no feature stands out, every severity is 0; repeated rows and null doc_ids come back as they came; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -142,6 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str =
     chance = np.log(max(1.0, found.count() / CHANCE)) / np.log(sizes["n"] / sizes["bad"])
     best = found.where((F.col("bad") >= float(max(3.0, chance))) & (F.col("bad") >= PURE * F.col("all"))).orderBy(F.desc("bad"), "feature").limit(MOST)
     model = Severity(best.toArrow()["feature"].to_pylist())
+    if not model.chosen:
+        return model
     place, ordered = {f: k for k, f in enumerate(model.chosen)}, sizes["top"] > 1
 
     def places(batches):
