@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,27 @@ WRAPPERS = ("nohup", "setsid", "exec", "env", "sudo", "nice", "ionice", "stdbuf"
 DOWNLOADERS = ("curl", "wget", "fetch")
 SPAWNING = ("pty", "subprocess", "dup2", "/bin/sh", "/bin/bash", "exec", "spawn", "sh -i")
 
+#: What stands between the words of a command, and what a word is made of.
+GAP = r"[\s'\"(){}`|;&<>]"
+LETTER = r"[^\s'\"(){}`|;&<>]"
+FIRST, LAST = f"(?:^|(?<={GAP}))", f"(?=$|{GAP})"
+
+
+def either(*texts: str) -> str:
+    return "(?:" + "|".join(map(re.escape, texts)) + ")"
+
+
+def program(*names: str, begun: bool = False) -> str:
+    """A word that is one of the programs, with or without its folder; begun: or begins as one does."""
+    return f"{FIRST}(?:{LETTER}*/)?{either(*names)}{f'[^/\\s\'\"(){{}}`|;&<>]*' if begun else ''}{LAST}"
+
+
+ANY_SHELL, ANY_NETCAT, ANY_INTERPRETER = program(*SHELLS), program(*NETCATS), program(*INTERPRETERS, begun=True)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    return text.rlike(f"(?s){pattern}")
+
 
 def tail(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -21,17 +45,11 @@ def tail(path: Column) -> Column:
 
 def has(text: Column, *parts: str) -> Column:
     """Whether text contains any of the parts."""
-    out = text.contains(parts[0])
-    for p in parts[1:]:
-        out = out | text.contains(p)
-    return out
+    return matches(text, either(*parts))
 
 
 def begins(text: Column, *heads: str) -> Column:
-    out = text.startswith(heads[0])
-    for h in heads[1:]:
-        out = out | text.startswith(h)
-    return out
+    return matches(text, "^" + either(*heads))
 
 
 def is_shell(name: Column) -> Column:
@@ -46,55 +64,62 @@ def in_open_dir(path: Column) -> Column:
     return begins(path, *OPEN_DIRS)
 
 
-def tokens(command: Column) -> Column:
-    """Words of a command without quotes, brackets, pipes and redirections."""
-    return F.filter(F.split(command, r"[\s'\"(){}`|;&<>]+"), lambda t: t != "")
+#: Words that stand before the program that a part of a command line runs: wrappers and shells, options, assignments.
+BEFORE = f"(?:{program(*WRAPPERS, *SHELLS)}|{FIRST}-{LETTER}*{LAST}|{FIRST}(?!/){LETTER}*={LETTER}*{LAST})"
 
 
 def executed(command: Column) -> Column:
     """The program that each part of a command line runs, behind wrappers, options and assignments."""
-
-    def program(t: Column) -> Column:
-        return ~(tail(t).isin(*WRAPPERS, *SHELLS) | t.startswith("-") | (t.contains("=") & ~t.startswith("/")))
-
-    return F.array_compact(F.transform(F.split(command, "[;&|\n]"), lambda part: F.get(F.filter(tokens(part), program), F.lit(0))))
+    first = lambda part: F.regexp_extract(part, f"(?s)^{GAP}*(?:{BEFORE}{GAP}+)*+({LETTER}+)", 1)
+    behind = lambda part: F.regexp_replace(part, f"(?s)^{GAP}*(?:{BEFORE}(?:{GAP}+|$))+", "")
+    return F.filter(F.transform(F.split(command, "[;&|\n]"), lambda part: first(behind(part))), lambda p: p != "")
 
 
 def runs_from_open_dir(command: Column) -> Column:
     return F.exists(executed(command), in_open_dir)
 
 
+#: A download, a pipe behind it, and a shell or an interpreter as the first program behind that or a later pipe.
+PIPED = f"{program(*DOWNLOADERS)}.*\\|{GAP}*(?:(?:{program('sudo', 'env')}|{FIRST}-{LETTER}*{LAST}){GAP}+)*(?:{ANY_SHELL}|{ANY_INTERPRETER})"
+
+
 def pipes_download(command: Column) -> Column:
     """Whether a download is piped, at once or later on, into a shell or an interpreter."""
+    return matches(command, PIPED)
+
+
+@dataclass(frozen=True)
+class Family:
+    """Reverse shells of one kind: patterns that a command has, all of them, and those of programs that may run it, any of them."""
+
+    name: str
+    signs: tuple[str, ...]
+    actors: tuple[str, ...]
 
-    def part(p: Column) -> Column:
-        first = F.get(F.filter(tokens(p), lambda t: ~(tail(t).isin("sudo", "env") | t.startswith("-"))), F.lit(0))
-        return F.struct(F.exists(tokens(p), lambda t: tail(t).isin(*DOWNLOADERS)).alias("loads"), F.coalesce(is_shell(first) | is_interpreter(first), F.lit(False)).alias("runs"))
 
-    parts = F.transform(F.split(command, r"\|"), part)
-    at = F.array_position(F.transform(parts, lambda p: p["loads"]), F.lit(True))
-    return (at > 0) & F.exists(F.slice(parts, at.cast("int") + 1, F.size(parts)), lambda p: p["runs"])
+FAMILIES = (
+    Family("device", (either("/dev/tcp/", "/dev/udp/"),), (ANY_SHELL,)),
+    Family("netcat", (f"{ANY_NETCAT}.*{FIRST}(?:{either('--exec', '--sh-exec', '--lua-exec')}|-(?!-){LETTER}*[ec]{LETTER}*){LAST}",), (ANY_NETCAT, ANY_SHELL)),
+    Family("fifo", (ANY_NETCAT, either("mkfifo", "mknod")), (ANY_SHELL,)),
+    Family("interpreter", (ANY_INTERPRETER, either("socket", "fsockopen"), either(*SPAWNING)), (ANY_INTERPRETER, ANY_SHELL)),
+    Family("socat", (program("socat"), either("exec:", "system:"), either("tcp", "udp", "ssl")), (program("socat"), ANY_SHELL)),
+)
 
 
 def reverse_shell(command: Column, actor: Column | None = None) -> Column:
-    """The family of a reverse shell: device, netcat, fifo, interpreter or socat; null if it is none.
+    """The name of the first family that a command is of; null if it is of none.
 
     command and actor are in lower case. With an actor, it must be a program that runs commands of that family.
     """
-    by = lambda p: F.lit(True) if actor is None else F.coalesce(p(actor), F.lit(False))
-    words = tokens(command)
-    at = F.coalesce(F.array_position(F.transform(words, lambda t: tail(t).isin(*NETCATS)), F.lit(True)), F.lit(0)).cast("int")
-    after = F.slice(words, at + 1, F.size(words))
-    flagged = F.exists(after, lambda t: t.isin("--exec", "--sh-exec", "--lua-exec") | (t.startswith("-") & ~t.startswith("--") & has(t, "e", "c")))
-    any_interpreter, any_socat = F.exists(words, is_interpreter), F.exists(words, lambda t: tail(t) == "socat")
-    return (
-        F.when(has(command, "/dev/tcp/", "/dev/udp/") & by(is_shell), "device")
-        .when((at > 0) & flagged & by(lambda a: tail(a).isin(*NETCATS) | is_shell(a)), "netcat")
-        .when((at > 0) & has(command, "mkfifo", "mknod") & by(is_shell), "fifo")
-        .when(any_interpreter & command.contains("socket") & has(command, *SPAWNING) & by(lambda a: is_interpreter(a) | is_shell(a)), "interpreter")
-        .when(any_interpreter & command.contains("fsockopen") & has(command, *SPAWNING) & by(lambda a: is_interpreter(a) | is_shell(a)), "interpreter")
-        .when(any_socat & has(command, "exec:", "system:") & has(command, "tcp", "udp", "ssl") & by(lambda a: (tail(a) == "socat") | is_shell(a)), "socat")
-    )
+    found = []
+    for family in FAMILIES:
+        holds = F.lit(True)
+        for sign in family.signs:
+            holds = holds & matches(command, sign)
+        if actor is not None:
+            holds = holds & F.coalesce(matches(tail(actor), "^(?:" + "|".join(family.actors) + ")$"), F.lit(False))
+        found.append(F.when(holds, family.name))
+    return F.coalesce(*found)
 
 
 def is_external(ip: Column) -> Column:
