@@ -47,11 +47,15 @@ def test_each_rule(spark):
 ORDERS = [
     (versions.debian_key, ["1.0~rc1", "1.0", "1.0-1", "1.0-1+b1", "1.0a", "1.0+dfsg", "1.0.1", "1.2", "1.10", "1:0.5"]),
     (versions.rpm_key, ["1.0~rc1", "1.0", "1.0-1", "1.0-2", "1.0^git1", "1.0.a", "1.0.1", "1.2", "1.10", "2:0.1"]),
+    (versions.maven_key, ["1.0-alpha-1", "1.0-beta", "1.0-milestone-2", "1.0-rc1", "1.0-SNAPSHOT", "1.0", "1.0-sp", "1.0-xyz", "1.0.1", "1.2", "1.10"]),
+    (versions.composer_key, ["1.0-dev", "1.0-alpha2", "1.0-beta1", "v1.0-RC1", "1.0", "1.0-patch1", "1.0.1", "1.2", "1.10"]),
+    (versions.gem_key, ["1.0.a", "1.0.b1", "1.0.rc1", "1.0", "1.0.1.pre", "1.0.1", "1.2", "1.10"]),
+    (versions.nuget_key, ["1.0.0-alpha", "1.0.0-Beta.2", "1.0.0-beta.11", "1.0.0", "1.0.0.1", "1.0.1", "1.2", "1.10"]),
     (versions.python_key, ["1.0.dev1", "1.0a1", "1.0b2", "1.0rc1", "1.0", "1.0.post1", "1.1.dev3", "1.1", "1.10", "1!0.1"]),
 ]
 
 
-@pytest.mark.parametrize(("key", "order"), ORDERS, ids=["debian", "rpm", "python"])
+@pytest.mark.parametrize(("key", "order"), ORDERS, ids=["debian", "rpm", "maven", "composer", "gem", "nuget", "python"])
 def test_orders_of_versions(spark, key, order):
     df = spark.createDataFrame(list(itertools.product(enumerate(order), repeat=2)), "a struct<i:int,v:string>, b struct<i:int,v:string>")
     wrong = df.where((key(F.col("a.v")) < key(F.col("b.v"))) != (F.col("a.i") < F.col("b.i"))).collect()

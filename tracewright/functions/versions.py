@@ -81,8 +81,58 @@ def python_key(version: Column) -> Column:
     return F.when(v.rlike(PEP440), key)
 
 
+def _by_parts(text: Column, ranks: dict[str, int], end: int, other: int, number: int) -> Column:
+    """Numbers and words of a version in order, each with a rank; end is that of where a version stops, so that words below it come before a release and numbers behind it."""
+    none = _number(F.lit(""))
+
+    def one(part: Column) -> Column:
+        digits = part.rlike("^[0-9]")
+        rank = F.lit(other)
+        for name, r in ranks.items():
+            rank = F.when(part == name, r).otherwise(rank)
+        text_too = F.when(digits | part.isin(*ranks), "").otherwise(part)
+        return F.struct(F.when(digits, number).otherwise(rank).alias("rank"), F.when(digits, _number(part)).otherwise(none).alias("n"), text_too.alias("t"))
+
+    # zeros at the end of a row of numbers are as good as none
+    bare = F.regexp_replace(text, r"([.-]0+)+(?=$|[.-]?[a-z+])", "")
+    found = F.regexp_extract_all(bare, F.lit("([0-9]+|[a-z]+)"), F.lit(1))
+    return F.concat(F.transform(found, one), F.array(F.struct(F.lit(end).alias("rank"), none.alias("n"), F.lit("").alias("t"))))
+
+
+#: Words of versions in the order in which Maven and Composer sort them.
+MAVEN = {"alpha": 0, "a": 0, "beta": 1, "b": 1, "milestone": 2, "m": 2, "rc": 3, "cr": 3, "snapshot": 4, "ga": 5, "final": 5, "release": 5, "sp": 6}
+COMPOSER = {"dev": 0, "alpha": 1, "a": 1, "beta": 2, "b": 2, "rc": 3, "patch": 6, "pl": 6, "p": 6}
+
+
+def maven_key(version: Column) -> Column:
+    """Maven's order: alpha, beta, milestone, candidate, snapshot, release, service pack, other words, numbers."""
+    v = F.lower(F.trim(version))
+    plain = F.regexp_replace(v, "[.-]?(ga|final|release)$", "")
+    return F.when(v.rlike("^[0-9a-z]"), _by_parts(plain, MAVEN, 5, 7, 8))
+
+
+def composer_key(version: Column) -> Column:
+    """Composer's order: development, alpha, beta, candidate, stable, patch; a leading v and build marks don't count."""
+    v = F.regexp_replace(F.regexp_replace(F.lower(F.trim(version)), r"\+.*$", ""), "^v(?=[0-9])", "")
+    return F.when(v.rlike("^[0-9]"), _by_parts(F.regexp_replace(v, "[-_.]?stable$", ""), COMPOSER, 5, 0, 8))
+
+
+def gem_key(version: Column) -> Column:
+    """RubyGems' order: a part with letters makes a version an earlier one, further numbers a later one."""
+    v = F.lower(F.trim(version))
+    return F.when(v.rlike(r"^[0-9]+(\.[0-9a-z]+)*(-[0-9a-z.-]+)?$"), _by_parts(F.regexp_replace(v, "-", ".pre."), {}, 1, 0, 2))
+
+
+def nuget_key(version: Column) -> Column:
+    """NuGet's order: up to four numbers, then labels as semantic versions have them, without regard to case."""
+    v = F.regexp_replace(F.lower(F.trim(version)), r"\+.*$", "")
+    fourth = F.coalesce(F.regexp_extract(v, r"^v?\d+\.\d+\.\d+\.(\d+)", 1).try_cast("long"), F.lit(0))
+    own = semver_key(v)
+    return F.when(own.isNotNull(), F.struct(own["n0"].alias("n0"), own["n1"].alias("n1"), own["n2"].alias("n2"), fourth.alias("n3"), own["release"].alias("release"), own["labels"].alias("labels")))
+
+
 #: The order of each ecosystem; others are ordered as semantic versions.
-KEYS = {"Debian": debian_key, "Ubuntu": debian_key, "Red Hat": rpm_key, "AlmaLinux": rpm_key, "Rocky Linux": rpm_key, "SUSE": rpm_key, "PyPI": python_key, "Windows": windows_key}
+KEYS = {"Debian": debian_key, "Ubuntu": debian_key, "Red Hat": rpm_key, "AlmaLinux": rpm_key, "Rocky Linux": rpm_key, "SUSE": rpm_key, "PyPI": python_key, "Maven": maven_key, "Packagist": composer_key, "RubyGems": gem_key, "NuGet": nuget_key, "Windows": windows_key}
 
 
 def key(version: Column, ecosystem: str) -> Column:

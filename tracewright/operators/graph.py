@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,18 +23,29 @@ def layer(nodes_: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:
     return edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """id and component, the smallest id that its edges (src, dst) reach. Stars are contracted until nothing changes; lineage is cut each round."""
-    e = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that the driver and all executors share; a temporary folder only where everything runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="shared")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once and read again, so that neither a lost executor nor a second use computes it anew."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id and component, the smallest id that its edges (src, dst) reach. Stars are contracted until nothing changes; each round is written."""
+    e = kept(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     alone = e.where("a = b").select("a")
     e = e.where("a > b")
-    spark = edges.sparkSession
-    if checkpoint and not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
-    elif checkpoint and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     before = None
     while True:
         both = e.union(e.select("b", "a"))
@@ -39,7 +53,7 @@ def components(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         e = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
-        e = e.checkpoint() if checkpoint else e
+        e = kept(e)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -28,3 +28,36 @@ def chain(rows: DataFrame, key: str, sequence: str, own: Column, first: int = 0)
 def first_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def broken_links(rows: DataFrame, key: str, sequence: str, payload: str, previous: str, digest: str, first: int = 0, genesis: str = "GENESIS") -> DataFrame:
+    """The rows of stored chains that don't hold, and why: a number that isn't the next one, a previous digest that isn't that of the row before, or a digest
+    that isn't the one of the previous digest and the payload."""
+    by = Window.partitionBy(key).orderBy(sequence)
+    again = F.sha2(F.concat_ws("|", F.col(previous), F.col(payload)), 256)
+    own = rows.withColumn("_before", F.coalesce(F.lag(digest).over(by), F.lit(genesis))).withColumn("_next", F.row_number().over(by) - 1 + first)
+    why = F.when(F.col(sequence) != F.col("_next"), "sequence").when(~F.col(previous).eqNullSafe(F.col("_before")), "previous").when(~F.col(digest).eqNullSafe(again), "digest")
+    return own.withColumn("issue", why).where("issue IS NOT NULL").select(key, sequence, "issue")
+
+
+def only_appended(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a table that is only ever appended to which are gone or changed now; empty if there are none."""
+    fields = [c for c in before.columns if c not in keys]
+    own = lambda df, name: df.select(*keys, F.xxhash64(*fields).alias(name))
+    met = own(before, "_was").join(own(now, "_is"), keys, "left")
+    return met.where("_is IS NULL OR _is <> _was").select(*keys, F.when(F.col("_is").isNull(), "gone").otherwise("changed").alias("issue"))
+
+
+def uploads(chunks: DataFrame, limit: int) -> DataFrame:
+    """The state of each upload (upload_id, arrival, start, size, total): bytes taken in order, and whether it is complete, open, or was refused and why.
+
+    A chunk is taken where it begins at the end of what is there; the first one that doesn't, or that goes over the limit or the total, ends the upload.
+    """
+    by = Window.partitionBy("upload_id").orderBy("arrival")
+    own = chunks.withColumn("_end", F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    why = F.when(F.col("start") != F.col("_end"), "offset").when(F.col("_end") + F.col("size") > F.least(F.lit(limit), F.col("total")), "size")
+    own = own.withColumn("_bad", why)
+    own = own.withColumn("_stopped", F.max(F.col("_bad").isNotNull()).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    first_bad = F.min_by("_bad", F.when(F.col("_bad").isNotNull(), F.col("arrival"))).alias("refused")
+    out = own.groupBy("upload_id").agg(F.sum(F.when(~F.col("_stopped"), F.col("size")).otherwise(0)).alias("bytes"), F.max("total").alias("total"), first_bad)
+    return out.select("upload_id", "bytes", F.when(F.col("refused").isNotNull(), F.concat(F.lit("refused: "), "refused")).when(F.col("bytes") == F.col("total"), "complete").otherwise("open").alias("state"))

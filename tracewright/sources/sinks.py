@@ -1,13 +1,15 @@
 """Tables that are written: appended, inserted if absent, replaced by key or by partition.
 
-A Table is a folder of versions and a pointer to the current one. A version is complete before the pointer names it, so that a job that
-is lost changes nothing, and readers of the version before keep theirs.
+A Table is a folder of versions, each named by its number, of parts, and of pointers: the one with the largest number names the parts of the current version. A part is complete
+before a pointer names it, and a pointer is written whole or not at all by Spark's own commit of a job, so that a job that
+is lost changes nothing, and readers of the version before keep theirs, also while rows are appended. Of two writers at a time the second one fails and may try again.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,33 +17,42 @@ from pyspark.sql import functions as F
 class Table:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self.pointer = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        self.fs = self.pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def path(self) -> str | None:
-        """Folder of the current version."""
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if self.fs.exists(self.pointer) else None
+    def pointer(self) -> tuple[int, list[str]]:
+        """Number of the current version, 0 if there is none, and its parts."""
+        try:
+            rows = self.spark.read.schema("part string, version long").parquet(f"{self.root}/versions/*")
+            top = rows.agg(F.max("version")).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            top = None
+        return (0, []) if top is None else (top, [r[0] for r in rows.where(F.col("version") == top).orderBy("part").collect()])
 
     def read(self) -> DataFrame | None:
-        path = self.path()
-        return None if path is None else self.spark.read.parquet(path)
+        parts = self.pointer()[1]
+        return self.spark.read.parquet(*parts) if parts else None
+
+    def _point(self, version: int, parts: list[str]) -> None:
+        # a version that another writer has made already isn't overwritten
+        self.spark.createDataFrame([(p, version) for p in parts], "part string, version long").coalesce(1).write.mode("error").parquet(f"{self.root}/versions/{version:012d}")
+
+    def _write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
+        path = f"{self.root}/parts/{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(path)
+        return path
 
     def replace(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """A new version that holds df alone."""
-        path = f"{self.root}/v-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(path)
-        out = self.fs.create(self.pointer, True)
-        out.write(bytearray(path.encode()))
-        out.close()
+        version, _ = self.pointer()
+        path = self._write(df, partition_by)
+        self._point(version + 1, [path])
         return self.spark.read.parquet(path)
 
     def append(self, df: DataFrame) -> None:
-        path = self.path()
-        if path is None:
-            self.replace(df)
-        else:
-            df.write.mode("append").parquet(path)
+        """A new version with the rows of the current one and those of df."""
+        version, parts = self.pointer()
+        self._point(version + 1, [*parts, self._write(df)])
 
     def insert_absent(self, df: DataFrame, keys: list[str], order: list[str]) -> None:
         """Adds the first row by order of each key that the table lacks; null keys equal each other."""
