@@ -48,10 +48,16 @@ def cut(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
 
 
 def discard(*paths: str, spark: SparkSession) -> None:
-    """Empties what was cut and isn't needed any more, and drops what Python holds of it, so that Spark cleans its shuffle files."""
+    """Empties what was cut and isn't needed any more, and has Spark clean the shuffle files that nothing refers to, which it does when the JVM has looked for that.
+
+    A join of many rounds would else keep the files of all of them on disk until the driver's memory is short.
+    """
     for p in paths:
         spark.range(0).write.mode("overwrite").parquet(p)
     gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def known(spark: SparkSession, path: str, schema: str) -> DataFrame | None:

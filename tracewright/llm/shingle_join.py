@@ -274,12 +274,13 @@ def slot(doc_ids: np.ndarray, size: int) -> np.ndarray:
 
 def _wanted(k: int, bits: bytes, size: int):
     def work(batches):
-        have = np.unpackbits(np.frombuffer(zstandard.decompress(bits), np.uint8))
+        have = np.frombuffer(zstandard.decompress(bits), np.uint8)
         seen, squeeze = set(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id")
             missing = ids.is_null().to_numpy(zero_copy_only=False)
-            chosen = np.flatnonzero(missing | (have[slot(ids.fill_null(0).to_numpy(), size)] == 1))
+            at = slot(ids.fill_null(0).to_numpy(), size)
+            chosen = np.flatnonzero(missing | ((have[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             texts = batch.column("text").take(chosen).to_pylist()
             keys, packed = [], []
             for text, own in zip(texts, sets_of(texts, k), strict=True):
@@ -446,7 +447,7 @@ class Join:
     def texts_for(self, need: DataFrame) -> DataFrame:
         """key and packed text of the keys needed. A filter of some bits a key passes over most other texts; the join after it is exact."""
         need = cut(need, "need")
-        size = min(max(FILTER_BITS[0], 1 << (8 * need.count()).bit_length()), FILTER_BITS[1])
+        size = min(max(FILTER_BITS[0], 1 << (64 * need.count()).bit_length()), FILTER_BITS[1])
         ids = need.join(self.reps, "key").where("doc_id IS NOT NULL").select("doc_id")
 
         def slots(batches):
