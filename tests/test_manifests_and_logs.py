@@ -35,6 +35,14 @@ CASES = {
     "packages.lock.json": ('{"dependencies": {"net6.0": {\n"A": {"type": "Direct", "resolved": "1.0"},\n"P": {"type": "Project", "resolved": "1"}}}}', [("A", "1.0", "1.0", 2)]),
     "uv.lock": ("not toml [", []),
     "other.json": ("{}", []),
+    "pyproject.toml": ('[project]\ndependencies = [\n"flask==2.0",\n"numpy>=1",\n"no requirement!"]\n[project.optional-dependencies]\nx = ["rich[a]==1.*"]\n[dependency-groups]\ny = [{include-group = "x"}, "pytest==8.0"]\n[tool.poetry.dependencies]\npython = "^3.9"\na = "1.0"\nb = {version = "==2.0"}\nc = {path = "../c"}\n', [("flask", "2.0", "==2.0", 3), ("numpy", None, ">=1", 4), ("rich", None, "==1.*", 7), ("pytest", "8.0", "==8.0", 9), ("a", None, "1.0", 12), ("b", "2.0", "==2.0", 13)]),
+    "Pipfile": ('[packages]\na = "==1.0"\nb = "*"\n[dev-packages]\nc = {version = "==2.0", extras = ["x"]}\nd = {git = "https://x"}\n', [("a", "1.0", "==1.0", 2), ("b", None, "*", 3), ("c", "2.0", "==2.0", 5)]),
+    "pnpm-lock.yaml": ("lockfileVersion: 9\n\nimporters:\n  z@1.0.0:\n    x: 1\n\npackages:\n\n  '@s/a@1.2.3':\n    resolution: {integrity: x}\n  /b@2.0.0(c@1.0.0):\n    dev: true\n  /d/3.0.0_e@1.0.0:\n\nsnapshots:\n  f@1.0.0:\n", [("@s/a", "1.2.3", "1.2.3", 9), ("b", "2.0.0", "2.0.0", 11), ("d", "3.0.0", "3.0.0", 13)]),
+    "pom.xml": ("<project xmlns='http://m'>\n<version>9</version><properties><v>1.0</v><w>${v}.1</w></properties>\n<dependencies>\n<dependency><groupId>a.b</groupId><artifactId>c</artifactId><version>${w}</version></dependency>\n<dependency><groupId>${project.groupId}</groupId><artifactId>d</artifactId><exclusions><exclusion><groupId>q</groupId></exclusion></exclusions></dependency>\n<dependency><groupId>e</groupId><artifactId>f</artifactId><version>[1,2)</version></dependency>\n</dependencies><build><plugins><plugin><dependencies><dependency><groupId>p</groupId><artifactId>p</artifactId></dependency></dependencies></plugin></plugins></build></project>", [("a.b:c", "1.0.1", "${w}", 4), ("${project.groupId}:d", None, "", 5), ("e:f", None, "[1,2)", 6)]),
+    "build.gradle": ("dependencies {\n  implementation 'a.b:c:1.0'\n  // api 'x:y:1'\n  /* api 'x:y:2'\n */\n  api(platform(\"d:e:2.0@aar\"))\n  testImplementation group: 'f', name: 'g', version: '3.0'\n  runtimeOnly \"h:i:$v\"\n  api 'j:k'\n}\n", [("a.b:c", "1.0", "1.0", 2), ("d:e", "2.0", "2.0", 6), ("h:i", None, "$v", 8), ("j:k", None, "", 9), ("f:g", "3.0", "3.0", 7)]),
+    "build.gradle.kts": ('dependencies {\n  implementation("a:b:1.+")\n  implementation(group = "c", name = "d", version = "2.0")\n}\n', [("a:b", None, "1.+", 2), ("c:d", "2.0", "2.0", 3)]),
+    "A.csproj": ('<Project>\n<ItemGroup>\n<PackageReference Include="A" Version="1.0" />\n<PackageReference Include="B"><Version>[2.0]</Version></PackageReference>\n<PackageReference Include="C" />\n<PackageReference Include="D" Version="1.*" /></ItemGroup></Project>', [("A", "1.0", "1.0", 3), ("B", "2.0", "[2.0]", 4), ("C", None, "", 5), ("D", None, "1.*", 6)]),
+    "Directory.Packages.props": ('<!DOCTYPE a [<!ENTITY b "c">]><Project><PackageVersion Include="A" Version="1" /></Project>', []),
 }
 
 
@@ -55,6 +63,15 @@ def test_dependencies_of_a_tree(spark, tmp_path):
     assert {r[0] for r in got.select("ecosystem").distinct().collect()} == {"PyPI", "npm", "crates.io", "Go", "RubyGems", "Packagist", "Maven", "NuGet"}
 
 
+def test_installed_packages():
+    read = lambda path, text: [r[:4] + r[6:] for r in manifests.rows_of(path, text)]
+    assert read("/p/site-packages/A-1.dist-info/METADATA", "Metadata-Version: 2.1\nName: A\nVersion: 1.0\n\nName: B\n") == [("PyPI", "A", "1.0", "1.0", "installed")]
+    assert read("/p/METADATA", "Name: A\nVersion: 1.0\n") == []
+    text = '{"name": "@s/a", "version": "1.2.3", "dependencies": {"b": "1.0.0"}}'
+    assert read("/p/node_modules/@s/a/package.json", text) == [("npm", "@s/a", "1.2.3", "1.2.3", "installed")]
+    assert read("/p/package.json", text) == [("npm", "b", "1.0.0", "1.0.0", "manifest")]
+
+
 def test_numbered_events(spark, tmp_path):
     text = "\n".join(['{"EventID": 4688, "System": {"TimeCreated": {"@SystemTime": "2024-01-01T03:00:00.5+03:00"}}}', '{"EventID": "4624", "TimeCreated": "2024-01-01T00:00:00Z"}', "no json", "", '{"EventID": 4625, "TimeCreated": {"x": 1}}'])
     got = rows(logs.security(spark, put(tmp_path / "s", text)), "event_id", "raw_event_type", F.unix_millis("source_timestamp"))
