@@ -45,12 +45,19 @@ def exploited(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.inline("vulnerabilities")).where("cveID IS NOT NULL")
 
 
+_RANGE = "struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>"
+#: Fields of an OSV record that are read.
+ADVISORY = f"id string, summary string, aliases array<string>, withdrawn string, affected array<struct<package:struct<ecosystem:string,name:string,purl:string>,versions:array<string>,ranges:array<{_RANGE}>>>"
+
+
 def advisories(spark: SparkSession, path: str) -> DataFrame:
     """A row for each advisory, package and range event of OSV records, one JSON document a file."""
-    affected = "package struct<ecosystem:string,name:string,purl:string>, versions array<string>, ranges array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>"
-    inner = affected.replace("package struct", "package:struct").replace("versions array", "versions:array").replace("ranges array", "ranges:array")
-    rows = spark.read.schema(f"id string, summary string, aliases array<string>, withdrawn string, affected array<struct<{inner}>>").option("multiLine", "true").json(path).where("id IS NOT NULL")
-    rows = rows.select("id", "summary", "aliases", "withdrawn", F.explode_outer("affected").alias("a"))
+    return advisory_rows(spark.read.schema(ADVISORY).option("multiLine", "true").json(path))
+
+
+def advisory_rows(records: DataFrame) -> DataFrame:
+    """A row for each advisory, package and range event of records with the fields of ADVISORY; those without an id are left out."""
+    rows = records.where("id IS NOT NULL").select("id", "summary", "aliases", "withdrawn", F.explode_outer("affected").alias("a"))
     rows = rows.select("id", "summary", "aliases", "withdrawn", "a.package.ecosystem", "a.package.name", "a.versions", F.posexplode_outer("a.ranges").alias("range", "r"))
     return rows.select(*(c for c in rows.columns if c != "r"), F.col("r.type").alias("type"), F.posexplode_outer("r.events").alias("step", "e")).select("*", "e.*").drop("e")
 
