@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tracewright.sources import feeds, host, sinks
+from tracewright.sources import feeds, host, projects, sinks
 
 
 def put(path, text):
@@ -73,3 +73,31 @@ def test_sinks(spark, tmp_path):
     t.replace_partitions(df((1, 7, "x"), (2, 9, "y")), "at")
     t.append(df((4, 4, "e")))
     assert read(t) == [(1, 0, "new"), (1, 7, "x"), (2, 1, "c"), (2, 9, "y"), (3, 1, "d"), (4, 4, "e"), (None, 1, "n")]
+
+
+def test_rpm_packages_and_package_urls(spark, tmp_path):
+    text = "a-libs\t1\t3.0~rc\t2.el9\tx86_64\tRocky\tmy-a-3.0-2.el9.src.rpm\t17\ngpg-pubkey\t\t\t\t\t\t\t\nshort\t1\nb+\t(none)\t1:2\t1\tnoarch\t(none)\t(none)\tx\n"
+    df = host.rpm_packages(spark, put(tmp_path / "rpm", text))
+    assert rows(df, "name", "epoch", "version", "release", "arch", "vendor", "source_name", "installed") == [("a-libs", "1", "3.0~rc", "2.el9", "x86_64", "Rocky", "my-a", 17), ("b+", None, "1:2", "1", "noarch", "", None, None)]
+    url = host.package_url("rpm", F.lit("rocky"), F.col("name"), F.concat_ws("-", "version", "release"), {"epoch": F.col("epoch"), "arch": F.col("arch"), "upstream": F.col("source")})
+    assert rows(df, url) == [("pkg:rpm/rocky/a-libs@3.0~rc-2.el9?arch=x86_64&epoch=1&upstream=my-a-3.0-2.el9.src.rpm",), ("pkg:rpm/rocky/b%2B@1:2-1?arch=noarch",)]
+    assert spark.range(1).select(host.package_url("deb", F.lit("debian"), F.lit("a b*"), F.lit("1"), {})).first()[0] == "pkg:deb/debian/a%20b%2A@1"
+
+
+def test_dated_scores_and_vendor_ranges(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    put(tmp_path / "e" / "a.csv", "#model_version:v1,score_date:2024-07-15T00:00:00+0000\ncve,epss,percentile\nCVE-1,0.5,0.25\n")
+    put(tmp_path / "e" / "b.csv", "cve,epss,percentile\nCVE-2,0.25,0.5\n")
+    assert sorted(rows(feeds.dated_scores(spark, str(tmp_path / "e")), "cve", "epss", F.col("score_date").cast("string"))) == [("CVE-1", 0.5, "2024-07-15"), ("CVE-2", 0.25, None)]
+    text = '[{"advisory_id": "U-1", "cve_id": "CVE-1", "ecosystem": "UBUNTU", "package_name": "a", "fixed_version": "2"}, {"advisory_id": "U-2", "cve_id": "CVE-1", "ecosystem": "rhel", "package_name": "a"}, {"advisory_id": "U-3", "cve_id": "CVE-2", "ecosystem": "x", "package_name": "b", "release": "9", "fixed_version": "3"}]'
+    assert rows(feeds.vendor_ranges(spark, put(tmp_path / "v.json", text)), "advisory_id", "ecosystem", "introduced", "fixed", "release") == [("U-1", "Ubuntu", None, "2", None), ("U-3", "Generic", None, "3", "9")]
+
+
+def test_python_imports(spark):
+    main = "import os, numpy as np, own.x  # import no\nfrom yaml.a import b\n\'\'\'\nimport quoted\n\'\'\'\nfrom . import z\n  import requests; import q\nimport numpy\nx = \"\"\"import inside\"\"\"\nfrom app import y\n".replace("\\'", "'")
+    files = [("p/app/main.py", main), ("p/app/b.py", "\nimport numpy\r\nimport attrs\r\n"), ("p/own/x.py", ""), ("p/tests/test_a.py", "import pytest"), ("p/c.txt", "import text"), ("p/n.py", None), ("p/long.py", '"""' + "import a\n" * 50_000 + '"""\nimport yaml\n')]
+    df = spark.createDataFrame(files, "file string, value string")
+    got = sorted(map(tuple, projects.python_imports(df).collect()))
+    assert got == [("attrs", "p/app/b.py", 3, 1), ("numpy", "p/app/b.py", 2, 2), ("requests", "p/app/main.py", 7, 1), ("yaml", "p/app/main.py", 2, 2)]
+    assert {r.module for r in projects.python_imports(df, True).collect()} == {"attrs", "numpy", "requests", "yaml", "pytest"}
+    assert projects.python_imports(df.limit(0)).count() == 0

@@ -24,12 +24,28 @@ def sniff(content: Column) -> Column:
     return found
 
 
-def scores(spark: SparkSession, path: str) -> DataFrame:
-    """cve, epss and percentile; plain or gzip."""
+def scores(spark: SparkSession, path: str, *more: str) -> DataFrame:
+    """cve, epss and percentile; plain or gzip. More may name file."""
     p = F.split("value", ",")
-    rows = spark.read.text(path).select(F.trim("value").alias("value")).where(~F.col("value").startswith("#") & ~F.col("value").startswith("cve,"))
+    rows = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file")).where(~F.col("value").startswith("#") & ~F.col("value").startswith("cve,"))
     at = [F.trim(F.get(p, F.lit(k))) for k in range(3)]
-    return rows.select(at[0].alias("cve"), at[1].try_cast("float").alias("epss"), at[2].try_cast("float").alias("percentile")).where("epss IS NOT NULL AND percentile IS NOT NULL")
+    return rows.select(*more, at[0].alias("cve"), at[1].try_cast("float").alias("epss"), at[2].try_cast("float").alias("percentile")).where("epss IS NOT NULL AND percentile IS NOT NULL")
+
+
+def dated_scores(spark: SparkSession, path: str) -> DataFrame:
+    """scores with score_date, the date that the comment of their file names; null where it names none."""
+    named = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where("value LIKE '#%'")
+    dates = named.select("file", F.to_date(F.nullif(F.regexp_extract("value", r"score_date:(\d{4}-\d\d-\d\d)", 1), F.lit(""))).alias("score_date")).groupBy("file").agg(F.max("score_date").alias("score_date"))
+    return scores(spark, path, "file").join(dates, "file", "left").drop("file")
+
+
+def vendor_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Affected ranges of vendors' advisories, a JSON array a file: no first version, and the one that fixes. Entries that lack a field they need are left out."""
+    rows = spark.read.schema("advisory_id string, cve_id string, ecosystem string, package_name string, release string, fixed_version string, summary string").option("multiLine", "true").json(path)
+    need = ["advisory_id", "cve_id", "ecosystem", "package_name", "fixed_version"]
+    named = F.lower("ecosystem")
+    kind = F.when(named == "ubuntu", "Ubuntu").when(named == "debian", "Debian").when(named.isin("redhat", "rhel"), "RedHat").otherwise("Generic")
+    return rows.dropna(subset=need).select("advisory_id", "cve_id", kind.alias("ecosystem"), "package_name", "release", F.lit(None).cast("string").alias("introduced"), F.col("fixed_version").alias("fixed"), F.lit(None).cast("string").alias("last_affected"))
 
 
 def json_logs(spark: SparkSession, path: str) -> DataFrame:

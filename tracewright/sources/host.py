@@ -100,6 +100,40 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def rpm_packages(spark: SparkSession, path: str) -> DataFrame:
+    """Installed packages of a listing with tabs between name, epoch, version, release, arch, vendor, source and time of installation. Keys and shorter rows are left out."""
+    p = F.split("value", "\t", -1)
+
+    def field(k: int) -> Column:
+        return F.get(p, F.lit(k))
+
+    def known(k: int) -> Column:
+        own = F.trim(field(k))
+        return F.when(~own.isin("", "(none)"), own)
+
+    rows = spark.read.text(path).where((F.size(p) >= 8) & ~field(0).isin("", "gpg-pubkey"))
+    source = known(6)
+    return rows.select(
+        F.col("_metadata.file_path").alias("file"), field(0).alias("name"), known(1).alias("epoch"), field(2).alias("version"), field(3).alias("release"), field(4).alias("arch"),
+        F.coalesce(known(5), F.lit("")).alias("vendor"), source.alias("source"), F.nullif(F.regexp_extract(source, r"^(.+)-[^-]*-[^-]*\.(?:no)?src\.rpm$", 1), F.lit("")).alias("source_name"),
+        F.trim(field(7)).try_cast("long").alias("installed"),
+    )
+
+
+def package_url(kind: str, distribution: Column, name: Column, version: Column, qualifiers: dict[str, Column]) -> Column:
+    """The package URL of a package of a distribution; qualifiers that are null or empty are left out, the others stand by name."""
+
+    def part(c: Column) -> Column:
+        # form encoding differs from that of URLs in these
+        out = F.url_encode(c)
+        for form, own in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%3A", ":")):
+            out = F.replace(out, F.lit(form), F.lit(own))
+        return out
+
+    more = F.concat_ws("&", *(F.when(v != "", F.concat(F.lit(f"{k}="), part(v))) for k, v in sorted(qualifiers.items())))
+    return F.concat(F.lit(f"pkg:{kind}/"), part(distribution), F.lit("/"), part(name), F.lit("@"), part(version), F.when(more != "", F.concat(F.lit("?"), more)).otherwise(""))
+
+
 def _colons(spark: SparkSession, path: str, least: int) -> DataFrame:
     rows = lines(spark, path).where((F.trim("line") != "") & ~F.col("line").startswith("#"))
     return rows.select("file", F.split("line", ":").alias("p")).where(F.size("p") >= least)
