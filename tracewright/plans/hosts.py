@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import correlations
+from ..sources import host, manifests, projects
 from ..sources import records as R
 from .catalog import query
 
@@ -90,3 +91,34 @@ def socket_owners(t):
 def merged_quality(t):
     quality = F.when(F.col("o_orderstatus") == "O", "Complete").when(F.col("o_orderstatus") == "F", "Partial").otherwise("Unknown")
     return t("orders").groupBy("o_custkey").agg(correlations.worst_quality(F.max(correlations.rank_of_quality(quality))).alias("quality"))
+
+
+@query("""SELECT 'p/' || p_partkey || '/' || CASE p_partkey % 4 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'pom.xml' WHEN 2 THEN 'package.json' ELSE 'build.gradle' END AS file,
+  CASE p_partkey % 4 WHEN 0 THEN 'PyPI' WHEN 2 THEN 'npm' ELSE 'Maven' END AS ecosystem, CASE WHEN p_partkey % 2 = 1 THEN 'g:' ELSE '' END || 'a' || p_partkey AS name, '1.' || p_size || '.0' AS version, CASE WHEN p_partkey % 4 < 3 THEN 2 ELSE 1 END AS line
+  FROM part UNION ALL SELECT 'p/' || p_partkey || '/requirements.txt', 'PyPI', 'other', NULL, 3 FROM part WHERE p_partkey % 4 = 0""")
+def manifest_dependencies(t):
+    key, version = text_of(F.col("p_partkey")), F.concat(F.lit("1."), text_of(F.col("p_size")), F.lit(".0"))
+    kinds = (
+        ("requirements.txt", F.concat(F.lit("# all\na"), key, F.lit("=="), version, F.lit("\nother>=2\n"))),
+        ("pom.xml", F.concat(F.lit("<project><properties><v>"), version, F.lit("</v></properties><dependencies>\n<dependency><groupId>g</groupId><artifactId>a"), key, F.lit("</artifactId><version>${v}</version></dependency></dependencies></project>"))),
+        ("package.json", F.concat(F.lit('{"dependencies": {\n"a'), key, F.lit('": "'), version, F.lit('"}}'))),
+        ("build.gradle", F.concat(F.lit("implementation 'g:a"), key, F.lit(":"), version, F.lit("'"))),
+    )
+    one = F.element_at(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in kinds)), (F.col("p_partkey") % 4).cast("int") + 1)
+    files = t("part").select(F.concat(F.lit("p/"), key, F.lit("/"), one["name"]).alias("file"), one["content"].alias("content"))
+    return manifests.of_files(files).select("file", "ecosystem", "name", "version", "line")
+
+
+@query("""SELECT 'pkg' || s_nationkey AS module, min('p/app/m' || s_suppkey || '.py') AS file, 2 AS line, count(*) AS files FROM supplier GROUP BY 1
+  UNION ALL SELECT 'lib' || s_suppkey % 7, min('p/app/m' || s_suppkey || '.py'), 3, count(*) FROM supplier GROUP BY 1""")
+def project_imports(t):
+    """Imports of Python files, without quoted text, the standard library and the project's own modules."""
+    value = F.concat(F.lit('"""import quoted"""\nimport os, pkg'), text_of(F.col("s_nationkey")), F.lit(" as p\nfrom lib"), text_of(F.col("s_suppkey") % 7), F.lit(".x import y\nfrom app.m1 import z\n"))
+    return projects.python_imports(t("supplier").select(F.concat(F.lit("p/app/m"), text_of(F.col("s_suppkey")), F.lit(".py")).alias("file"), value.alias("value")))
+
+
+@query("SELECT p_partkey, 'pkg:rpm/rocky/' || replace(p_name, ' ', '%20') || '@1:' || p_size || '~rc%2B?' || CASE WHEN p_partkey % 2 = 0 THEN 'arch=noarch&' ELSE '' END || 'distro=rocky-9.3' AS url FROM part")
+def distribution_package_urls(t):
+    version = F.concat(F.lit("1:"), text_of(F.col("p_size")), F.lit("~rc+"))
+    more = {"distro": F.lit("rocky-9.3"), "epoch": F.lit(""), "arch": F.when(F.col("p_partkey") % 2 == 0, "noarch")}
+    return t("part").select("p_partkey", host.package_url("rpm", F.lit("rocky"), F.col("p_name"), version, more).alias("url"))
