@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import chosen_path
@@ -65,7 +66,7 @@ def rows_of():
     return rows
 
 
-@pytest.mark.parametrize("small", [{}, {"leaf": 3, "node": 8}])
+@pytest.mark.parametrize("small", [{}, {"leaf": 3, "node": 8}, {"leaf": 2, "node": 5, "weight": 300}])
 def test_join_equals_all_pairs(spark, small):
     rows = rows_of()
     assert found(spark, rows, **small) == plain(rows)
@@ -78,23 +79,26 @@ def test_join_on_odd_rows(spark):
     assert found(spark, []) == []
 
 
-def test_branching_keeps_pairs_that_are_alike():
+def test_branching_keeps_together_what_is_alike():
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 256, (300, chosen_path.COORDINATES), dtype=np.uint8)
-    # each row has a partner that differs in about a fifth of the tokens; a hundred rows are alike in nine tenths
-    other = np.where(rng.random(base.shape) < 0.2, rng.integers(0, 256, base.shape, dtype=np.uint8), base)
-    crowd = np.where(rng.random((100, base.shape[1])) < 0.1, rng.integers(0, 256, (100, base.shape[1]), dtype=np.uint8), base[0])
-    tokens, lost = np.concatenate((base, other, crowd)), 0
-    want = {(i, i + 300) for i in range(1, 300)} | {(i, j) for i in range(600, 700) for j in range(600, i)}
-    may = lambda i, j: np.ones(len(i), bool)
-    got = set()
+    noise = lambda rows: rng.integers(0, 256, (rows, chosen_path.COORDINATES), dtype=np.uint8)
+    base = noise(300)
+    # each row has a partner that differs in a fifth of the tokens or so; a hundred rows are alike in nine tenths
+    other = np.where(rng.random(base.shape) < 0.2, noise(300), base)
+    crowd = np.where(rng.random((100, base.shape[1])) < 0.1, noise(100), base[0])
+    tokens = np.concatenate((base, other, crowd))
+    n = len(tokens)
+    part = pa.table({"cell": [0] * n, "key": [i.to_bytes(16) for i in range(n)], "tokens": [x.tobytes() for x in tokens], "n": [100] * n, "r": list(range(n))})
+    own = chosen_path.Read(part, 80, 100)
+    whole = chosen_path.Labels(own.given)
     for tree in range(8):
-        for i, j, n in chosen_path.descend(np.full(len(tokens), tree, np.int64), tokens, may, lambda r, s: np.ones(len(s), bool), 10, 79):
-            assert (n == chosen_path.alike(tokens, i, j)).all()
-            got |= set(zip(i.tolist(), j.tolist(), strict=True))
-    got |= {(j, i) for i, j in got}
-    lost = {p for p in want if p not in got and chosen_path.alike(tokens, np.array([p[0]]), np.array([p[1]]))[0] >= 79}
-    assert len(lost) <= 2
+        chosen_path.descend(np.full(n, tree, np.int64), own, whole, 10)
+    every = chosen_path.Labels(own.given)
+    chosen_path.compared(own.cell, np.arange(n), own, every)
+    assert (whole.of == every.of).mean() > 0.99 and len(set(every.of.tolist())) < 320
+    # rows that hang together from the start give no edge by that alone
+    own.given = every.of
+    assert chosen_path.stars(own, chosen_path.Labels(own.given)) == {"a": [], "b": []}
     for bad in ((60, 100), (101, 100)):
         with pytest.raises(ValueError):
             chosen_path.least_alike(*bad)
