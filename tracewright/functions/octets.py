@@ -27,9 +27,9 @@ def unescape(text: Column) -> Column:
 
 
 def exclusive_or(data: Column, key: bytes) -> Column:
-    """data (binary), byte by byte against the repeated key."""
+    """data (binary), byte by byte against the repeated key; null for an empty key."""
     if not key:
-        return data
+        return F.lit(None).cast("binary")
     pads = F.array(*(F.lit(b) for b in key))
     at = lambda i: F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int")
     whole = F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.lpad(F.hex(at(i).bitwiseXOR(F.get(pads, i % len(key))).cast("long")), 2, "0"))

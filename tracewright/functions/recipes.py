@@ -10,16 +10,18 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from . import octets
-from .scalar import rot13
+from .scalar import bound, rot13
 
 #: Bytes that a text may grow to when it is decompressed; a step that would go on is null.
 LARGEST = 64 << 20
 SAMPLE = 64
+#: White space around a text that doesn't count.
+BLANK = " \t\n\r\x0b\x0c"
 
 
 def text(data: Column) -> Column:
@@ -27,14 +29,16 @@ def text(data: Column) -> Column:
 
 
 def hex_decode(data: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(text(data), r"\s+", ""), "0[xX]", "")
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text(data), F.lit(BLANK)), "^(0x)*(0X)*", ""), r"[ \n\r\t]", "")
     return F.when(plain.rlike("^([0-9a-fA-F]{2})*$"), F.unhex(plain))
 
 
 def base64_decode(data: Column) -> Column:
-    plain = F.translate(F.regexp_replace(text(data), r"[\s=]+", ""), "-_", "+/")
-    padded = F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.length(plain), F.lit(4))))
-    return F.when(plain.rlike("^[A-Za-z0-9+/]*$") & (F.length(plain) % 4 != 1), F.try_to_binary(padded, F.lit("base64")))
+    """Of the usual alphabet or that of URLs, with its padding, and no bits left over."""
+    plain = F.regexp_replace(F.trim(text(data), F.lit(BLANK)), r"[ \n\r]", "")
+    usual = F.when(F.contains(plain, F.lit("+")) | F.contains(plain, F.lit("/")), F.when(~plain.rlike("[-_]"), plain)).otherwise(F.translate(plain, "-_", "+/"))
+    found = F.when(usual.rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), F.try_to_binary(usual, F.lit("base64")))
+    return F.when(base64_encode(found) == usual.cast("binary"), found)
 
 
 def base64_encode(data: Column) -> Column:
@@ -66,19 +70,48 @@ STEPS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Steps that run in Python, where an input can't be bound.
+OUTSIDE = ("zlib_compress", "zlib_decompress")
+
+
+def step(data: Column, how: str | tuple[str, bytes]) -> Column:
+    if isinstance(how, tuple):
+        return bound(data, lambda d: octets.exclusive_or(d, how[1]))
+    return STEPS[how](data) if how in OUTSIDE else bound(data, STEPS[how])
+
+
 def cook(data: Column, steps: Sequence[str | tuple[str, bytes]]) -> Column:
-    """data after all steps, by name; ("xor", key) is the exclusive or with a repeated key."""
-    return reduce(lambda d, s: octets.exclusive_or(d, s[1]) if isinstance(s, tuple) else STEPS[s](d), steps, data)
+    """data after all steps, by name, the plan growing by one step at a time; ("xor", key) is the exclusive or with a repeated key, which is null for an empty one."""
+    return reduce(step, steps, data)
+
+
+def sample(data: Column) -> Column:
+    """The first SAMPLE bytes as text with points for control characters, or as hexadecimal numbers where they are no text; and three points if there is more."""
+
+    def shown(d: Column) -> Column:
+        head = F.substring(d, 1, SAMPLE)
+        return F.concat(F.coalesce(F.regexp_replace(F.try_validate_utf8(head.cast("string")), r"\p{Cc}", "."), F.lower(F.hex(head))), F.when(F.octet_length(d) > SAMPLE, "...").otherwise(""))
+
+    return bound(data, shown)
+
 
+def preview(rows: DataFrame, data: Column, steps: Sequence[str | tuple[str, bytes]], pattern: str | None = None) -> DataFrame:
+    """rows with samples of data and of what the steps make of it, both lengths, and the flags in the output; all null where a step fails.
 
-def preview(data: Column, steps: Sequence[str | tuple[str, bytes]]) -> Column:
-    """The first bytes of data after each step, as hexadecimal numbers."""
-    return F.array(*(F.hex(F.substring(cook(data, steps[: k + 1]), 1, SAMPLE)) for k in range(len(steps))))
+    The output is computed once, in a projection of its own, and all else from it.
+    """
+    own = rows.withColumn("_in", data).withColumn("_out", cook(data, steps))
+    good = F.col("_out").isNotNull()
+    return own.select(
+        *rows.columns, F.when(good, sample(F.col("_in"))).alias("input_sample"), sample(F.col("_out")).alias("output_sample"), F.when(good, F.octet_length("_in")).alias("input_len"),
+        F.octet_length("_out").alias("output_len"), flags(F.make_valid_utf8(F.col("_out").cast("string")), pattern).alias("flags"),
+    )
 
 
-FLAG = r"[A-Za-z0-9_]{2,16}\{[^{}\s]{1,128}\}"
+#: A fixed value: what a flag looks like.
+FLAG = r"(?i)(?:flag|ctf|sec|vuln)\{[a-zA-Z0-9_\-\+\.!@#$%^&*?]{3,128}\}"
 
 
 def flags(data: Column, pattern: str | None = None) -> Column:
-    """What matches the pattern, each once and in order; nothing for a pattern that isn't one."""
-    return F.array_distinct(F.regexp_extract_all(data, F.lit(f"({pattern or FLAG})"), F.lit(1)))
+    """What matches the pattern, each once and in order."""
+    return F.array_distinct(F.regexp_extract_all(data, F.lit(pattern or FLAG), F.lit(0)))

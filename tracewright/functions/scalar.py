@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value, which is evaluated once however often f uses it, and whose expression doesn't grow with that."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ip4(ip: Column) -> Column:
-    """An IPv4 address as a number; null if it isn't one."""
+    """An IPv4 address as a number; null if it isn't one, or has a part with a zero before it."""
     parts = F.split(ip, r"\.")
     n = [F.element_at(parts, k + 1).try_cast("long") for k in range(4)]
-    ok = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.greatest(*n) <= 255)
+    ok = ip.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$") & (F.greatest(*n) <= 255)
     return F.when(ok, n[0] * 16777216 + n[1] * 65536 + n[2] * 256 + n[3])
 
 

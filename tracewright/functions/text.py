@@ -10,11 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .scalar import ip4, ip4_text
+from .scalar import bound, ip4, ip4_text
 
-#: Words that severities begin with, and Windows systems.
-SEVERITIES = ("critical", "important", "moderate", "low", "high", "medium")
-WINDOWS = r"^windows (10|11|7|8|8\.1|server|xp|vista|rt)\b"
+#: Severities that a summary may begin with, Windows systems, and marks of a processor in product names.
+SEVERITIES = ("Critical", "Important", "Moderate", "Low")
+WINDOWS = ("10", "11", "server", "7", "8.1", "rt", "vista")
+PROCESSORS = r"(?i) (\(x64\)|\(x86\)|64-bit|32-bit)"
 
 
 def product_key(name: Column) -> Column:
@@ -29,13 +30,16 @@ def cve_of(identifier: Column) -> Column:
 
 
 def severity_prefix(summary: Column) -> Column:
-    """The severity before the colon that a summary begins with; null if it is none."""
-    head = F.lower(F.trim(F.split_part(summary, F.lit(":"), F.lit(1))))
-    return F.when(F.contains(summary, F.lit(":")) & head.isin(*SEVERITIES), F.initcap(head))
+    """The severity before the colon that a summary begins with, in the case it has there; null if it is none."""
+    head = F.trim(F.split_part(summary, F.lit(":"), F.lit(1)))
+    return F.when(F.contains(summary, F.lit(":")) & head.isin(*SEVERITIES), head)
 
 
 def is_windows(product: Column) -> Column:
-    return product_key(product).rlike(WINDOWS)
+    """Whether a product is a release of Windows itself, and neither software on one nor its update services."""
+    key = product_key(product)
+    first = F.regexp_extract(key, "^windows ([^ ,]*)", 1)
+    return first.isin(*WINDOWS) & ~F.contains(key, F.lit(" on ")) & ~key.startswith("windows server update services")
 
 
 def glob(path: Column, pattern: str) -> Column:
@@ -54,13 +58,31 @@ def masked(line: Column, pattern: str = r"(?i)(password|passwd|secret|token|api_
     return F.regexp_replace(line, pattern, "$1$2***")
 
 
-def cpe(vendor: Column, product: Column, version: Column) -> Column:
-    part = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9._-]+", "_"), F.lit("")), F.lit("*"))
-    return F.concat(F.lit("cpe:2.3:a:"), part(vendor), F.lit(":"), part(product), F.lit(":"), part(version), F.lit(":*:*:*:*:*:*:*"))
+def plain_product(name: Column) -> Column:
+    """A product's name up to the mark of a processor, and without a version as its last word."""
+    # what follows a mark goes with it
+    bare = F.trim(F.split(F.trim(name), PROCESSORS)[0])
+    words = F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    last = F.element_at(words, -1)
+    return F.when((F.size(words) > 1) & last.rlike("^[0-9]") & F.contains(last, F.lit(".")), F.array_join(F.slice(words, 1, F.size(words) - 1), " ")).otherwise(bare)
 
 
-def purl(kind: str, name: Column, version: Column) -> Column:
-    return F.concat(F.lit(f"pkg:{kind}/"), F.lower(F.trim(name)), F.coalesce(F.concat(F.lit("@"), version), F.lit("")))
+def identifier_part(text: Column) -> Column:
+    """A part of an identifier: letters, numbers, points, dashes and underscores in lower case, blanks as underscores, and nothing else; a star if that leaves none."""
+    own = F.regexp_replace(F.regexp_replace(text, " ", "_"), r"[^\p{IsAlphabetic}\p{N}._-]", "")
+    return F.when(own == "", "*").otherwise(F.translate(own, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def software_identifiers(product: Column, publisher: Column, version: Column) -> Column:
+    """A product's plain name, and its CPE and package URL. Without a known publisher, the product's name stands for it, or Microsoft's where that has it."""
+    name = plain_product(product)
+    unknown = (F.trim(publisher) == "") | (F.lower(publisher) == "unknown")
+    vendor = F.when(~unknown, identifier_part(publisher)).when(F.contains(F.lower(name), F.lit("microsoft")), "microsoft").otherwise(identifier_part(name))
+    own, number = identifier_part(name), identifier_part(version)
+    return F.struct(
+        name.alias("product"), F.concat(F.lit("cpe:2.3:a:"), F.concat_ws(":", vendor, own, number), F.lit(":*:*:*:*:*:*:*")).alias("cpe"),
+        F.concat(F.lit("pkg:generic/"), vendor, F.lit("/"), own, F.lit("@"), number).alias("purl"),
+    )
 
 
 def build(text: Column) -> Column:
@@ -75,28 +97,41 @@ def month(token: Column) -> Column:
     return F.to_date(F.when(token.rlike("^[0-9]{4}-[A-Z][a-z]{2}$"), F.concat(token, F.lit("-01"))), "yyyy-MMM-dd")
 
 
-def cidr_range(block: Column) -> tuple[Column, Column]:
-    """The first and last number of an IPv4 block, network and broadcast addresses among them; an address is a block of one."""
-    base, size = ip4(F.split_part(block, F.lit("/"), F.lit(1))), F.when(F.contains(block, F.lit("/")), F.split_part(block, F.lit("/"), F.lit(2)).try_cast("int")).otherwise(32)
-    width = F.pow(F.lit(2), 32 - size).cast("long")
-    low = F.when((size >= 0) & (size <= 32), F.floor(base / width) * width)
-    return low, low + width - 1
-
-
-#: Addresses that a block may be expanded to; larger ones are scopes to test against, not lists of targets.
+#: Addresses that a target may stand for, but for the first; larger blocks are scopes to test against, not lists of targets.
 MOST = 65_536
 
 
-def addresses(block: Column) -> Column:
-    """The addresses of a block of at most MOST, as an array; null for others and for what isn't a block."""
-    low, high = cidr_range(block)
-    return F.when(high - low < MOST, F.transform(F.sequence(low, high), ip4_text))
-
-
-def target_kind(text: Column) -> Column:
-    """What a target is: a block, a range of addresses, an address or a name; null if it is blank."""
-    t = F.trim(text)
-    return F.when(t == "", None).when(t.contains("/") & cidr_range(t)[0].isNotNull(), "Cidr").when(t.rlike(r"^[0-9.]+-[0-9.]+$"), "Range").when(ip4(t).isNotNull(), "Address").otherwise("Name")
+def target(text: Column) -> Column:
+    """What a target is (kind: Address, Cidr, Range, Hostname, or Invalid with why) and its first and last address as numbers.
+
+    A block stands for the addresses between its network and broadcast address, one of 32 bits for itself; one of 31 bits has none. Blocks
+    below 16 bits and ranges longer than MOST are invalid, as is a range that ends before it begins. What reads as none of these is a name.
+    """
+    part = lambda mark: F.split_part(text, F.lit(mark), F.lit(1))
+    bits = F.regexp_extract(text, r"^[^/]*/\+?([0-9]{1,3})$", 1).try_cast("int")
+    read = F.struct(ip4(text).alias("one"), ip4(part("/")).alias("base"), bits.alias("bits"), ip4(part("-")).alias("first"), ip4(F.regexp_extract(text, "^[^-]*-(.*)$", 1)).alias("last"))
+
+    def told(r: Column) -> Column:
+        width = F.pow(F.lit(2), F.lit(32) - r["bits"]).cast("long")
+        network = F.floor(r["base"] / width) * width
+        block, span = r["base"].isNotNull() & (r["bits"] <= 255), r["first"].isNotNull() & r["last"].isNotNull()
+        long = r["last"] - r["first"] > MOST
+        answer = lambda kind, why=None, low=None, high=None: F.struct(
+            F.lit(kind).alias("kind"), F.lit(why).cast("string").alias("why"), *((F.lit(None) if x is None else x).cast("long").alias(n) for n, x in (("low", low), ("high", high)))
+        )
+        return (
+            F.when(r["one"].isNotNull(), answer("Address", None, r["one"], r["one"])).when(block & (r["bits"] < 16), answer("Invalid", "block too large")).when(block & (r["bits"] > 32), answer("Invalid", "block"))
+            .when(block & (r["bits"] == 32), answer("Cidr", None, r["base"], r["base"])).when(block, answer("Cidr", None, network + 1, network + width - 2))
+            .when(span & (r["last"] < r["first"]), answer("Invalid", "end before start")).when(span & long, answer("Invalid", "range too long")).when(span, answer("Range", None, r["first"], r["last"])).otherwise(answer("Hostname"))
+        )
+
+    return F.when(text.isNotNull(), bound(read, told))
+
+
+def addresses(found: Column) -> Column:
+    """The addresses that a target stands for, as an array: empty for names and for a block without any, null where it is invalid."""
+    none = F.array().cast("array<string>")
+    return bound(found, lambda f: F.when(f["kind"] != "Invalid", F.when(f["low"] <= f["high"], F.transform(F.sequence(f["low"], f["high"]), ip4_text)).otherwise(none)))
 
 
 def locator(content: Column) -> Column:

@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Shapes and colours of nodes, techniques by what a fact says, ports that tell an operating system, layers of the pyramid of pain.
-SHAPES = {"Host": ("box", "#1f77b4"), "Process": ("ellipse", "#ff7f0e"), "IpAddress": ("diamond", "#d62728"), "Domain": ("hexagon", "#2ca02c")}
-PLAIN_SHAPE = ("circle", "#7f7f7f")
+#: Shapes and colours of nodes, techniques by the words of a command (with their tactic, and how sure they are with two pieces of evidence and with one),
+#: systems and devices by open ports, layers of the pyramid of pain, states of ports.
+SHAPES = {"Host": ("Circle", "#58a6ff"), "Process": ("Hexagon", "#2ea043"), "NetworkSocket": ("Diamond", "#bc8cff"), "Identity": ("Square", "#39c5bb")}
+PLAIN_SHAPE = ("Octagon", "#f85149")
+TECHNIQUES = (("T1059.001", "Execution", ("powershell",), 0.95, 0.70), ("T1033", "Discovery", ("whoami", "net user"), 0.90, 0.65))
+MAPPING_RULES = "v1.0.0"
+SYSTEMS = (
+    ((135, 445, 3389), "Windows 11 Enterprise / Windows Server", "Workstation / Server"),
+    ((22,), "Linux Kernel 6.x (x86_64)", "Linux Server"),
+    ((80, 443), "Web Appliance / Embedded OS", "Network Device / Web Server"),
+)
+OTHER_SYSTEM = ("Generic Network Host", "Network Endpoint")
+STATES = {"open": ("Open",), "closed": ("Closed",), "filtered": ("Filtered", "OpenFiltered"), "timeout": ("Timeout",), "error": ("Unreachable", "Unknown")}
+UNNAMED_SERVICE = "TCP-Service"
+HIGH = ("High", "Critical")
 PYRAMID = ("HashValues", "IpAddresses", "DomainNames", "NetworkArtifacts", "HostArtifacts", "Tools", "TTPs")
-STEP = 120
+STEP, LEVEL = 120, 100
 
 
 def first_of(data: Column, names: tuple[str, ...]) -> Column:
@@ -51,18 +63,28 @@ def graph_of_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def diagram(nodes: DataFrame, across: list[str]) -> DataFrame:
-    """Nodes with a shape and colour by type, and a place: STEP apart in the order of across. For the nodes of one view, which are few."""
+    """Nodes with a shape and colour by type, and a place: STEP apart in the order of across, all at one level. For the nodes of one view, which are few."""
     shape, colour = F.lit(PLAIN_SHAPE[0]), F.lit(PLAIN_SHAPE[1])
     for name, (s, c) in SHAPES.items():
         shape, colour = F.when(F.col("entity_type") == name, s).otherwise(shape), F.when(F.col("entity_type") == name, c).otherwise(colour)
-    return nodes.withColumn("shape", shape).withColumn("colour", colour).withColumn("x", (F.row_number().over(Window.partitionBy("view").orderBy(*across)) - 1) * STEP)
+    x = (F.row_number().over(Window.partitionBy("view").orderBy(*across)) - 1) * STEP
+    return nodes.withColumn("shape", shape).withColumn("colour", colour).withColumn("x", x).withColumn("y", F.lit(LEVEL))
 
 
 def taxonomy(facts: DataFrame) -> DataFrame:
-    """Candidates of techniques for facts (label, n): those whose words the label has, in the case it has; two pieces of evidence corroborate one."""
-    known = (("T1059.001", "powershell"), ("T1033", "whoami"))
-    found = F.explode(F.array_compact(F.array(*(F.when(F.col("label").contains(word), F.lit(t)) for t, word in known))))
-    return facts.withColumn("technique", found).withColumn("state", F.when(F.col("n") >= 2, "Corroborated").otherwise("Candidate")).withColumn("confidence", F.when(F.col("n") >= 2, 0.85).otherwise(0.6))
+    """facts (command_line, evidence, an array of ids) with a candidate for each technique whose words the command has, in the case it has.
+
+    Two pieces of evidence corroborate one; the first is the one it rests on.
+    """
+    two = F.size(F.coalesce("evidence", F.array().cast("array<string>"))) >= 2
+    found = []
+    for technique, tactic, words, sure, less in TECHNIQUES:
+        says = F.lit(False)
+        for word in words:
+            says = says | F.contains(F.col("command_line"), F.lit(word))
+        found.append(F.when(says, F.struct(F.lit(technique).alias("technique"), F.lit(tactic).alias("tactic"), F.when(two, sure).otherwise(less).alias("confidence"))))
+    own = facts.withColumn("_t", F.explode(F.array_compact(F.array(*found))))
+    return own.select(*facts.columns, "_t.*", F.when(two, "Corroborated").otherwise("Candidate").alias("state"), F.get("evidence", F.lit(0)).alias("evidence_id"), F.lit(MAPPING_RULES).alias("rules"))
 
 
 def pyramid(facts: DataFrame, key: str) -> DataFrame:
@@ -70,38 +92,45 @@ def pyramid(facts: DataFrame, key: str) -> DataFrame:
     return facts.groupBy(key).agg(*(F.count_if(F.col("pain") == p).alias(p) for p in PYRAMID))
 
 
-def operating_system(ports: Column) -> Column:
-    """What a set of open ports tells of the system behind it."""
-    open_ = lambda *some: F.arrays_overlap(ports, F.array(*map(F.lit, some)))
-    return F.when(open_(3389, 445, 135, 139), "Windows").when(open_(548, 5353) & open_(22), "macOS").when(open_(22, 111, 2049), "Linux").otherwise("Unknown")
-
-
-def coverage(ports: DataFrame, key: str) -> DataFrame:
-    """For each key, ports by state, services that are known, and how good the scan is: complete, partial where some were filtered, or none."""
-    own = ports.groupBy(key).agg(F.count("*").alias("ports"), *(F.count_if(F.col("state") == s).alias(s) for s in ("open", "closed", "filtered")), F.count("service").alias("services"))
-    return own.withColumn("quality", F.when(F.col("open") + F.col("closed") == 0, "None").when(F.col("filtered") > 0, "Partial").otherwise("Complete"))
+def system_behind(ports: Column) -> Column:
+    """The operating system and device that a set of open ports tells of."""
+    pair = lambda system, device: F.struct(F.lit(system).alias("system"), F.lit(device).alias("device"))
+    out = pair(*OTHER_SYSTEM)
+    for some, system, device in reversed(SYSTEMS):
+        out = F.when(F.arrays_overlap(ports, F.array(*map(F.lit, some))), pair(system, device)).otherwise(out)
+    return out
 
 
-def incident(facts: DataFrame, key: str) -> DataFrame:
-    """One report a key: counts of facts by severity, and recommendations for the fact types of high ones, in order."""
-    high = F.col("severity").isin("High", "Critical")
-    advice = F.array_sort(F.collect_set(F.when(high, F.concat(F.lit("Contain "), "fact_type"))))
-    return facts.groupBy(key).agg(F.count("*").alias("facts"), F.count_if(high).alias("high"), F.array_join(advice, "; ").alias("advice"))
+def coverage(ports: DataFrame, key: str, errors: DataFrame | None = None, nmap: bool = False) -> DataFrame:
+    """For each key, ports (state, service) attempted and by state, services with and without a name, and how good the scan is.
 
-
-def explained(score: Column, parts: list[tuple[str, Column]]) -> Column:
-    """A score and what it is made of, in words."""
-    return F.concat(F.lit("score "), F.format_number(score, 1), F.lit(" = "), F.concat_ws(" + ", *(F.concat(F.lit(name + " "), F.format_number(c, 1)) for name, c in parts)))
-
-
-def criteria(truth: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """For each kind of expected things (kind, thing): how many were expected and found, the points, one each, and the percentage; 100 where nothing is expected."""
-    hit = truth.distinct().join(found.select("kind", "thing", F.lit(1).alias("hit")).distinct(), ["kind", "thing"], "left")
-    own = hit.groupBy("kind").agg(F.count("*").alias("expected"), F.count("hit").alias("points"))
-    # as many rows as there are kinds
-    all_kinds = truth.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
-    out = F.broadcast(all_kinds).join(own, "kind", "left").select("kind", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("expected", "points")))
-    return out.withColumn("percent", F.when(F.col("expected") == 0, 100.0).otherwise(F.round(F.col("points") * 100.0 / F.col("expected"), 2)))
+    Partial with errors (rows of key) or ports that can't be reached, degraded where more than half of the ports timed out, else full.
+    """
+    is_open = F.col("state") == "Open"
+    named = is_open & (F.coalesce("service", F.lit("")) != "") & (F.col("service") != UNNAMED_SERVICE)
+    counts = [F.count_if(F.col("state").isin(*states)).alias(name) for name, states in STATES.items()]
+    own = ports.groupBy(key).agg(F.count("*").alias("attempted"), *counts, F.count_if(named).alias("identified"), F.count_if(is_open & ~F.coalesce(named, F.lit(False))).alias("unidentified"))
+    if errors is None:
+        own = own.withColumn("errors", F.lit(0).cast("long"))
+    else:
+        own = own.join(errors.groupBy(key).agg(F.count("*").alias("errors")), key, "full")
+        own = own.select(key, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in own.columns if c != key))
+    bad, late = (F.col("errors") > 0) | (F.col("error") > 0), F.col("timeout") > F.floor(F.col("attempted") / 2)
+    return own.withColumn("quality", F.when(bad, "Partial").when(late, "Degraded").otherwise("Full")).withColumn("confidence", F.lit(0.95 if nmap else 0.85))
+
+
+def recommendations(facts: DataFrame) -> DataFrame:
+    """A line for each fact of high or critical severity: whose asset to isolate, and why. One row a fact, in the order that the reader gives them."""
+    why = F.concat(F.lit("Isolate asset '"), "entity_key", F.lit("' exhibiting high risk indicator '"), "fact_type", F.lit("'"))
+    return facts.where(F.col("severity").isin(*HIGH)).withColumn("recommendation", why)
+
+
+def incident(facts: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """One row for each key of the facts: how many facts, nodes and edges there are, and how many recommendations."""
+    count = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name))
+    own = facts.groupBy(key).agg(F.count("*").alias("facts"), F.count_if(F.col("severity").isin(*HIGH)).alias("recommendations"))
+    out = own.join(count(nodes, "nodes"), key, "left").join(count(edges, "edges"), key, "left")
+    return out.select(key, "facts", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("nodes", "edges")), "recommendations")
 
 
 def snapshot(nodes: DataFrame, caps: dict[str, int]) -> DataFrame:

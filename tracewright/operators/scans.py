@@ -77,11 +77,72 @@ def windows_builds(hosts: DataFrame, fixes: DataFrame) -> DataFrame:
     return own.select("host", "cve", F.when(F.col("fixed"), "Patched").when(F.col("known"), "Vulnerable").otherwise("Unverified").alias("state"), "first_fix")
 
 
-def applicability(kb: Column, vendor: Column, package: Column, cpe: Column) -> tuple[Column, Column]:
-    """What is known of a product best, and how surely: an update, a vendor's range, a package, or its name alone."""
-    how = F.when(kb.isNotNull(), "KB").when(vendor.isNotNull(), "VendorRange").when(package.isNotNull(), "Package").when(cpe.isNotNull(), "Cpe").otherwise("None")
-    sure = F.when(kb.isNotNull(), 90).when(vendor.isNotNull(), 100).when(package.isNotNull(), 80).when(cpe.isNotNull(), 60).otherwise(0)
-    return how, sure
+def _outcome(status: str | Column, reason: Column, sure: float | Column, rank: int, matched: str | Column, fixed: Column, advisory: Column) -> Column:
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        as_column(status).alias("status"), reason.alias("reason"), as_column(sure).alias("confidence"), F.lit(rank).alias("rank"), as_column(matched).alias("matched_version"),
+        fixed.cast("string").alias("fixed_version"), advisory.cast("string").alias("advisory"),
+    )
+
+
+def _by_range(own: Column, fix: Column, fixed: Column, words: tuple[str, str, str, str], sure: tuple[float, float, float], rank: int, advisory: Column) -> Column:
+    """What a fix says of a version, by their keys: fixed, affected, or unknown where they have no order; affected where there is no fix."""
+    version = F.col("version")
+    says = lambda head, mark: F.concat(F.lit(f"{head}: current "), version, F.lit(f" {mark} fixed "), fixed)
+    out = lambda status, reason, confidence: _outcome(status, reason, confidence, rank, version, fixed, advisory)
+    return (
+        F.when(fixed.isNull(), out("Affected", F.lit(words[3]), sure[2])).when(own >= fix, out("Fixed", says(words[0], ">="), sure[0])).when(own < fix, out("Affected", says(words[1], "<"), sure[1]))
+        .otherwise(out("Unknown", F.concat(F.lit(words[2]), version), 0.4))
+    )
+
+
+def applicability(pairs: DataFrame) -> DataFrame:
+    """pairs of a product and a vulnerability with what is known of it best, by this order and rank:
+
+    1. of Windows products, an update that the fix asks for (90), its build, or an update that is an alias;
+    2. a vendor's range, of the product's ecosystem and a name that the product's has in it, by the vendor's order of versions (100);
+    3. a range of the product's very name, by semantic versions (70);
+    4. a CPE (40); 5. the name alone (10), both of which make a candidate.
+
+    Of the product: ecosystem, name, version, build, ubr, kbs. Of the vulnerability: id, aliases, ranges (ecosystem, package, fixed), has_cpe, and fix (required_kb,
+    superseding_kbs, target_build, fixed_ubr), null for none. The first range that fits counts.
+    """
+    c, none = F.col, F.lit(None).cast("string")
+    kb = lambda text: F.concat(F.lit("KB"), F.regexp_replace(F.upper(F.trim(text)), "^(KB)+", ""))
+    has = lambda name: F.array_contains(F.coalesce(c("kbs"), F.array().cast("array<string>")), kb(name))
+    required = c("fix.required_kb")
+    by_kb = F.coalesce(has(required), F.lit(False)) | F.exists(F.coalesce(c("fix.superseding_kbs"), F.array().cast("array<string>")), lambda s: F.coalesce(has(s), F.lit(False)))
+    update = lambda good, name, more, sure: _outcome(
+        F.when(good, "Fixed").otherwise("Affected"), F.when(good, F.concat(F.lit("Required security update "), name, F.lit(f"{more} is installed"))).otherwise(F.concat(F.lit("Required security update "), name, F.lit(" is NOT installed"))),
+        sure, 90, c("version"), name, name,
+    )
+    new = c("ubr") >= c("fix.fixed_ubr")
+    ubr = F.concat(F.lit("OS UBR "), c("ubr").cast("string"), F.when(new, " >= ").otherwise(" < "), F.lit("required fixed UBR "), c("fix.fixed_ubr").cast("string"))
+    by_build = _outcome(F.when(new, "Fixed").otherwise("Affected"), ubr, 0.94, 90, F.concat_ws(".", c("build").cast("string"), c("ubr").cast("string")), c("fix.fixed_ubr"), none)
+    alias = F.get(F.filter("aliases", lambda a: F.upper(a).startswith("KB")), F.lit(0))
+    windows = (
+        F.when(required.isNotNull(), update(by_kb, required, " (or superseding KB)", 0.96)).when((c("build") == c("fix.target_build")) & c("ubr").isNotNull(), by_build)
+        .when(alias.isNotNull(), update(F.coalesce(has(alias), F.lit(False)), alias, "", 0.92))
+    )
+    same = lambda r: F.lower(r["package"]) == F.lower(c("name"))
+    first = lambda keep: F.get(F.filter(F.coalesce("ranges", F.array().cast("array<struct<ecosystem:string,package:string,fixed:string>>")), keep), F.lit(0))
+    own = pairs.withColumn("_vendor", first(lambda r: (r["ecosystem"] == c("ecosystem")) & (same(r) | F.contains(c("name"), r["package"])))).withColumn("_named", first(same))
+    advisory = F.coalesce(F.get("aliases", F.lit(0)), c("id"))
+    words = ("Vendor security fix present", "Vulnerable vendor package", "Failed to parse version: ", "Vendor advisory notes package is affected with no fix recorded")
+    by_vendor = None
+    fixed = c("_vendor.fixed")
+    for names, kind in ((("Debian", "Ubuntu"), "Debian"), (("RedHat",), "Red Hat")):
+        found = _by_range(versions.key(c("version"), kind), versions.key(fixed, kind), fixed, words, (0.98, 0.95, 0.85), 100, advisory)
+        by_vendor = F.when(c("ecosystem").isin(*names), found) if by_vendor is None else by_vendor.when(c("ecosystem").isin(*names), found)
+    by_vendor = by_vendor.otherwise(_by_range(scalar.semver_key(c("version")), scalar.semver_key(fixed), fixed, words, (0.98, 0.95, 0.85), 100, advisory))
+    fixed = c("_named.fixed")
+    words = ("Package fix present", "Vulnerable package", "Cannot parse SemVer ", "Package advisory indicates affected without fixed version")
+    by_name = _by_range(scalar.semver_key(c("version")), scalar.semver_key(fixed), fixed, words, (0.92, 0.88, 0.80), 70, none)
+    cpe = F.concat(F.lit("NVD CPE match found for '"), c("name"), F.lit("', exact backport status requires vendor advisory check"))
+    by_cpe = _outcome("Candidate", cpe, 0.60, 40, c("version"), none, none)
+    alone = _outcome("Candidate", F.lit("Matched candidate product name, version applicability unresolved"), 0.3, 10, c("version"), none, none)
+    best = F.when((c("ecosystem") == "Windows") & windows.isNotNull(), windows).when(c("_vendor").isNotNull(), by_vendor).when(c("_named").isNotNull(), by_name).when(c("has_cpe"), by_cpe).otherwise(alone)
+    return own.withColumn("_best", best).select(*pairs.columns, "_best.*")
 
 
 def by_package_or_cpe(products: DataFrame, packages_: DataFrame, cpes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import blake3
+
 
 def instances(rows: DataFrame, keys: list[str], order: list[str], opens: Column, ends: Column) -> DataFrame:
     """rows with their instance within a key: a new one starts at an opening row once the current one has seen an end."""
@@ -30,22 +32,46 @@ def first_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> Da
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def broken_links(rows: DataFrame, key: str, sequence: str, payload: str, previous: str, digest: str, first: int = 0, genesis: str = "GENESIS") -> DataFrame:
-    """The rows of stored chains that don't hold, and why: a number that isn't the next one, a previous digest that isn't that of the row before, or a digest
-    that isn't the one of the previous digest and the payload."""
-    by = Window.partitionBy(key).orderBy(sequence)
-    again = F.sha2(F.concat_ws("|", F.col(previous), F.col(payload)), 256)
-    own = rows.withColumn("_before", F.coalesce(F.lag(digest).over(by), F.lit(genesis))).withColumn("_next", F.row_number().over(by) - 1 + first)
-    why = F.when(F.col(sequence) != F.col("_next"), "sequence").when(~F.col(previous).eqNullSafe(F.col("_before")), "previous").when(~F.col(digest).eqNullSafe(again), "digest")
-    return own.withColumn("issue", why).where("issue IS NOT NULL").select(key, sequence, "issue")
+#: The mark before a custody event's bytes, which is a deployment's own; fixed values: its fields in the order in which they follow the sequence number, and what the first event follows.
+CUSTODY_MARK, GENESIS = b"CUSTODY-V1\x00", "GENESIS"
+CUSTODY_FIELDS = ("event_id", "session_id", "artifact_id", "case_id", "action", "actor_id", "timestamp_utc", "sha256", "blake3", "details_hash")
+
+
+def custody_bytes(previous: Column, sequence: Column, fields: dict[str, Column], mark: bytes = CUSTODY_MARK) -> Column:
+    """What the digest of a custody event is taken of: texts with their lengths in bytes, four each, and the number in eight; a missing text is an empty one."""
+    number = lambda n, digits: F.unhex(F.lpad(F.hex(n.cast("long")), digits, "0"))
+
+    def sized(text: Column) -> Column:
+        raw = F.coalesce(text, F.lit("")).cast("binary")
+        return F.concat(number(F.octet_length(raw), 8), raw)
+
+    return F.concat(F.lit(mark), sized(previous), number(sequence, 16), *(sized(fields[name]) for name in CUSTODY_FIELDS))
+
+
+def broken_custody(events: DataFrame, key: str = "session_id", mark: bytes = CUSTODY_MARK) -> DataFrame:
+    """The first event of each key's chain that doesn't hold, and why: a number that isn't its place from 1 on, a first event that doesn't follow GENESIS, a previous
+    digest that isn't that of the event before, or a digest that isn't the one of its fields. Nothing for chains that hold.
+
+    events has the fields of CUSTODY_FIELDS, sequence_no, previous_event_hash and event_hash. A chain is the record of one session; its events are numbered in one task.
+    """
+    by = Window.partitionBy(key).orderBy("sequence_no", "event_id")
+    own = events.withColumn("_place", F.row_number().over(by)).withColumn("_before", F.lag("event_hash").over(by))
+    own = own.withColumn("_again", blake3.digest(custody_bytes(F.col("previous_event_hash"), F.col("sequence_no"), {f: F.col(f).cast("string") for f in CUSTODY_FIELDS}, mark)))
+    follows = F.when(F.col("_place") == 1, F.when(~F.col("previous_event_hash").eqNullSafe(F.lit(GENESIS)), "genesis")).when(~F.col("previous_event_hash").eqNullSafe(F.col("_before")), "previous")
+    why = F.when(~F.col("sequence_no").eqNullSafe(F.col("_place")), "sequence").otherwise(F.coalesce(follows, F.when(~F.col("event_hash").eqNullSafe(F.col("_again")), "digest")))
+    bad = own.withColumn("issue", why).where("issue IS NOT NULL")
+    return bad.groupBy(key).agg(F.min_by(F.struct("sequence_no", "issue"), "_place").alias("x")).select(key, "x.*")
 
 
 def only_appended(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of a table that is only ever appended to which are gone or changed now; empty if there are none."""
     fields = [c for c in before.columns if c not in keys]
-    own = lambda df, name: df.select(*keys, F.xxhash64(*fields).alias(name))
+    own = lambda df, name: df.select(*keys, F.struct(*fields).alias(name))
     met = own(before, "_was").join(own(now, "_is"), keys, "left")
-    return met.where("_is IS NULL OR _is <> _was").select(*keys, F.when(F.col("_is").isNull(), "gone").otherwise("changed").alias("issue"))
+    same = F.lit(True)
+    for c in fields:
+        same = same & F.col(f"_is.`{c}`").eqNullSafe(F.col(f"_was.`{c}`"))
+    return met.where(F.col("_is").isNull() | ~same).select(*keys, F.when(F.col("_is").isNull(), "gone").otherwise("changed").alias("issue"))
 
 
 def uploads(chunks: DataFrame, limit: int) -> DataFrame:

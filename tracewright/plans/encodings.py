@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import blake3
 from ..functions import octets as B
 from ..functions import protocols as P
 from ..functions import recipes as R
@@ -29,15 +30,21 @@ def cve_identifiers(t):
     return t("part").select("p_partkey", T.cve_of(text).alias("cve"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Moderate' END AS severity FROM part")
+HEADS = ("Critical: ", "Important : ", "MODERATE: ", "low ", "Low:", "High: ")
+
+
+@query(f"SELECT p_partkey, CASE WHEN contains(h || p_name, ':') AND trim(split_part(h, ':', 1)) IN ('Critical', 'Important', 'Moderate', 'Low') THEN trim(split_part(h, ':', 1)) END AS severity FROM (SELECT *, [{', '.join(repr(h) for h in HEADS)}][p_size % 6 + 1] AS h FROM part)")
 def summary_severities(t):
-    heads = F.element_at(F.array(*map(F.lit, ("Critical: ", "MODERATE : ", "Kernel: ", "low "))), (F.col("p_partkey") % 4).cast("int") + 1)
+    heads = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("p_size") % 6).cast("int") + 1)
     return t("part").select("p_partkey", T.severity_prefix(F.concat(heads, "p_name")).alias("severity"))
 
 
-@query("SELECT p_partkey, p_partkey % 3 = 0 AS windows FROM part")
+RELEASES = ("Windows  10 Version 22H2", "windows 11,version 24H2", "Windows Server 2022 (Server Core installation)", "Windows Server Update Services", "Microsoft .NET on Windows 10", "Windows 8", "Windows 8.1 for x64", "Windows RT on Surface", "Windowsill 10", "Windows Vista", "Windows XP")
+
+
+@query("SELECT p_partkey, p_size % 11 IN (0, 1, 2, 6, 9) AS windows FROM part")
 def windows_products(t):
-    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Windows  10 Version "), text_of(F.col("p_partkey")))).when(F.col("p_partkey") % 3 == 1, "Microsoft Office for Windows 10").otherwise("Windowsill 10")
+    name = F.element_at(F.array(*map(F.lit, RELEASES)), (F.col("p_size") % 11).cast("int") + 1)
     return t("part").select("p_partkey", T.is_windows(name).alias("windows"))
 
 
@@ -55,11 +62,19 @@ def masked_lines(t):
     return t("part").select("p_partkey", T.masked(F.concat(head, F.regexp_replace("p_brand", " ", ""))).alias("line"))
 
 
-@query("""SELECT p_partkey, 'cpe:2.3:a:acme_co:' || regexp_replace(lower(p_name), '[^a-z0-9._-]+', '_', 'g') || ':' || CASE WHEN p_partkey % 2 = 0 THEN '1.' || p_size ELSE '*' END || ':*:*:*:*:*:*:*' AS cpe,
-  'pkg:npm/' || lower(p_name) || CASE WHEN p_partkey % 2 = 0 THEN '@1.' || p_size ELSE '' END AS purl FROM part""")
+ENDS = ("", " 2.1", " 12.4.1 (x64)", " 64-bit Edition", " 7", " v3.0")
+
+
+@query(f"""WITH p AS (SELECT *, p_type || ' ' || p_name || [{', '.join(repr(e) for e in ENDS)}][p_size % 6 + 1] AS raw, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'unknown' ELSE p_brand || ' Inc.' END AS publisher, CASE WHEN p_size % 3 = 0 THEN '' ELSE '1.' || p_size || '/b' END AS v FROM part),
+n AS (SELECT *, p_type || ' ' || p_name || [ '', '', '', '', ' 7', ' v3.0'][p_size % 6 + 1] AS product FROM p),
+i AS (SELECT *, replace(lower(product), ' ', '_') AS own, CASE WHEN p_size % 4 < 2 THEN replace(lower(product), ' ', '_') ELSE replace(replace(lower(publisher), ' ', '_'), '#', '') END AS vendor, CASE WHEN v = '' THEN '*' ELSE replace(v, '/', '') END AS number FROM n)
+SELECT p_partkey, product, 'cpe:2.3:a:' || vendor || ':' || own || ':' || number || ':*:*:*:*:*:*:*' AS cpe, 'pkg:generic/' || vendor || '/' || own || '@' || number AS purl FROM i""")
 def product_identifiers(t):
-    version = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("1."), text_of(F.col("p_size"))))
-    return t("part").select("p_partkey", T.cpe(F.lit("Acme Co"), F.col("p_name"), version).alias("cpe"), T.purl("npm", F.col("p_name"), version).alias("purl"))
+    size = F.col("p_size")
+    raw = F.concat("p_type", F.lit(" "), "p_name", F.element_at(F.array(*map(F.lit, ENDS)), (size % 6).cast("int") + 1))
+    publisher = F.when(size % 4 == 0, "").when(size % 4 == 1, "unknown").otherwise(F.concat("p_brand", F.lit(" Inc.")))
+    version = F.when(size % 3 == 0, "").otherwise(F.concat(F.lit("1."), text_of(size), F.lit("/b")))
+    return t("part").select("p_partkey", T.software_identifiers(raw, publisher, version).alias("i")).select("p_partkey", "i.*")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '10,0,' || p_partkey || ',' || p_size END AS build FROM part")
@@ -75,18 +90,24 @@ def newest_months(t):
     return months.select(T.month(F.col("m")).alias("d")).orderBy(F.desc("d")).limit(12).select(F.date_format("d", "yyyy-MM-dd").alias("first"))
 
 
-@query("""SELECT s_suppkey, unnest(list_transform(range(0, CASE s_suppkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 8 END), lambda i: '10.1.' || s_suppkey % 200 || '.' || (CASE s_suppkey % 3 WHEN 0 THEN 12 WHEN 1 THEN 13 ELSE 8 END + i))) AS ip FROM supplier""")
+TARGETS = ("/30", "", "/29", "/31", "/32", "-10.1.{}.15", "-10.1.{}.3", "/12", "/33", ".test")
+
+
+def target_texts():
+    n = text_of(F.col("s_suppkey") % 200)
+    ends = [F.concat(F.lit(e.split("{}")[0]), n, F.lit(e.split("{}")[1])) if "{}" in e else F.lit(e) for e in TARGETS]
+    return F.concat(F.lit("10.1."), n, F.lit(".13"), F.element_at(F.array(*ends), (F.col("s_suppkey") % 10).cast("int") + 1))
+
+
+@query("""SELECT s_suppkey, '10.1.' || s_suppkey % 200 || '.' || unnest(CASE s_suppkey % 10 WHEN 0 THEN [13, 14] WHEN 1 THEN [13] WHEN 2 THEN [9, 10, 11, 12, 13, 14] WHEN 4 THEN [13] WHEN 5 THEN [13, 14, 15] ELSE [] END) AS ip FROM supplier""")
 def expanded_blocks(t):
-    tail = F.element_at(F.array(*map(F.lit, ("/30", "", "/29"))), (F.col("s_suppkey") % 3).cast("int") + 1)
-    block = F.concat(F.lit("10.1."), text_of(F.col("s_suppkey") % 200), F.lit(".13"), tail)
-    return t("supplier").select("s_suppkey", F.explode(T.addresses(block)).alias("ip"))
+    return t("supplier").select("s_suppkey", F.explode(T.addresses(T.target(target_texts()))).alias("ip"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'Cidr' WHEN 1 THEN 'Range' WHEN 2 THEN 'Address' WHEN 3 THEN 'Name' END AS kind FROM supplier")
+@query("""SELECT s_suppkey, CASE s_suppkey % 10 WHEN 1 THEN 'Address' WHEN 5 THEN 'Range' WHEN 6 THEN 'Invalid' WHEN 7 THEN 'Invalid' WHEN 8 THEN 'Invalid' WHEN 9 THEN 'Hostname' ELSE 'Cidr' END AS kind,
+  CASE s_suppkey % 10 WHEN 6 THEN 'end before start' WHEN 7 THEN 'block too large' WHEN 8 THEN 'block' END AS why FROM supplier""")
 def target_kinds(t):
-    n = text_of(F.col("s_suppkey") % 250)
-    texts = (F.concat(F.lit("10.0.0."), n, F.lit("/24")), F.concat(F.lit("10.0.0.1-"), n), F.concat(F.lit(" 10.0.0."), n), F.concat(F.lit("host"), n, F.lit(".test")), F.lit("  "))
-    return t("supplier").select("s_suppkey", T.target_kind(F.element_at(F.array(*texts), (F.col("s_suppkey") % 5).cast("int") + 1)).alias("kind"))
+    return t("supplier").select("s_suppkey", T.target(target_texts()).alias("x")).select("s_suppkey", "x.kind", "x.why")
 
 
 @query("SELECT event_id, '{\"a\":{\"x\":1,\"y\":[2,' || event_id || ']},\"k\":' || json_extract_string(props, '$.k') || ',\"z\":\"' || event_type || '\"}' AS canonical FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -107,24 +128,33 @@ def content_places(t):
     return t("documents").where("text IS NOT NULL").select("doc_id", T.locator(F.col("text").cast("binary")).alias("place"))
 
 
-@query("""SELECT doc_id, sha256(text) AS hexadecimal, sha256(text) AS base64, sha256(text) AS url, sha256(text) AS zlib, sha256(text) AS several, doc_id % 2 = 0 AS odd FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, hex(encode(text)) AS hexadecimal, base64(encode(text)) AS base64, sha256(url_encode(text)) AS url, sha256(text) AS zlib, sha256(text) AS several, CASE doc_id % 4 WHEN 0 THEN 'JK' WHEN 1 THEN 'fl' END AS odd FROM documents WHERE text IS NOT NULL""")
 def recipe_round_trips(t):
-    raw, digest = F.col("text").cast("binary"), lambda c: F.sha2(c, 256)
-    odd = R.hex_decode(F.concat(F.when(F.col("doc_id") % 2 == 0, "0x4A 4b").otherwise("4a4"), F.lit("")).cast("binary"))
-    return t("documents").where("text IS NOT NULL").select(
-        "doc_id", digest(R.cook(raw, ["hex_encode", "hex_decode"])).alias("hexadecimal"), digest(R.cook(raw, ["base64_encode", "base64_decode"])).alias("base64"), digest(R.cook(raw, ["url_encode", "url_decode"])).alias("url"),
-        digest(R.cook(raw, ["zlib_compress", "zlib_decompress"])).alias("zlib"), digest(R.cook(raw, ["rot13", "base64_encode", "hex_encode", "hex_decode", "base64_decode", "rot13"])).alias("several"), odd.isNotNull().alias("odd"),
+    raw, digest, way = F.col("text").cast("binary"), lambda c: F.sha2(c, 256), F.col("doc_id") % 4
+    # a blank in hexadecimal numbers; both alphabets of base64; a padding that lacks; half a byte
+    odd = F.when(way == 0, R.hex_decode(F.lit(" 0x4A 4b\n").cast("binary"))).when(way == 1, R.base64_decode(F.lit("Zm w=").cast("binary"))).when(way == 2, R.base64_decode(F.lit("Zmw").cast("binary"))).otherwise(R.hex_decode(F.lit("4a4").cast("binary")))
+    # the zlib step runs in Python and has a projection of its own
+    docs = t("documents").where("text IS NOT NULL").select("doc_id", "text", R.cook(raw, ["zlib_compress", "zlib_decompress"]).alias("again"))
+    return docs.select(
+        "doc_id", F.upper(R.cook(raw, ["hex_encode"]).cast("string")).alias("hexadecimal"), R.cook(raw, ["base64_encode", "base64_decode", "base64_encode"]).cast("string").alias("base64"),
+        digest(R.cook(raw, ["url_encode", "url_decode", "url_encode"])).alias("url"), digest(F.col("again")).alias("zlib"),
+        digest(R.cook(raw, ["rot13", "base64_encode", "hex_encode", "hex_decode", "base64_decode", "rot13"])).alias("several"), odd.cast("string").alias("odd"),
     )
 
 
-@query("SELECT s_suppkey, array_to_string([hex(encode(s_name))[1:128], hex(encode(lower(hex(encode(s_name)))))[1:128], hex(encode(lower(hex(encode(s_name)))))[1:128]], '|') AS shown FROM supplier")
+@query("""SELECT doc_id, CASE WHEN strlen(text) > 64 THEN NULL ELSE regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x9f]', '.', 'g') END AS input_short, left(lower(hex(encode(text))), 64) || CASE WHEN strlen(text) > 32 THEN '...' ELSE '' END AS output_sample, strlen(text) AS input_len, 2 * strlen(text) AS output_len, '' AS flags FROM documents WHERE text IS NOT NULL""")
 def recipe_previews(t):
-    return t("supplier").select("s_suppkey", F.array_join(R.preview(F.col("s_name").cast("binary"), [("xor", b""), "hex_encode", "lower"]), "|").alias("shown"))
+    own = R.preview(t("documents").where("text IS NOT NULL").select("doc_id", "text"), F.col("text").cast("binary"), [("xor", b"K"), ("xor", b"K"), "hex_encode"])
+    return own.select(
+        "doc_id", F.when(F.col("input_len") <= 64, F.col("input_sample")).alias("input_short"), "output_sample", F.col("input_len").cast("long").alias("input_len"), F.col("output_len").cast("long").alias("output_len"),
+        F.array_join("flags", "|").alias("flags"),
+    )
 
 
-@query("SELECT p_partkey, 'flag{' || p_size || '}|CTF{' || replace(p_brand, ' ', '') || '}' AS flags FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size >= 100 OR p_size < 10 THEN '' ELSE 'flag{' || p_size || '!}|' END || 'CTF{' || replace(p_brand, '#', '_') || '}|sec{abc}' AS flags FROM part")
 def default_flags(t):
-    text = F.concat(F.lit("see flag{"), text_of(F.col("p_size")), F.lit("}, CTF{"), F.regexp_replace("p_brand", " ", ""), F.lit("} and flag{"), text_of(F.col("p_size")), F.lit("} x{a b}"))
+    size = F.concat(text_of(F.col("p_size")), F.lit("!"))
+    text = F.concat(F.lit("see flag{"), size, F.lit("}, CTF{"), F.translate("p_brand", "#", "_"), F.lit("} and flag{"), size, F.lit("} x{abcd} flag{a b c} Vuln{ab} sec{abc}"))
     return t("part").select("p_partkey", F.array_join(R.flags(text), "|").alias("flags"))
 
 
@@ -167,17 +197,34 @@ def tls_hellos(t):
     return t("customer").select("c_custkey", P.tls(F.unhex(record)).alias("m")).select("c_custkey", "m.kind", "m.sni", F.array_join("m.alpn", "|").alias("alpn"), text_of(F.col("m.ciphers")).alias("ciphers"), "m.issue")
 
 
-@query("SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 1 THEN 2 ELSE 1 END AS INT) AS turn, CASE c_custkey % 4 WHEN 1 THEN 'sequence' WHEN 2 THEN 'digest' ELSE 'previous' END AS issue FROM customer WHERE c_custkey % 4 > 0")
-def broken_chains(t):
-    key, digest = F.col("c_custkey"), lambda *parts: F.sha2(F.concat_ws("|", *parts), 256)
-    one, two = F.concat(F.lit("a"), text_of(key)), F.concat(F.lit("b"), text_of(key))
-    first = digest(F.lit("GENESIS"), one)
-    # of each four customers three have been tampered with: a number, a text, a previous digest
-    links = F.array(
-        F.struct(F.lit(0).alias("turn"), one.alias("text"), F.lit("GENESIS").alias("previous"), first.alias("digest")),
-        F.struct(F.when(key % 4 == 1, 2).otherwise(1).alias("turn"), F.when(key % 4 == 2, "other").otherwise(two).alias("text"), F.when(key % 4 == 3, "x").otherwise(first).alias("previous"), digest(first, two).alias("digest")),
-    )
-    return windows.broken_links(t("customer").select("c_custkey", F.inline(links)), "c_custkey", "turn", "text", "previous", "digest")
+@query("""SELECT c_custkey AS session_id, CAST(CASE c_custkey % 6 WHEN 1 THEN 3 WHEN 5 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS BIGINT) AS sequence_no, CASE c_custkey % 6 WHEN 1 THEN 'sequence' WHEN 2 THEN 'digest' WHEN 3 THEN 'previous' WHEN 4 THEN 'genesis' ELSE 'digest' END AS issue FROM customer WHERE c_custkey % 6 > 0""")
+def broken_custody(t):
+    key, way = F.col("c_custkey"), F.col("c_custkey") % 6
+    given = t("customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+
+    def event(n, previous, number=None):
+        """The fields of a session's n-th event, and what its digest is taken of."""
+        fields = {
+            "event_id": F.concat_ws("-", text_of(key), F.lit(str(n))), "session_id": text_of(key), "artifact_id": F.when(key % 2 == 0, F.col("c_name")), "case_id": F.col("c_mktsegment"), "action": F.lit("INGEST"),
+            "actor_id": F.lit("é"), "timestamp_utc": F.lit(f"2024-01-0{n}T00:00:00+00:00"), "sha256": F.sha2("c_name", 256), "blake3": blake3.digest(F.col("c_name").cast("binary")), "details_hash": text_of(F.col("c_acctbal")),
+        }
+        return fields, windows.custody_bytes(previous, F.lit(n) if number is None else number, fields)
+
+    # digests of one event after the other, each in a projection of its own
+    rows = given.withColumn("h0", F.when(way == 4, "OTHER").otherwise(windows.GENESIS))
+    for n in (1, 2, 3):
+        rows = rows.withColumn(f"h{n}", blake3.digest(event(n, F.col(f"h{n - 1}"), F.when((way == 1) & F.lit(n == 3), 4).otherwise(n))[1]))
+    # of each six sessions five have been tampered with: a number left out, an action, a previous digest, the first link, a digest
+    out = None
+    for n in (1, 2, 3):
+        fields, _ = event(n, F.col(f"h{n - 1}"))
+        action = F.when((way == 2) & F.lit(n == 2), "EXPORT").otherwise(fields.pop("action")).alias("action")
+        own = rows.select(
+            *(c.alias(name) for name, c in fields.items() if name != "session_id"), action, key.alias("session_id"), F.when((way == 1) & F.lit(n == 3), 4).otherwise(n).cast("long").alias("sequence_no"),
+            F.when((way == 3) & F.lit(n == 3), F.col("h1")).otherwise(F.col(f"h{n - 1}")).alias("previous_event_hash"), F.when((way == 5) & F.lit(n == 1), "0").otherwise(F.col(f"h{n}")).alias("event_hash"),
+        )
+        out = own if out is None else out.unionByName(own)
+    return windows.broken_custody(out).withColumn("sequence_no", F.when(F.col("issue") == "sequence", F.col("sequence_no") - 1).otherwise(F.col("sequence_no")))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'gone' ELSE 'changed' END AS issue FROM supplier WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import correlations, reports, windows
+from ..operators import correlations, reports, verification, windows
 from .catalog import HOUR, query
 
 KINDS = {"view": "process_create", "click": "dns_message", "purchase": "tls_handshake", "error": "network_connection", "signup": "network_socket"}
@@ -71,13 +71,13 @@ def first_text_fields(t):
     return t("events").select("event_id", reports.first_of(name, ("process_name", "image")).alias("name"), F.array_join(reports.text_members(both, ("a", "b", "c")), "|").alias("texts"))
 
 
-FACTS = "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'Process' WHEN 1 THEN 'Host' ELSE 'IpAddress' END AS entity_type, CASE event_id % 3 WHEN 1 THEN 'h' || user_id ELSE 'e' || event_id % 97 END AS entity_key, 'h' || (user_id + event_id % 2) AS host, ts AS seen, event_type AS label FROM events WHERE event_type <> 'view'"
+FACTS = "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'Process' WHEN 1 THEN 'Host' ELSE 'NetworkSocket' END AS entity_type, CASE event_id % 3 WHEN 1 THEN 'h' || user_id ELSE 'e' || event_id % 97 END AS entity_key, 'h' || (user_id + event_id % 2) AS host, ts AS seen, event_type AS label FROM events WHERE event_type <> 'view'"
 
 
 def facts_(t):
     at = F.col("event_id")
     return t("events").where("event_type <> 'view'").select(
-        at.alias("id"), F.when(at % 3 == 0, "Process").when(at % 3 == 1, "Host").otherwise("IpAddress").alias("entity_type"), F.when(at % 3 == 1, F.concat(F.lit("h"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("e"), (at % 97).cast("string"))).alias("entity_key"),
+        at.alias("id"), F.when(at % 3 == 0, "Process").when(at % 3 == 1, "Host").otherwise("NetworkSocket").alias("entity_type"), F.when(at % 3 == 1, F.concat(F.lit("h"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("e"), (at % 97).cast("string"))).alias("entity_key"),
         F.concat(F.lit("h"), (F.col("user_id") + at % 2).cast("string")).alias("host"), F.col("ts").alias("at"), F.col("event_type").alias("label"),
     )
 
@@ -96,11 +96,12 @@ def fact_graph_edges(t):
     return reports.graph_of_facts(facts_(t))[1]
 
 
-@query(f"""SELECT entity_type, entity_key, CASE entity_type WHEN 'Host' THEN 'box' WHEN 'Process' THEN 'ellipse' ELSE 'diamond' END AS shape, CASE entity_type WHEN 'Host' THEN '#1f77b4' WHEN 'Process' THEN '#ff7f0e' ELSE '#d62728' END AS colour,
-  CAST((row_number() OVER (PARTITION BY label ORDER BY entity_type, entity_key) - 1) * 120 AS INT) AS x FROM ({NODES})""")
+@query(f"""SELECT entity_type, entity_key, CASE entity_type WHEN 'Host' THEN 'Circle' WHEN 'Process' THEN 'Hexagon' WHEN 'NetworkSocket' THEN 'Diamond' ELSE 'Octagon' END AS shape,
+  CASE entity_type WHEN 'Host' THEN '#58a6ff' WHEN 'Process' THEN '#2ea043' WHEN 'NetworkSocket' THEN '#bc8cff' ELSE '#f85149' END AS colour, CAST((row_number() OVER (PARTITION BY label ORDER BY entity_type, entity_key) - 1) * 120 AS INT) AS x, CAST(100 AS INT) AS y
+FROM (SELECT CASE WHEN entity_key LIKE 'e7%' THEN 'File' ELSE entity_type END AS entity_type, entity_key, label FROM ({NODES}))""")
 def diagram_view(t):
-    nodes = reports.graph_of_facts(facts_(t))[0].withColumn("view", F.col("label"))
-    return reports.diagram(nodes, ["entity_type", "entity_key"]).select("entity_type", "entity_key", "shape", "colour", "x")
+    nodes = reports.graph_of_facts(facts_(t))[0].withColumn("view", F.col("label")).withColumn("entity_type", F.when(F.col("entity_key").startswith("e7"), "File").otherwise(F.col("entity_type")))
+    return reports.diagram(nodes, ["entity_type", "entity_key"]).select("entity_type", "entity_key", "shape", "colour", "x", "y")
 
 
 @query("SELECT event_id AS id, ts AS at, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'General' END AS lane, event_type || ': ' || user_id AS label FROM events")
@@ -122,12 +123,18 @@ def newest_entries(t):
     return windows.first_k(own, ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("shown"))
 
 
-@query("""SELECT event_id, technique, CASE WHEN n >= 2 THEN 'Corroborated' ELSE 'Candidate' END AS state, CAST(CASE WHEN n >= 2 THEN 0.85 ELSE 0.6 END AS DOUBLE) AS confidence
-FROM (SELECT event_id, event_id % 4 AS n, unnest(CASE event_id % 5 WHEN 0 THEN ['T1059.001'] WHEN 1 THEN ['T1033'] WHEN 2 THEN ['T1059.001', 'T1033'] ELSE [] END) AS technique FROM events)""")
+COMMANDS = {"view": "powershell.exe -NoP -c ", "click": "cmd /c net user ", "error": "whoami & powershell ", "signup": "PowerShell "}
+
+
+@query(f"""WITH f AS (SELECT user_id, event_type, list(CAST(event_id AS VARCHAR) ORDER BY event_id) AS e, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMANDS.items())} END || user_id AS c FROM events WHERE value > 40 GROUP BY user_id, event_type),
+c AS (SELECT *, 'T1059.001' AS technique, 'Execution' AS tactic, 0.95 AS two, 0.70 AS one FROM f WHERE contains(c, 'powershell') UNION ALL SELECT *, 'T1033', 'Discovery', 0.90, 0.65 FROM f WHERE contains(c, 'whoami') OR contains(c, 'net user'))
+SELECT user_id, event_type, technique, tactic, CAST(CASE WHEN len(e) >= 2 THEN two ELSE one END AS DOUBLE) AS confidence, CASE WHEN len(e) >= 2 THEN 'Corroborated' ELSE 'Candidate' END AS state, e[1] AS evidence_id, 'v1.0.0' AS rules FROM c""")
 def taxonomy_candidates(t):
-    labels = F.array(*map(F.lit, ("run powershell x", "whoami /all", "whoami from powershell", "PowerShell", "cmd")))
-    own = t("events").select("event_id", (F.col("event_id") % 4).alias("n"), F.element_at(labels, (F.col("event_id") % 5).cast("int") + 1).alias("label"))
-    return reports.taxonomy(own).select("event_id", "technique", "state", "confidence")
+    command = F.lit(None).cast("string")
+    for k, v in COMMANDS.items():
+        command = F.when(F.col("event_type") == k, F.concat(F.lit(v), F.col("user_id").cast("string"))).otherwise(command)
+    own = t("events").where("value > 40").groupBy("user_id", "event_type").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")).alias("evidence"))
+    return reports.taxonomy(own.withColumn("command_line", command)).drop("evidence", "command_line")
 
 
 PAIN = reports.PYRAMID
@@ -138,50 +145,108 @@ def pyramid_counts(t):
     return reports.pyramid(t("events").select("user_id", F.element_at(F.array(*map(F.lit, PAIN)), (F.col("event_id") % 7).cast("int") + 1).alias("pain")), "user_id")
 
 
-@query("""SELECT o_custkey, CASE WHEN list_has_any(p, [3389, 445, 135, 139]) THEN 'Windows' WHEN list_has_any(p, [548, 5353]) AND list_contains(p, 22) THEN 'macOS' WHEN list_has_any(p, [22, 111, 2049]) THEN 'Linux' ELSE 'Unknown' END AS system
-FROM (SELECT o_custkey, list(DISTINCT CASE o_orderkey % 17 WHEN 0 THEN 22 WHEN 1 THEN 548 WHEN 2 THEN 445 WHEN 3 THEN 2049 ELSE 80 END) AS p FROM orders GROUP BY 1)""")
+@query("""SELECT o_custkey, CASE WHEN list_has_any(p, [135, 445, 3389]) THEN 'Windows 11 Enterprise / Windows Server' WHEN list_contains(p, 22) THEN 'Linux Kernel 6.x (x86_64)' WHEN list_has_any(p, [80, 443]) THEN 'Web Appliance / Embedded OS' ELSE 'Generic Network Host' END AS system,
+  CASE WHEN list_has_any(p, [135, 445, 3389]) THEN 'Workstation / Server' WHEN list_contains(p, 22) THEN 'Linux Server' WHEN list_has_any(p, [80, 443]) THEN 'Network Device / Web Server' ELSE 'Network Endpoint' END AS device
+FROM (SELECT o_custkey, list(DISTINCT [22, 80, 443, 8080, 9000, 445, 3389][1 + CAST(floor(o_totalprice / 1000) AS BIGINT) % 131 % 7]) AS p FROM orders WHERE o_totalprice > 300000 GROUP BY 1)""")
 def system_by_ports(t):
-    known = {0: 22, 1: 548, 2: 445, 3: 2049}
-    port = F.lit(80)
-    for k, v in known.items():
-        port = F.when(F.col("o_orderkey") % 17 == k, v).otherwise(port)
-    own = t("orders").groupBy("o_custkey").agg(F.collect_set(port).alias("ports"))
-    return own.select("o_custkey", reports.operating_system(F.col("ports")).alias("system"))
+    port = F.element_at(F.array(*map(F.lit, (22, 80, 443, 8080, 9000, 445, 3389))), (F.floor(F.col("o_totalprice") / 1000) % 131 % 7).cast("int") + 1)
+    own = t("orders").where("o_totalprice > 300000").groupBy("o_custkey").agg(F.collect_set(port).alias("ports"))
+    return own.select("o_custkey", reports.system_behind(F.col("ports")).alias("s")).select("o_custkey", "s.system", "s.device")
+
+
+STATES_SQL = "CASE left(o_orderpriority, 1) WHEN '1' THEN 'Open' WHEN '2' THEN 'Closed' WHEN '3' THEN CASE o_orderstatus WHEN 'F' THEN 'Filtered' ELSE 'OpenFiltered' END WHEN '4' THEN 'Timeout' ELSE CASE WHEN o_totalprice < 60000 THEN 'Unreachable' ELSE 'Timeout' END END"
 
 
-@query("""SELECT o_custkey, count(*) AS ports, count(*) FILTER (s = 'O') AS open, count(*) FILTER (s = 'F') AS closed, count(*) FILTER (s = 'P') AS filtered, count(*) FILTER (o_orderkey % 3 = 0) AS services,
-  CASE WHEN count(*) FILTER (s IN ('O', 'F')) = 0 THEN 'None' WHEN count(*) FILTER (s = 'P') > 0 THEN 'Partial' ELSE 'Complete' END AS quality FROM (SELECT *, o_orderstatus AS s FROM orders) GROUP BY 1""")
+@query(f"""WITH p AS (SELECT o_custkey, {STATES_SQL} AS s, CASE o_orderstatus WHEN 'O' THEN 'http' WHEN 'F' THEN 'TCP-Service' END AS v FROM orders WHERE o_totalprice <= 490000), e AS (SELECT o_custkey, count(*) AS errors FROM orders WHERE o_totalprice > 490000 GROUP BY 1),
+c AS (SELECT o_custkey, count(*) AS attempted, count(*) FILTER (s = 'Open') AS open, count(*) FILTER (s = 'Closed') AS closed, count(*) FILTER (s IN ('Filtered', 'OpenFiltered')) AS filtered, count(*) FILTER (s = 'Timeout') AS timeout, count(*) FILTER (s = 'Unreachable') AS error,
+  count(*) FILTER (s = 'Open' AND v = 'http') AS identified, count(*) FILTER (s = 'Open' AND (v IS NULL OR v <> 'http')) AS unidentified FROM p GROUP BY 1),
+b AS (SELECT coalesce(c.o_custkey, e.o_custkey) AS o_custkey, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('attempted', 'open', 'closed', 'filtered', 'timeout', 'error', 'identified', 'unidentified', 'errors'))} FROM c FULL JOIN e ON c.o_custkey = e.o_custkey)
+SELECT *, CASE WHEN errors > 0 OR error > 0 THEN 'Partial' WHEN timeout > attempted // 2 THEN 'Degraded' ELSE 'Full' END AS quality, CAST(0.85 AS DOUBLE) AS confidence FROM b""")
 def scan_coverage(t):
-    state = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "closed").otherwise("filtered")
-    return reports.coverage(t("orders").select("o_custkey", state.alias("state"), F.when(F.col("o_orderkey") % 3 == 0, "http").alias("service")), "o_custkey")
+    kind, filtered = F.substring("o_orderpriority", 1, 1), F.when(F.col("o_orderstatus") == "F", "Filtered").otherwise("OpenFiltered")
+    last = F.when(F.col("o_totalprice") < 60000, "Unreachable").otherwise("Timeout")
+    state = F.when(kind == "1", "Open").when(kind == "2", "Closed").when(kind == "3", filtered).when(kind == "4", "Timeout").otherwise(last)
+    service = F.when(F.col("o_orderstatus") == "O", "http").when(F.col("o_orderstatus") == "F", "TCP-Service")
+    o = t("orders")
+    return reports.coverage(o.where("o_totalprice <= 490000").select("o_custkey", state.alias("state"), service.alias("service")), "o_custkey", o.where("o_totalprice > 490000").select("o_custkey"))
 
 
-@query("""SELECT user_id, count(*) AS facts, count(*) FILTER (value > 60) AS high, coalesce(string_agg(DISTINCT 'Contain ' || event_type, '; ' ORDER BY 'Contain ' || event_type) FILTER (value > 60), '') AS advice FROM events GROUP BY 1""")
-def incident_reports(t):
+SEVERE = "CASE WHEN value > 90 THEN 'Critical' WHEN value > 60 THEN 'High' ELSE 'Low' END"
+
+
+def severe(t):
     severity = F.when(F.col("value") > 90, "Critical").when(F.col("value") > 60, "High").otherwise("Low")
-    return reports.incident(t("events").select("user_id", severity.alias("severity"), F.col("event_type").alias("fact_type")), "user_id")
+    return t("events").select("event_id", "user_id", severity.alias("severity"), F.col("event_type").alias("fact_type"), F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("entity_key"))
 
 
-@query("SELECT p_partkey, 'score ' || printf('%.1f', p_size / 10.0 + 2.0) || ' = base ' || printf('%.1f', p_size / 10.0) || ' + exploited 2.0' AS words FROM part")
-def explained_scores(t):
-    base = F.col("p_size") / 10.0
-    return t("part").select("p_partkey", reports.explained(base + 2.0, [("base", base), ("exploited", F.lit(2.0))]).alias("words"))
+@query(f"""SELECT f.user_id, facts, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, recommendations FROM (SELECT user_id, count(*) AS facts, count(*) FILTER ({SEVERE} <> 'Low') AS recommendations FROM events GROUP BY 1) f
+  LEFT JOIN (SELECT user_id, count(DISTINCT event_type) AS nodes FROM events GROUP BY 1) n ON n.user_id = f.user_id LEFT JOIN (SELECT user_id, count(*) AS edges FROM events WHERE event_type = 'error' GROUP BY 1) e ON e.user_id = f.user_id""")
+def incident_reports(t):
+    return reports.incident(severe(t), t("events").select("user_id", "event_type").distinct(), t("events").where("event_type = 'error'"), "user_id")
+
+
+@query(f"SELECT event_id, 'Isolate asset ''host-' || user_id || chr(39) || ' exhibiting high risk indicator ' || chr(39) || event_type || chr(39) AS recommendation FROM events WHERE {SEVERE} <> 'Low'")
+def incident_recommendations(t):
+    return reports.recommendations(severe(t)).select("event_id", "recommendation")
+
+
+#: What each customer's investigation is expected to find, and for which customers.
+EXPECTED = (
+    ("Asset", "order-1", None, 1), ("Asset", "order-2", None, 1), ("Asset", "order-12", None, 2), ("Fact", "ProcessExecution", None, 1), ("Fact", "LSASS_Dump", None, 3), ("Fact", "discovered", None, 1), ("Fact", "discovered", None, 2),
+    ("Technique", "T1003.001", None, 1), ("Technique", "T1059", None, 2), ("Technique", "T1033", None, 1), ("Technique", "schtasks", None, 4), ("Edge", "order-1", "order-2", 1), ("Edge", "order-3", "order-99", 2),
+    ("Stage", "Execution", None, 1), ("Stage", "CredentialAccess", None, 2), ("Stage", "Persistence", None, 1), ("Stage", "Exfiltration", None, 3), ("Pyramid", "Tools", None, 1), ("Pyramid", "ttps", None, 2),
+)
+WORDS = {"1": "PowerShell -enc", "2": "whoami", "3": "procdump LSASS", "4": "schtasks /create", "5": "dir"}
+KINDS_OF_FACTS = {"O": "ProcessExecution", "F": "CredentialDump", "P": "HostDiscovered"}
+SCENARIO_FACTS = f"""SELECT o_custkey AS scenario, 'order-' || o_orderkey % 7 AS entity_key, CASE o_orderstatus {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS_OF_FACTS.items())} END AS fact_type,
+  '{{"command_line":"' || CASE left(o_orderpriority, 1) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in WORDS.items())} END || '"}}' AS data, o_totalprice > 100000 AS backed, CASE WHEN o_totalprice > 400000 THEN 'Tools' WHEN o_totalprice < 50000 THEN 'TTPs' END AS pain_level FROM orders"""
+TRUTH = f"""SELECT c_custkey AS scenario, criterion, thing, other FROM customer JOIN (VALUES {', '.join(f"('{k}', '{x}', {'NULL' if y is None else repr(y)}, {m})" for k, x, y, m in EXPECTED)}) e(criterion, thing, other, m) ON c_custkey % e.m = 0"""
+
+
+def scenario_facts(t):
+    pick = lambda c, names: F.coalesce(*(F.when(c == k, v) for k, v in names.items()))
+    data = F.concat(F.lit('{"command_line":"'), pick(F.substring("o_orderpriority", 1, 1), WORDS), F.lit('"}'))
+    price = F.col("o_totalprice")
+    return t("orders").select(
+        F.col("o_custkey").alias("scenario"), F.concat(F.lit("order-"), (F.col("o_orderkey") % 7).cast("string")).alias("entity_key"), pick(F.col("o_orderstatus"), KINDS_OF_FACTS).alias("fact_type"), data.alias("data"),
+        F.when(price > 100000, 2).otherwise(0).alias("evidence"), F.lit(0.5).alias("evidence_strength"), F.when(price > 400000, "Tools").when(price < 50000, "TTPs").alias("pain_level"),
+    )
+
+
+def scenario_truth(t):
+    things = F.array(*(F.struct(F.lit(k).alias("criterion"), F.lit(x).alias("thing"), F.lit(y).cast("string").alias("other"), F.lit(m).alias("m")) for k, x, y, m in EXPECTED))
+    own = t("customer").select(F.col("c_custkey").alias("scenario"), F.explode(things).alias("e")).where("scenario % e.m = 0")
+    return own.select("scenario", "e.criterion", "e.thing", "e.other")
 
 
-CRITERIA = ("toxic", "quality", "both", "nothing")
+SAYS = {
+    "Fact": "contains(lower(fact_type), lower(thing)) OR (lower(thing) = 'processexecution' AND (contains(fact_type, 'Execution') OR contains(fact_type, 'Process') OR contains(fact_type, 'Dump'))) OR (lower(thing) = 'lsass_dump' AND (contains(fact_type, 'Credential') OR contains(lower(data), 'lsass')))",
+    "Technique": "CASE thing WHEN 'T1003.001' THEN regexp_matches(lower(data), 'lsass|procdump|mimikatz') WHEN 'T1059' THEN regexp_matches(lower(data), 'powershell|-enc') WHEN 'T1033' THEN regexp_matches(lower(data), 'whoami|net user') ELSE contains(lower(data), lower(thing)) END",
+    "Stage": """CASE thing WHEN 'Execution' THEN contains(lower(fact_type), 'execution') OR contains(lower(data), 'powershell') WHEN 'CredentialAccess' THEN contains(lower(fact_type), 'credential') OR regexp_matches(lower(data), 'lsass|mimikatz')
+      WHEN 'Persistence' THEN contains(lower(fact_type), 'persist') OR contains(lower(data), 'schtasks') ELSE contains(lower(fact_type), lower(thing)) OR contains(lower(data), lower(thing)) END""",
+    "Asset": "entity_key = thing", "Pyramid": "lower(pain_level) = lower(thing)",
+}
+SCORED = f"""WITH f AS ({SCENARIO_FACTS}), t AS (SELECT *, row_number() OVER (ORDER BY scenario, criterion, thing) AS n FROM ({TRUTH})),
+h AS (SELECT t.n, CASE any_value(criterion) WHEN 'Edge' THEN bool_or(entity_key = thing) AND bool_or(entity_key = other) ELSE bool_or(CASE criterion {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SAYS.items())} END) END AS hit
+  FROM t LEFT JOIN f ON t.scenario = f.scenario GROUP BY t.n),
+c AS (SELECT scenario, criterion, count(*) FILTER (coalesce(hit, false)) AS hits, count(*) AS n FROM t JOIN h ON t.n = h.n GROUP BY ALL UNION ALL SELECT scenario, 'Evidence', count(*) FILTER (backed), count(*) FROM f WHERE scenario IN (SELECT scenario FROM t) GROUP BY ALL)
+SELECT scenario, CAST(place AS INT) AS place, name, CAST(CASE criterion WHEN 'Evidence' THEN round(hits / n * 20) ELSE hits * points END AS BIGINT) AS points, CAST(CASE criterion WHEN 'Evidence' THEN 20 ELSE n * points END AS BIGINT) AS most, replace(replace(words, '#', CAST(hits AS VARCHAR)), '@', CAST(n AS VARCHAR)) AS explanation
+FROM c JOIN (VALUES ('Asset', 1, 'Assets Discovered (Coverage)', 20, 'Discovered #/@ required assets'), ('Fact', 2, 'Fact Detection (Correctness)', 20, 'Identified #/@ expected security facts'), ('Evidence', 3, 'Evidence Quality (Provenance)', 20, '#/@ facts backed by cryptographic evidence provenance'),
+  ('Technique', 4, 'ATT&CK Mapping (Accuracy)', 20, 'Mapped #/@ required ATT&CK techniques'), ('Edge', 5, 'Attack Graph (Edge Provenance)', 20, 'Reconstructed #/@ attack graph edges'), ('Stage', 6, 'Kill Chain Progression', 15, 'Traced #/@ Kill Chain attack stages'),
+  ('Pyramid', 7, 'Pyramid of Pain (Depth)', 15, 'Attained #/@ required indicator depths')) v(criterion, place, name, points, words) USING (criterion)"""
 
 
-@query("""
-WITH e AS (SELECT 'toxic' AS kind, doc_id FROM labels WHERE toxic = 1 UNION ALL SELECT 'quality', doc_id FROM labels WHERE quality = 1 UNION ALL SELECT 'both', doc_id FROM labels WHERE toxic = 1 AND quality = 1),
-s AS (SELECT k.kind, count(e.doc_id) AS expected, count(*) FILTER (e.doc_id % 3 <> 0) AS points FROM (VALUES ('toxic'), ('quality'), ('both'), ('nothing')) k(kind) LEFT JOIN e USING (kind) GROUP BY 1)
-SELECT kind, expected, points, CASE WHEN expected = 0 THEN 100.0 ELSE round(points * 100.0 / expected, 2) END AS percent FROM s""")
+@query(SCORED)
 def scenario_criteria(t):
-    la = t("labels")
-    truth = None
-    for name, where in (("toxic", "toxic = 1"), ("quality", "quality = 1"), ("both", "toxic = 1 AND quality = 1")):
-        own = la.where(where).select(F.lit(name).alias("kind"), F.col("doc_id").alias("thing"))
-        truth = own if truth is None else truth.union(own)
-    return reports.criteria(truth, truth.where("thing % 3 <> 0"), CRITERIA)
+    return verification.criteria(scenario_truth(t), scenario_facts(t))
+
+
+@query(f"""WITH s AS ({SCORED}), z AS (SELECT scenario, sum(points) AS p, sum(most) AS m, string_agg('- ' || name || ': +' || points || ' / ' || most || ' pts | ' || explanation || chr(10), '' ORDER BY place) AS lines FROM s GROUP BY 1)
+SELECT scenario, 'Scenario: ' || scenario || ' | Total Score: ' || CAST(p AS BIGINT) || '/' || CAST(m AS BIGINT) || ' (' || printf('%.1f', p / m * 100.0) || '%)' || chr(10) || repeat('-', 40) || chr(10) || lines AS summary FROM z""")
+def explained_scores(t):
+    truth = scenario_truth(t)
+    scored = verification.criteria(truth, scenario_facts(t))
+    return verification.explained(scored, verification.totals(scored, truth))
 
 
 @query("""SELECT id, entity_type FROM (SELECT p_partkey AS id, CASE WHEN p_size < 20 THEN 'Process' ELSE 'Host' END AS entity_type, row_number() OVER (PARTITION BY p_size < 20 ORDER BY p_partkey % 5 = 0 DESC, p_partkey) AS r FROM part) WHERE r <= CASE entity_type WHEN 'Process' THEN 30 ELSE 20 END""")

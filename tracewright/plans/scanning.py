@@ -79,11 +79,44 @@ def windows_build_states(t):
     return scans.windows_builds(hosts, fixes).withColumn("first_fix", F.col("first_fix").cast("string"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'KB' WHEN p_partkey % 3 = 0 THEN 'VendorRange' WHEN p_partkey % 5 = 0 THEN 'Package' WHEN p_partkey % 7 = 0 THEN 'Cpe' ELSE 'None' END AS how, CASE WHEN p_partkey % 2 = 0 THEN 90 WHEN p_partkey % 3 = 0 THEN 100 WHEN p_partkey % 5 = 0 THEN 80 WHEN p_partkey % 7 = 0 THEN 60 ELSE 0 END AS sure FROM part""")
+LADDER = """WITH x AS (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS s_suppkey FROM lineitem),
+y AS (SELECT p_partkey, s_suppkey, ['Windows', 'Debian', 'RedHat', 'npm'][p_size % 4 + 1] AS eco, p_name AS name, p_size AS minor, CASE WHEN p_size % 4 = 3 AND p_size % 5 = 0 THEN 'abc' ELSE '1.' || p_size || '.0' END AS version, CAST(floor(p_retailprice) AS BIGINT) AS ubr,
+  'CVE-' || s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'GHSA-' || s_suppkey WHEN 1 THEN 'kb' || s_nationkey END AS alias, ['Debian', 'RedHat', 'npm', 'Windows'][s_suppkey % 4 + 1] AS range_eco, CASE WHEN s_suppkey % 6 > 0 THEN s_suppkey % 50 END AS f1, ['COLD WIDGET', 'Small Widget', 'large bolt'][s_suppkey % 3 + 1] AS package2, s_suppkey % 40 AS f2,
+  s_suppkey % 2 = 0 AS has_cpe, CASE WHEN s_suppkey % 5 = 0 THEN 'KB' || s_nationkey END AS required, 'KB' || s_suppkey % 50 AS superseding, CASE WHEN s_suppkey % 5 = 1 THEN 900 + s_suppkey % 100 END AS fixed_ubr
+  FROM x JOIN part USING (p_partkey) JOIN supplier USING (s_suppkey)),
+z AS (SELECT *, CASE WHEN eco = 'Windows' AND required IS NOT NULL THEN 'kb' WHEN eco = 'Windows' AND fixed_ubr IS NOT NULL THEN 'ubr' WHEN eco = 'Windows' AND alias LIKE 'kb%' THEN 'alias' WHEN eco = range_eco AND contains(name, 'widget') THEN 'vendor' WHEN lower(package2) = name THEN 'named' WHEN has_cpe THEN 'cpe' ELSE 'alone' END AS how,
+  required = 'KB' || minor OR superseding = 'KB' || minor AS by_kb, upper(alias) = 'KB' || minor AS by_alias FROM y),
+v AS (SELECT *, CASE how WHEN 'vendor' THEN f1 WHEN 'named' THEN f2 END AS f FROM z)
+SELECT p_partkey, s_suppkey,
+  CASE how WHEN 'kb' THEN CASE WHEN by_kb THEN 'Fixed' ELSE 'Affected' END WHEN 'ubr' THEN CASE WHEN ubr >= fixed_ubr THEN 'Fixed' ELSE 'Affected' END WHEN 'alias' THEN CASE WHEN by_alias THEN 'Fixed' ELSE 'Affected' END
+    WHEN 'cpe' THEN 'Candidate' WHEN 'alone' THEN 'Candidate' ELSE CASE WHEN f IS NULL THEN 'Affected' WHEN version = 'abc' THEN 'Unknown' WHEN minor >= f THEN 'Fixed' ELSE 'Affected' END END AS status,
+  CASE how WHEN 'kb' THEN 'Required security update ' || required || CASE WHEN by_kb THEN ' (or superseding KB) is installed' ELSE ' is NOT installed' END WHEN 'ubr' THEN 'OS UBR ' || ubr || CASE WHEN ubr >= fixed_ubr THEN ' >= ' ELSE ' < ' END || 'required fixed UBR ' || fixed_ubr
+    WHEN 'alias' THEN 'Required security update ' || alias || CASE WHEN by_alias THEN ' is installed' ELSE ' is NOT installed' END WHEN 'cpe' THEN 'NVD CPE match found for ''' || name || ''', exact backport status requires vendor advisory check'
+    WHEN 'alone' THEN 'Matched candidate product name, version applicability unresolved'
+    WHEN 'vendor' THEN CASE WHEN f IS NULL THEN 'Vendor advisory notes package is affected with no fix recorded' WHEN version = 'abc' THEN 'Failed to parse version: abc' WHEN minor >= f THEN 'Vendor security fix present: current ' || version || ' >= fixed 1.' || f || '.0' ELSE 'Vulnerable vendor package: current ' || version || ' < fixed 1.' || f || '.0' END
+    ELSE CASE WHEN version = 'abc' THEN 'Cannot parse SemVer abc' WHEN minor >= f THEN 'Package fix present: current ' || version || ' >= fixed 1.' || f || '.0' ELSE 'Vulnerable package: current ' || version || ' < fixed 1.' || f || '.0' END END AS reason,
+  CAST(CASE how WHEN 'kb' THEN 0.96 WHEN 'ubr' THEN 0.94 WHEN 'alias' THEN 0.92 WHEN 'cpe' THEN 0.6 WHEN 'alone' THEN 0.3 WHEN 'vendor' THEN CASE WHEN f IS NULL THEN 0.85 WHEN version = 'abc' THEN 0.4 WHEN minor >= f THEN 0.98 ELSE 0.95 END ELSE CASE WHEN version = 'abc' THEN 0.4 WHEN minor >= f THEN 0.92 ELSE 0.88 END END AS DOUBLE) AS confidence,
+  CAST(CASE how WHEN 'vendor' THEN 100 WHEN 'named' THEN 70 WHEN 'cpe' THEN 40 WHEN 'alone' THEN 10 ELSE 90 END AS INT) AS rank, CASE how WHEN 'ubr' THEN '19045.' || ubr ELSE version END AS matched_version,
+  CASE how WHEN 'kb' THEN required WHEN 'alias' THEN alias WHEN 'ubr' THEN CAST(fixed_ubr AS VARCHAR) ELSE CASE WHEN f IS NOT NULL THEN '1.' || f || '.0' END END AS fixed_version, CASE how WHEN 'kb' THEN required WHEN 'alias' THEN alias WHEN 'vendor' THEN coalesce(alias, id) END AS advisory FROM v"""
+
+
+@query(LADDER)
 def applicability_ladder(t):
-    on = lambda k: F.when(F.col("p_partkey") % k == 0, "x")
-    how, sure = scans.applicability(on(2), on(3), on(5), on(7))
-    return t("part").select("p_partkey", how.alias("how"), sure.alias("sure"))
+    text = lambda head, c, tail="": F.concat(F.lit(head), c.cast("string"), F.lit(tail))
+    one_of = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
+    size, s = F.col("p_size"), F.col("s_suppkey")
+    products = t("part").select(
+        "p_partkey", one_of(("Windows", "Debian", "RedHat", "npm"), size % 4).alias("ecosystem"), F.col("p_name").alias("name"), F.when((size % 4 == 3) & (size % 5 == 0), "abc").otherwise(text("1.", size, ".0")).alias("version"),
+        F.lit(19045).alias("build"), F.floor("p_retailprice").alias("ubr"), F.array(text("KB", size)).alias("kbs"),
+    )
+    alias = F.when(s % 3 == 0, text("GHSA-", s)).when(s % 3 == 1, text("kb", F.col("s_nationkey")))
+    range_ = lambda ecosystem, package, fixed: F.struct(ecosystem.alias("ecosystem"), package.alias("package"), fixed.alias("fixed"))
+    vendor = range_(one_of(("Debian", "RedHat", "npm", "Windows"), s % 4), F.lit("widget"), F.when(s % 6 > 0, text("1.", s % 50, ".0")))
+    named = range_(F.lit("Other"), one_of(("COLD WIDGET", "Small Widget", "large bolt"), s % 3), text("1.", s % 40, ".0"))
+    fix = F.struct(F.when(s % 5 == 0, text("KB", F.col("s_nationkey"))).alias("required_kb"), F.array(text("KB", s % 50)).alias("superseding_kbs"), F.when(s % 5 == 1, 19045).alias("target_build"), F.when(s % 5 == 1, s % 100 + 900).alias("fixed_ubr"))
+    found = t("supplier").select("s_suppkey", text("CVE-", s).alias("id"), F.array_compact(F.array(alias)).alias("aliases"), F.array(vendor, named).alias("ranges"), (s % 2 == 0).alias("has_cpe"), F.when(s % 5 < 2, fix).alias("fix"))
+    pairs = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct().join(products, "p_partkey").join(found, "s_suppkey")
+    return scans.applicability(pairs).select("p_partkey", "s_suppkey", "status", "reason", "confidence", "rank", "matched_version", "fixed_version", "advisory")
 
 
 @query("""WITH a AS (SELECT DISTINCT p_partkey AS product_id, 'CVE-' || s_suppkey AS cve FROM part JOIN supplier ON p_size = s_suppkey AND s_suppkey < 20), b AS (SELECT DISTINCT p_partkey AS product_id, 'CVE-' || s_suppkey AS cve FROM part JOIN supplier ON s_nationkey = p_partkey % 25)
