@@ -1,5 +1,6 @@
 """Main text: pages that the weights haven't seen, hostile pages, odd rows by value."""
 
+import random
 import re
 import time
 from collections import Counter
@@ -55,12 +56,52 @@ def test_each_labelled_page_by_the_weights_of_the_others():
     assert kept > 0.9 * 6 and right > 0.9 * 6
 
 
+def test_marks_of_all_elements_count():
+    article = "<article><p>{}</p><p>{}</p></article>".format("Some words of the article, which go on for a while.", "And more of them, as long as these.")
+    names = " ".join(f"name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    for around in (f'<div class="{names} sidebar">', '<div class="' + "-".join(["x"] * 30) + '-sidebar">', "".join(f"<div class=q{chr(97 + i % 26)}{chr(97 + i // 26)}>" for i in range(60)) + "<div class=sidebar>"):
+        assert html_text.main_text(article + around + "<p>What stands beside the article isn't a part of it.</p></div>") == "Some words of the article, which go on for a while.\n\nAnd more of them, as long as these."
+
+
+def test_links_and_lists_of_an_article_stay():
+    page = (
+        "<nav><ul><li><a href=1>Home</a></li></ul></nav><article><p>The first paragraph has some words that go on for a while.</p><p><a href=1>A paragraph that is one link</a></p><p>More words follow here, and then a list of sources.</p>"
+        "<ul><li><a href=2>One source</a></li><li><a href=3>Other</a></li></ul><p>Yes</p><div class=advertisement><p>Buy this thing now, it is very good and very cheap.</p></div><p>The last paragraph ends the article with some more words.</p></article><footer>About</footer>"
+    )
+    assert html_text.main_text(page).split("\n\n") == [
+        "The first paragraph has some words that go on for a while.", "A paragraph that is one link", "More words follow here, and then a list of sources.", "One source", "Other", "Yes", "The last paragraph ends the article with some more words.",
+    ]
+
+
+def test_scan_equals_the_best_of_all_regions():
+    rng = random.Random(6)
+    for _ in range(1000):
+        scores = [rng.choice((-3, -2, -1, -0.5, 0, 0.5, 1, 2, 3)) for _ in range(rng.randint(0, 30))]
+        regions = [(sum(scores[i:j]), -i, -j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        start, end = html_text.best_region(scores)
+        best = max((r[0] for r in regions), default=0)
+        assert (end == start) == (best <= 0) and sum(scores[start:end]) == max(best, 0)
+
+
+def test_sums_of_elements_equal_those_of_their_features():
+    known = html_text.weights()
+    pages = ["".join(p) for p in parts([*HELD_OUT, *LAYOUTS])] + ["<form class=a><p>x y</p><main class='b post'><form><p>k</p></form><article class='b c'><div class=c>z</div><main>w</main></article>v</main></form>u"]
+    for page in pages:
+        own = html_text.read(page, known)
+        large = html_text.large_forms(own)
+        scorer = html_text.Scorer(known, large)
+        for b in own:
+            if not isinstance(b, str):
+                want = [sum(w.get(k, 0.0) for k in html_text.elements(b, large)) for w in (known.blocks, known.elements)]
+                assert all(abs(x - y) < 1e-9 for x, y in zip(scorer.around(b), want, strict=True))
+
+
 N = 1 << 20
 HOSTILE = {
     "quotes": "<p>hello</p><a " + "\"'" * (N // 2), "open tags": "<a " * (N // 3), "open scripts": "<script " * (N // 8), "unclosed scripts": "<script>" * (N // 8), "unclosed templates": "<template>" * (N // 10),
     "nested": "<div>" * 100_000 + "</b>" * 100_000, "inline in blocks": "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000, "comments": "<!--" * (N // 4), "comment ends": "<!-- --!" * (N // 8), "less": "<" * N,
     "attributes": "<a " + "b=c " * (N // 4) + ">x</a>", "classes": "<div class='" + "ad " * (N // 3) + "'>x</div>", "entities": "&amp" * (N // 4), "spaces": "<a" + " " * N, "equals": "<a" + "=" * N, "paragraphs": "<p>a" * (N // 4),
-    "items": "<li><ul>" * (N // 8), "closing": "</" * (N // 2), "no end": "<svg" * (N // 4), "mixed": "<svg>a</svg ><template><math>" * (N // 30), "classes nested": "".join(f"<div class=a{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}>" for i in range(40_000)),
+    "items": "<li><ul>" * (N // 8), "closing": "</" * (N // 2), "no end": "<svg" * (N // 4), "mixed": "<svg>a</svg ><template><math>" * (N // 30), "articles": "<div class='" + "".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " for i in range(676)) + "'>" + "<article>a</article>" * (N // 24), "articles nested": "<article class=ab>" * (N // 20), "classes nested": "".join(f"<div class=a{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}>" for i in range(40_000)),
 }
 
 

@@ -2,10 +2,12 @@
 
 A page becomes a sequence of tags and of blocks of words. Every word scores by where it stands, every tag negative; the
 weights are those of a logistic regression on pages labelled by hand (pages_labelled), on the names, classes and ids of the
-elements around a block, its length, its links and its end. One linear scan finds the contiguous region with the largest sum. Blocks in it whose words score below 0
-(adverts, notices and the like between paragraphs) are left out.
+elements around a block, its length, its links and its end. One linear scan finds the contiguous region with the largest sum. Blocks in it that stand in
+elements of another kind (adverts, notices and the like between paragraphs) are left out: a second regression, on elements alone, tells which, so a paragraph or list
+of the article stays however short it is and whether it is all links.
 
-A page is read in one pass whose time grows with its length alone, whatever it holds.
+A page is read in one pass whose time grows with its length alone, whatever it holds: the marks of all elements around a word count, but each element adds its own
+marks to the sums of the one around it, so neither their number nor the depth is limited.
 
 Defined cases: a null or empty html, or a page without a region over 0, has an empty text; of equal sums the first region
 counts; unclosed and stray tags are read as browsers mostly do; a tag, comment, script or the like that the page doesn't close ends it; repeated rows and nulls in page_id or url come
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from dataclasses import dataclass
 from functools import cache
 from math import tanh
 
@@ -130,15 +133,26 @@ def tokens(page: str):
 
 
 class Open:
-    """An open element, with what it and those around it say of the words in it.
+    """An open element: its own marks, the element around it, and what the marks of both score.
 
-    near holds the marks of the elements up to the closest article or main, far those of the elements around that.
+    Those up to the closest article or main score as near, those around that as far; later is what the near ones will score once they are far. Each is a
+    score with the words and one of the elements alone.
     """
 
-    __slots__ = ("name", "near", "far", "form", "block")
+    __slots__ = ("name", "own", "up", "scope", "form", "block", "near", "far", "later", "in_form", "home")
 
-    def __init__(self, name: str, near: frozenset, far: frozenset, form: int | None, block: str) -> None:
-        self.name, self.near, self.far, self.form, self.block = name, near, far, form, block
+    def __init__(self, name: str, own: frozenset, up: Open | None) -> None:
+        self.name, self.own, self.up, self.scope = name, own, up, name in SCOPES
+        self.form, self.block, self.home, self.in_form = (up.form, up.block, up.home, up.in_form) if up else (None, "", False, False)
+        self.near = self.far = self.later = (0.0, 0.0)
+
+    def around(self) -> tuple[set[str], set[str]]:
+        """The marks near and far."""
+        near, far, now, at = set(), set(), True, self
+        while at is not None:
+            (near if now else far).update(at.own)
+            now, at = now and not at.scope, at.up
+        return near, far
 
 
 def marks(name: str, own: dict[str, str]) -> frozenset:
@@ -146,32 +160,84 @@ def marks(name: str, own: dict[str, str]) -> frozenset:
     out = {f"<{name}>"} if name in BLOCKS else set()
     if own and name not in ("html", "body"):
         for key in ("class", "id", "role"):
-            for whole in own.get(key, "").lower().split()[:20]:
+            for whole in own.get(key, "").lower().split():
                 if not whole.startswith(STATES):
-                    out.update(w.removesuffix("s") for w in PIECES.findall(whole)[:8])
+                    out.update(w.removesuffix("s") for w in PIECES.findall(whole))
     return frozenset(out)
 
 
 class Block:
     """A run of words without a block's border in it."""
 
-    __slots__ = ("near", "far", "form", "name", "texts", "words", "linked")
+    __slots__ = ("at", "texts", "words", "linked")
 
     def __init__(self, at: Open) -> None:
-        self.near, self.far, self.form, self.name = at.near, at.far, at.form, at.block
+        self.at = at
         self.texts: list[str] = []
         self.words = self.linked = 0
 
 
-#: Elements around a word that are looked at; farther ones don't count, so that deep nesting stays cheap.
-MARKS = 40
+#: Elements that an article stands in, and the mark of forms, which counts for near words alone, and not for those of a form that holds the page.
+SCOPES, FORM = ("article", "main"), "<form>"
+
+
+@dataclass
+class Weights:
+    """Weights of features of blocks, of those of elements when they stand alone, and of tags."""
+
+    blocks: dict[str, float]
+    elements: dict[str, float]
+    tags: dict[str, float]
+
+    def of(self, key: str) -> tuple[float, float]:
+        return self.blocks.get(key, 0.0), self.elements.get(key, 0.0)
+
+
+def plus(x: tuple[float, float], y: tuple[float, float]) -> tuple[float, float]:
+    return x[0] + y[0], x[1] + y[1]
 
 
-def read(page: str) -> list[Block | str]:
+class Marks:
+    """The marks of all open elements, and those near, in numbers; scores by learned weights."""
+
+    def __init__(self, known: Weights) -> None:
+        self.weights: dict[str, tuple] = {FORM: ((0.0, 0.0), (0.0, 0.0))}
+        self.known, self.all, self.scopes = known, Counter(), [Counter()]
+
+    def add(self, at: Open) -> None:
+        up = at.up
+        if at.scope:
+            self.scopes.append(Counter())
+            at.far, at.home, at.in_form = plus(up.far, up.later), True, False
+        else:
+            at.near, at.far, at.later = up.near, up.far, up.later
+        near = self.scopes[-1]
+        for mark in at.own:
+            if not near[mark]:
+                if mark not in self.weights:
+                    self.weights[mark] = self.known.of(f"near {mark}"), self.known.of(f"far {mark}")
+                as_near, as_far = self.weights[mark]
+                at.near = plus(at.near, as_near)
+                if not self.all[mark]:
+                    at.later = plus(at.later, as_far)
+                at.in_form = at.in_form or mark == FORM
+            near[mark] += 1
+            self.all[mark] += 1
+
+    def remove(self, at: Open) -> None:
+        near = self.scopes[-1]
+        for mark in at.own:
+            near[mark] -= 1
+            self.all[mark] -= 1
+        if at.scope:
+            self.scopes.pop()
+
+
+def read(page: str, known: Weights | None = None) -> list[Block | str]:
     """Blocks of words and names of tags, in order."""
     out: list[Block | str] = []
-    root = Open("", frozenset(), frozenset(), None, "")
-    stack, borders = [root], [0]  # borders: places of the blocks among them
+    stack, borders = [Open("", frozenset(), None)], [0]  # borders: places of the blocks among them
+    open_marks = Marks(known or Weights({}, {}, {}))
     places: dict[str, list[int]] = {}
     now: Block | None = None
     links = forms = 0
@@ -181,6 +247,7 @@ def read(page: str) -> list[Block | str]:
         while len(stack) > down:
             gone = stack.pop()
             places[gone.name].pop()
+            open_marks.remove(gone)
             links -= gone.name == "a"
             if borders[-1] == len(stack):
                 borders.pop()
@@ -217,41 +284,66 @@ def read(page: str) -> list[Block | str]:
         innermost = stack[borders[-1]].name
         if (innermost == "p" and name in ENDS_P) or innermost in CLOSES.get(name, ()):
             drop(borders[-1])
-        up = stack[-1]
-        more = marks(name, own)
-        if name in ("article", "main"):
-            near, far = more, (up.near | up.far) if len(up.far) < MARKS else up.far
-        else:
-            near, far = (up.near | more) if more and len(up.near) < MARKS else up.near, up.far
-        form = up.form
+        at = Open(name, marks(name, own), stack[-1])
         if name == "form":
-            forms, form = forms + 1, forms
+            forms, at.form = forms + 1, forms
         places.setdefault(name, []).append(len(stack))
         if name in BLOCKS:
+            at.block = name
             borders.append(len(stack))
         links += name == "a"
-        stack.append(Open(name, near, far, form, name if name in BLOCKS else up.block))
+        open_marks.add(at)
+        stack.append(at)
     return out
 
 
-def keys(block: Block, large: set[int]) -> list[str]:
-    """Features of a block; large has the forms that hold most of the page's words and so aren't what forms mostly are."""
+def surface(block: Block) -> list[str]:
+    """Features of a block's words: how many there are, whether they are links, and how they end."""
     n, share = block.words, block.linked / max(1, block.words)
     end = "".join(block.texts[-1:]).rstrip()[-1:]
-    near = block.near - {"<form>"} if block.form in large else block.near
-    size = next((k for k, x in enumerate((2, 5, 9, 16, 40)) if n <= x), 5)
-    home = "article" if "<article>" in near or "<main>" in near else "page"
-    return [
-        home, f"in {block.name}", f"size {size} of {home}", f"links {0 if not share else 1 if share < 0.5 else 2}",
-        "sentence" if end in ".!?…:;,\"'»”" and end else "open", *(f"near {m}" for m in near), *(f"far {m}" for m in block.far if m != "<form>"),
-    ]
+    size = next((k for k, x in enumerate(SIZES) if n <= x), len(SIZES))
+    return [f"size {size} of {home(block)}", f"links {0 if not share else 1 if share < 0.5 else 2}", "sentence" if end in ".!?…:;,\"'»”" and end else "open"]
+
+
+#: Words of blocks of each size.
+SIZES = (2, 5, 9, 16, 40)
+
+
+def home(block: Block) -> str:
+    return "article" if block.at.home else "page"
+
+
+def elements(block: Block, large: set[int]) -> list[str]:
+    """Features of the elements around a block; large has the forms that hold most of the page's words and so aren't what forms mostly are."""
+    near, far = block.at.around()
+    return [home(block), f"in {block.at.block}", *(f"near {m}" for m in near if m != FORM or block.at.form not in large), *(f"far {m}" for m in far if m != FORM)]
+
+
+class Scorer:
+    """Scores of blocks by learned weights, from the sums that reading gave their elements."""
+
+    def __init__(self, known: Weights, large: set[int]) -> None:
+        self.known, self.large = known, large
+
+    def around(self, block: Block) -> tuple[float, float]:
+        """What the elements around a block score, with its words and alone."""
+        at, of = block.at, self.known.of
+        form = of(f"near {FORM}") if at.in_form and at.form not in self.large else (0.0, 0.0)
+        return plus(plus(of(home(block)), of(f"in {at.block}")), plus(plus(at.near, at.far), form))
+
+    def score(self, block: Block) -> float:
+        return max(-LOSS, block.words * tanh((self.around(block)[0] + sum(self.known.of(key)[0] for key in surface(block))) / 2))
+
+    def stays(self, block: Block) -> bool:
+        """Whether a block's elements are such as articles have."""
+        return self.around(block)[1] > 0
 
 
 def large_forms(own: list[Block | str]) -> set[int]:
     held = Counter()
     for b in own:
         if not isinstance(b, str):
-            held[b.form] += b.words
+            held[b.at.form] += b.words
     total = held.total()
     return {f for f, n in held.items() if f is not None and 2 * n > total}
 
@@ -259,21 +351,8 @@ def large_forms(own: list[Block | str]) -> set[int]:
 RIDGE, STEPS, COMPOSED = 1e-5, 25, 500
 
 
-def learn(pages: list[list[str]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of the features of blocks, and those of tags, from labelled pages in parts. Every weight of a tag is below 0."""
-    rows, labels, counts = [], [], []
-    inside, outside = Counter(), Counter()
-    for page in pages:
-        by_part = _by_part(page)
-        large = large_forms([b for own in by_part for b in own])
-        for k, own in enumerate(by_part):
-            for b in own:
-                if isinstance(b, str):
-                    (inside if k % 2 else outside)[b] += 1
-                elif b.words:
-                    rows.append(keys(b, large))
-                    labels.append(k % 2)
-                    counts.append(b.words)
+def fitted(rows: list[list[str]], labels: list[int], counts: list[int]) -> dict[str, float]:
+    """Weights of features by a logistic regression on rows, whose words count less than in proportion."""
     names = sorted({key for r in rows for key in r})
     place = {key: i for i, key in enumerate(names)}
     x = np.zeros((len(rows), len(names)))
@@ -282,15 +361,34 @@ def learn(pages: list[list[str]]) -> tuple[dict[str, float], dict[str, float]]:
     y, weight = np.array(labels, float), np.sqrt(np.array(counts, float))
     weight /= weight.sum()
     w = np.zeros(len(names))
-    for _ in range(STEPS):  # Newton on the logistic loss, words of a block counting less than in proportion
+    for _ in range(STEPS):  # Newton
         p = 1 / (1 + np.exp(-x @ w))
         slope = x.T @ (weight * (p - y)) + RIDGE * w
         curve = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(names))
         w -= np.linalg.solve(curve, slope)
+    return dict(zip(names, w.tolist(), strict=True))
+
+
+def learn(pages: list[list[str]]) -> Weights:
+    """Weights from labelled pages in parts. Every weight of a tag is below 0."""
+    around, words, labels, counts = [], [], [], []
+    inside, outside = Counter(), Counter()
+    for page in pages:
+        by_part = _by_part(page)
+        large = large_forms([b for own in by_part for b in own])
+        for k, own in enumerate(by_part):
+            for b in own:
+                if isinstance(b, str):
+                    (inside if k % 2 else outside)[b] += 1
+                elif b.words:
+                    around.append(elements(b, large))
+                    words.append(surface(b))
+                    labels.append(k % 2)
+                    counts.append(b.words)
     total = inside.total() + outside.total()
     # less than a word's score, or paragraphs of one word would be lost at the ends
     tags = {t: -0.01 - 0.1 * (outside[t] + total / 1000) / (inside[t] + outside[t] + total / 500) for t in {*inside, *outside}}
-    return dict(zip(names, w.tolist(), strict=True)), tags
+    return Weights(fitted([a + w for a, w in zip(around, words, strict=True)], labels, counts), fitted(around, labels, counts), tags)
 
 
 def _by_part(page: list[str]) -> list[list[Block | str]]:
@@ -306,7 +404,7 @@ def _by_part(page: list[str]) -> list[list[Block | str]]:
             if k:
                 out.append([])
             if text.strip():
-                part = Block(Open("", b.near, b.far, b.form, b.name))
+                part = Block(b.at)
                 part.texts, part.words = [text], len(text.split())
                 part.linked = min(b.linked, part.words)
                 out[-1].append(part)
@@ -314,7 +412,7 @@ def _by_part(page: list[str]) -> list[list[Block | str]]:
 
 
 @cache
-def weights() -> tuple[dict[str, float], dict[str, float]]:
+def weights() -> Weights:
     return learn(parts([*LAYOUTS * 3, *composed(COMPOSED)]))
 
 
@@ -324,11 +422,17 @@ LOSS = 3.0
 UNKNOWN_TAG = -0.06
 
 
-def main_text(page: str, learned: tuple[dict[str, float], dict[str, float]] | None = None) -> str:
-    own = read(page)
-    known, tags = learned or weights()
-    large = large_forms(own)
-    scores = [tags.get(b, UNKNOWN_TAG) if isinstance(b, str) else max(-LOSS, b.words * tanh(sum(known.get(key, 0.0) for key in keys(b, large)) / 2)) for b in own]
+def main_text(page: str, learned: Weights | None = None) -> str:
+    known = learned or weights()
+    own = read(page, known)
+    scorer = Scorer(known, large_forms(own))
+    start, end = best_region([known.tags.get(b, UNKNOWN_TAG) if isinstance(b, str) else scorer.score(b) for b in own])
+    kept = ("".join(b.texts).split() for b in own[start:end] if not isinstance(b, str) and scorer.stays(b))
+    return "\n\n".join(" ".join(words) for words in kept if words)
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous region with the largest sum, the first and shortest of equal ones; nothing where no sum is over 0."""
     best, found, total, start = 0.0, (0, 0), 0.0, 0
     for k, s in enumerate(scores):
         if total <= 0:
@@ -336,8 +440,7 @@ def main_text(page: str, learned: tuple[dict[str, float], dict[str, float]] | No
         total += s
         if total > best:
             best, found = total, (start, k + 1)
-    kept = ("".join(b.texts).split() for b, s in zip(own[slice(*found)], scores[slice(*found)], strict=True) if not isinstance(b, str) and s > 0)
-    return "\n\n".join(" ".join(words) for words in kept if words)
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:
