@@ -392,6 +392,34 @@ def test_search_against_brute_force(spark):
     assert additive.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_search_with_any_magnitude_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    size = np.array([1e-200, 1e200, 5e-324 * 2**40, 1.0] * 15)[:, None]
+    rows = [(i, v.tolist(), 7, "v", 3, 1.5) for i, v in enumerate(x * size)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row long, v string, block int, score double")
+    got = {}
+    for r in additive.search(given, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    y = np.array([r[1] for r in rows])
+    y = y / np.abs(y).max(1, keepdims=True)
+    u = y / np.sqrt((y**2).sum(1, keepdims=True))
+    assert set(got) == {0, 50}
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -9
+        best = np.argsort(-s)[:5]
+        found = sorted(found)
+        assert [v for _, v, _ in found] == best.tolist() and np.allclose([z for _, _, z in found], s[best], atol=1e-9)
+
+
+def test_paths_of_a_hot_blob_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "HOT", 3)
+    rows = [(i, "password = hunter2222" if i % 2 else f"clean {i}") for i in range(40)] + [(None, "password = hunter2222")] * 5
+    out = secrets.scan(docs(spark, rows), secrets.new_path(spark, "ledger"))
+    assert by_row(out, "n_assign") == sorted(((i, 1 if "password" in t else None) for i, t in rows), key=str)
+
+
 def test_models_on_held_out_labels(spark):
     d, la = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     s = quality.score(d, quality.fit(d, la)).join(la, "doc_id").where("held_out").toPandas()

@@ -9,7 +9,7 @@ Every query is held against every code: the work grows with queries times rows,
 their number up to the memory of a task. Lists of codes by a first codeword would leave out too much: with these
 vectors, 64 of 256 such lists hold 0.8 of the five nearest, and 128 hold 0.94.
 
-Defined cases: vectors that are null, zero, not finite, hold nulls or have another number of components than most
+Defined cases: components may have any finite magnitude; vectors that are null, zero, not finite, hold nulls or have another number of components than most
 take no part; rows with a null vec_id take no part; equal nearness goes to the smaller vec_id. Of rows that repeat the vec_id of a query, the one with the
 smallest vector asks, and the others are candidates as any row is; a repeated vec_id may thus stand several times in a result. An empty table gives no rows; other columns are ignored.
 """
@@ -76,8 +76,14 @@ def encode(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return chosen, (made**2).sum(1)
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to 0.5 or more and below 1: squares neither vanish nor overflow, and no other digit changes."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
@@ -165,7 +171,7 @@ def search(embeddings: DataFrame, step: int = 50, k: int = 5, rerank: int = RERA
 
     def exact(batches):
         for batch in batches:
-            x, y = matrix(batch.column("v")), matrix(batch.column("w"))
+            x, y = scaled(matrix(batch.column("v"))), scaled(matrix(batch.column("w")))
             s = (x * y).sum(1) / (np.sqrt((x**2).sum(1)) * np.sqrt((y**2).sum(1)))
             yield {"query_id": batch.column("query_id"), "vec_id": batch.column("vec_id"), "row": batch.column("row"), "score": s}
 

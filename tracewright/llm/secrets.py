@@ -28,8 +28,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Kinds besides the base, in the order listed.
 MORE = {"github": (re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}"), "_"), "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), "-----BEGIN ")}
 ORDER = {kind: k for k, kind in enumerate((*BASE, *MORE))}
-#: The session's setting that names a ledger to go on with, and parts that the paths of a blob are dealt over.
-LASTING, PARTS = "spark.tracewright.secretLedger", 8
+#: The session's setting that names a ledger to go on with, and paths of a blob from which on they are dealt over parts of so many.
+LASTING, HOT = "spark.tracewright.secretLedger", 100_000
 LEDGER = "blob binary, rules string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -96,10 +96,12 @@ def scan(docs: DataFrame, ledger: str) -> DataFrame:
         blobs = blobs.join(seen.where(F.col("rules") == RULES).select("blob"), "blob", "left_anti")
     map_batches(blobs.repartition("blob"), _scan, LEDGER).write.mode("append").parquet(ledger)
     found = spark.read.schema(LEDGER).parquet(ledger).where((F.col("rules") == RULES) & (F.col("spans") != "")).drop("rules").dropDuplicates(["blob"])
-    # a blob may be the text of a third of all paths: they are dealt over parts, and the findings, far fewer and shorter, go to each
-    found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
-    paths = texts.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"), part.alias("part"))
+    paths = texts.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"))
+    # a blob may be the text of a third of all paths: those of such a one are dealt over parts, and its findings go to each. There is at most one for HOT paths, 40 bytes each
+    hot = paths.groupBy("blob").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("blob", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    found = found.join(F.broadcast(hot), "blob", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    paths = paths.join(F.broadcast(hot), "blob", "left").select("doc_id", "blob", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
     return paths.join(found, ["blob", "part"], "left").drop("part")
 
 
