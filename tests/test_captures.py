@@ -1,5 +1,7 @@
 import struct
+import tracemalloc
 
+from tracewright.functions import blake3
 from tracewright.operators import flows
 from tracewright.sources import captures
 
@@ -47,14 +49,86 @@ def test_block_files(spark, tmp_path):
     interface = block(1, struct.pack("<HHI", 1, 0, 0) + struct.pack("<HHB3x", 9, 1, 9) + struct.pack("<HHq", 14, 8, 2) + struct.pack("<HH", 0, 0))
     frame = tcp(A, B, 1, 80, 7, 2)
     packet = block(6, struct.pack("<IIIII", 0, 0, 5000, len(frame), len(frame)) + frame)
-    got = read(spark, tmp_path, section + interface + packet + block(99, b"abc") + packet[:20]).collect()
-    assert [(r.packet_index, r.ts_us, r.src_ip, r.issue) for r in got] == [(0, 2_000_005, "10.0.0.1", None), (None, None, None, "truncated block")]
+    got = read(spark, tmp_path, section + interface + packet + block(99, b"abc") + packet[:20]).orderBy("packet_index").collect()
+    assert [(r.packet_index, r.ts_us, r.src_ip, r.issue) for r in got] == [(0, 2_000_005, "10.0.0.1", None), (1, None, None, "truncated block")]
+    assert got[1].offset == len(section + interface + packet + block(99, b"abc"))
+
+
+def records(*given, snaplen=65535, order="<"):
+    """A classic file of records as given: seconds, part of one, captured and original length, bytes."""
+    out = struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, snaplen, 1)
+    return out + b"".join(struct.pack(order + "IIII", *numbers) + data for *numbers, data in given)
+
+
+def test_kinds_of_issues(spark, tmp_path):
+    good = (1, 2, 60, 60, bytes(60))
+    for bad, kind, more in (
+        ((1, 2, 17 << 20, 60, b""), "PacketLengthLimitExceeded", 0), ((1, 2, 60, 60, bytes(59)), "TruncatedPacketRecord", 0), ((1, 2, 70000, 70000, bytes(70000)), "CapturedLengthExceedsSnaplen", 0),
+        ((1, 2, 60, 59, bytes(60)), "OriginalLengthSmallerThanCaptured", 1), ((1, 10**6, 60, 60, bytes(60)), "InvalidTimestampFraction", 2),
+    ):
+        data = records(good, bad) if kind.startswith("Truncated") else records(good, bad, good)
+        got = read(spark, tmp_path, data).collect()
+        assert sorted((r.issue or "", r.packet_index, r.offset) for r in got if r.issue) == [(kind, 1, 24 + 76)]
+        assert len([r for r in got if not r.issue]) == 1 + more and captures.summary(read(spark, tmp_path, data)).first()["quality"] == "Partial"
+        if kind == "InvalidTimestampFraction":
+            assert sorted((r.packet_index, r.ts_us) for r in got if not r.issue and r.ts_us) == [(0, 1_000_002), (2, 1_000_002)]
+
+
+def sections():
+    """Two sections of different byte order, interfaces between packets, and blocks of other kinds."""
+    out, n = b"", 0
+    for order in "<>":
+        pack = lambda kind, body, order=order: struct.pack(order + "II", kind, len(body) + -len(body) % 4 + 12) + body + bytes(-len(body) % 4) + struct.pack(order + "I", len(body) + -len(body) % 4 + 12)
+        out += pack(captures.SECTION, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+        for interface in range(3):
+            out += pack(1, struct.pack(order + "HHI", 1, 0, 0) + struct.pack(order + "HHB3x", 9, 1, 6 + interface)) + pack(99, b"x" * interface)
+            for _ in range(7):
+                frame = tcp(A, B, 1000 + n, 80, n, 24, b"data" * (n % 5))
+                out += pack(6, struct.pack(order + "IIIII", n % (interface + 1), 0, 1000 + n, len(frame), len(frame)) + frame)
+                n += 1
+    return out
+
+
+def test_any_ranges_give_the_rows_of_one_pass(spark, tmp_path):
+    frames = [tcp(A, B, k, 80, k, 24, bytes([k]) * (k * 7 % 90)) for k in range(60)]
+    for data in (classic(frames), classic(frames, ">"), sections(), records((1, 2, 60, 60, bytes(60)), (1, 2, 60, 59, bytes(60)), (1, 10**6, 60, 60, bytes(60)), (1, 2, 60, 60, bytes(60)))):
+        (tmp_path / "x.cap").write_bytes(data)
+        want = captures.packets_of(spark.createDataFrame([(str(tmp_path / "x.cap"), data)], "path string, content binary"), hashes=True)
+        want = sorted(map(str, want.collect()))
+        for size in (1, 200, 1000, 1 << 20):
+            assert sorted(map(str, captures.packets(spark, str(tmp_path / "x.cap"), size, hashes=True).collect())) == want
+            cuts = captures.ranges(spark, str(tmp_path / "x.cap"), size).where("issue IS NULL").collect()
+            assert size > 1000 or len(cuts) >= len(data) // (size + 200) // 2
+    digest = captures.packets(spark, str(tmp_path / "x.cap"), hashes=True).where("packet_index = 0 AND issue IS NULL").first()["packet_hash"]
+    assert digest == blake3.digests([bytes(60)])[0]
+
+
+def test_a_file_beyond_two_gigabytes_takes_bounded_memory(spark, tmp_path):
+    # holes of a sparse file: 400 packets of 8 MB
+    path, size, n = tmp_path / "large.cap", 8 << 20, 400
+    with open(path, "wb") as f:
+        f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 16 << 20, 1))
+        for k in range(n):
+            f.write(struct.pack("<IIII", k, 5, size, size))
+            f.seek(size - 1, 1)
+            f.write(b"\x01")
+    assert path.stat().st_size > 3 << 30
+    tracemalloc.start()
+    with open(path, "rb") as f:
+        cuts = list(captures.walk(f, path.stat().st_size, 64 << 20))
+        assert sum((c.end - c.start) for c in cuts) == path.stat().st_size - 24 and len(cuts) > 40
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+        rows = [r for r in captures.rows_of("x", f, cuts[-1])]
+    assert rows[-1]["packet_index"] == n - 1 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    found = captures.packets(spark, str(path)).agg({"packet_index": "max", "captured": "sum", "*": "count"}).first()
+    assert tuple(found.asDict().values()) == (n - 1, n * size, n) or set(found.asDict().values()) == {n - 1, n * size, n}
 
 
 def test_damaged_files(spark, tmp_path):
     frames = [tcp(A, B, 1, 80, 7, 2)] * 2
-    for data, want in ((b"", []), (b"hello", ["unknown format"]), (classic(frames, cut=3), [None, "truncated record"]), (classic(frames)[:10], ["truncated header"]), (classic([]), [])):
-        assert [r.issue for r in read(spark, tmp_path, data).collect()] == want
+    for data, want in ((b"", ["unknown format"]), (b"hello", ["unknown format"]), (classic(frames, cut=3), [None, "TruncatedPacketRecord"]), (classic(frames) + b"tail", [None, None]), (classic(frames)[:10], ["truncated header"]), (classic([]), [])):
+        assert [r.issue for r in read(spark, tmp_path, data).orderBy("packet_index").collect()] == want
 
 
 def test_flows_and_instances(spark, tmp_path):
