@@ -11,7 +11,7 @@ from ..functions import recipes as R
 from ..functions import scalar as S
 from ..functions import shell as X
 from ..functions import text as T
-from ..operators import windows
+from ..operators import reassembly, windows
 from .catalog import query
 
 def text_of(column):
@@ -175,26 +175,66 @@ def _label(text):
     return F.concat(_hex(F.length(text), 2), F.hex(text.cast("binary")))
 
 
-@query("""SELECT c_custkey, 'c' || c_custkey || '.test' AS qname, '1' AS qtype, CASE WHEN c_custkey % 3 <> 2 THEN '10.0.0.' || c_custkey % 250 || '|c' || c_custkey || '.test' ELSE '' END AS answers, CASE WHEN c_custkey % 3 = 2 THEN 'pointer' END AS issue FROM customer""")
+@query("""SELECT c_custkey, 'C' || c_custkey || '.' || lower(c_mktsegment) AS qname, '1' AS qtype, CASE WHEN c_custkey % 3 <> 2 THEN '10.0.0.' || c_nationkey || '|C' || c_custkey || '.' || lower(c_mktsegment) ELSE '' END AS answers,
+  CASE WHEN c_custkey % 3 = 2 THEN 'CompressionPointerOutOfBounds' END AS issue, CASE WHEN c_custkey % 3 = 2 THEN 'Degraded' ELSE 'Complete' END AS quality FROM customer""")
 def dns_messages(t):
     key = F.col("c_custkey")
-    name = F.concat(_label(F.concat(F.lit("C"), text_of(key))), _label(F.lit("test")), F.lit("00"))
-    # an address and an alias, whose names point to the question; in every third message the pointer leads forwards
-    pointer = F.when(key % 3 == 2, "C0FF").otherwise("C00C")
-    answer = F.concat(pointer, F.lit("00010001000000000004"), F.lit("0A0000"), _hex(key % 250, 2), pointer, F.lit("00050001000000000002C00C"))
-    return t("customer").select("c_custkey", P.dns(F.unhex(F.concat(F.lit("12348180000100020000"), F.lit("0000"), name, F.lit("00010001"), answer))).alias("m")).select("c_custkey", "m.qname", text_of(F.col("m.qtype")).alias("qtype"), F.array_join("m.answers", "|").alias("answers"), "m.issue")
+    # an address and an alias, whose names point to the question; in every third message the pointer leads out of it
+    message = dns_answer(_label(F.concat(F.lit("C"), text_of(key))), _label(F.lower("c_mktsegment")), F.when(key % 3 == 2, "C0FF").otherwise("C00C"), F.col("c_nationkey").cast("long"))
+    own = t("customer").select("c_custkey", P.dns(F.unhex(message)).alias("m"))
+    return own.select("c_custkey", "m.qname", text_of(F.col("m.qtype")).alias("qtype"), F.array_join(F.transform("m.answers", lambda a: a["value"]), "|").alias("answers"), "m.issue", P.quality(F.col("m.issue")).alias("quality"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN 'ClientHello' END AS kind, CASE WHEN c_custkey % 4 > 0 THEN 'h' || c_custkey || '.test' END AS sni, CASE WHEN c_custkey % 4 > 0 THEN 'h2|http/1.1' ELSE '' END AS alpn, CASE WHEN c_custkey % 4 > 0 THEN '2' END AS ciphers, CASE WHEN c_custkey % 4 = 0 THEN 'not a handshake' END AS issue FROM customer""")
+def dns_answer(first, second, pointer, last):
+    """A message in hexadecimal numbers that asks for a name of two labels and answers with an address and an alias."""
+    answer = F.concat(pointer, F.lit("00010001000000000004"), F.lit("0A0000"), _hex(last, 2), pointer, F.lit("00050001000000000002C00C"))
+    return F.concat(F.lit("12348180000100020000"), F.lit("0000"), first, second, F.lit("00"), F.lit("00010001"), answer)
+
+
+@query("""SELECT c_nationkey, count(*) AS messages, CAST(sum(c_custkey) AS BIGINT) AS keys, max(lower(c_mktsegment)) AS segment FROM customer GROUP BY 1""")
+def dns_over_streams(t):
+    """Messages of a nation's customers as one stream of frames, cut into segments without regard to them, put together and read again."""
+    key = F.col("c_custkey")
+    message = F.unhex(dns_answer(_label(F.concat(F.lit("C"), text_of(key))), _label(F.lower("c_mktsegment")), F.lit("C00C"), F.col("c_nationkey").cast("long")))
+    frame = F.concat(F.unhex(_hex(F.octet_length(message).cast("long"), 4)), message)
+    streams = t("customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.hex(frame).alias("f")))), lambda x: x["f"]), "").alias("all"))
+    found = P.dns_frames(F.col("bytes"))
+    own = reassembly.streams_of(reassembly.reassembled(segments(streams, "c_nationkey", F.unhex("all")))).select(F.col("left").alias("c_nationkey"), F.explode(found).alias("m"))
+    own = own.select(F.split_part("c_nationkey", F.lit(":"), F.lit(1)).cast("int").alias("c_nationkey"), F.regexp_extract("m.qname", r"^C(\d+)\.", 1).cast("long").alias("k"), F.split_part("m.qname", F.lit("."), F.lit(2)).alias("s"))
+    return own.groupBy("c_nationkey").agg(F.count("*").alias("messages"), F.sum("k").alias("keys"), F.max("s").alias("segment"))
+
+
+def segments(rows, key, data, size=97, step=61):
+    """Packets of one stream a row from its key: segments of size bytes, step apart, so that they overlap, each as a packet of a capture."""
+    own = rows.select(F.col(key).cast("string").alias("src_ip"), data.alias("d")).withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("d") - 1, F.lit(0)), F.lit(step))))
+    payload = F.substring(F.col("d"), F.col("at") + 1, F.lit(size))
+    return own.select(
+        F.lit("f").alias("file"), F.col("at").cast("long").alias("packet_index"), F.col("at").cast("long").alias("ts_us"), F.octet_length(payload).cast("long").alias("captured"), F.octet_length(payload).cast("long").alias("original"), "src_ip",
+        F.lit("~").alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(2).alias("dst_port"), F.lit("TCP").alias("protocol"), F.lit("ACK").alias("tcp_flags"), (F.col("at") + 7).cast("long").alias("tcp_sequence"), payload.alias("payload"),
+        F.lit(None).cast("string").alias("issue"),
+    )
+
+
+@query("""SELECT doc_id, sha256(text) AS digest, 'Complete' AS status, strlen(text) AS size, (strlen(text) + 60) // 61 - 1 AS overlaps FROM documents WHERE strlen(text) > 97""")
+def stream_bytes(t):
+    found = reassembly.reassembled(segments(t("documents").where("octet_length(text) > 97"), "doc_id", F.col("text").cast("binary")))
+    key = F.split_part("left", F.lit(":"), F.lit(1)).cast("long").alias("doc_id")
+    odd = reassembly.issues_of(found).where("issue = 'OverlapIdentical'").groupBy(key).agg(F.count_distinct("second_packet").alias("overlaps"))
+    return reassembly.streams_of(found).select(key, F.sha2("bytes", 256).alias("digest"), "status", F.octet_length("bytes").cast("long").alias("size")).join(odd, "doc_id", "left")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN 'ClientHello' END AS kind, CASE WHEN c_custkey % 4 > 0 THEN 'H' || c_custkey || '.' || lower(c_mktsegment) END AS sni, CASE WHEN c_custkey % 4 > 0 THEN 'h2|http/1.1' END AS alpn, CASE WHEN c_custkey % 4 > 0 THEN '4867|4865' END AS ciphers,
+  CASE WHEN c_custkey % 4 = 0 THEN 'InvalidHandshake' END AS issue, CASE WHEN c_custkey % 4 = 0 THEN 'ParseError' ELSE 'NotPresentInCapture' END AS visibility FROM customer""")
 def tls_hellos(t):
-    host = F.hex(F.concat(F.lit("H"), text_of(F.col("c_custkey")), F.lit(".test")).cast("binary"))
+    host = F.hex(F.concat(F.lit("H"), text_of(F.col("c_custkey")), F.lit("."), F.lower("c_mktsegment")).cast("binary"))
     size = lambda h, digits: _hex((F.length(h) / 2).cast("long"), digits)
     framed = lambda h, digits: F.concat(size(h, digits), h)
     sni = F.concat(F.lit("0000"), framed(framed(F.concat(F.lit("00"), framed(host, 4)), 4), 4))
     more = framed(F.concat(F.lit("FF010001FF"), sni, F.lit("0010000E000C02683208687474702F312E31")), 4)
-    hello = F.concat(F.lit("0303" + "AB" * 32 + "00" + "000413011302" + "0100"), more)
+    hello = F.concat(F.lit("0303" + "AB" * 32 + "00" + "000413031301" + "0100"), more)
     record = F.concat(F.when(F.col("c_custkey") % 4 == 0, "17").otherwise("16"), F.lit("0301"), framed(F.concat(F.lit("01"), framed(hello, 6)), 4))
-    return t("customer").select("c_custkey", P.tls(F.unhex(record)).alias("m")).select("c_custkey", "m.kind", "m.sni", F.array_join("m.alpn", "|").alias("alpn"), text_of(F.col("m.ciphers")).alias("ciphers"), "m.issue")
+    own = t("customer").select("c_custkey", P.tls(F.unhex(record)).alias("m"))
+    return own.select("c_custkey", "m.kind", "m.sni", F.array_join("m.alpn", "|").alias("alpn"), F.array_join(F.transform("m.ciphers", text_of), "|").alias("ciphers"), "m.issue", "m.visibility")
 
 
 @query("""SELECT c_custkey AS session_id, CAST(CASE c_custkey % 6 WHEN 1 THEN 3 WHEN 5 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS BIGINT) AS sequence_no, CASE c_custkey % 6 WHEN 1 THEN 'sequence' WHEN 2 THEN 'digest' WHEN 3 THEN 'previous' WHEN 4 THEN 'genesis' ELSE 'digest' END AS issue FROM customer WHERE c_custkey % 6 > 0""")
