@@ -142,8 +142,12 @@ def key(version: Column, ecosystem: str) -> Column:
 
 def affected(version: Column, introduced: Column, fixed: Column, last: Column, ecosystem: str) -> Column:
     """Whether introduced <= version < fixed and version <= last. Null ends and an introduced of 0 are open; null if version has no order."""
-    own = key(version, ecosystem)
-    low = introduced.isNull() | (introduced == "0") | F.coalesce(own >= key(introduced, ecosystem), F.lit(False))
-    high = fixed.isNull() | F.coalesce(own < key(fixed, ecosystem), F.lit(False))
-    end = last.isNull() | F.coalesce(own <= key(last, ecosystem), F.lit(False))
-    return F.when(own.isNotNull(), low & high & end)
+    by = lambda c: key(c, ecosystem)
+    return affected_by_keys(by(version), introduced, by(introduced), fixed, by(fixed), last, by(last))
+
+
+def affected_by_keys(own: Column, introduced: Column, low: Column, fixed: Column, high: Column, last: Column, end: Column) -> Column:
+    """As affected, with the keys of the version and of each end."""
+    above = introduced.isNull() | (introduced == "0") | F.coalesce(own >= low, F.lit(False))
+    below = (fixed.isNull() | F.coalesce(own < high, F.lit(False))) & (last.isNull() | F.coalesce(own <= end, F.lit(False)))
+    return F.when(own.isNotNull(), above & below)

@@ -60,3 +60,31 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = e.select("b").union(alone).distinct().join(e.select("a"), F.col("b") == F.col("a"), "left_anti")
     return e.toDF("id", "component").union(roots.select("b", "b"))
+
+
+def with_edges(labels: DataFrame, added: DataFrame) -> DataFrame:
+    """labels (id, component), as components gives them, after edges (src, dst) were added: only components that the new edges connect change, and new ids come in.
+
+    The new edges are followed between components, from smallest id to smallest id, so the work grows with them and not with what was there.
+    """
+    ends = added.select(F.explode(F.array("src", "dst")).alias("id")).where("id IS NOT NULL").distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    ends = kept(ends)
+    at = [ends.toDF(end, f"_{end}") for end in ("src", "dst")]
+    between = added.where("src IS NOT NULL AND dst IS NOT NULL").join(at[0], "src").join(at[1], "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).where("src <> dst").distinct()
+    moved = kept(components(between).where("id <> component")).toDF("component", "_to")
+    new = ends.join(labels.select("id"), "id", "left_anti")
+    return labels.union(new).join(moved, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+
+
+def without_edges(labels: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFrame:
+    """labels after edges were removed from edges, which are those that there were: the components that lost one are computed again from the edges they have left, others stay.
+
+    An id stays, by itself where nothing holds it any more. Of an edge that is there several times all go; its direction doesn't matter.
+    """
+    way = lambda e: e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    gone = kept(way(removed))
+    touched = kept(labels.join(gone.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi").select("component").distinct())
+    members = kept(labels.join(touched, "component", "left_semi").select("id"))
+    left = way(edges).join(gone, ["src", "dst"], "left_anti").join(members.withColumnRenamed("id", "src"), "src", "left_semi")
+    again = components(left.union(members.select("id", "id")).toDF("src", "dst"))
+    return labels.join(touched, "component", "left_anti").select("id", "component").union(again.select("id", "component"))

@@ -39,12 +39,15 @@ def hits(packages: DataFrame, ranges: DataFrame, ecosystem: str, salt: int = SAL
     ranges has id, name, introduced, fixed, last_affected and may have versions, a list of exact ones. A name may hold a
     third of all packages: they are spread over salt parts, and ranges, far fewer, are repeated for each.
     """
-    spread = packages.withColumn("_p", F.pmod(F.xxhash64(*packages.columns), F.lit(salt)).cast("int"))
-    repeated = ranges.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    met = spread.join(repeated, ["name", "_p"]).drop("_p")
-    inside = versions.affected(F.col("version"), F.col("introduced"), F.col("fixed"), F.col("last_affected"), ecosystem)
+    key = lambda c: versions.key(F.col(c), ecosystem)
+    spread = packages.withColumn("_p", F.pmod(F.xxhash64(*packages.columns), F.lit(salt)).cast("int")).withColumn("_own", key("version"))
+    # a key for each version and each end of a range, before they meet
+    keyed = ranges.withColumns({"_low": key("introduced"), "_high": key("fixed"), "_last": key("last_affected")})
+    repeated = keyed.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    met = spread.join(repeated, ["name", "_p"])
+    inside = versions.affected_by_keys(*map(F.col, ("_own", "introduced", "_low", "fixed", "_high", "last_affected", "_last")))
     listed = F.array_contains("versions", F.col("version")) if "versions" in ranges.columns else F.lit(False)
-    return met.where(F.coalesce(inside, F.lit(False)) | F.coalesce(listed, F.lit(False)))
+    return met.where(F.coalesce(inside, F.lit(False)) | F.coalesce(listed, F.lit(False))).drop("_p", "_own", "_low", "_high", "_last")
 
 
 def first_fix(found: DataFrame, keys: list[str], ecosystem: str) -> DataFrame:
