@@ -1,3 +1,3 @@
 """Queries of the library; catalog has them all once this package is imported."""
 
-from . import catalog, encodings, hosts, investigation, scanning, stores  # noqa: F401
+from . import catalog, encodings, hosts, investigation, matching, scanning, stores  # noqa: F401
