@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 GRAM = 4
 
 
-def runs(text: Column, size: Column) -> Column:
-    """The different runs of size letters of a text; none where it is shorter."""
-    last = F.length(text) - size + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(text, k, size)))).otherwise(F.array().cast("array<string>"))
+def runs(text: Column, size: int) -> Column:
+    """The different runs of size letters of a text, found in one pass; none where it is shorter."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def sizes_of(asked: DataFrame) -> list[int]:
@@ -31,9 +30,11 @@ def found(needles: DataFrame, needle_id: str, needle: str, texts: DataFrame, tex
     asked = needles.select(F.col(needle_id).alias("_n"), low(F.col(needle)).alias("_needle")).where("_needle <> ''").distinct()
     read = texts.select(F.col(text_id).alias("_t"), low(F.col(text)).alias("_text")).where("_text <> ''").distinct()
     asked = asked.withColumn("_size", F.least(F.length("_needle"), F.lit(GRAM)))
-    wanted = asked.select("_n", "_size", F.explode(runs(F.col("_needle"), F.col("_size"))).alias("_run"))
-    every = F.flatten(F.array(*(F.transform(runs(F.col("_text"), F.lit(k)), lambda r: F.struct(F.length(r).alias("_size"), r.alias("_run"))) for k in sizes_of(asked))))
-    held = read.select("_t", F.explode(every).alias("x")).select("_t", "x.*").join(wanted.select("_size", "_run").distinct(), ["_size", "_run"], "left_semi")
+    own = F.coalesce(*(F.when(F.col("_size") == k, runs(F.col("_needle"), k)) for k in range(1, GRAM + 1)))
+    wanted = asked.select("_n", "_size", F.explode(own).alias("_run"))
+    # a run's size is that of its letters
+    every = F.flatten(F.array(*(runs(F.col("_text"), k) for k in sizes_of(asked))))
+    held = read.select("_t", F.explode(every).alias("_run")).withColumn("_size", F.length("_run")).join(wanted.select("_size", "_run").distinct(), ["_size", "_run"], "left_semi")
     counts = held.groupBy("_size", "_run").agg(F.count("*").alias("_c"))
     # a run that no text has rules its needle out
     rare = wanted.join(counts, ["_size", "_run"], "left").groupBy("_n").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "_size", "_run")).alias("m")).where("m.c > 0").select("_n", "m._size", "m._run")
