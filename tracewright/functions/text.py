@@ -42,6 +42,33 @@ def is_windows(product: Column) -> Column:
     return first.isin(*WINDOWS) & ~F.contains(key, F.lit(" on ")) & ~key.startswith("windows server update services")
 
 
+#: Releases of Windows by their builds, and processors by the names that products have for them.
+CLIENTS = {
+    10240: "", 10586: "1511", 14393: "1607", 15063: "1703", 16299: "1709", 17134: "1803", 17763: "1809", 18362: "1903", 18363: "1909", 19041: "2004", 19042: "20H2", 19043: "21H1", 19044: "21H2", 19045: "22H2",
+    22000: "21H2", 22621: "22H2", 22631: "23H2", 26100: "24H2", 26200: "25H2", 28000: "26H1",
+}
+SERVERS = {26100: "2025", 25398: "2022, 23H2 Edition", 20348: "2022", 17763: "2019", 14393: "2016", 9600: "2012 R2", 9200: "2012"}
+ARCHITECTURES, CORE_ONLY, FIRST_11 = {"x86_64": "x64-based", "aarch64": "ARM64-based", "x86": "32-bit"}, 25398, 22000
+
+
+def windows_product(caption: Column, build: Column, display_version: Column, installation_type: Column, product_type: Column, architecture: Column) -> Column:
+    """The name by which advisories know a Windows installation; null for a processor or build that they have no name for.
+
+    A server of an unknown build takes the year of its caption, and a client the label of its release.
+    """
+    pick = lambda table, key: F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+    processor = pick(ARCHITECTURES, architecture)
+    server = F.coalesce(product_type.isin(2, 3), F.lit(False)) | F.coalesce(installation_type.startswith("Server"), F.lit(False)) | F.coalesce(F.contains(caption, F.lit("Server")), F.lit(False))
+    year = F.regexp_extract(caption, r"^.*?Server (\d{4})", 1)
+    base = F.concat(F.lit("Windows Server "), F.coalesce(pick(SERVERS, build), F.when(year != "", year)))
+    core = F.coalesce(installation_type == "Server Core", F.lit(False)) | (build == CORE_ONLY)
+    as_server = F.concat(base, F.when(core, " (Server Core installation)").otherwise(""))
+    release = F.coalesce(pick(CLIENTS, build), F.when(display_version.rlike("^[0-9]{2}H[12]$"), display_version))
+    family = F.when(build >= FIRST_11, "Windows 11").otherwise("Windows 10")
+    as_client = F.concat(family, F.when(release == "", "").otherwise(F.concat(F.lit(" Version "), release)), F.lit(" for "), processor, F.lit(" Systems"))
+    return F.when(processor.isNotNull(), F.when(server, as_server).otherwise(as_client))
+
+
 def glob(path: Column, pattern: str) -> Column:
     """Whether a path matches a pattern as files of ignored paths have it: * within a name, ** across folders, ? one letter."""
     out, at = "", 0

@@ -45,12 +45,88 @@ def envelope(found: DataFrame, hosts: DataFrame, loaded: Column) -> DataFrame:
     return out.withColumn("status", F.when(~loaded, "DATASET_MISSING").when(F.col("findings") > 0, "VULNERABLE").otherwise("NO_KNOWN_FINDINGS"))
 
 
+#: Where a dependency was found, best place first, and what those places and severities are called; advisories and places that a finding lists.
+PLACES = {"manifest": "файл зависимостей", "lockfile": "lock-файл", "bundled": "копия библиотеки в проекте", "cdn": "загрузка с CDN", "installed": "установлен в окружении проекта"}
+RATINGS = {"Critical": "критическая", "High": "высокая", "Medium": "средняя", "Low": "низкая", "None": "низкая"}
+UNRATED, LISTED, OTHER_PLACES = "без оценки", 5, 50
+#: Severities of advisories in their order; one that isn't rated comes first.
+LEVELS = ("Unknown", "None", "Low", "Medium", "High", "Critical")
+
+
+def level(severity: Column) -> Column:
+    return F.greatest(F.lit(0), F.coalesce(F.array_position(F.array(*map(F.lit, LEVELS)), severity), F.lit(1)) - 1)
+
+
+def normal_name(ecosystem: Column, name: Column) -> Column:
+    """A package's name as its ecosystem compares it."""
+    return F.when(ecosystem == "PyPI", scalar.package_name(name, "PyPI")).when(ecosystem.isin("Packagist", "NuGet"), F.lower(name)).otherwise(name)
+
+
+def package_places(dependencies: DataFrame) -> DataFrame:
+    """ecosystem, key (the name as it is compared), version and places of each pinned package: manifests before lock files before others, then by file and line; each place (rank, file, line, kind, name) once."""
+    rank = F.lit(len(PLACES))
+    for k, kind in enumerate(PLACES):
+        rank = F.when(F.col("kind") == kind, k).otherwise(rank)
+    place = F.struct(rank.alias("rank"), "file", "line", "kind", "name")
+    own = dependencies.where("version IS NOT NULL").groupBy("ecosystem", normal_name(F.col("ecosystem"), F.col("name")).alias("key"), "version")
+    return own.agg(F.array_sort(F.collect_set(place)).alias("places"))
+
+
 def grouped_dependencies(dependencies: DataFrame) -> DataFrame:
-    """One row a package: ecosystem, name, version, where it was found (lock files before manifests, then by file and line) and in how many places."""
-    rank = F.when(F.col("kind") == "lockfile", 0).otherwise(1).alias("rank")
-    places = F.array_sort(F.collect_set(F.struct(rank, "file", "line")))
-    own = dependencies.groupBy("ecosystem", "name", "version").agg(places.alias("places"))
-    return own.select("ecosystem", "name", "version", F.size("places").alias("n"), F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["file"], p["line"].cast("string"))), ",").alias("places"))
+    """One row a pinned package: ecosystem, name as its first place has it, version, the places in order and how many there are."""
+    shown = F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["file"], p["line"].cast("string"))), ",")
+    return package_places(dependencies).select("ecosystem", F.col("places")[0]["name"].alias("name"), "version", F.size("places").alias("n"), shown.alias("places"))
+
+
+def dependency_findings(dependencies: DataFrame, advisories: DataFrame, ecosystems: tuple[str, ...]) -> DataFrame:
+    """A finding for each pinned package that advisories (ecosystem, key, version, id, severity, cvss, kev, malicious, summary, fix) name: rule, cwe, severity, message, first place, other places, and the version to go to.
+
+    A malicious package is critical, whatever its flaws. The version to go to is the largest fix by the order of the package's ecosystem, and null if an advisory has none; it is known for ecosystems alone.
+    """
+    keys = ["ecosystem", "key", "version"]
+    rank = level(F.col("severity"))
+    one = F.struct((~F.col("malicious")).alias("m"), (~F.col("kev")).alias("k"), (-rank).alias("s"), (-F.coalesce("cvss", F.lit(-1.0))).alias("c"), "id", "severity", "malicious", "kev", "summary")
+    lists = advisories.withColumns({"malicious": F.coalesce("malicious", F.lit(False)), "kev": F.coalesce("kev", F.lit(False))}).groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("a"))
+    targets = None
+    for ecosystem in ecosystems:
+        own = vulnerabilities.upgrade_target(advisories.where(F.col("ecosystem") == ecosystem).select(*keys, "fix"), keys, ecosystem)
+        targets = own if targets is None else targets.union(own)
+    met = package_places(dependencies).join(lists, keys).join(targets, keys, "left")
+    bad, flaws = F.filter("a", lambda x: x["malicious"]), F.filter("a", lambda x: ~x["malicious"])
+    met = met.withColumns({"bad": bad, "flaws": flaws, "main": F.col("places")[0]})
+    who = F.concat(F.col("main.name"), F.lit(" "), "version", F.lit(" ("), "ecosystem", F.lit(")"))
+    number, worst = F.size("flaws"), F.array_max(F.transform("flaws", lambda x: -x["s"]))
+    first = F.get("bad", F.lit(0))
+    summary = F.regexp_replace(F.coalesce(first["summary"], F.lit("")), r"\.+$", "")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    malicious = text(
+        "Пакет ", who, " опубликован злоумышленниками (", first["id"], ")", F.when(F.coalesce(first["summary"], F.lit("")) == "", "").otherwise(F.concat(F.lit(": "), summary)),
+        ". Удалите его из проекта и проверьте машины, где он устанавливался: такой пакет мог выполнить свой код при установке.", F.when(number > 0, text(" Кроме того, известных уязвимостей: ", number, ".")).otherwise(""),
+    )
+    label = F.create_map(*(F.lit(x) for pair in RATINGS.items() for x in pair))
+    shown = F.array_join(F.transform(F.slice("flaws", 1, LISTED), lambda x: F.concat(x["id"], F.lit(" ("), F.coalesce(F.try_element_at(label, x["severity"]), F.lit(UNRATED)), F.lit(")"))), ", ")
+    exploited = F.array_join(F.transform(F.filter("flaws", lambda x: x["kev"]), lambda x: x["id"]), ", ")
+    vulnerable = text(
+        who, ": известных уязвимостей ", number, ": ", shown, F.when(number > LISTED, text(" и ещё ", number - LISTED)).otherwise(""), ".", F.when(exploited != "", text(" Используются в реальных атаках (CISA KEV): ", exploited, ".")).otherwise(""),
+        F.when(F.col("target").isNotNull(), text(" Обновите до ", F.coalesce("target", F.lit("")), " или новее.")).otherwise(" Исправленной версии нет хотя бы для одной из них: замените библиотеку или закройте уязвимость по её описанию."),
+    )
+    is_bad = F.size("bad") > 0
+    is_level = lambda *names: worst.isin(*(LEVELS.index(n) for n in names))
+    severity = F.when(is_bad | is_level("Critical"), "critical").when(is_level("High"), "high").when(is_level("Low", "None"), "low").otherwise("medium")
+    others = F.transform(F.slice("places", 2, OTHER_PLACES), lambda p: F.concat_ws(":", p["file"], p["line"].cast("string")))
+    return met.select(
+        "ecosystem", F.col("main.name").alias("name"), "version", F.when(is_bad, "malicious-dependency").otherwise("vulnerable-dependency").alias("rule"), F.when(is_bad, 506).otherwise(1395).alias("cwe"), severity.alias("severity"),
+        F.when(is_bad, malicious).otherwise(vulnerable).alias("message"), F.col("main.file").alias("file"), F.col("main.line").alias("line"), others.alias("other_places"), F.col("target").alias("fixed_version"),
+    )
+
+
+def evaluated(products: DataFrame, assessed: DataFrame, key: str) -> DataFrame:
+    """One row a product: candidates, how many affect it and how many are fixed, and a status, which never says that a product is secure. assessed is as applicability gives it."""
+    count = lambda status: F.count_if(F.col("status") == status)
+    own = assessed.groupBy(key).agg(F.count("*").alias("candidates"), count("Affected").alias("affected"), count("Fixed").alias("fixed"))
+    out = products.select(key).distinct().join(own, key, "left").select(key, *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("candidates", "affected", "fixed")))
+    said = F.when(F.col("affected") > 0, F.format_string("VULNERABILITIES_IDENTIFIED: %d affected", "affected")).when(F.col("fixed") > 0, F.format_string("NO_ACTIVE_VULNERABILITIES: %d patched/backported", "fixed"))
+    return out.withColumn("message", said.otherwise("NO_KNOWN_MATCHED_VULNERABILITIES"))
 
 
 def unpinned(dependencies: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import recipes as R
 from ..functions import scalar as S
 from ..functions import shell as X
 from ..functions import text as T
-from ..operators import reassembly, windows
+from ..operators import observations, reassembly, windows
 from .catalog import query
 
 def text_of(column):
@@ -311,3 +311,36 @@ def hash_lists(t):
 @query("SELECT p_partkey, lower(p_brand) AS nuget, regexp_replace(lower(p_brand), '[-_.]+', '-', 'g') AS pypi, p_brand AS npm FROM part")
 def package_names_by_ecosystem(t):
     return t("part").select("p_partkey", *(S.package_name(F.col("p_brand"), e).alias(a) for e, a in (("NuGet", "nuget"), ("PyPI", "pypi"), ("npm", "npm"))))
+
+
+@query("""WITH p AS (SELECT c_nationkey AS host, c_custkey AS pid, c_custkey // 2 AS ppid, lower(c_mktsegment) AS name FROM customer)
+SELECT p.host, p.pid AS id, 'process' AS event, p.name, coalesce(q.name, '') AS more, lower(n_name) AS platform FROM p JOIN nation ON n_nationkey = p.host LEFT JOIN p q ON q.host = p.host AND q.pid = p.ppid
+UNION ALL SELECT s_nationkey, s_suppkey, 'scheduled_task', s_name, CASE WHEN s_suppkey % 3 > 0 THEN 'run' || CASE WHEN s_suppkey % 2 = 0 THEN ' -x' ELSE '' END END, lower(n_name) FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def host_observations(t):
+    hosts = t("nation").select(F.col("n_nationkey").alias("host"), F.lit("10.0.0.1").alias("host_ip"), F.lower("n_name").alias("platform"))
+    processes = t("customer").select(F.col("c_nationkey").alias("host"), F.col("c_custkey").alias("pid"), F.floor(F.col("c_custkey") / 2).alias("ppid"), F.lower("c_mktsegment").alias("name"))
+    key = F.col("s_suppkey")
+    tasks = t("supplier").select(F.col("s_nationkey").alias("host"), F.col("s_name").alias("task_name"), F.when(key % 3 > 0, "run").alias("action"), F.when(key % 2 == 0, "-x").otherwise(" ").alias("arguments"), key.alias("state"))
+    data = lambda name: F.get_json_object("data", f"$.{name}")
+    process = F.col("raw_event_type") == "process"
+    own = observations.of_hosts(hosts, processes=processes, tasks=tasks)
+    return own.select(
+        "host", F.when(process, data("pid")).otherwise(data("state")).cast("long").alias("id"), F.col("raw_event_type").alias("event"), F.coalesce(data("process_name"), data("task_name")).alias("name"),
+        F.when(process, data("parent_name")).otherwise(data("action")).alias("more"), data("platform").alias("platform"),
+    )
+
+
+@query("""WITH p AS (SELECT page_id, '/' || split_part(url, '/', 4) AS uri, split_part(url, '/', 3) AS host, len(html) AS n, strlen(html) + strlen(split_part(url, '/', 3)) + strlen('/' || split_part(url, '/', 4)) + 25 AS size FROM pages)
+SELECT page_id, uri, host, (size + 60) // 61 AS packets, 'Partial' AS flow_quality, 'Complete' AS protocol_quality FROM p""")
+def capture_observations(t):
+    """Requests whose bodies are pages, cut into segments of a capture: their sockets, and the head that the flow's bytes begin with."""
+    host, uri = F.split_part("url", F.lit("/"), F.lit(3)), F.concat(F.lit("/"), F.split_part("url", F.lit("/"), F.lit(4)))
+    message = F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"), F.col("html"))
+    packets = segments(t("pages"), "page_id", message.cast("binary")).withColumn("dst_port", F.lit(8080)).withColumn("packet_locator", F.lit("x"))
+    found = observations.of_capture(packets)
+    data = lambda name: F.get_json_object("data", f"$.{name}")
+    sent = found.where("raw_event_type = 'network_socket'").groupBy(data("source_ip").cast("long").alias("page_id")).agg(F.count("*").alias("packets"))
+    flows = found.where("raw_event_type = 'network_flow'").select(F.split_part(data("flow.left"), F.lit(":"), F.lit(1)).cast("long").alias("page_id"))
+    heads = found.where("raw_event_type = 'http_message'").select(data("uri").alias("uri"), data("host").alias("host"), "flow_quality", "protocol_quality").distinct()
+    pages = t("pages").select("page_id", uri.alias("uri"), host.alias("host"))
+    return pages.join(sent, "page_id").join(flows, "page_id", "left_semi").join(heads, ["uri", "host"])

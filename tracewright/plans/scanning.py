@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as text_functions
 from ..functions import versions as V
 from ..operators import scans, windows
 from .catalog import QUERIES, ORACLE_SQL, RANGES_SQL, _packages, _ranges, query
@@ -55,7 +56,7 @@ def dependencies(t):
     )
 
 
-@query(f"""SELECT ecosystem, name, version, CAST(count(*) AS INT) AS n, string_agg(file || ':' || line, ',' ORDER BY r, file, line) AS places FROM (SELECT DISTINCT ecosystem, name, version, CASE WHEN kind = 'lockfile' THEN 0 ELSE 1 END AS r, file, line FROM ({DEPENDENCIES})) GROUP BY 1, 2, 3""")
+@query(f"""SELECT ecosystem, name, version, CAST(count(*) AS INT) AS n, string_agg(file || ':' || line, ',' ORDER BY r, file, line) AS places FROM (SELECT DISTINCT ecosystem, name, version, CASE WHEN kind = 'lockfile' THEN 1 ELSE 0 END AS r, file, line FROM ({DEPENDENCIES}) WHERE version IS NOT NULL) GROUP BY 1, 2, 3""")
 def grouped_dependencies(t):
     return scans.grouped_dependencies(dependencies(t))
 
@@ -119,6 +120,58 @@ def applicability_ladder(t):
     return scans.applicability(pairs).select("p_partkey", "s_suppkey", "status", "reason", "confidence", "rank", "matched_version", "fixed_version", "advisory")
 
 
+#: Advisories of packages: their ids, severities and fixes follow from the package's number and version.
+KNOWN = """SELECT 'CVE-' || k || '-' || s_suppkey AS id, 'p' || p_partkey AS name, CAST(s_suppkey AS VARCHAR) AS version, ['Critical', 'High', 'Medium', 'Low'][(p_partkey + k) % 4 + 1] AS severity, (p_partkey + k) % 11 = 0 AS kev, p_partkey % 13 = 0 AND k = 1 AS malicious,
+  CASE WHEN (p_partkey + k) % 6 > 0 THEN CAST(s_suppkey + k AS VARCHAR) END AS fix, k FROM (SELECT DISTINCT l_partkey AS p_partkey, l_suppkey AS s_suppkey FROM lineitem WHERE l_suppkey % 3 > 0 AND l_partkey % 3 = 0) CROSS JOIN range(1, 8) r(k) WHERE k <= p_partkey % 8"""
+
+
+@query(f"""WITH d AS (SELECT DISTINCT ecosystem, name, version, CASE WHEN kind = 'lockfile' THEN 1 ELSE 0 END AS r, file, line FROM ({DEPENDENCIES}) WHERE version IS NOT NULL),
+m AS (SELECT ecosystem, name, version, arg_min(file, (r, file, line)) AS file, arg_min(line, (r, file, line)) AS line, count(*) AS places FROM d GROUP BY 1, 2, 3),
+a AS (SELECT * FROM ({KNOWN})), x AS (SELECT m.*, a.id, a.severity, a.kev, a.malicious, a.fix, a.k, (severity = 'Critical', severity = 'High', severity = 'Medium', severity = 'Low') AS s,
+  row_number() OVER (PARTITION BY m.ecosystem, m.name, m.version, malicious ORDER BY kev DESC, severity = 'Critical' DESC, severity = 'High' DESC, severity = 'Medium' DESC, id) AS o FROM m JOIN a ON a.name = m.name AND a.version = m.version),
+g AS (SELECT ecosystem, name, version, any_value(file) AS file, any_value(line) AS line, any_value(places) AS places, bool_or(malicious) AS bad, count(*) FILTER (NOT malicious) AS n, max(id) FILTER (malicious) AS mal,
+  string_agg(id || ' (' || CASE severity WHEN 'Critical' THEN 'критическая' WHEN 'High' THEN 'высокая' WHEN 'Medium' THEN 'средняя' ELSE 'низкая' END || ')', ', ' ORDER BY o) FILTER (NOT malicious AND o <= 5) AS shown, string_agg(id, ', ' ORDER BY o) FILTER (NOT malicious AND kev) AS attacked,
+  CASE WHEN count(fix) = count(*) THEN CAST(max(CAST(fix AS BIGINT)) AS VARCHAR) END AS target, CASE WHEN bool_or(malicious OR severity = 'Critical') THEN 'critical' WHEN bool_or(severity = 'High') THEN 'high' WHEN bool_or(severity = 'Medium') THEN 'medium' ELSE 'low' END AS severity FROM x GROUP BY 1, 2, 3)
+SELECT ecosystem, name, version, CASE WHEN bad THEN 'malicious-dependency' ELSE 'vulnerable-dependency' END AS rule, severity, file, line, least(50, places - 1) AS others, target AS fixed_version,
+  CASE WHEN bad THEN 'Пакет ' || name || ' ' || version || ' (' || ecosystem || ') опубликован злоумышленниками (' || mal || '): sum. Удалите его из проекта и проверьте машины, где он устанавливался: такой пакет мог выполнить свой код при установке.' || CASE WHEN n > 0 THEN ' Кроме того, известных уязвимостей: ' || n || '.' ELSE '' END
+  ELSE name || ' ' || version || ' (' || ecosystem || '): известных уязвимостей ' || n || ': ' || shown || CASE WHEN n > 5 THEN ' и ещё ' || (n - 5) ELSE '' END || '.' || CASE WHEN attacked IS NOT NULL THEN ' Используются в реальных атаках (CISA KEV): ' || attacked || '.' ELSE '' END
+    || CASE WHEN target IS NOT NULL THEN ' Обновите до ' || target || ' или новее.' ELSE ' Исправленной версии нет хотя бы для одной из них: замените библиотеку или закройте уязвимость по её описанию.' END END AS message FROM g""")
+def dependency_findings(t):
+    part, supplier, k = F.col("l_partkey"), F.col("l_suppkey"), F.col("k")
+    text = lambda head, *c: F.concat(F.lit(head), *(x.cast("string") for x in c))
+    pairs = t("lineitem").where("l_suppkey % 3 > 0 AND l_partkey % 3 = 0").select("l_partkey", "l_suppkey").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))).where("k <= l_partkey % 8")
+    bad = (part % 13 == 0) & (k == 1)
+    known = pairs.select(
+        text("CVE-", k, F.lit("-"), supplier).alias("id"), text("p", part).alias("key"), supplier.cast("string").alias("version"), F.element_at(F.array(*map(F.lit, ("Critical", "High", "Medium", "Low"))), ((part + k) % 4).cast("int") + 1).alias("severity"),
+        F.lit(None).cast("double").alias("cvss"), ((part + k) % 11 == 0).alias("kev"), bad.alias("malicious"), F.lit("sum.").alias("summary"), F.when((part + k) % 6 > 0, (supplier + k).cast("string")).alias("fix"),
+    )
+    both = known.withColumn("ecosystem", F.explode(F.array(F.lit("npm"), F.lit("PyPI"))))
+    found = scans.dependency_findings(dependencies(t), both, ("npm", "PyPI"))
+    return found.select("ecosystem", "name", "version", "rule", "severity", "file", "line", F.size("other_places").cast("long").alias("others"), "fixed_version", "message")
+
+
+@query(f"""WITH a AS (SELECT p_partkey, count(*) AS candidates, count(*) FILTER (status = 'Affected') AS affected, count(*) FILTER (status = 'Fixed') AS fixed FROM ({LADDER}) GROUP BY 1), b AS (SELECT part.p_partkey, coalesce(candidates, 0) AS candidates, coalesce(affected, 0) AS affected, coalesce(fixed, 0) AS fixed FROM part LEFT JOIN a ON a.p_partkey = part.p_partkey)
+SELECT *, CASE WHEN affected > 0 THEN 'VULNERABILITIES_IDENTIFIED: ' || affected || ' affected' WHEN fixed > 0 THEN 'NO_ACTIVE_VULNERABILITIES: ' || fixed || ' patched/backported' ELSE 'NO_KNOWN_MATCHED_VULNERABILITIES' END AS message FROM b""")
+def product_evaluations(t):
+    return scans.evaluated(t("part"), applicability_ladder(t), "p_partkey")
+
+
+INSTALLED = "SELECT c_custkey, c_mktsegment = 'MACHINERY' AS server, [10240, 14393, 19045, 22621, 26100, 20348, 25398, 40000][c_nationkey % 8 + 1] AS build, CASE WHEN c_acctbal > 5000 THEN '27H1' ELSE 'dev' END AS display, CASE WHEN c_custkey % 3 = 0 THEN 'Server Core' ELSE 'Client' END AS kind, ['x86_64', 'aarch64', 'x86', 'mips'][c_custkey % 4 + 1] AS arch FROM customer"
+
+
+@query(f"""WITH i AS ({INSTALLED}), n AS (SELECT *, CASE build WHEN 26100 THEN '2025' WHEN 25398 THEN '2022, 23H2 Edition' WHEN 20348 THEN '2022' WHEN 14393 THEN '2016' ELSE CASE WHEN server THEN '2028' END END AS s,
+  CASE build WHEN 10240 THEN '' WHEN 14393 THEN '1607' WHEN 19045 THEN '22H2' WHEN 22621 THEN '22H2' WHEN 26100 THEN '24H2' ELSE CASE WHEN display = '27H1' THEN display END END AS r, CASE arch WHEN 'x86_64' THEN 'x64-based' WHEN 'aarch64' THEN 'ARM64-based' WHEN 'x86' THEN '32-bit' END AS a FROM i)
+SELECT c_custkey, CASE WHEN a IS NULL THEN NULL WHEN server OR kind = 'Server Core' THEN 'Windows Server ' || s || CASE WHEN kind = 'Server Core' OR build = 25398 THEN ' (Server Core installation)' ELSE '' END
+  ELSE CASE WHEN build >= 22000 THEN 'Windows 11' ELSE 'Windows 10' END || CASE WHEN r = '' THEN '' ELSE ' Version ' || r END || ' for ' || a || ' Systems' END AS product FROM n""")
+def windows_product_names(t):
+    one_of = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
+    key = F.col("c_custkey")
+    caption = F.when(F.col("c_mktsegment") == "MACHINERY", "Microsoft Windows Server 2028 Standard").otherwise("Microsoft Windows")
+    build = one_of((10240, 14393, 19045, 22621, 26100, 20348, 25398, 40000), F.col("c_nationkey") % 8)
+    name = text_functions.windows_product(caption, build, F.when(F.col("c_acctbal") > 5000, "27H1").otherwise("dev"), F.when(key % 3 == 0, "Server Core").otherwise("Client"), F.lit(None).cast("int"), one_of(("x86_64", "aarch64", "x86", "mips"), key % 4))
+    return t("customer").select("c_custkey", name.alias("product"))
+
+
 @query("""WITH a AS (SELECT DISTINCT p_partkey AS product_id, 'CVE-' || s_suppkey AS cve FROM part JOIN supplier ON p_size = s_suppkey AND s_suppkey < 20), b AS (SELECT DISTINCT p_partkey AS product_id, 'CVE-' || s_suppkey AS cve FROM part JOIN supplier ON s_nationkey = p_partkey % 25)
 SELECT product_id, cve, 'package' AS source FROM a UNION ALL SELECT product_id, cve, 'cpe' FROM b WHERE product_id NOT IN (SELECT product_id FROM a)""")
 def package_or_cpe(t):
