@@ -139,12 +139,14 @@ class Open:
     score with the words and one of the elements alone.
     """
 
-    __slots__ = ("name", "own", "up", "scope", "form", "block", "near", "far", "later", "in_form", "home")
+    __slots__ = ("name", "own", "up", "scope", "form", "block", "near", "far", "later", "in_form", "home", "known", "inside")
 
     def __init__(self, name: str, own: frozenset, up: Open | None) -> None:
         self.name, self.own, self.up, self.scope = name, own, up, name in SCOPES
         self.form, self.block, self.home, self.in_form = (up.form, up.block, up.home, up.in_form) if up else (None, "", False, False)
         self.near = self.far = self.later = (0.0, 0.0)
+        #: Whether it has been scored, and elements in it by name and marks, since equal ones say the same.
+        self.known, self.inside = False, {}
 
     def around(self) -> tuple[set[str], set[str]]:
         """The marks near and far."""
@@ -181,6 +183,9 @@ class Block:
 SCOPES, FORM = ("article", "main"), "<form>"
 
 
+NOTHING = (0.0, 0.0)
+
+
 @dataclass
 class Weights:
     """Weights of features of blocks, of those of elements when they stand alone, and of tags."""
@@ -189,8 +194,11 @@ class Weights:
     elements: dict[str, float]
     tags: dict[str, float]
 
+    def __post_init__(self) -> None:
+        self.both = {key: (self.blocks.get(key, 0.0), self.elements.get(key, 0.0)) for key in {*self.blocks, *self.elements}}
+
     def of(self, key: str) -> tuple[float, float]:
-        return self.blocks.get(key, 0.0), self.elements.get(key, 0.0)
+        return self.both.get(key, NOTHING)
 
 
 def plus(x: tuple[float, float], y: tuple[float, float]) -> tuple[float, float]:
@@ -205,24 +213,33 @@ class Marks:
         self.known, self.all, self.scopes = known, Counter(), [Counter()]
 
     def add(self, at: Open) -> None:
-        up = at.up
         if at.scope:
             self.scopes.append(Counter())
+        if not at.known:
+            self.score(at)
+        near = self.scopes[-1]
+        for mark in at.own:
+            near[mark] += 1
+            self.all[mark] += 1
+
+    def score(self, at: Open) -> None:
+        """The sums of an element, whose own marks aren't counted yet."""
+        up, at.known = at.up, True
+        if at.scope:
             at.far, at.home, at.in_form = plus(up.far, up.later), True, False
         else:
             at.near, at.far, at.later = up.near, up.far, up.later
         near = self.scopes[-1]
         for mark in at.own:
-            if not near[mark]:
-                if mark not in self.weights:
-                    self.weights[mark] = self.known.of(f"near {mark}"), self.known.of(f"far {mark}")
-                as_near, as_far = self.weights[mark]
-                at.near = plus(at.near, as_near)
-                if not self.all[mark]:
-                    at.later = plus(at.later, as_far)
-                at.in_form = at.in_form or mark == FORM
-            near[mark] += 1
-            self.all[mark] += 1
+            if near.get(mark):
+                continue
+            if mark not in self.weights:
+                self.weights[mark] = self.known.of(f"near {mark}"), self.known.of(f"far {mark}")
+            as_near, as_far = self.weights[mark]
+            at.near = plus(at.near, as_near)
+            if not self.all.get(mark):
+                at.later = plus(at.later, as_far)
+            at.in_form = at.in_form or mark == FORM
 
     def remove(self, at: Open) -> None:
         near = self.scopes[-1]
@@ -284,7 +301,11 @@ def read(page: str, known: Weights | None = None) -> list[Block | str]:
         innermost = stack[borders[-1]].name
         if (innermost == "p" and name in ENDS_P) or innermost in CLOSES.get(name, ()):
             drop(borders[-1])
-        at = Open(name, marks(name, own), stack[-1])
+        up = stack[-1]
+        same = (name, marks(name, own))
+        at = None if name == "form" else up.inside.get(same)
+        if at is None:
+            at = up.inside[same] = Open(*same, up)
         if name == "form":
             forms, at.form = forms + 1, forms
         places.setdefault(name, []).append(len(stack))
@@ -323,20 +344,25 @@ class Scorer:
     """Scores of blocks by learned weights, from the sums that reading gave their elements."""
 
     def __init__(self, known: Weights, large: set[int]) -> None:
-        self.known, self.large = known, large
+        self.known, self.large, self.bases = known, large, {}
 
     def around(self, block: Block) -> tuple[float, float]:
         """What the elements around a block score, with its words and alone."""
-        at, of = block.at, self.known.of
-        form = of(f"near {FORM}") if at.in_form and at.form not in self.large else (0.0, 0.0)
-        return plus(plus(of(home(block)), of(f"in {at.block}")), plus(plus(at.near, at.far), form))
-
-    def score(self, block: Block) -> float:
-        return max(-LOSS, block.words * tanh((self.around(block)[0] + sum(self.known.of(key)[0] for key in surface(block))) / 2))
-
-    def stays(self, block: Block) -> bool:
-        """Whether a block's elements are such as articles have."""
-        return self.around(block)[1] > 0
+        at = block.at
+        kind = at.home, at.block, at.in_form and at.form not in self.large
+        if kind not in self.bases:
+            form = self.known.of(f"near {FORM}") if kind[2] else NOTHING
+            self.bases[kind] = plus(plus(self.known.of(home(block)), self.known.of(f"in {at.block}")), form)
+        base = self.bases[kind]
+        return base[0] + at.near[0] + at.far[0], base[1] + at.near[1] + at.far[1]
+
+    def judged(self, block: Block) -> tuple[float, bool]:
+        """The score of a block, and whether its elements are such as articles have."""
+        score, alone = self.around(block)
+        blocks = self.known.blocks
+        for key in surface(block):
+            score += blocks.get(key, 0.0)
+        return max(-LOSS, block.words * tanh(score / 2)), alone > 0
 
 
 def large_forms(own: list[Block | str]) -> set[int]:
@@ -426,8 +452,9 @@ def main_text(page: str, learned: Weights | None = None) -> str:
     known = learned or weights()
     own = read(page, known)
     scorer = Scorer(known, large_forms(own))
-    start, end = best_region([known.tags.get(b, UNKNOWN_TAG) if isinstance(b, str) else scorer.score(b) for b in own])
-    kept = ("".join(b.texts).split() for b in own[start:end] if not isinstance(b, str) and scorer.stays(b))
+    judged = [(known.tags.get(b, UNKNOWN_TAG), False) if isinstance(b, str) else scorer.judged(b) for b in own]
+    start, end = best_region([score for score, _ in judged])
+    kept = ("".join(b.texts).split() for b, (_, stays) in zip(own[start:end], judged[start:end], strict=True) if stays)
     return "\n\n".join(" ".join(words) for words in kept if words)
 
 
