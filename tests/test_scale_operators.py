@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import blake3
-from tracewright.operators import buffers, graph, needles, scopes
-from tracewright.sources import content_store, scripts
+from tracewright.operators import buffers, graph, needles, scopes, windows
+from tracewright.sources import content_store, logs, projects, scripts
 
 
 def plain_buffer(data, head, tail):
@@ -211,3 +211,27 @@ def test_files_are_stored_in_one_pass_of_pieces(spark, tmp_path, monkeypatch):
         raw = open(r["name"], "rb").read()
         assert (r["blake3"], r["sha256"], r["size"]) == (blake3.digests([raw])[0], hashlib.sha256(raw).hexdigest(), len(raw))
     assert content_store.verified(spark, root).where("whole").count() == 4 == len(kept) and F is not None
+
+
+def test_numbers_by_ranges_equal_those_by_key(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(("a", "a", "a", "b", None)), rng.randrange(5), k) for k in range(500)]
+    given = spark.createDataFrame(rows, "k string, v int, id int")
+    for parts in (1, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {(r["k"], r["id"]): r["place"] for r in windows.numbered(given, ["k"], [F.desc("v"), F.asc("id")], "place").collect()}
+        want = {(k, i): n + 1 for key in ("a", "b", None) for n, (k, _, i) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2])))}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_lines_that_are_no_records_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"EventID": 1}\n\nno json\n[1]\n  {"x": 2}\n')
+    (tmp_path / "b.json").write_text('{"EventID": 1}\n')
+    assert {r["file"].rpartition("/")[2]: (r["records"], r["bad"]) for r in logs.line_counts(spark, str(tmp_path)).collect()} == {"a.json": (2, 2), "b.json": (1, 0)}
+
+
+def test_imports_without_a_given_standard_library(spark):
+    files = spark.createDataFrame([("a.py", "import os\nimport torch\nx = '\u0001'\nimport numpy")], "file string, value string")
+    assert {r["module"] for r in projects.python_imports(files, standard=("torch",)).collect()} == {"os", "numpy"}
+    assert {r["module"] for r in projects.python_imports(files).collect()} == {"torch", "numpy"}

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS_AT_ONCE = 4096
+#: Blocks that are counted at once, and bytes that are named as the most frequent ones.
+BLOCKS_AT_ONCE, TOP = 4096, 5
 
 
 def escape(text: Column) -> Column:
@@ -79,7 +80,7 @@ def block_entropy(rows: DataFrame, key: str, data: Column, size: int = 256) -> D
 
 
 def byte_statistics(rows: DataFrame, key: str, data: Column) -> DataFrame:
-    """key, n_bytes, kinds of bytes, most of one byte, and the chi-square statistic against equal shares of all 256; for each row
+    """key, n_bytes, kinds of bytes, most of one byte, the TOP most frequent bytes with their counts (hexadecimal, of equal counts the smaller byte first), and the chi-square statistic against equal shares of all 256; for each row
     whose data isn't null or empty."""
 
     def work(batches):
@@ -87,12 +88,14 @@ def byte_statistics(rows: DataFrame, key: str, data: Column) -> DataFrame:
             counts = np.array([sum(c.sum(0) for c in _counts(x.as_py(), 256)) for x in batch.column("data")], np.int64).reshape(-1, 256)
             n = counts.sum(1)
             chi = (counts.astype(float) ** 2).sum(1) * 256 / n - n
-            columns = [batch.column("key"), *map(pa.array, (n, (counts > 0).sum(1), counts.max(1), chi))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "kinds", "most", "chi_square"])
+            best = np.argsort(-counts, axis=1, kind="stable")[:, :TOP]
+            top = [",".join(f"{b:02x}:{own[b]}" for b in row if own[b]) for row, own in zip(best, counts, strict=True)]
+            columns = [batch.column("key"), *map(pa.array, (n, (counts > 0).sum(1), counts.max(1), top, chi))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "kinds", "most", "top", "chi_square"])
 
     kind = rows.schema[key].dataType.simpleString()
-    out = rows.select(F.col(key).alias("key"), data.alias("data")).where(F.octet_length("data") > 0).mapInArrow(work, f"key {kind}, n_bytes long, kinds long, most long, chi_square double")
-    return out.select(F.col("key").alias(key), "n_bytes", "kinds", "most", F.round("chi_square", 4).alias("chi_square"))
+    out = rows.select(F.col(key).alias("key"), data.alias("data")).where(F.octet_length("data") > 0).mapInArrow(work, f"key {kind}, n_bytes long, kinds long, most long, top string, chi_square double")
+    return out.select(F.col("key").alias(key), "n_bytes", "kinds", "most", "top", F.round("chi_square", 4).alias("chi_square"))
 
 
 def char_statistics(rows: DataFrame, key: str, text: Column) -> DataFrame:

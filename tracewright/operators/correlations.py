@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import joins
+from . import graph, joins
 
 #: Kinds of observations of names, of connections and of packets; ranks of qualities, the worst last.
 NAMES, CONNECTION, WIRE = ("dns_message", "tls_handshake", "http_message"), "network_connection", ("network_socket", "network_flow")
@@ -51,7 +51,8 @@ def hosts_by_ip(observations: DataFrame) -> DataFrame:
 
 def attributed(observations: DataFrame) -> DataFrame:
     """observations with the host of their source, or else of their destination, where they have none themselves."""
-    known = hosts_by_ip(observations)
+    # both ends look it up: it is written once
+    known = graph.kept(hosts_by_ip(observations))
     out = observations.join(joins.small(known.toDF("source_ip", "_s")), "source_ip", "left").join(joins.small(known.toDF("destination_ip", "_d")), "destination_ip", "left")
     return out.withColumn("host", F.coalesce("host", "_s", "_d")).select(*observations.columns)
 

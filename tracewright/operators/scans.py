@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, versions
-from . import vulnerabilities
+from . import needles, vulnerabilities
 from .facts import severity_rank
 
 
@@ -120,6 +120,17 @@ def dependency_findings(dependencies: DataFrame, advisories: DataFrame, ecosyste
     )
 
 
+def legacy_matches(products: DataFrame, records: DataFrame) -> DataFrame:
+    """product, version and id of each product and record (id, pattern, versions) whose pattern the product's name holds, in lower case, and one of whose versions its version holds.
+
+    Patterns are found by needles.found, which looks at no pair without a rare part in common; a pattern in upper case matches nothing, as it is compared with a name in lower case.
+    """
+    names = products.select(F.lower("product").alias("_low")).distinct()
+    met = needles.found(records.select("pattern").distinct(), "pattern", "pattern", names, "_low", "_low", case=True)
+    both = products.withColumn("_low", F.lower("product")).join(met, "_low").join(records.select("id", "pattern", F.explode(F.array_distinct("versions")).alias("_v")), "pattern")
+    return both.where(F.contains("version", F.col("_v"))).select("product", "version", "id").distinct()
+
+
 def evaluated(products: DataFrame, assessed: DataFrame, key: str) -> DataFrame:
     """One row a product: candidates, how many affect it and how many are fixed, and a status, which never says that a product is secure. assessed is as applicability gives it."""
     count = lambda status: F.count_if(F.col("status") == status)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import blake3
+from . import graph
 
 
 def instances(rows: DataFrame, keys: list[str], order: list[str], opens: Column, ends: Column) -> DataFrame:
@@ -27,6 +28,22 @@ def chain(rows: DataFrame, key: str, sequence: str, own: Column, first: int = 0)
     return rows.withColumn("prev", F.coalesce(F.lag(own).over(by), F.lit("GENESIS"))).withColumn("whole", F.col(sequence) == F.row_number().over(by) - 1 + first)
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """rows with their number within each key, from 1 on, without all rows of a key in one task.
+
+    Rows are dealt to ranges of key and order, written once, numbered within their range, and moved on by the rows of the ranges before, which are one count a key and range.
+    """
+    placed = graph.kept(rows.repartitionByRange(*map(F.col, keys), *order).withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = placed.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    same = None
+    for c in (*keys, "_range"):
+        one = within[c].eqNullSafe(before[c])
+        same = one if same is None else same & one
+    return within.join(before, same).select(*(within[c] for c in rows.columns), (within[name] + before["_before"]).cast("int").alias(name))
+
+
 def first_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

@@ -85,7 +85,7 @@ def finding_gate(t):
 SELECT event_id, rule, CAST(row_number() OVER (PARTITION BY rule ORDER BY CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' THEN 3 WHEN 'Low' THEN 2 ELSE 1 END DESC, risk DESC, event_id) AS INT) AS place FROM ({RULES_SQL})""")
 def finding_order(t):
     found = facts.candidates(t("events"), _rules())
-    return windows.first_k(found, ["rule"], [facts.severity_rank(F.col("severity")).desc(), F.desc("risk"), F.asc("event_id")], 1 << 30).select("event_id", "rule", F.col("rank").alias("place"))
+    return windows.numbered(found, ["rule"], [facts.severity_rank(F.col("severity")).desc(), F.desc("risk"), F.asc("event_id")], "place").select("event_id", "rule", "place")
 
 
 @query(f"SELECT entity_key, string_agg(DISTINCT rule, ',' ORDER BY rule) AS members, round(avg(confidence), 6) AS confidence, count(*) AS n FROM ({RULES_SQL}) GROUP BY 1")
@@ -244,6 +244,13 @@ def topk_per_group(t):
     return windows.first_k(t("lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), F.asc("l_linenumber")], 3).select("l_orderkey", "l_linenumber", "rank")
 
 
+@query("""SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_linestatus = 'F'))""")
+def ready_tasks_in_order(t):
+    ready = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_linestatus") == "F").alias("ok")).where("ok")
+    own = t("orders").join(ready, "o_orderkey", "left_semi")
+    return windows.first_k(own, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 1 << 30).select("o_orderkey", "o_custkey", F.col("rank").alias("place"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_linestatus = 'F'))")
 def task_readiness(t):
     ready = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_linestatus") == "F").alias("ok")).where("ok")
@@ -594,6 +601,6 @@ def entropy_map(t):
     return B.block_entropy(t("documents"), "doc_id", F.col("text").cast("binary"))
 
 
-@query(f"""SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS kinds, max(n) AS most, round(sum(n * n) * 256 / sum(n) - sum(n), 4) AS chi_square FROM (SELECT doc_id, c, count(*) AS n FROM ({HEX_SQL}) GROUP BY ALL) GROUP BY 1""")
+@query(f"""SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_bytes, count(*) AS kinds, max(n) AS most, array_to_string(list(lower(c) || ':' || n ORDER BY n DESC, c)[1:5], ',') AS top, round(sum(n * n) * 256 / sum(n) - sum(n), 4) AS chi_square FROM (SELECT doc_id, c, count(*) AS n FROM ({HEX_SQL}) GROUP BY ALL) GROUP BY 1""")
 def byte_statistics(t):
     return B.byte_statistics(t("documents"), "doc_id", F.col("text").cast("binary"))

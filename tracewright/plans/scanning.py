@@ -156,6 +156,16 @@ def product_evaluations(t):
     return scans.evaluated(t("part"), applicability_ladder(t), "p_partkey")
 
 
+@query("""WITH r AS (SELECT 'L-' || n_nationkey AS id, ['widget', 'cold', 'bolt', 'large bolt', 'GEAR'][n_nationkey % 5 + 1] AS pattern, ['1.' || n_nationkey, '.' || n_regionkey || '.'] AS versions FROM nation), p AS (SELECT DISTINCT upper(p_name) AS product, '1.' || p_size || '.' || p_partkey % 7 AS version FROM part)
+SELECT DISTINCT product, version, id FROM p JOIN r ON contains(lower(product), pattern) AND (contains(version, versions[1]) OR contains(version, versions[2]))""")
+def legacy_matches(t):
+    nation = F.col("n_nationkey")
+    versions = F.array(F.concat(F.lit("1."), nation.cast("string")), F.concat(F.lit("."), F.col("n_regionkey").cast("string"), F.lit(".")))
+    records = t("nation").select(F.concat(F.lit("L-"), nation.cast("string")).alias("id"), F.element_at(F.array(*map(F.lit, ("widget", "cold", "bolt", "large bolt", "GEAR"))), nation % 5 + 1).alias("pattern"), versions.alias("versions"))
+    products = t("part").select(F.upper("p_name").alias("product"), F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string")).alias("version"))
+    return scans.legacy_matches(products, records)
+
+
 INSTALLED = "SELECT c_custkey, c_mktsegment = 'MACHINERY' AS server, [10240, 14393, 19045, 22621, 26100, 20348, 25398, 40000][c_nationkey % 8 + 1] AS build, CASE WHEN c_acctbal > 5000 THEN '27H1' ELSE 'dev' END AS display, CASE WHEN c_custkey % 3 = 0 THEN 'Server Core' ELSE 'Client' END AS kind, ['x86_64', 'aarch64', 'x86', 'mips'][c_custkey % 4 + 1] AS arch FROM customer"
 
 

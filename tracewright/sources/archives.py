@@ -108,7 +108,11 @@ def bundle_files(spark: SparkSession, folder: str) -> DataFrame:
     """
     own = "feeds array<struct<feed_name:string,filename:string,sha256:string>>"
     listed = spark.read.schema(own).option("multiLine", "true").json(f"{folder}/manifest.json").select(F.inline("feeds"))
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("actual"))
+    # one name a feed; only listed files that are there are read
+    names = {r["filename"] for r in listed.select("filename").distinct().collect()}
+    there = [r["path"] for r in spark.read.format("binaryFile").load(folder).select("path").where(F.element_at(F.split("path", "/"), -1).isin(sorted(names))).collect()] if names else []
+    read = spark.read.format("binaryFile").load(there) if there else spark.createDataFrame([], "path string, content binary")
+    files = read.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("actual"))
     state = F.when(F.col("actual").isNull(), "missing").when(F.coalesce(F.lower("sha256") == F.col("actual"), F.lit(False)), "ok").otherwise("mismatch")
     return listed.join(files, "filename", "left").select("feed_name", "filename", state.alias("state"))
 

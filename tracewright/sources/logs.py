@@ -80,3 +80,10 @@ def generic(spark: SparkSession, path: str) -> DataFrame:
 
 def _without(m: Column, other: Column) -> Column:
     return F.map_filter(m, lambda k, _: ~F.map_contains_key(other, k))
+
+
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """file, records and bad lines of logs with a JSON document a line: lines that are no JSON objects are counted, and blank ones are not."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value")).where("value <> ''")
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    return rows.groupBy("file").agg(F.count_if(good).alias("records"), F.count_if(~good).alias("bad"))

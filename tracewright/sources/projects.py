@@ -6,6 +6,7 @@ Files are rows (file, value), each as its whole text, as host.whole gives them.
 from __future__ import annotations
 
 import sys
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,12 @@ FROM, IMPORT = r"^\s*from\s+([A-Za-z_]\w*)[\w.]*\s+import\b", r"^\s*import\s+([A
 TESTS = r"(^|/)(tests?|testing)/|(^|/)(test_[^/]*|[^/]*_test|conftest)\.py$"
 
 
-def python_imports(files: DataFrame, with_tests: bool = False) -> DataFrame:
+def python_imports(files: DataFrame, with_tests: bool = False, standard: Collection[str] | None = None) -> DataFrame:
     """module, its first file and line there, and the number of files that import it.
 
-    The project's own names are those of its files and folders. Relative imports name no module; of statements on one line, the first counts.
+    The standard library is that of the running Python, or the modules given, so that results don't change with the driver. The project's own names are those of its files and folders. Relative imports name no module; of statements on one line, the first counts.
     """
-    python = files.where(F.col("file").endswith(".py")).select("file", F.coalesce("value", F.lit("")).alias("value"))
+    python = files.where(F.col("file").endswith(".py")).select("file", F.translate(F.coalesce("value", F.lit("")), "\u0001", " ").alias("value"))
     # a quoted text gives way to its line ends, so that lines keep their numbers
     breaks = F.regexp_replace("value", QUOTED, "\u0001$0\u0001")
     parts = F.transform(F.split(breaks, "\u0001"), lambda x: F.when(x.rlike(f"^(?:{QUOTED})$"), F.regexp_replace(x, r"[^\n]", "")).otherwise(x))
@@ -33,6 +34,6 @@ def python_imports(files: DataFrame, with_tests: bool = False) -> DataFrame:
     found = lines.select("file", (F.col("at") + 1).alias("line"), F.explode(names).alias("module")).where("module <> ''")
     found = found.groupBy("file", "module").agg(F.min("line").alias("line"))
     own = python.select(F.explode(F.split(F.regexp_replace("file", r"\.py$", ""), "/")).alias("module")).distinct()
-    standard = list(sys.stdlib_module_names)
-    return found.where(~F.col("module").isin(standard)).join(own, "module", "left_anti").groupBy("module").agg(
+    known = sorted(sys.stdlib_module_names if standard is None else standard)
+    return found.where(~F.col("module").isin(known)).join(own, "module", "left_anti").groupBy("module").agg(
         F.min(F.struct("file", "line")).alias("f"), F.count("*").alias("files")).select("module", "f.file", "f.line", "files")
