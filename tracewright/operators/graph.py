@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,12 +26,13 @@ def layer(nodes_: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that the driver and all executors share; a temporary folder only where everything runs on one machine."""
+    """A new folder in the one that the driver and all executors share; a temporary folder only where everything runs on one machine, until that run ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="shared")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
