@@ -79,3 +79,47 @@ def rates(judged: DataFrame, category: str, real: str, found: str) -> DataFrame:
     own = judged.groupBy(category).agg(n(is_real & is_found)("tp"), n(is_real & ~is_found)("fn"), n(~is_real & is_found)("fp"), n(~is_real & ~is_found)("tn"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0))
     return own.withColumn("tpr", share("tp", "fn")).withColumn("fpr", share("fp", "tn")).withColumn("score", F.col("tpr") - F.col("fpr"))
+
+
+# Ports of a quick scan, and those of a standard one, which is filled up with the lowest other ports.
+QUICK_PORTS = (
+    21, 22, 23, 25, 53, 80, 88, 110, 111, 135, 139, 143, 389, 443, 445, 465, 587, 636, 993, 995, 1433, 1521, 2049, 3306, 3389, 4444, 5432, 5900, 5985, 5986, 6379, 7001, 8080, 8443, 8888, 9090, 9200, 9300, 10250, 27017,
+)
+STANDARD_PORTS = (
+    20, 21, 22, 23, 25, 53, 67, 68, 69, 80, 88, 110, 111, 119, 123, 135, 137, 138, 139, 143, 161, 162, 179, 389, 443, 445, 465, 500, 514, 515, 520, 587, 631, 636, 873, 902, 989, 990, 993, 995, 1080, 1194, 1433, 1434, 1521, 1723, 2049, 2082, 2083,
+    2086, 2087, 2181, 2222, 2375, 2376, 2483, 2484, 3000, 3128, 3268, 3269, 3306, 3389, 4000, 4444, 5000, 5432, 5672, 5900, 5984, 5985, 5986, 6000, 6379, 6667, 7000, 7001, 7077, 8000, 8008, 8080, 8081, 8443, 8500, 8888, 9000, 9042, 9090, 9092, 9100,
+    9200, 9300, 9418, 9999, 10000, 10250, 11211, 27017, 50000, 50051, 51820,
+)
+STANDARD_SIZE, LAST_FILLED, LAST_PORT = 1000, 1024, 65_535
+
+
+def filled_up_to() -> int:
+    """The last port that a standard scan is filled up with."""
+    own = set(STANDARD_PORTS)
+    last = 0
+    while len(own) < STANDARD_SIZE and last < LAST_FILLED:
+        last += 1
+        own.add(last)
+    return last
+
+
+def profile_ports(profile: Column) -> Column:
+    """The ports of a scan's profile (Quick, Standard, Deep), in order; null for another."""
+    listed = lambda ports: F.array(*map(F.lit, ports))
+    standard = F.array_sort(F.array_union(listed(STANDARD_PORTS), F.sequence(F.lit(1), F.lit(filled_up_to()))))
+    return F.when(profile == "Quick", listed(QUICK_PORTS)).when(profile == "Standard", standard).when(profile == "Deep", F.sequence(F.lit(1), F.lit(LAST_PORT)))
+
+
+#: The members of a scenario's manifest.
+MANIFEST = ("scenario_id", "title", "description", "difficulty", "signature")
+
+
+def manifest(text: Column) -> Column:
+    """A scenario's manifest in JSON: its members, or issue where it is none of texts for all of them, or isn't signed."""
+    whole = F.try_parse_json(text)
+    found = {n: F.when(F.schema_of_variant(F.try_variant_get(whole, f"$.{n}", "variant")) == "STRING", F.try_variant_get(whole, f"$.{n}", "string")) for n in MANIFEST}
+    lacking = F.lit(False)
+    for c in found.values():
+        lacking = lacking | c.isNull()
+    issue = F.when(lacking, "malformed").when(found["signature"] == "", "unsigned")
+    return F.struct(*(F.when(issue.isNull(), c).alias(n) for n, c in found.items()), issue.alias("issue"))

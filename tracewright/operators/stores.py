@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import policy
 from . import windows
@@ -115,3 +116,10 @@ def feeds(status: DataFrame, now: Column) -> DataFrame:
 
 def digest_or_too_large(content: Column, most: int) -> Column:
     return F.when(F.octet_length(content) <= most, F.sha2(content, 256)).otherwise("TooLarge")
+
+
+def challenge_listing(challenges: DataFrame, category: str | None = None) -> DataFrame:
+    """Challenges (id, competition_id, name, category, points, status, target_host, created_at), of one category if one is given: whether each has a target, and its place in its competition by points and age."""
+    own = challenges if category is None else challenges.where(F.col("category") == category)
+    place = F.row_number().over(Window.partitionBy("competition_id").orderBy(F.asc("points"), F.asc("created_at"), F.asc("id")))
+    return own.select("id", "competition_id", "name", "category", "points", "status", F.col("target_host").isNotNull().alias("has_target"), place.alias("place"))

@@ -198,3 +198,32 @@ def entities_by_type(t):
 def progress_points(t):
     points = F.col("c_custkey").cast("long")
     return t("customer").groupBy("c_nationkey").agg(F.sum(F.when(F.col("c_custkey") % 2 == 0, points).otherwise(0)).alias("solved"), F.sum(points).alias("total"))
+
+
+@query("""SELECT p_partkey AS id, p_brand AS competition_id, p_name AS name, p_size AS points, p_size % 4 > 0 AS has_target, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size, floor(p_retailprice), p_partkey) AS INT) AS place FROM part WHERE p_type = 'PROMO'""")
+def challenge_listing(t):
+    own = t("part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("competition_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_size").alias("points"), F.lit("new").alias("status"),
+        F.when(F.col("p_size") % 4 > 0, F.col("p_name")).alias("target_host"), F.floor("p_retailprice").alias("created_at"),
+    )
+    return stores.challenge_listing(own, "PROMO").select("id", "competition_id", "name", "points", "has_target", "place")
+
+
+@query(f"""WITH s AS (SELECT DISTINCT unnest(list_concat([{', '.join(map(str, policy.STANDARD_PORTS))}], range(1, 1025))) AS p), top AS (SELECT unnest([{', '.join(map(str, policy.STANDARD_PORTS))}]) AS p),
+f AS (SELECT p FROM top UNION SELECT p FROM (SELECT p FROM s WHERE p NOT IN (SELECT p FROM top) ORDER BY p LIMIT {policy.STANDARD_SIZE - len(policy.STANDARD_PORTS)}))
+SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN n IN ({', '.join(map(str, policy.QUICK_PORTS))}) WHEN 'F' THEN n IN (SELECT p FROM f) ELSE n BETWEEN 1 AND 65535 END AS scanned FROM (SELECT *, CAST(floor(o_totalprice / 5) AS BIGINT) % 1100 AS n FROM orders)""")
+def ports_of_profiles(t):
+    profile = F.when(F.col("o_orderstatus") == "O", "Quick").when(F.col("o_orderstatus") == "F", "Standard").otherwise("Deep")
+    # one list a profile, which orders look up
+    profiles = t("orders").select("o_orderstatus").distinct().withColumn("port", F.explode(policy.profile_ports(profile)))
+    orders = t("orders").withColumn("port", (F.floor(F.col("o_totalprice") / 5) % 1100).cast("int"))
+    met = orders.join(profiles.withColumn("hit", F.lit(True)), ["o_orderstatus", "port"], "left")
+    return met.select("o_orderkey", F.coalesce("hit", F.lit(False)).alias("scanned"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS title, CASE s_suppkey % 3 WHEN 1 THEN 'unsigned' WHEN 2 THEN 'malformed' END AS issue FROM supplier""")
+def scenario_manifests(t):
+    way = F.col("s_suppkey") % 3
+    members = {"scenario_id": F.col("s_suppkey").cast("string"), "title": F.col("s_name"), "description": F.lit(""), "difficulty": F.when(way < 2, "hard"), "signature": F.when(way != 1, F.sha2("s_name", 256)).otherwise("")}
+    text = F.to_json(F.struct(*(c.alias(n) for n, c in members.items())))
+    return t("supplier").select("s_suppkey", policy.manifest(text).alias("m")).select("s_suppkey", "m.title", "m.issue")
