@@ -4,7 +4,7 @@ import pytest
 from tracewright.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations benchmark embeddings".split()
 
 
 @pytest.fixture(scope="session")
