@@ -29,16 +29,21 @@ def text(data: Column) -> Column:
 
 
 def hex_decode(data: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.trim(text(data), F.lit(BLANK)), "^(0x)*(0X)*", ""), r"[ \n\r\t]", "")
-    return F.when(plain.rlike("^([0-9a-fA-F]{2})*$"), F.unhex(plain))
+    plain = F.translate(F.regexp_replace(F.trim(text(data), F.lit(BLANK)), "^(0x)*(0X)*", ""), " \n\r\t", "")
+    return F.when((F.length(plain) % 2 == 0) & plain.rlike("^[0-9a-fA-F]*$"), F.unhex(plain))
 
 
 def base64_decode(data: Column) -> Column:
-    """Of the usual alphabet or that of URLs, with its padding, and no bits left over."""
-    plain = F.regexp_replace(F.trim(text(data), F.lit(BLANK)), r"[ \n\r]", "")
-    usual = F.when(F.contains(plain, F.lit("+")) | F.contains(plain, F.lit("/")), F.when(~plain.rlike("[-_]"), plain)).otherwise(F.translate(plain, "-_", "+/"))
-    found = F.when(usual.rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), F.try_to_binary(usual, F.lit("base64")))
-    return F.when(base64_encode(found) == usual.cast("binary"), found)
+    """Of the usual alphabet or that of URLs, with its padding, and no bits left over: what it decodes to encodes to it again."""
+    plain = F.translate(F.trim(text(data), F.lit(BLANK)), " \n\r", "")
+    usual = F.when(plain.rlike("^[A-Za-z0-9+/]*={0,2}$"), plain).when(plain.rlike("^[A-Za-z0-9_-]*={0,2}$"), F.translate(plain, "-_", "+/"))
+
+    def decoded(u: Column) -> Column:
+        found = F.when(F.length(u) % 4 == 0, F.try_to_binary(u, F.lit("base64")))
+        return F.when(base64_encode(found) == u.cast("binary"), found)
+
+    # one level more, since Spark resolves a level of these at a time
+    return bound(usual, decoded)
 
 
 def base64_encode(data: Column) -> Column:
