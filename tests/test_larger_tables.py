@@ -1,0 +1,25 @@
+"""What showed on larger tables alone: sides that are sent whole, groups that outgrow a limit, work that is done again for each row."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracewright.operators import verification
+from tracewright.plans import catalog
+
+DATA = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["scenario_criteria", "explained_scores"])
+def test_expected_things_are_not_sent_whole(spark, name):
+    assert "Broadcast" not in plan(catalog.QUERIES[name](spark, DATA))
+
+
+def test_things_expected_twice_and_missing_texts(spark):
+    truth = spark.createDataFrame([(1, "Asset", "a", None), (1, "Asset", "a", None), (1, "Edge", "a", "b"), (1, "Edge", "a", None), (1, "Fact", None, None), (2, "Asset", "a", None)], "scenario int, criterion string, thing string, other string")
+    facts = spark.createDataFrame([(1, "a", "Kind", None, 1, 0.5, None), (1, "b", None, None, 0, 0.5, None)], "scenario int, entity_key string, fact_type string, data string, evidence int, evidence_strength double, pain_level string")
+    got = verification.criteria(truth, facts).select("scenario", F.split_part("name", F.lit(" "), F.lit(1)).alias("n"), "points", "most").collect()
+    assert {tuple(r) for r in got} == {(1, "Assets", 40, 40), (1, "Attack", 20, 40), (1, "Fact", 0, 20), (1, "Evidence", 10, 20), (2, "Assets", 0, 20)}

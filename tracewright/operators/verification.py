@@ -53,28 +53,31 @@ def met(criterion: Column, thing: Column) -> Column:
     return F.coalesce(own.when(criterion == "Stage", stage).when(criterion == "Pyramid", F.lower("pain_level") == low), F.lit(False))
 
 
+def _asked(criterion: Column, thing: Column) -> Column:
+    return F.struct(criterion.alias("criterion"), thing.alias("thing"))
+
+
 def criteria(truth: DataFrame, facts: DataFrame) -> DataFrame:
     """scenario, place, name, points, most and explanation for each criterion that truth has things of, and for the evidence of facts.
 
     A thing that is expected twice counts twice. A missing text of a fact says nothing.
     """
-    own = truth.withColumn("_n", F.monotonically_increasing_id())
-    ends = own.where("criterion = 'Edge'").select("scenario", F.lit("Asset").alias("criterion"), F.explode(F.array("thing", "other")).alias("thing"))
-    asked = own.where("criterion <> 'Edge'").select("scenario", "criterion", "thing").union(ends).distinct()
-    # as many things as an author wrote down for a scenario
-    lists = asked.groupBy("scenario").agg(F.collect_list(F.struct("criterion", "thing")).alias("asked"))
+    ends = F.flatten(F.transform(F.filter("expected", lambda x: x["criterion"] == "Edge"), lambda x: F.array(_asked(F.lit("Asset"), x["thing"]), _asked(F.lit("Asset"), x["other"]))))
+    plain = F.transform(F.filter("expected", lambda x: x["criterion"] != "Edge"), lambda x: _asked(x["criterion"], x["thing"]))
+    # as many things as an author wrote down for a scenario, those that are expected twice twice
+    lists = truth.groupBy("scenario").agg(F.collect_list(F.struct("criterion", "thing", "other")).alias("expected")).withColumn("asked", F.array_distinct(F.concat(plain, ends)))
     says = F.filter("asked", lambda x: met(x["criterion"], x["thing"]))
     texts = facts.select("scenario", "entity_key", "fact_type", F.coalesce("data", F.lit("")).alias("data"), "pain_level").distinct()
-    hits = texts.join(lists, "scenario").select("scenario", F.explode(says).alias("x")).select("scenario", "x.criterion", "x.thing").distinct().withColumn("hit", F.lit(1))
-    plain = own.where("criterion <> 'Edge'").join(hits, ["scenario", "criterion", "thing"], "left").select("scenario", "criterion", "hit")
-    asset = hits.where("criterion = 'Asset'")
-    edges = own.where("criterion = 'Edge'")
-    for end in ("thing", "other"):
-        edges = edges.join(asset.select("scenario", F.col("thing").alias(end), F.col("hit").alias(f"_{end}")), ["scenario", end], "left")
-    both = plain.union(edges.select("scenario", "criterion", (F.col("_thing") * F.col("_other")).alias("hit")))
-    counted = both.groupBy("scenario", "criterion").agg(F.count("hit").alias("hits"), F.count("*").alias("all"))
+    # sizes are estimated from those of columns read, which says nothing of what lists make of them: no side is to be taken for a small one and sent whole to the driver
+    hits = texts.join(lists.select("scenario", "asked").hint("merge"), "scenario").select("scenario", F.explode(says).alias("x")).groupBy("scenario").agg(F.collect_set("x").alias("met"))
+    own = lists.select("scenario", "expected").join(hits.hint("merge"), "scenario", "left")
+    has = lambda criterion, thing: F.array_contains("met", _asked(criterion, thing))
+    hit = lambda x: F.when(x["criterion"] == "Edge", has(F.lit("Asset"), x["thing"]) & has(F.lit("Asset"), x["other"])).otherwise(has(x["criterion"], x["thing"]))
+    each = own.withColumn("criterion", F.explode(F.array_distinct(F.transform("expected", lambda x: x["criterion"])))).where("criterion IS NOT NULL")
+    here = F.filter("expected", lambda x: x["criterion"] == F.col("criterion"))
+    counted = each.select("scenario", "criterion", F.size(F.filter(here, lambda x: F.coalesce(hit(x), F.lit(False)))).cast("long").alias("hits"), F.size(here).cast("long").alias("all"))
     backed = (F.col("evidence") > 0) & (F.col("evidence_strength") > 0)
-    evidence = facts.groupBy("scenario").agg(F.count_if(backed).alias("hits"), F.count("*").alias("all")).join(truth.select("scenario").distinct(), "scenario", "left_semi")
+    evidence = facts.groupBy("scenario").agg(F.count_if(backed).alias("hits"), F.count("*").alias("all")).join(lists.select("scenario").hint("merge"), "scenario", "left_semi")
     out = counted.unionByName(evidence.withColumn("criterion", F.lit("Evidence")))
     place, name, points, words = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(0), F.lit("")
     for k, (criterion, (title, each, text)) in enumerate(CRITERIA.items()):
@@ -89,7 +92,8 @@ def criteria(truth: DataFrame, facts: DataFrame) -> DataFrame:
 
 def totals(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """One row a scenario: points, the most there are, and the percentage, 100 where nothing could be had."""
-    own = truth.select("scenario").distinct().join(scored.groupBy("scenario").agg(F.sum("points").alias("points"), F.sum("most").alias("most")), "scenario", "left")
+    sums = scored.groupBy("scenario").agg(F.sum("points").alias("points"), F.sum("most").alias("most"))
+    own = truth.select("scenario").distinct().join(sums.hint("merge"), "scenario", "left")
     own = own.select("scenario", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("points", "most")))
     return own.withColumn("percent", F.when(F.col("most") > 0, F.col("points") / F.col("most") * 100).otherwise(100.0))
 
@@ -99,4 +103,4 @@ def explained(scored: DataFrame, totals_: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- "), "name", F.lit(": +"), "points", F.lit(" / "), "most", F.lit(" pts | "), "explanation", F.lit("\n"))
     lines = scored.groupBy("scenario").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
     head = F.concat(F.lit("Scenario: "), F.col("scenario").cast("string"), F.lit(" | Total Score: "), "points", F.lit("/"), "most", F.lit(" ("), F.format_string("%.1f", F.bround("percent", 1)), F.lit("%)\n" + "-" * 40 + "\n"))
-    return totals_.join(lines, "scenario", "left").select("scenario", F.concat(head, F.coalesce("lines", F.lit(""))).alias("summary"))
+    return totals_.join(lines.hint("merge"), "scenario", "left").select("scenario", F.concat(head, F.coalesce("lines", F.lit(""))).alias("summary"))
