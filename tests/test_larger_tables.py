@@ -23,3 +23,15 @@ def test_things_expected_twice_and_missing_texts(spark):
     facts = spark.createDataFrame([(1, "a", "Kind", None, 1, 0.5, None), (1, "b", None, None, 0, 0.5, None)], "scenario int, entity_key string, fact_type string, data string, evidence int, evidence_strength double, pain_level string")
     got = verification.criteria(truth, facts).select("scenario", F.split_part("name", F.lit(" "), F.lit(1)).alias("n"), "points", "most").collect()
     assert {tuple(r) for r in got} == {(1, "Assets", 40, 40), (1, "Attack", 20, 40), (1, "Fact", 0, 20), (1, "Evidence", 10, 20), (2, "Assets", 0, 20)}
+
+
+def test_digests_of_dns_answers_are_taken_of_a_batch_at_once(monkeypatch):
+    from tracewright.functions import blake3, protocols
+
+    calls, own = [], blake3.digests
+    monkeypatch.setattr(blake3, "digests", lambda contents: calls.append(len(contents)) or own(contents))
+    answer = bytes.fromhex("c00c000100010000000000040a000000")
+    message = bytes.fromhex("123481800001000200000000016100000100" + "01") + answer[:-1] + b"\x07" + answer[:-1] + b"\x08"
+    found = protocols.dns_messages([message, None, message[:20], message])
+    assert calls == [2] and found[1] is None and found[0] == found[3] == protocols.dns_message(message)
+    assert [a["rdata_hash"] for a in found[0]["answers"]] == [own([b"\x0a\0\0\x07"])[0], own([b"\x0a\0\0\x08"])[0]]
