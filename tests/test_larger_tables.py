@@ -35,3 +35,11 @@ def test_digests_of_dns_answers_are_taken_of_a_batch_at_once(monkeypatch):
     found = protocols.dns_messages([message, None, message[:20], message])
     assert calls == [2] and found[1] is None and found[0] == found[3] == protocols.dns_message(message)
     assert [a["rdata_hash"] for a in found[0]["answers"]] == [own([b"\x0a\0\0\x07"])[0], own([b"\x0a\0\0\x08"])[0]]
+
+
+def test_messages_of_a_stream_of_more_pieces_than_the_limit(spark, tmp_path):
+    # 6,000 messages take more than 4,096 segments; the names of equal length make up a stream of 25
+    rows = spark.range(6000).select((F.col("id") + 100000).cast("int").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment"), F.lit(3).alias("c_nationkey"))
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.QUERIES["dns_over_streams"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(3, 6000, sum(range(100000, 106000)), "building")]

@@ -1,7 +1,7 @@
 """TCP streams put together again, with what is odd in them, and the frames of protocols in them.
 
 The segments of a stream and direction come to one task in the order of capture, and leave it as they come: what a task holds is one stream's
-bytes, at most Limits.stream_bytes of them in at most Limits.segments pieces, however many packets the stream has. What a limit leaves out is flagged, never dropped
+bytes, at most Limits.stream_bytes of them in at most Limits.segments pieces, however many packets the stream has, or all of them where these are None. What a limit leaves out is flagged, never dropped
 silently. Of bytes that several segments bring, the first ones stay.
 
 Issues, by kind: Retransmission, a segment that begins where one began before; Duplicate, of these one with the very same bytes; OverlapIdentical and OverlapConflict, a
@@ -18,7 +18,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
+from ..functions import protocols
 from .flows import KEY, keyed
 
 STREAM = [*KEY, "instance", "forward"]
@@ -32,8 +35,14 @@ BATCH, BATCH_BYTES = 1000, 8 << 20
 
 @dataclass(frozen=True)
 class Limits:
-    segments: int = 4096
-    stream_bytes: int = 4 << 20
+    """Pieces and bytes of a stream that are held; None for as many as there are."""
+
+    segments: int | None = 4096
+    stream_bytes: int | None = 4 << 20
+
+
+#: For streams that are to be read whole, however long. The bytes of one stream still have to fit a row.
+WHOLE = Limits(None, None)
 
 
 @dataclass
@@ -93,8 +102,9 @@ class Stream:
             at = hi
         if at < end:
             new.append((at, data[at - start :], packet))
+        full = lambda held: self.limits.segments is not None and len(held) >= self.limits.segments
         for piece_at, piece, _ in new:
-            room = 0 if len(self.pieces) >= self.limits.segments else max(0, self.limits.stream_bytes - self.size)
+            room = 0 if full(self.pieces) else len(piece) if self.limits.stream_bytes is None else max(0, self.limits.stream_bytes - self.size)
             kept = piece[:room]
             if len(kept) < len(piece):
                 self.limited = True
@@ -102,7 +112,7 @@ class Stream:
             if kept:
                 self.pieces.insert(bisect_right(self.pieces, piece_at, key=lambda p: p[0]), (piece_at, kept, packet))
                 self.size += len(kept)
-        if before is None and len(self.began) < self.limits.segments:
+        if before is None and not full(self.began):
             self.began[start] = packet, data
 
     def end(self) -> tuple[dict, list[dict]]:
@@ -161,6 +171,22 @@ def reassembled(packets: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return rows.repartition(*(F.col(c) for c in STREAM)).sortWithinPartitions(*STREAM, "packet_index").mapInArrow(work, SCHEMA)
 
 
+def dns_messages_of(streams: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of each stream and the DNS messages (m) of its frames, in their order. Messages leave a task as they are read, so that a long stream takes no more of it than its bytes."""
+    rows = streams.select(*keys, "bytes").where("bytes IS NOT NULL")
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("m", protocols.DNS_TYPE)])
+    arrow = to_arrow_schema(schema)
+
+    def work(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name = [batch.column(c)[k].as_py() for c in keys]
+                for some in protocols.dns_batches(batch.column("bytes")[k].as_py(), BATCH):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([n] * len(some), f.type) for n, f in zip(name, arrow, strict=False)), pa.array(some, arrow.field("m").type)], schema=arrow)
+
+    return rows.mapInArrow(work, schema)
+
+
 def streams_of(found: DataFrame) -> DataFrame:
     """The streams among the rows of reassembled."""
     return found.where("status IS NOT NULL").select(*STREAM, "status", "bytes", "retransmissions", "overlap_conflicts", "first_us", "last_us")

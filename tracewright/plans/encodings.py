@@ -198,9 +198,10 @@ def dns_over_streams(t):
     message = F.unhex(dns_answer(_label(F.concat(F.lit("C"), text_of(key))), _label(F.lower("c_mktsegment")), F.lit("C00C"), F.col("c_nationkey").cast("long")))
     frame = F.concat(F.unhex(_hex(F.octet_length(message).cast("long"), 4)), message)
     streams = t("customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.hex(frame).alias("f")))), lambda x: x["f"]), "").alias("all"))
-    found = P.dns_frames(F.col("bytes"))
-    own = reassembly.streams_of(reassembly.reassembled(segments(streams, "c_nationkey", F.unhex("all")))).select(F.col("left").alias("c_nationkey"), F.explode(found).alias("m"))
-    own = own.select(F.split_part("c_nationkey", F.lit(":"), F.lit(1)).cast("int").alias("c_nationkey"), F.regexp_extract("m.qname", r"^C(\d+)\.", 1).cast("long").alias("k"), F.split_part("m.qname", F.lit("."), F.lit(2)).alias("s"))
+    # a nation's stream grows with its customers, and all of their messages count
+    whole = reassembly.streams_of(reassembly.reassembled(segments(streams, "c_nationkey", F.unhex("all")), reassembly.WHOLE))
+    own = reassembly.dns_messages_of(whole, ["left"])
+    own = own.select(F.split_part("left", F.lit(":"), F.lit(1)).cast("int").alias("c_nationkey"), F.regexp_extract("m.qname", r"^C(\d+)\.", 1).cast("long").alias("k"), F.split_part("m.qname", F.lit("."), F.lit(2)).alias("s"))
     return own.groupBy("c_nationkey").agg(F.count("*").alias("messages"), F.sum("k").alias("keys"), F.max("s").alias("segment"))
 
 
