@@ -43,3 +43,15 @@ def test_messages_of_a_stream_of_more_pieces_than_the_limit(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/customer.parquet")
     got = catalog.QUERIES["dns_over_streams"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(3, 6000, sum(range(100000, 106000)), "building")]
+
+
+def test_candidates_go_through_no_shuffle(spark):
+    from tracewright.operators import scans
+
+    products = spark.createDataFrame([(1, 5, 1), (1, 5, 2), (2, None, 1), (2, None, 2), (3, None, 3), (4, 6, 1), (5, None, None), (4, 6, 9)], "product_id int, package int, cpe int")
+    packages = spark.createDataFrame([(5, "A"), (5, "A"), (5, "B"), (7, "C")], "package int, cve string")
+    cpes = spark.createDataFrame([(1, "X"), (2, "X"), (2, "Y"), (2, "Y")], "cpe int, cve string")
+    got = scans.by_package_or_cpe(products, packages, cpes)
+    assert sorted(map(tuple, got.collect())) == [(1, "A", "package"), (1, "B", "package"), (2, "X", "cpe"), (2, "Y", "cpe"), (4, "X", "cpe")]
+    # nothing is made different behind the lists of candidates
+    assert plan(got).index("Union") < plan(got).index("Aggregate")

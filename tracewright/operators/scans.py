@@ -233,7 +233,25 @@ def applicability(pairs: DataFrame) -> DataFrame:
 
 
 def by_package_or_cpe(products: DataFrame, packages_: DataFrame, cpes: DataFrame) -> DataFrame:
-    """Candidates (product_id, cve, source) by a product's package, and by its CPE for those products alone that have none by package."""
-    one = products.join(packages_, "package").select("product_id", "cve", F.lit("package").alias("source"))
-    two = products.join(cpes, "cpe").join(one.select("product_id").distinct(), "product_id", "left_anti").select("product_id", "cve", F.lit("cpe").alias("source"))
-    return one.union(two).distinct()
+    """Candidates (product_id, cve, source) by a product's package, and by its CPE for those products alone that have none by package; each once.
+
+    A product may have several rows. Those with the same packages, or CPEs, have the same candidates, so that these are made different once for each such set and not for each product:
+    what a product gets is as much as it has candidates, and goes through no shuffle.
+    """
+    known = packages_.select("package").distinct()
+    some = products.join(known, "package").select("product_id").distinct()
+    none = products.join(some, "product_id", "left_anti")
+    return _candidates(products.join(some, "product_id", "left_semi"), packages_, "package", "package").union(_candidates(none, cpes, "cpe", "cpe"))
+
+
+def _candidates(products: DataFrame, names: DataFrame, name: str, source: str) -> DataFrame:
+    own = products.where(F.col(name).isNotNull()).groupBy("product_id").agg(F.array_sort(F.collect_set(name)).alias("_names"))
+    cves = names.select(name, "cve").distinct()
+    # lists of a share of the CVEs each, as a name may have any number of them
+    sets = own.select("_names").distinct().withColumn(name, F.explode("_names")).join(cves, name).select("_names", "cve").distinct()
+    lists = sets.groupBy("_names", F.pmod(F.hash("cve"), F.lit(SHARES)).alias("_share")).agg(F.collect_list("cve").alias("_cves"))
+    return own.join(lists, "_names").select("product_id", F.explode("_cves").alias("cve"), F.lit(source).alias("source"))
+
+
+#: Into how many lists the CVEs of a name are dealt.
+SHARES = 64
