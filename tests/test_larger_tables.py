@@ -55,3 +55,12 @@ def test_candidates_go_through_no_shuffle(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "A", "package"), (1, "B", "package"), (2, "X", "cpe"), (2, "Y", "cpe"), (4, "X", "cpe")]
     # nothing is made different behind the lists of candidates
     assert plan(got).index("Union") < plan(got).index("Aggregate")
+
+
+def test_a_vector_is_split_once(spark):
+    from tracewright.functions import scalar
+
+    rows = spark.createDataFrame([("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H",), ("CVSS:3.1/AV:P/AC:H/PR:L/UI:R/S:C/C:L/I:N/A:L",), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H",), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:Z/S:U/C:H/I:H/A:H",), (None,)], "v string")
+    got = rows.select(scalar.cvss3(F.col("v")).alias("s"))
+    assert [r[0] for r in got.collect()] == [9.8, 3.3, None, None, None]
+    assert plan(got).count("str_to_map") == 1

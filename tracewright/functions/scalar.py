@@ -59,28 +59,47 @@ def windows_key(version: Column) -> Column:
 
 
 def cvss3(vector: Column) -> Column:
-    """Base score of a CVSS 3.x vector; null if a metric is missing or unknown. Weights are the standard's fixed values."""
-    m = F.str_to_map(F.regexp_replace(vector, r"^CVSS:3\.[01]/", ""), F.lit("/"), F.lit(":"))
+    """Base score of a CVSS 3.x vector; null if a metric is missing or unknown. Weights are the standard's fixed values.
 
+    The vector is split once, and each step of the score is evaluated once, from the values of the step before.
+    """
+    return bound(F.str_to_map(F.regexp_replace(vector, r"^CVSS:3\.[01]/", ""), F.lit("/"), F.lit(":")), lambda m: bound(_weights(m), lambda w: bound(_impact(w), lambda x: bound(_total(x), _rounded_up))))
+
+
+def _weights(m: Column) -> Column:
     def pick(name: str, values: dict[str, float]) -> Column:
-        out = F.lit(None).cast("double")
-        for k, v in values.items():
-            out = F.when(F.try_element_at(m, F.lit(name)) == k, v).otherwise(out)
-        return out
+        def of(metric: Column) -> Column:
+            out = F.lit(None).cast("double")
+            for k, v in values.items():
+                out = F.when(metric == k, v).otherwise(out)
+            return out
+
+        return bound(F.try_element_at(m, F.lit(name)), of)
 
-    changed = F.try_element_at(m, F.lit("S")) == "C"
-    av, ac = pick("AV", {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2}), pick("AC", {"L": 0.77, "H": 0.44})
+    scope = F.try_element_at(m, F.lit("S"))
+    changed = scope == "C"
     pr = F.when(changed, pick("PR", {"N": 0.85, "L": 0.68, "H": 0.5})).otherwise(pick("PR", {"N": 0.85, "L": 0.62, "H": 0.27}))
-    ui = pick("UI", {"N": 0.85, "R": 0.62})
     c, i, a = (pick(x, {"H": 0.56, "L": 0.22, "N": 0.0}) for x in "CIA")
-    base = 1 - (1 - c) * (1 - i) * (1 - a)
-    impact = F.when(changed, 7.52 * (base - 0.029) - 3.25 * F.pow(base - 0.02, F.lit(15.0))).otherwise(6.42 * base)
-    total = F.least(F.when(changed, 1.08).otherwise(1.0) * (impact + 8.22 * av * ac * pr * ui), F.lit(10.0))
-    # round up to one decimal, on integers
-    whole = F.round(total * 100000).cast("long")
+    av, ac, ui = pick("AV", {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2}), pick("AC", {"L": 0.77, "H": 0.44}), pick("UI", {"N": 0.85, "R": 0.62})
+    return F.struct(changed.alias("changed"), scope.isin("U", "C").alias("known"), (1 - (1 - c) * (1 - i) * (1 - a)).alias("base"), (8.22 * av * ac * pr * ui).alias("exploit"))
+
+
+def _impact(w: Column) -> Column:
+    impact = F.when(w["changed"], 7.52 * (w["base"] - 0.029) - 3.25 * F.pow(w["base"] - 0.02, F.lit(15.0))).otherwise(6.42 * w["base"])
+    return F.struct(w["changed"].alias("changed"), w["known"].alias("known"), w["exploit"].alias("exploit"), impact.alias("impact"))
+
+
+def _total(x: Column) -> Column:
+    total = F.least(F.when(x["changed"], 1.08).otherwise(1.0) * (x["impact"] + x["exploit"]), F.lit(10.0))
+    # up to one decimal, on integers; least leaves a null out
+    there = x["impact"].isNotNull() & x["exploit"].isNotNull()
+    return F.struct((x["known"] & there).alias("known"), x["impact"].alias("impact"), F.round(total * 100000).cast("long").alias("whole"))
+
+
+def _rounded_up(x: Column) -> Column:
+    whole = x["whole"]
     up = F.when(whole % 10000 == 0, whole / 100000).otherwise((F.floor(whole / 10000) + 1) / 10)
-    known = F.try_element_at(m, F.lit("S")).isin("U", "C")
-    return F.when(known & total.isNotNull(), F.when(impact <= 0, 0.0).otherwise(up))
+    return F.when(x["known"], F.when(x["impact"] <= 0, 0.0).otherwise(up))
 
 
 def cvss_band(score: Column) -> Column:
