@@ -64,3 +64,16 @@ def test_a_vector_is_split_once(spark):
     got = rows.select(scalar.cvss3(F.col("v")).alias("s"))
     assert [r[0] for r in got.collect()] == [9.8, 3.3, None, None, None]
     assert plan(got).count("str_to_map") == 1
+
+
+def test_exclusive_or_is_no_expression_of_each_byte(spark):
+    from tracewright.functions import octets, recipes
+
+    texts = [b"", None, b"\xff", bytes(range(256)) * 40]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, d binary")
+    got = rows.select("k", octets.exclusive_or(F.col("d"), b"abc").alias("x"), recipes.cook(F.col("d"), [("xor", b"K"), "hex_encode"]).alias("y"))
+    assert "conv(" not in plan(got)
+    for r in got.collect():
+        own = texts[r["k"]]
+        assert (r["x"] if own is None else bytes(r["x"])) == (None if own is None else bytes(b ^ b"abc"[i % 3] for i, b in enumerate(own)))
+        assert (r["y"] if own is None else bytes(r["y"])) == (None if own is None else bytes(b ^ 75 for b in own).hex().encode())

@@ -7,11 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Blocks that are counted at once, and bytes that are named as the most frequent ones.
 BLOCKS_AT_ONCE, TOP = 4096, 5
+#: Rows that are counted at once, and bytes or characters of one.
+ROWS, PART = 256, 1 << 20
 
 
 def escape(text: Column) -> Column:
@@ -31,10 +35,14 @@ def exclusive_or(data: Column, key: bytes) -> Column:
     """data (binary), byte by byte against the repeated key; null for an empty key."""
     if not key:
         return F.lit(None).cast("binary")
-    pads = F.array(*(F.lit(b) for b in key))
-    at = lambda i: F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("int")
-    whole = F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.lpad(F.hex(at(i).bitwiseXOR(F.get(pads, i % len(key))).cast("long")), 2, "0"))
-    return F.when(F.octet_length(data) == 0, data).otherwise(F.unhex(F.array_join(whole, "")))
+    own = np.frombuffer(key, np.uint8)
+
+    def run(data: pa.Array) -> pa.Array:
+        pad = np.resize(own, pc.max(pc.binary_length(data)).as_py() or 0)
+        return pa.array((None if (x := d.as_py()) is None else (np.frombuffer(x, np.uint8) ^ pad[: len(x)]).tobytes() for d in data), pa.binary())
+
+    run.__annotations__ = {"data": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, BinaryType())(data)
 
 
 def update_number(text: Column) -> Column:
@@ -79,13 +87,19 @@ def block_entropy(rows: DataFrame, key: str, data: Column, size: int = 256) -> D
     return out.select(F.col("key").alias(key), "block", F.round("entropy", 6).alias("entropy"))
 
 
+def _whole(data: pa.Buffer) -> np.ndarray:
+    """Counts of the 256 bytes, of a part at a time, since counting widens what it counts."""
+    octets = np.frombuffer(data, np.uint8)
+    return sum((np.bincount(octets[at : at + PART], minlength=256) for at in range(0, len(octets), PART)), np.zeros(256, np.int64))
+
+
 def byte_statistics(rows: DataFrame, key: str, data: Column) -> DataFrame:
     """key, n_bytes, kinds of bytes, most of one byte, the TOP most frequent bytes with their counts (hexadecimal, of equal counts the smaller byte first), and the chi-square statistic against equal shares of all 256; for each row
     whose data isn't null or empty."""
 
     def work(batches):
-        for batch in batches:
-            counts = np.array([sum(c.sum(0) for c in _counts(x.as_py(), 256)) for x in batch.column("data")], np.int64).reshape(-1, 256)
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            counts = np.array([_whole(x.as_buffer()) for x in batch.column("data")], np.int64).reshape(-1, 256)
             n = counts.sum(1)
             chi = (counts.astype(float) ** 2).sum(1) * 256 / n - n
             best = np.argsort(-counts, axis=1, kind="stable")[:, :TOP]
@@ -102,8 +116,8 @@ def char_statistics(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """key, kinds of characters, most of one, and their Shannon entropy in bits, for each row whose text isn't null or empty; row by row, without a shuffle."""
 
     def work(batches):
-        for batch in batches:
-            found = [np.unique(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1] for x in batch.column("data").to_pylist()]
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            found = [np.unique(np.frombuffer(x.as_py().encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1] for x in batch.column("data")]
             bits = [float(np.log2(c.sum()) - (c * np.log2(c)).sum() / c.sum()) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(c) for c in found], pa.int64()), pa.array([int(c.max()) for c in found], pa.int64()), pa.array(bits, pa.float64())], ["key", "kinds", "most", "entropy"])
 
