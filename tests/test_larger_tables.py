@@ -77,3 +77,24 @@ def test_exclusive_or_is_no_expression_of_each_byte(spark):
         own = texts[r["k"]]
         assert (r["x"] if own is None else bytes(r["x"])) == (None if own is None else bytes(b ^ b"abc"[i % 3] for i, b in enumerate(own)))
         assert (r["y"] if own is None else bytes(r["y"])) == (None if own is None else bytes(b ^ 75 for b in own).hex().encode())
+
+
+def test_statistics_of_more_rows_than_are_counted_at_once(spark, monkeypatch):
+    from tracewright.functions import octets
+
+    monkeypatch.setattr(octets, "PART", 7)
+    assert octets._whole(b"abc" * 11).tolist() == [11 * (k in b"abc") for k in range(256)]
+    rows = spark.range(600).select("id", F.repeat(F.lit("ab"), F.col("id").cast("int")).alias("text")).coalesce(1)
+    whole = octets.byte_statistics(rows, "id", F.col("text").cast("binary")).collect()
+    assert [(r["id"], r["n_bytes"], r["most"]) for r in whole] == [(k, 2 * k, k) for k in range(1, 600)]
+    assert [(r["id"], r["kinds"], r["entropy"]) for r in octets.char_statistics(rows, "id", F.col("text")).collect()] == [(k, 2, 1.0) for k in range(1, 600)]
+
+
+def test_custody_of_repeated_records_and_several_sessions(spark):
+    from tracewright.operators import stores
+
+    artifacts = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, None), (1, 10)], "a int, session_id int")
+    records = spark.createDataFrame([(None, 10, 100), (1, 11, 100), (3, 11, 101), (3, 11, 101), (9, None, 102), (2, None, 102), (2, 10, 103)], "a int, session_id int, record_id int")
+    got = stores.custody(artifacts, records, "a")
+    assert sorted(map(tuple, got.collect())) == [(1, 100), (1, 101), (1, 103), (2, 100), (2, 102), (2, 103), (3, 101)]
+    assert "HashAggregate" not in plan(got)[: plan(got).index("Union")]
