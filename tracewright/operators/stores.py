@@ -19,10 +19,18 @@ def listed(parents: DataFrame, children: DataFrame, key: str, order: list[Column
 
 
 def custody(artifacts: DataFrame, records: DataFrame, key: str) -> DataFrame:
-    """Records of an artifact: those of its own, and those of the session that it came in with; a record that is both counts once."""
-    own = artifacts.select(key, "session_id").join(records.withColumnRenamed(key, "_own"), "session_id").select(key, "record_id")
-    direct = records.where(F.col(key).isNotNull()).select(key, "record_id").join(artifacts.select(key), key, "left_semi")
-    return own.union(direct).distinct()
+    """Records of an artifact: those of its own, and those of the session that it came in with; a record that is both counts once.
+
+    What is counted once is found out by what an artifact and a record have of sessions, each a short list; the pairs themselves, which are far more than artifacts and records, go through no
+    shuffle. Pairs that meet in several sessions are taken in the first of these.
+    """
+    came = artifacts.groupBy(key).agg(F.array_sort(F.collect_set("session_id")).alias("_came"))
+    kept = records.groupBy("record_id").agg(F.array_sort(F.collect_set("session_id")).alias("_in"))
+    at = F.explode("_in").alias("session_id")
+    met = came.select(key, "_came", F.explode("_came").alias("session_id")).join(kept.select("record_id", "_in", at), "session_id")
+    own = met.where(F.get(F.array_intersect("_came", "_in"), F.lit(0)) == F.col("session_id")).select(key, "record_id")
+    direct = records.where(F.col(key).isNotNull()).select(key, "record_id").distinct().join(came, key).join(kept, "record_id", "left")
+    return own.union(direct.where(~F.coalesce(F.arrays_overlap("_came", F.coalesce("_in", F.array().cast(kept.schema["_in"].dataType))), F.lit(False))).select(key, "record_id"))
 
 
 def challenge_detail(challenges: DataFrame, artifacts: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:
