@@ -98,3 +98,15 @@ def test_custody_of_repeated_records_and_several_sessions(spark):
     got = stores.custody(artifacts, records, "a")
     assert sorted(map(tuple, got.collect())) == [(1, 100), (1, 101), (1, 103), (2, 100), (2, 102), (2, 103), (3, 101)]
     assert "HashAggregate" not in plan(got)[: plan(got).index("Union")]
+
+
+def test_states_of_builds_are_grouped_by_host_alone(spark):
+    from tracewright.operators import scans
+
+    hosts = spark.createDataFrame([(1, "w", 1, 5, ["A"]), (1, "x", 2, 9, None), (2, "w", 2, 5, ["K"]), (2, None, 1, 1, []), (3, "y", 1, 1, []), (None, "w", 1, 7, []), (4, "w", None, 3, ["S"])], "host int, product string, branch int, ubr int, kbs array<string>")
+    fixes = spark.createDataFrame([("a", "w", 1, 6, "K", ["S"]), ("a", "x", 2, 8, None, None), ("a", "w", 1, 7, "Z", []), ("b", "w", 1, 6, "Q", ["R"]), ("c", "x", 3, 6, "A", ["R"]), ("d", None, 1, 1, "A", []), (None, "y", 1, 2, "B", [])], "cve string, product string, branch int, ubr int, kb string, superseding array<string>")
+    got = scans.windows_builds(hosts, fixes)
+    want = {(1, "a", "Patched", 6), (1, "b", "Vulnerable", 6), (1, "c", "Unverified", None), (2, "a", "Patched", None), (2, "b", "Unverified", None), (3, None, "Vulnerable", 2), (None, "a", "Patched", 6), (None, "b", "Patched", 6), (4, "a", "Patched", None), (4, "b", "Unverified", None)}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    # what comes out is as many rows as hosts times CVEs, and nothing groups it
+    assert "Aggregate" not in plan(got)[: plan(got).index("Join")]

@@ -156,12 +156,25 @@ def windows_builds(hosts: DataFrame, fixes: DataFrame) -> DataFrame:
 
     A fix of the host's branch counts by build: patched where the host's is as new or an installed update is the fix or supersedes it. A CVE with fixes for other branches alone is
     unverified, never patched.
+
+    A host may have several rows. They are put together first, and the fixes of a CVE once for each set of products that hosts have, so that a host and CVE are met once: no group is made of
+    what comes out, which is as many rows as hosts times CVEs, and no task holds more than its share of hosts.
     """
-    met = hosts.join(fixes.select("cve", "product", F.col("branch").alias("fix_branch"), F.col("ubr").alias("fix_ubr"), "kb", "superseding"), "product")
-    here = F.col("branch") == F.col("fix_branch")
-    has_kb = vulnerabilities.updated(F.col("kb"), F.col("kbs"), F.col("superseding"))
-    own = met.groupBy("host", "cve").agg(F.bool_or(here).alias("known"), F.bool_or((here & (F.col("ubr") >= F.col("fix_ubr"))) | has_kb).alias("fixed"), F.min(F.when(here, F.col("fix_ubr"))).alias("first_fix"))
-    return own.select("host", "cve", F.when(F.col("fixed"), "Patched").when(F.col("known"), "Vulnerable").otherwise("Unverified").alias("state"), "first_fix")
+    builds = hosts.where("product IS NOT NULL").repartition("host").groupBy("host").agg(F.collect_list(F.struct("product", "branch", "ubr", "kbs")).alias("_builds"))
+    own = builds.withColumn("_products", F.array_sort(F.array_distinct(F.transform("_builds", lambda b: b["product"]))))
+    sets = own.select("_products").distinct().withColumn("product", F.explode("_products")).join(fixes, "product")
+    cves = sets.groupBy("_products", "cve").agg(F.collect_list(F.struct("product", "branch", "ubr", "kb", "superseding")).alias("_fixes"))
+    lists = cves.groupBy("_products", F.pmod(F.hash("cve"), F.lit(SHARES)).alias("_share")).agg(F.collect_list(F.struct("cve", "_fixes")).alias("_cves"))
+    # most hosts may have the same products, so they are dealt out, and the lists go to each part; hosts are small as files, and would be sent whole without a hint
+    dealt = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    own = own.withColumn("_part", F.pmod(F.hash("host"), F.lit(SHARES))).repartition(SHARES, "_products", "_part")
+    met = own.join(dealt.hint("merge"), ["_products", "_part"]).select("host", "_builds", F.explode("_cves").alias("_c")).select("host", "_builds", "_c.cve", "_c._fixes")
+    here = lambda b, f: (b["product"] == f["product"]) & (b["branch"] == f["branch"])
+    any_of = lambda test: F.exists("_builds", lambda b: F.exists("_fixes", lambda f: test(b, f)))
+    good = lambda b, f: (here(b, f) & (b["ubr"] >= f["ubr"])) | ((b["product"] == f["product"]) & vulnerabilities.updated(f["kb"], b["kbs"], f["superseding"]))
+    first = F.array_min(F.flatten(F.transform("_builds", lambda b: F.transform(F.filter("_fixes", lambda f: here(b, f)), lambda f: f["ubr"]))))
+    state = F.when(any_of(good), "Patched").when(any_of(here), "Vulnerable").otherwise("Unverified")
+    return met.select("host", "cve", state.alias("state"), first.alias("first_fix"))
 
 
 def _outcome(status: str | Column, reason: Column, sure: float | Column, rank: int, matched: str | Column, fixed: Column, advisory: Column) -> Column:
