@@ -110,3 +110,17 @@ def test_states_of_builds_are_grouped_by_host_alone(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     # what comes out is as many rows as hosts times CVEs, and nothing groups it
     assert "Aggregate" not in plan(got)[: plan(got).index("Join")]
+
+
+def test_versions_to_go_to_are_found_within_rows(spark):
+    from tracewright.functions import versions
+    from tracewright.operators import vulnerabilities
+
+    sets = [(1, ["1.9", "1.10", None, "x"]), (2, ["x"]), (3, []), (4, None), (5, ["1.0", "1.0.0", "1.0rc1"]), (6, ["2", "1!0", "2.post1"]), (7, ["1.0.dev1", "01.00"])]
+    got = spark.createDataFrame(sets, "k int, v array<string>").select("k", vulnerabilities.largest(F.col("v"), "PyPI").alias("top"))
+    assert dict(map(tuple, got.collect())) == {1: "1.10", 2: None, 3: None, 4: None, 5: "1.0.0", 6: "1!0", 7: "01.00"}
+    # plain numbers have the key that they had
+    same = spark.createDataFrame([("1.2.0",), ("0",), ("0.0",), ("10.0.3",)], "v string").where(versions.python_key(F.col("v")) == versions.python_key(F.concat(F.lit("v"), "v")))
+    assert same.count() == 4
+    # dependencies are read once, and advisories once
+    assert plan(catalog.QUERIES["dependency_findings"](spark, DATA)).split("Initial Plan")[-1].count("FileScan") == 2

@@ -78,7 +78,10 @@ def python_key(version: Column) -> Column:
         F.coalesce(g(1).try_cast("long"), F.lit(0)).alias("epoch"), release.alias("release"), pre.alias("stage"), F.coalesce(g(4).try_cast("long"), F.lit(0)).alias("number"),
         post.alias("post"), (~is_dev).alias("final"), F.coalesce(g(7).try_cast("long"), F.lit(0)).alias("dev"),
     )
-    return F.when(v.rlike(PEP440), key)
+    # most versions are numbers alone, for which the parts needn't be looked for one by one
+    zero = F.lit(0).cast("long")
+    plain = F.struct(zero.alias("epoch"), F.transform(F.split(F.regexp_replace(v, r"(\.0+)+$", ""), r"\."), _number).alias("release"), F.lit(3).alias("stage"), zero.alias("number"), F.lit(-1).cast("long").alias("post"), F.lit(True).alias("final"), zero.alias("dev"))
+    return F.when(v.rlike(r"^\d+(?:\.\d+)*$"), plain).when(v.rlike(PEP440), key)
 
 
 def _by_parts(text: Column, ranks: dict[str, int], end: int, other: int, number: int) -> Column:

@@ -69,7 +69,7 @@ def package_places(dependencies: DataFrame) -> DataFrame:
         rank = F.when(F.col("kind") == kind, k).otherwise(rank)
     place = F.struct(rank.alias("rank"), "file", "line", "kind", "name")
     own = dependencies.where("version IS NOT NULL").groupBy("ecosystem", normal_name(F.col("ecosystem"), F.col("name")).alias("key"), "version")
-    return own.agg(F.array_sort(F.collect_set(place)).alias("places"))
+    return own.agg(F.sort_array(F.collect_set(place)).alias("places"))
 
 
 def grouped_dependencies(dependencies: DataFrame) -> DataFrame:
@@ -86,16 +86,17 @@ def dependency_findings(dependencies: DataFrame, advisories: DataFrame, ecosyste
     keys = ["ecosystem", "key", "version"]
     rank = level(F.col("severity"))
     one = F.struct((~F.col("malicious")).alias("m"), (~F.col("kev")).alias("k"), (-rank).alias("s"), (-F.coalesce("cvss", F.lit(-1.0))).alias("c"), "id", "severity", "malicious", "kev", "summary")
-    lists = advisories.withColumns({"malicious": F.coalesce("malicious", F.lit(False)), "kev": F.coalesce("kev", F.lit(False))}).groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("a"))
-    targets = None
+    # fixes are null where an advisory has none, and their versions are looked at for packages that are met alone
+    fixes = F.when(F.count("*") == F.count("fix"), F.collect_set("fix")).alias("_fixes")
+    lists = advisories.withColumns({"malicious": F.coalesce("malicious", F.lit(False)), "kev": F.coalesce("kev", F.lit(False))}).groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("a"), fixes)
+    target = F.lit(None).cast("string")
     for ecosystem in ecosystems:
-        own = vulnerabilities.upgrade_target(advisories.where(F.col("ecosystem") == ecosystem).select(*keys, "fix"), keys, ecosystem)
-        targets = own if targets is None else targets.union(own)
-    met = package_places(dependencies).join(lists, keys).join(targets, keys, "left")
+        target = F.when(F.col("ecosystem") == ecosystem, vulnerabilities.largest(F.col("_fixes"), ecosystem)).otherwise(target)
+    met = package_places(dependencies).join(lists, keys).withColumn("target", target)
     bad, flaws = F.filter("a", lambda x: x["malicious"]), F.filter("a", lambda x: ~x["malicious"])
-    met = met.withColumns({"bad": bad, "flaws": flaws, "main": F.col("places")[0]})
+    met = met.withColumns({"bad": bad, "flaws": flaws, "main": F.col("places")[0]}).withColumn("worst", F.array_max(F.transform("flaws", lambda x: -x["s"])))
     who = F.concat(F.col("main.name"), F.lit(" "), "version", F.lit(" ("), "ecosystem", F.lit(")"))
-    number, worst = F.size("flaws"), F.array_max(F.transform("flaws", lambda x: -x["s"]))
+    number, worst = F.size("flaws"), F.col("worst")
     first = F.get("bad", F.lit(0))
     summary = F.regexp_replace(F.coalesce(first["summary"], F.lit("")), r"\.+$", "")
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))

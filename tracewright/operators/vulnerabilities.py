@@ -61,6 +61,12 @@ def upgrade_target(fixes: DataFrame, keys: list[str], ecosystem: str) -> DataFra
     return fixes.groupBy(*keys).agg(F.when(F.count("*") == F.count("fix"), F.max_by("fix", versions.key(F.col("fix"), ecosystem))).alias("target"))
 
 
+def largest(versions_: Column, ecosystem: str) -> Column:
+    """The largest of an array of versions, and of equal ones the last as texts; null if none is a version of the ecosystem."""
+    ordered = F.transform(versions_, lambda v: F.struct(versions.key(v, ecosystem).alias("key"), v.alias("version")))
+    return F.array_max(F.filter(ordered, lambda x: x["key"].isNotNull()))["version"]
+
+
 def own_record_first(found: DataFrame, records: DataFrame, package: list[str]) -> DataFrame:
     """found (package, id, cve) without advisories of a CVE that has a record of its own for the package which didn't match.
 
