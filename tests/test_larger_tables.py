@@ -124,3 +124,15 @@ def test_versions_to_go_to_are_found_within_rows(spark):
     assert same.count() == 4
     # dependencies are read once, and advisories once
     assert plan(catalog.QUERIES["dependency_findings"](spark, DATA)).split("Initial Plan")[-1].count("FileScan") == 2
+
+
+def test_manifests_of_a_small_table_are_dealt_out(spark):
+    from tracewright.sources import manifests
+
+    assert "Exchange" in plan(catalog.QUERIES["manifest_dependencies"](spark, DATA))
+    # more files, and more rows of a file, than leave a task at once
+    many = "".join(f"a{k}==1.{k}\n" for k in range(5000)).encode()
+    files = spark.range(5000).select(F.concat(F.lit("p/"), F.col("id").cast("string"), F.lit("/requirements.txt")).alias("file"), F.lit(b"b==2\n").alias("content"))
+    got = manifests.of_files(files.union(spark.createDataFrame([("q/requirements.txt", bytearray(many)), ("r/package.json", bytearray(b"{"))], "file string, content binary")).coalesce(1))
+    assert {tuple(r) for r in got.groupBy("name").count().where("count > 1").collect()} == {("b", 5000)}
+    assert got.where("file = 'q/requirements.txt'").agg(F.count("*"), F.sum("line")).collect()[0] == (5000, 12502500)

@@ -32,6 +32,15 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tasks over which dealt() deals rows.
+TASKS = 64
+
+
+def dealt(rows):
+    """Rows of a small file dealt over tasks, before texts are made of them: their work is far larger than the file, whose size alone would decide how many tasks there are."""
+    return rows.repartition(TASKS)
+
+
 # --- facts and rules
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import correlations
 from ..sources import host, manifests, projects
 from ..sources import records as R
-from .catalog import query
+from .catalog import dealt, query
 
 def text_of(column):
     return column.cast("string")
@@ -105,7 +105,7 @@ def manifest_dependencies(t):
         ("build.gradle", F.concat(F.lit("implementation 'g:a"), key, F.lit(":"), version, F.lit("'"))),
     )
     one = F.element_at(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("content")) for n, c in kinds)), (F.col("p_partkey") % 4).cast("int") + 1)
-    files = t("part").select(F.concat(F.lit("p/"), key, F.lit("/"), one["name"]).alias("file"), one["content"].alias("content"))
+    files = dealt(t("part").select("p_partkey", "p_size")).select(F.concat(F.lit("p/"), key, F.lit("/"), one["name"]).alias("file"), one["content"].alias("content"))
     return manifests.of_files(files).select("file", "ecosystem", "name", "version", "line")
 
 
