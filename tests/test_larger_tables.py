@@ -136,3 +136,13 @@ def test_manifests_of_a_small_table_are_dealt_out(spark):
     got = manifests.of_files(files.union(spark.createDataFrame([("q/requirements.txt", bytearray(many)), ("r/package.json", bytearray(b"{"))], "file string, content binary")).coalesce(1))
     assert {tuple(r) for r in got.groupBy("name").count().where("count > 1").collect()} == {("b", 5000)}
     assert got.where("file = 'q/requirements.txt'").agg(F.count("*"), F.sum("line")).collect()[0] == (5000, 12502500)
+
+
+def test_an_event_is_parsed_once(spark):
+    from tracewright.sources import records
+
+    asked = spark.range(1).select(records.event_head(F.lit("{}")).alias("h"))._jdf.queryExecution().logical().toString()
+    assert asked.count("parse_json") == 1
+    twice = '{"Event": {"System": {"EventID": 1}, "EventData": {"A": "x", "N": 1, "Data": [{"Name": "A", "value": "y"}, {"@Name": "B", "#text": "z"}, {"#text": "no"}]}}}'
+    got = spark.createDataFrame([(twice,), ("no json",), (None,), ('{"EventID": 4}',)], "raw string").select(records.event_head(F.col("raw"))["number"].alias("n"), records.event_data(F.col("raw")).alias("d"))
+    assert [tuple(r) for r in got.collect()] == [(1, {"A": "y", "B": "z"}), (None, {}), (None, {}), (4, {})]

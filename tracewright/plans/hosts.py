@@ -21,7 +21,7 @@ def _events(t):
     plain = F.concat(F.lit('"EventData": {"Image": "i'), n, F.lit('", "SourcePort": "'), text_of(F.col("event_id") % 70000), F.lit('", "DestinationPort": 7}'))
     service = F.concat(F.lit('"EventData": {"ServiceName": "s'), n, F.lit('", "ServiceFileName": "f"}'))
     kinds = (body(4688, "Security", listed), body(3, "Microsoft-Windows-Sysmon/Operational", plain), body('{"#text": 7045}', "System", service), body(9999, "Security", plain), F.concat(F.lit("no json "), n))
-    return t("events").select("event_id", F.element_at(F.array(*kinds), (F.col("event_id") % 5).cast("int") + 1).alias("raw"))
+    return dealt(t("events").select("event_id", "user_id")).select("event_id", F.element_at(F.array(*kinds), (F.col("event_id") % 5).cast("int") + 1).alias("raw"))
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'process_create' WHEN 1 THEN 'network_connection' WHEN 2 THEN 'service_installed' ELSE 'windows_event' END AS kind, CASE WHEN event_id % 5 < 4 THEN 'pc' || user_id END AS computer,

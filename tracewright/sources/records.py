@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import bound
+
 NUMBER, BOOLEAN = "int", "boolean"
 _PERSON = {"subject_user_name": "SubjectUserName", "subject_domain_name": "SubjectDomainName"}
 _SERVICE = {"service_name": "ServiceName", "service_file_name": ("ImagePath", "ServiceFileName"), "service_type": "ServiceType", "start_type": "StartType", "service_account": "ServiceAccount"}
@@ -35,19 +37,23 @@ def _member(whole: Column, kind: str, *paths: str) -> Column:
 
 def event_head(raw: Column) -> Column:
     """number, provider, channel, computer, user, record number and time of an event in JSON, whether its System stands under Event or on top."""
-    whole = F.try_parse_json(raw)
     both = lambda tail: [f"$.Event.System{tail}", f"$.System{tail}"]
     named = lambda one, attribute: [p for k in (f".{one}['#attributes'].{attribute}", f".{one}['@{attribute}']", f".{one}.{attribute}") for p in both(k)]
-    return F.struct(
+    # parsed once, however many members are looked for
+    return bound(F.try_parse_json(raw), lambda whole: F.struct(
         _member(whole, "int", *both(".EventID"), *both(".EventID['#text']"), "$.EventID").alias("number"), _member(whole, "string", *named("Provider", "Name")).alias("provider"), _member(whole, "string", *both(".Channel"), "$.Channel").alias("channel"),
         _member(whole, "string", *both(".Computer")).alias("computer"), _member(whole, "string", *named("Security", "UserID")).alias("user_sid"), _member(whole, "long", *both(".EventRecordID")).alias("record_id"),
         F.to_timestamp(_member(whole, "string", *named("TimeCreated", "SystemTime"))).alias("time"),
-    )
+    ))
 
 
 def event_data(raw: Column) -> Column:
     """The named texts of an event's data as a map: its members, and the items of its list Data by their names; the last of a name counts."""
     own = F.coalesce(F.get_json_object(raw, "$.Event.EventData"), F.get_json_object(raw, "$.EventData"))
+    return bound(own, lambda o: bound(_named_texts(o), lambda every: F.map_from_entries(_last_of_each(every))))
+
+
+def _named_texts(own: Column) -> Column:
     members = F.from_json(own, "map<string,variant>")
     plain = F.filter(F.map_entries(members), lambda e: F.schema_of_variant(e["value"]) == "STRING")
     plain = F.transform(plain, lambda e: F.struct(e["key"].alias("k"), F.try_variant_get(e["value"], "$", "string").alias("v")))
@@ -55,9 +61,11 @@ def event_data(raw: Column) -> Column:
     listed = F.from_json(F.get_json_object(own, "$.Data"), item)
     pairs = F.transform(listed, lambda i: F.struct(F.coalesce(i["#attributes"]["Name"], i["@Name"], i["Name"]).alias("k"), F.coalesce(i["#text"], i["value"]).alias("v")))
     empty = F.array().cast("array<struct<k:string,v:string>>")
-    every = F.filter(F.concat(F.coalesce(plain, empty), F.coalesce(pairs, empty)), lambda p: p["k"].isNotNull())
-    last = F.filter(every, lambda p, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    return F.filter(F.concat(F.coalesce(plain, empty), F.coalesce(pairs, empty)), lambda p: p["k"].isNotNull())
+
+
+def _last_of_each(every: Column) -> Column:
+    return F.filter(every, lambda p, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda q: q["k"] == p["k"]))
 
 
 def observations(records: DataFrame, raw: str) -> DataFrame:
