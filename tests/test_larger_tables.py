@@ -1,5 +1,6 @@
 """What showed on larger tables alone: sides that are sent whole, groups that outgrow a limit, work that is done again for each row."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,19 @@ def test_an_event_is_parsed_once(spark):
     twice = '{"Event": {"System": {"EventID": 1}, "EventData": {"A": "x", "N": 1, "Data": [{"Name": "A", "value": "y"}, {"@Name": "B", "#text": "z"}, {"#text": "no"}]}}}'
     got = spark.createDataFrame([(twice,), ("no json",), (None,), ('{"EventID": 4}',)], "raw string").select(records.event_head(F.col("raw"))["number"].alias("n"), records.event_data(F.col("raw")).alias("d"))
     assert [tuple(r) for r in got.collect()] == [(1, {"A": "y", "B": "z"}), (None, {}), (None, {}), (4, {})]
+
+
+def test_texts_give_only_runs_that_needles_may_have(spark, monkeypatch):
+    from tracewright.operators import needles
+
+    texts = spark.createDataFrame([(k, f"{k} some words of a text that no needle has " * 20) for k in range(50)] + [(90, "x A Needle of more than sixteen bytes É"), (91, "wxyz"), (92, "a needle of more than sixteen byte")], "t int, text string")
+    asked = spark.createDataFrame([(1, "wxyz"), (1, "needle of MORE than sixteen bytes é"), (2, "of more than sixteen byte"), (3, "zz")], "n int, needle string")
+    # two needles of one id are looked for, each by a run of its own
+    assert sorted(map(tuple, needles.found(asked, "n", "needle", texts, "t", "text").collect())) == [(1, 90), (1, 91), (2, 90), (2, 92)]
+    wanted = asked.select(F.explode(needles.runs(F.lower("needle").cast("binary"))).alias("_run")).distinct()
+    assert needles.held_runs(texts.select(F.col("t").alias("_t"), F.col("text").alias("_text")), wanted, False).select("_t").distinct().count() < 10
+    # texts that lie over several parts
+    monkeypatch.setattr(needles, "PART", 7)
+    data = b"abcabcabc" + b"bc"
+    hits = [(int(t), r) for own, runs in needles._hits(np.frombuffer(data, "u1"), np.array([9, 11]), [2, 9], np.ones(needles.PLACES, bool)) for t, r in zip(own, runs.to_pylist(), strict=True)]
+    assert set(hits) == {(0, b"ab"), (0, b"bc"), (0, b"ca"), (1, b"bc"), (0, b"abcabcabc")}
