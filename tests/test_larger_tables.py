@@ -163,3 +163,21 @@ def test_texts_give_only_runs_that_needles_may_have(spark, monkeypatch):
     data = b"abcabcabc" + b"bc"
     hits = [(int(t), r) for own, runs in needles._hits(np.frombuffer(data, "u1"), np.array([9, 11]), [2, 9], np.ones(needles.PLACES, bool)) for t, r in zip(own, runs.to_pylist(), strict=True)]
     assert set(hits) == {(0, b"ab"), (0, b"bc"), (0, b"ca"), (1, b"bc"), (0, b"abcabcabc")}
+
+
+def test_a_flow_is_read_once_and_its_instances_are_told_apart_in_its_task(spark):
+    from tracewright.operators import reassembly
+
+    # a flow that is opened again after its end, and one that is not ended before it is
+    rows = [(0, "SYN", 6, b"", True), (1, "ACK", 7, b"one", True), (2, "ACK", 9, b"eno", True), (3, "FIN", 10, b"", False), (4, "ACK", 10, b"!", True), (5, "SYN", 90, b"", True), (6, "ACK", 91, b"two", True), (7, "SYN", 92, b"o", True), (8, "ACK", 5, b"ok", False)]
+    schema = "file string, packet_index long, ts_us long, captured long, original long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, tcp_flags string, tcp_sequence long, payload binary, issue string"
+    given = [("f", n, n, len(d), len(d), "a" if f else "b", "b" if f else "a", 1 if f else 2, 2 if f else 1, "TCP", flag, q, d, None) for n, flag, q, d, f in rows]
+    both = [reassembly.reassembled(spark.createDataFrame(given, schema), issues=k) for k in (True, False)]
+    for found in both:
+        got = {(r["instance"], r["forward"]): (bytes(r["bytes"]), r["first_us"], r["last_us"], r["issue_packets"]) for r in reassembly.streams_of(found).collect()}
+        assert got == {(0, True): (b"oneno", 1, 4, {"OverlapIdentical": 1, "OverlapConflict": 1}), (1, True): (b"two", 6, 7, {"OverlapConflict": 1}), (1, False): (b"ok", 8, 8, {})}
+    counted = {(r["instance"], r["issue"]): r["n"] for r in reassembly.issues_of(both[0]).groupBy("instance", "issue").agg(F.count_distinct("second_packet").alias("n")).collect()}
+    assert counted == {(r["instance"], k): n for r in reassembly.streams_of(both[1]).collect() for k, n in r["issue_packets"].items()} and counted
+    assert reassembly.issues_of(both[1]).count() == 0
+    own = plan(catalog.QUERIES["stream_bytes"](spark, DATA))
+    assert own.count("MapInArrow") == 1 and "Window" not in own and "Join" not in own

@@ -15,16 +15,21 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col("tcp_flags").contains(name), F.lit(False))
 
 
+def ended(packets: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Packets with both ends of their flow in order and whether they go from left to right, and which of them open and end an instance of it."""
+    end = lambda ip, port: F.concat_ws(":", F.coalesce(ip, F.lit("?")), F.coalesce(port, F.lit(0)).cast("string"))
+    a, b = end("src_ip", "src_port"), end("dst_ip", "dst_port")
+    own = packets.where("issue IS NULL").withColumns({"left": F.least(a, b), "right": F.greatest(a, b), "forward": a <= b, "protocol": F.coalesce("protocol", F.lit("UNKNOWN"))})
+    return own, (F.col("protocol") == "TCP") & _flag("SYN") & ~_flag("ACK"), _flag("FIN") | _flag("RST")
+
+
 def keyed(packets: DataFrame) -> DataFrame:
     """Packets with both ends of their flow in order, whether they go from left to right, and the flow's instance.
 
     A new instance begins with a SYN without ACK once the one before has had a FIN or RST.
     """
-    end = lambda ip, port: F.concat_ws(":", F.coalesce(ip, F.lit("?")), F.coalesce(port, F.lit(0)).cast("string"))
-    a, b = end("src_ip", "src_port"), end("dst_ip", "dst_port")
-    own = packets.where("issue IS NULL").withColumns({"left": F.least(a, b), "right": F.greatest(a, b), "forward": a <= b, "protocol": F.coalesce("protocol", F.lit("UNKNOWN"))})
-    opens = (F.col("protocol") == "TCP") & _flag("SYN") & ~_flag("ACK")
-    return instances(own, KEY, ["packet_index"], opens, _flag("FIN") | _flag("RST"))
+    own, opens, ends = ended(packets)
+    return instances(own, KEY, ["packet_index"], opens, ends)
 
 
 def flows(packets: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def of_capture(packets: DataFrame, limits: Limits = Limits()) -> DataFrame:
     out = out.union(_row(named, "network_flow", json(flow=F.struct(*totals.columns)), F.col("quality"), none))
     port = F.col("port")
     read = named.where((F.col("protocol") == "TCP") & port.isin(*DNS_PORTS, *HTTP_PORTS, *TLS_PORTS)).select(*KEY, "instance", "forward", "ts_us", "packet_index", "packet_locator", "port", "quality")
-    streams = streams_of(reassembled(packets, limits)).select(*KEY, "instance", "forward", "status", "bytes").join(read, [*KEY, "instance", "forward"])
+    streams = streams_of(reassembled(packets, limits, issues=False)).select(*KEY, "instance", "forward", "status", "bytes").join(read, [*KEY, "instance", "forward"])
     dns = streams.where(port.isin(*DNS_PORTS)).withColumn("m", F.get(protocols.dns_frames("bytes"), F.lit(0))).where("m IS NOT NULL AND m.issue IS NULL")
     http = streams.where(port.isin(*HTTP_PORTS)).withColumn("m", protocols.http(F.col("bytes"))).where("m IS NOT NULL")
     tls = streams.where(port.isin(*TLS_PORTS)).withColumn("m", protocols.tls("bytes"))

@@ -1,7 +1,7 @@
 """TCP streams put together again, with what is odd in them, and the frames of protocols in them.
 
-The segments of a stream and direction come to one task in the order of capture, and leave it as they come: what a task holds is one stream's
-bytes, at most Limits.stream_bytes of them in at most Limits.segments pieces, however many packets the stream has, or all of them where these are None. What a limit leaves out is flagged, never dropped
+The packets of a flow come to one task in the order of capture, are told apart by instance and direction there, and leave it as they come: what a task holds is the bytes of both directions of one stream, of each
+at most Limits.stream_bytes of them in at most Limits.segments pieces, however many packets the stream has, or all of them where these are None. What a limit leaves out is flagged, never dropped
 silently. Of bytes that several segments bring, the first ones stay.
 
 Issues, by kind: Retransmission, a segment that begins where one began before; Duplicate, of these one with the very same bytes; OverlapIdentical and OverlapConflict, a
@@ -15,6 +15,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import protocols
-from .flows import KEY, keyed
+from .flows import KEY, ended
 
 STREAM = [*KEY, "instance", "forward"]
 SCHEMA = (
     "file string, left string, right string, protocol string, instance long, forward boolean, status string, bytes binary, retransmissions long, overlap_conflicts long, first_us long, last_us long, "
-    "issue string, seq_start long, seq_end long, first_packet long, second_packet long"
+    "issue string, seq_start long, seq_end long, first_packet long, second_packet long, issue_packets map<string,long>"
 )
 #: Rows of a batch and bytes of streams that leave together.
 BATCH, BATCH_BYTES = 1000, 8 << 20
@@ -65,6 +66,10 @@ class Stream:
             self.first = sequence
         return (sequence - self.first + (1 << 31)) % (1 << 32) - (1 << 31)
 
+    def after(self, place: int) -> int:
+        """How many pieces begin at a place or before it; most segments come behind all that is known."""
+        return len(self.pieces) if not self.pieces or self.pieces[-1][0] <= place else bisect_right(self.pieces, place, key=lambda p: p[0])
+
     def number(self, place: int) -> int:
         return (self.first + place) % (1 << 32)
 
@@ -86,7 +91,7 @@ class Stream:
             if before[1] == data:
                 yield self.issue("Duplicate", start, end, before[0], packet)
         at, new = start, []
-        k = max(0, bisect_right(self.pieces, start, key=lambda p: p[0]) - 1)
+        k = max(0, self.after(start) - 1)
         for known_at, known, owner in self.pieces[k:]:
             if known_at >= end:
                 break
@@ -110,7 +115,7 @@ class Stream:
                 self.limited = True
                 yield self.issue("ResourceLimit", piece_at + len(kept), piece_at + len(piece), None, packet)
             if kept:
-                self.pieces.insert(bisect_right(self.pieces, piece_at, key=lambda p: p[0]), (piece_at, kept, packet))
+                self.pieces.insert(self.after(piece_at), (piece_at, kept, packet))
                 self.size += len(kept)
         if before is None and not full(self.began):
             self.began[start] = packet, data
@@ -121,43 +126,75 @@ class Stream:
         return {"status": status, "bytes": b"".join(d for _, d, _ in self.pieces), "retransmissions": self.again, "overlap_conflicts": self.conflicts}, gaps
 
 
-def reassembled(packets: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """A row for each stream and direction that has bytes, with its status and bytes, and one for each of its issues, which have no status.
+def reassembled(packets: DataFrame, limits: Limits = Limits(), issues: bool = True) -> DataFrame:
+    """A row for each stream and direction that has bytes, with its status, its bytes and, by kind, at how many packets issues were met, and with issues one for each of them, which have no status.
 
-    packets are as captures gives them. Streams are dealt over tasks; one stream is read by one of them, in the order of its packets.
+    packets are as captures gives them. Flows are dealt over tasks; one flow is read by one of them, once, in the order of its packets.
     """
-    own = keyed(packets).where("protocol = 'TCP' AND tcp_sequence IS NOT NULL")
+    own, opens, ends = ended(packets)
+    own = own.where("protocol = 'TCP'").withColumns({"opens": opens, "ends": ends})
     cut = F.col("captured") < F.col("original") if "original" in packets.columns else F.lit(False)
-    rows = own.select(*STREAM, "packet_index", "tcp_sequence", F.coalesce("payload", F.lit(b"")).alias("payload"), F.coalesce(cut, F.lit(False)).alias("truncated"), "ts_us")
-    rows = rows.where("truncated OR length(payload) > 0")
-    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    rows = own.select(*KEY, "forward", "packet_index", "tcp_sequence", F.coalesce("payload", F.lit(b"")).alias("payload"), F.coalesce(cut, F.lit(False)).alias("truncated"), "ts_us", "opens", "ends")
+    rows = rows.withColumn("counts", F.expr("tcp_sequence IS NOT NULL AND (truncated OR length(payload) > 0)")).where("counts OR opens OR ends")
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "map<string,long>": pa.map_(pa.string(), pa.int64())}
     out = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
+    fields = ("forward", "packet_index", "tcp_sequence", "payload", "truncated", "ts_us", "opens", "ends", "counts")
 
     def work(batches):
-        held, size, now, stream, times = [], 0, None, None, None
+        held, size, now = [], 0, None
+        # of the flow that is read: its instance, whether it has ended, and by direction its stream, its first and last time, and by kind the packets with issues and the last one
+        instance, over, both = 0, False, {}
+
+        def counted(at, i):
+            last = at[2].setdefault(i["issue"], [0, None])
+            if i["second_packet"] is not None and i["second_packet"] != last[1]:
+                last[:] = last[0] + 1, i["second_packet"]
 
         def closed():
-            total, gaps = stream.end()
-            name = dict(zip(STREAM, now, strict=True))
-            if stream.size or stream.limited:
-                yield name | total | {"first_us": times[0], "last_us": times[1]}
-            yield from (name | g for g in gaps)
+            for forward, at in both.items():
+                total, gaps = at[0].end()
+                for g in gaps:
+                    counted(at, g)
+                name = dict(zip(STREAM, (*now, instance, forward), strict=True))
+                if at[0].size or at[0].limited:
+                    yield name | total | {"first_us": at[1][0], "last_us": at[1][1], "issue_packets": [(k, n) for k, (n, _) in sorted(at[2].items())]}
+                if issues:
+                    yield from (name | g for g in gaps)
+            both.clear()
 
         def every():
-            nonlocal now, stream, times
+            nonlocal now, instance, over
             for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in (*STREAM, "packet_index", "tcp_sequence", "truncated", "ts_us", "payload")]
-                for *name, packet, sequence, truncated, ts, payload in zip(*columns, strict=True):
-                    if name != now:
-                        if stream is not None:
+                new = np.zeros(batch.num_rows, bool)
+                new[:1] = True
+                for c in KEY:
+                    codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                    new[1:] |= codes[1:] != codes[:-1]
+                begins = set(np.flatnonzero(new).tolist())
+                for k, (forward, packet, sequence, payload, truncated, ts, opens, ends, counts) in enumerate(zip(*(batch.column(c).to_pylist() for c in fields), strict=True)):
+                    if k in begins:
+                        name = tuple(batch.column(c)[k].as_py() for c in KEY)
+                        if name != now:
+                            yield from closed()
+                            now, instance, over = name, 0, False
+                    if opens:
+                        if over:
                             yield from closed()
-                        now, stream, times = name, Stream(limits), (ts, ts)
+                            instance += 1
+                        over = False
+                    over = over or ends
+                    if not counts:
+                        continue
+                    at = both.get(forward)
+                    if at is None:
+                        at = both[forward] = Stream(limits), [ts, ts], {}
                     if ts is not None:
-                        times = (ts, ts) if times[0] is None else (min(times[0], ts), max(times[1], ts))
-                    label = dict(zip(STREAM, now, strict=True))
-                    yield from (label | i for i in stream.add(sequence, payload, packet, truncated))
-            if stream is not None:
-                yield from closed()
+                        at[1][:] = (ts, ts) if at[1][0] is None else (min(at[1][0], ts), max(at[1][1], ts))
+                    for i in at[0].add(sequence, payload, packet, truncated):
+                        counted(at, i)
+                        if issues:
+                            yield dict(zip(STREAM, (*now, instance, forward), strict=True)) | i
+            yield from closed()
 
         for row in every():
             held.append(row)
@@ -168,7 +205,7 @@ def reassembled(packets: DataFrame, limits: Limits = Limits()) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, out)
 
-    return rows.repartition(*(F.col(c) for c in STREAM)).sortWithinPartitions(*STREAM, "packet_index").mapInArrow(work, SCHEMA)
+    return rows.repartition(*(F.col(c) for c in KEY)).sortWithinPartitions(*KEY, "packet_index").mapInArrow(work, SCHEMA)
 
 
 def dns_messages_of(streams: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,7 +226,7 @@ def dns_messages_of(streams: DataFrame, keys: list[str]) -> DataFrame:
 
 def streams_of(found: DataFrame) -> DataFrame:
     """The streams among the rows of reassembled."""
-    return found.where("status IS NOT NULL").select(*STREAM, "status", "bytes", "retransmissions", "overlap_conflicts", "first_us", "last_us")
+    return found.where("status IS NOT NULL").select(*STREAM, "status", "bytes", "retransmissions", "overlap_conflicts", "first_us", "last_us", "issue_packets")
 
 
 def issues_of(found: DataFrame) -> DataFrame:

@@ -199,7 +199,7 @@ def dns_over_streams(t):
     frame = F.concat(F.unhex(_hex(F.octet_length(message).cast("long"), 4)), message)
     streams = t("customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.hex(frame).alias("f")))), lambda x: x["f"]), "").alias("all"))
     # a nation's stream grows with its customers, and all of their messages count
-    whole = reassembly.streams_of(reassembly.reassembled(segments(streams, "c_nationkey", F.unhex("all")), reassembly.WHOLE))
+    whole = reassembly.streams_of(reassembly.reassembled(segments(streams, "c_nationkey", F.unhex("all")), reassembly.WHOLE, issues=False))
     own = reassembly.dns_messages_of(whole, ["left"])
     own = own.select(F.split_part("left", F.lit(":"), F.lit(1)).cast("int").alias("c_nationkey"), F.regexp_extract("m.qname", r"^C(\d+)\.", 1).cast("long").alias("k"), F.split_part("m.qname", F.lit("."), F.lit(2)).alias("s"))
     return own.groupBy("c_nationkey").agg(F.count("*").alias("messages"), F.sum("k").alias("keys"), F.max("s").alias("segment"))
@@ -218,10 +218,10 @@ def segments(rows, key, data, size=97, step=61):
 
 @query("""SELECT doc_id, sha256(text) AS digest, 'Complete' AS status, strlen(text) AS size, (strlen(text) + 60) // 61 - 1 AS overlaps FROM documents WHERE strlen(text) > 97""")
 def stream_bytes(t):
-    found = reassembly.reassembled(segments(t("documents").where("octet_length(text) > 97"), "doc_id", F.col("text").cast("binary")))
+    found = reassembly.reassembled(segments(t("documents").where("octet_length(text) > 97"), "doc_id", F.col("text").cast("binary")), reassembly.WHOLE, issues=False)
     key = F.split_part("left", F.lit(":"), F.lit(1)).cast("long").alias("doc_id")
-    odd = reassembly.issues_of(found).where("issue = 'OverlapIdentical'").groupBy(key).agg(F.count_distinct("second_packet").alias("overlaps"))
-    return reassembly.streams_of(found).select(key, F.sha2("bytes", 256).alias("digest"), "status", F.octet_length("bytes").cast("long").alias("size")).join(odd, "doc_id", "left")
+    overlaps = F.try_element_at("issue_packets", F.lit("OverlapIdentical")).alias("overlaps")
+    return reassembly.streams_of(found).select(key, F.sha2("bytes", 256).alias("digest"), "status", F.octet_length("bytes").cast("long").alias("size"), overlaps)
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN 'ClientHello' END AS kind, CASE WHEN c_custkey % 4 > 0 THEN 'H' || c_custkey || '.' || lower(c_mktsegment) END AS sni, CASE WHEN c_custkey % 4 > 0 THEN 'h2|http/1.1' END AS alpn, CASE WHEN c_custkey % 4 > 0 THEN '4867|4865' END AS ciphers,
