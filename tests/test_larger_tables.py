@@ -181,3 +181,13 @@ def test_a_flow_is_read_once_and_its_instances_are_told_apart_in_its_task(spark)
     assert reassembly.issues_of(both[1]).count() == 0
     own = plan(catalog.QUERIES["stream_bytes"](spark, DATA))
     assert own.count("MapInArrow") == 1 and "Window" not in own and "Join" not in own
+
+
+def test_targets_of_one_scope_are_dealt_and_meet_its_rows_last(spark):
+    from tracewright.operators import scopes
+
+    targets = spark.range(3000).coalesce(1).select("id", F.create_map(F.lit("k"), "id").alias("m"), F.when(F.col("id") < 2000, "host").otherwise("10.1.2.3").alias("t"))
+    table = spark.range(300).select(F.col("id").alias("scope"), F.element_at(F.array(F.lit("host"), F.lit("10.1.0.0/16"), F.lit("10.1.2.0/24")), (F.col("id") % 3).cast("int") + 1).alias("b"))
+    got = scopes.matches(targets, "t", table, "b")
+    assert sorted(map(tuple, got.groupBy("b").count().collect())) == [("10.1.2.0/24", 100_000), ("host", 200_000)]
+    assert got.select(F.spark_partition_id()).distinct().count() > 4

@@ -44,27 +44,35 @@ def _each(work):
 #: The bits of an address, and those of a block behind the number that an address of its kind has; null for what is neither.
 bits_of, block_of = _each(_bits), _each(_block)
 
+#: Parts over which the targets of one scope are dealt, and tasks of the last join, whose sides are far smaller than its rows.
+PARTS, TASKS = 16, 64
+
 
 def matches(targets: DataFrame, target: str, scopes: DataFrame, pattern: str) -> DataFrame:
     """targets with the columns of the scope whose pattern holds its target most closely: an equal name, or the longest block of an address. Others are left out.
 
     Of equal patterns the rows of each come out. What isn't an address matches the very same text alone, and a block that can't be one matches nothing.
+    A target gets the name of its block first, and the rows of that block's scopes last, so that these go through no shuffle.
     """
-    own = scopes.where(F.col(pattern).isNotNull()).withColumn("_block", block_of(F.col(pattern)))
-    blocks = own.where("_block IS NOT NULL").withColumns({"_wide": F.split_part("_block", F.lit(":"), F.lit(1)).cast("int"), "_prefix": F.split_part("_block", F.lit(":"), F.lit(2))})
-    blocks = blocks.withColumn("_size", F.length("_prefix")).drop("_block")
-    names = own.where(F.col("_block").isNull() & ~F.contains(pattern, F.lit("/"))).drop("_block")
+    # a block's name is its bits, and a name's is its text behind another mark
+    block = block_of(F.col(pattern))
+    own = scopes.where(F.col(pattern).isNotNull()).withColumn("_name", F.coalesce(F.concat(F.lit("b"), block), F.when(~F.contains(pattern, F.lit("/")), F.concat(F.lit("n"), pattern)))).where("_name IS NOT NULL")
+    names = own.select("_name").distinct()
+    blocks = names.where("_name LIKE 'b%'").select("_name", F.substring_index(F.substring("_name", 2, 9), ":", 1).cast("int").alias("_wide"), F.length(F.substring_index("_name", ":", -1)).alias("_size"))
     # 162 rows at most
     sizes = F.broadcast(blocks.select("_wide", "_size").distinct().groupBy("_wide").agg(F.collect_set("_size").alias("_sizes")))
     distinct = targets.select(F.col(target).alias("_t")).where("_t IS NOT NULL").distinct().withColumn("_bits", bits_of("_t"))
     looked = distinct.where("_bits IS NOT NULL").withColumn("_wide", F.length("_bits")).join(sizes, "_wide").withColumn("_size", F.explode("_sizes"))
-    looked = looked.select("_t", "_wide", "_size", F.expr("substring(_bits, 1, _size)").alias("_prefix"))
-    met = looked.join(blocks.select("_wide", "_size", "_prefix").distinct(), ["_wide", "_size", "_prefix"])
-    longest = met.groupBy("_t", "_wide").agg(F.max(F.struct("_size", "_prefix")).alias("m")).select("_t", "_wide", "m._size", "m._prefix")
-    by_block = longest.join(blocks, ["_wide", "_size", "_prefix"]).drop("_wide", "_size", "_prefix")
-    by_name = distinct.where("_bits IS NULL").select("_t").join(names, F.col("_t") == F.col(pattern))
-    found = by_block.unionByName(by_name)
-    return targets.join(found, F.col(target) == F.col("_t")).drop("_t")
+    looked = looked.select("_t", F.concat(F.lit("b"), "_wide", F.lit(":"), F.expr("substring(_bits, 1, _size)")).alias("_name"))
+    # of blocks that hold an address the longest has the longest name
+    by_block = looked.join(names, "_name", "left_semi").groupBy("_t").agg(F.max_by("_name", F.length("_name")).alias("_name"))
+    by_name = distinct.where("_bits IS NULL").select("_t", F.concat(F.lit("n"), "_t").alias("_name")).join(names, "_name", "left_semi")
+    met = targets.join(by_block.unionByName(by_name), F.col(target) == F.col("_t")).drop("_t")
+    # maps have no hash
+    plain = [f.name for f in targets.schema if "map<" not in f.dataType.simpleString()]
+    met = met.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(PARTS)).cast("int")).repartition(TASKS, "_name", "_part")
+    own = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return met.join(own, ["_name", "_part"]).drop("_name", "_part")
 
 
 def in_scope(targets: DataFrame, target: str, scopes: DataFrame, pattern: str) -> DataFrame:
