@@ -191,3 +191,14 @@ def test_targets_of_one_scope_are_dealt_and_meet_its_rows_last(spark):
     got = scopes.matches(targets, "t", table, "b")
     assert sorted(map(tuple, got.groupBy("b").count().collect())) == [("10.1.2.0/24", 100_000), ("host", 200_000)]
     assert got.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_decoding_makes_no_string_of_each_letter(spark):
+    from tracewright.functions import recipes
+
+    texts = [b"0x4A 4b\n", b"0x0x0X41", b"4a4", b"4g", b"\xc3\xa9", b"Zm w=", b"-_-_", b"-_+/", b"Zh==", b"Zm\tw=", b"Zg==Zg==", b"\xff", None, b""]
+    got = spark.createDataFrame([(x,) for x in texts], "d binary").select(recipes.cook(F.col("d"), ["hex_decode"]).alias("h"), recipes.cook(F.col("d"), ["base64_decode"]).alias("b"))
+    plain = lambda x: None if x is None else bytes(x)
+    assert [plain(r["h"]) for r in got.collect()] == [b"JK", b"A", *[None] * 11, b""]
+    assert [plain(r["b"]) for r in got.collect()] == [None, b"\xd3\x1d1\xd1~5", None, None, None, b"fl", b"\xfb\xff\xbf", None, None, None, None, None, None, b""]
+    assert "translate(" not in plan(got) and "RLIKE" not in plan(got)

@@ -28,26 +28,38 @@ def text(data: Column) -> Column:
     return F.try_validate_utf8(data.cast("string"))
 
 
+def without(data: Column, letters: str) -> Column:
+    """A text without some letters, looked for as bytes: a translation makes a string of each letter of the text."""
+    return reduce(lambda d, x: F.replace(d, F.lit(x), F.lit("")), letters, data)
+
+
 def hex_decode(data: Column) -> Column:
-    plain = F.translate(F.regexp_replace(F.trim(text(data), F.lit(BLANK)), "^(0x)*(0X)*", ""), " \n\r\t", "")
-    return F.when((F.length(plain) % 2 == 0) & plain.rlike("^[0-9a-fA-F]*$"), F.unhex(plain))
+    # what isn't hexadecimal is null by itself
+    def decoded(plain: Column) -> Column:
+        return F.when(F.length(plain) % 2 == 0, F.unhex(plain))
+
+    def marked(own: Column) -> Column:
+        return F.when(own.startswith("0x") | own.startswith("0X"), F.regexp_replace(own, "^(0x)*(0X)*", "")).otherwise(own)
+
+    return bound(without(bound(F.trim(text(data), F.lit(BLANK)), marked), " \n\r\t"), decoded)
 
 
 def base64_decode(data: Column) -> Column:
     """Of the usual alphabet or that of URLs, with its padding, and no bits left over: what it decodes to encodes to it again."""
-    plain = F.translate(F.trim(text(data), F.lit(BLANK)), " \n\r", "")
-    usual = F.when(plain.rlike("^[A-Za-z0-9+/]*={0,2}$"), plain).when(plain.rlike("^[A-Za-z0-9_-]*={0,2}$"), F.translate(plain, "-_", "+/"))
 
+    def usual(plain: Column) -> Column:
+        has = lambda letters: reduce(lambda a, b: a | b, (F.contains(plain, F.lit(x)) for x in letters))
+        return F.when(~has("-_"), plain).when(~has("+/"), F.replace(F.replace(plain, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/")))
+
+    # what holds other letters doesn't encode to itself
     def decoded(u: Column) -> Column:
-        found = F.when(F.length(u) % 4 == 0, F.try_to_binary(u, F.lit("base64")))
-        return F.when(base64_encode(found) == u.cast("binary"), found)
+        return bound(F.when(F.length(u) % 4 == 0, F.try_to_binary(u, F.lit("base64"))), lambda found: F.when(base64_encode(found) == u.cast("binary"), found))
 
-    # one level more, since Spark resolves a level of these at a time
-    return bound(usual, decoded)
+    return bound(bound(without(F.trim(text(data), F.lit(BLANK)), " \n\r"), usual), decoded)
 
 
 def base64_encode(data: Column) -> Column:
-    return F.regexp_replace(F.base64(data), "[\r\n]", "").cast("binary")
+    return F.replace(F.base64(data).cast("string"), F.lit("\r\n"), F.lit("")).cast("binary")
 
 
 @F.pandas_udf(BinaryType())
