@@ -58,6 +58,21 @@ def test_candidates_go_through_no_shuffle(spark):
     assert plan(got).index("Union") < plan(got).index("Aggregate")
 
 
+@pytest.mark.parametrize("n_products, n_cves", [(200, 50), (3, 700), (700, 3)])
+def test_products_of_one_name_are_dealt_over_tasks(spark, monkeypatch, n_products, n_cves):
+    from tracewright.operators import scans
+
+    monkeypatch.setattr(scans, "BUNCH", 16, raising=False)
+    # twice, and of a name that has a CVE without an id
+    products = spark.range(n_products).select(F.col("id").alias("product_id"), F.lit(None).cast("int").alias("package"), F.explode(F.array(F.lit(1), F.lit(1))).alias("cpe"))
+    cpes = spark.range(n_cves).select(F.lit(1).alias("cpe"), F.when(F.col("id") > 0, F.concat(F.lit("CVE-"), F.col("id"))).alias("cve"))
+    packages = spark.createDataFrame([(5, "A")], "package int, cve string")
+    got = scans.by_package_or_cpe(products, packages, cpes).withColumn("task", F.spark_partition_id()).collect()
+    in_task = [sum(r["task"] == t for r in got) for t in {r["task"] for r in got}]
+    assert max(in_task) < len(got) / 4
+    assert sorted((r["product_id"], r["cve"] or "") for r in got) == sorted((k, f"CVE-{c}" if c else "") for k in range(n_products) for c in range(n_cves))
+
+
 def test_a_vector_is_split_once(spark):
     from tracewright.functions import scalar
 

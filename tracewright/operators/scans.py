@@ -249,23 +249,36 @@ def applicability(pairs: DataFrame) -> DataFrame:
 def by_package_or_cpe(products: DataFrame, packages_: DataFrame, cpes: DataFrame) -> DataFrame:
     """Candidates (product_id, cve, source) by a product's package, and by its CPE for those products alone that have none by package; each once.
 
-    A product may have several rows. Those with the same packages, or CPEs, have the same candidates, so that these are made different once for each such set and not for each product:
-    what a product gets is as much as it has candidates, and goes through no shuffle.
+    A product may have several rows. Those with the same packages, or CPEs, have the same candidates, so that these are made different once for each such set and not for each product.
+    Bunches of products meet bunches of CVEs, and these pairs are dealt over tasks. What a product gets is as much as it has candidates; it comes out of the pairs last and goes through no shuffle.
     """
     known = packages_.select("package").distinct()
     some = products.join(known, "package").select("product_id").distinct()
     none = products.join(some, "product_id", "left_anti")
-    return _candidates(products.join(some, "product_id", "left_semi"), packages_, "package", "package").union(_candidates(none, cpes, "cpe", "cpe"))
+    met = _bunches_met(products.join(some, "product_id", "left_semi"), packages_, "package", "package").union(_bunches_met(none, cpes, "cpe", "cpe"))
+    # a column is written faster where its values repeat
+    dealt = met.repartition(TASKS, "_pair").select("_products", F.explode("_cves").alias("cve"), "source")
+    return dealt.select(F.explode("_products").alias("product_id"), "cve", "source")
 
 
-def _candidates(products: DataFrame, names: DataFrame, name: str, source: str) -> DataFrame:
+def _bunches_met(products: DataFrame, names: DataFrame, name: str, source: str) -> DataFrame:
+    """Pairs (_pair, _products, _cves, source) of products and CVEs that belong together; a product and a CVE of it are in one pair alone."""
     own = products.where(F.col(name).isNotNull()).groupBy("product_id").agg(F.array_sort(F.collect_set(name)).alias("_names"))
     cves = names.select(name, "cve").distinct()
-    # lists of a share of the CVEs each, as a name may have any number of them
     sets = own.select("_names").distinct().withColumn(name, F.explode("_names")).join(cves, name).select("_names", "cve").distinct()
-    lists = sets.groupBy("_names", F.pmod(F.hash("cve"), F.lit(SHARES)).alias("_share")).agg(F.collect_list("cve").alias("_cves"))
-    return own.join(lists, "_names").select("product_id", F.explode("_cves").alias("cve"), F.lit(source).alias("source"))
+    met = _bunches(own, "product_id", "_products").join(_bunches(sets, "cve", "_cves"), "_names")
+    return met.select(F.xxhash64("_names", "_products_part", "_cves_part").alias("_pair"), "_products", "_cves", F.lit(source).alias("source"))
 
 
-#: Into how many lists the CVEs of a name are dealt.
+def _bunches(rows: DataFrame, what: str, name: str) -> DataFrame:
+    """rows (_names, what) as lists of about BUNCH each, as a set of names may have any number of them."""
+    sizes = rows.groupBy("_names").agg(F.ceil(F.count("*") / BUNCH).alias("_n"))
+    dealt = rows.join(sizes, "_names").groupBy("_names", F.pmod(F.xxhash64(what), F.col("_n")).alias(f"{name}_part"))
+    # in structs, since lists are collected without nulls
+    return dealt.agg(F.transform(F.collect_list(F.struct(what)), lambda x: x[what]).alias(name))
+
+
+#: Into how many lists the CVEs of a host's products are dealt.
 SHARES = 64
+#: How many products, and how many CVEs, make up a bunch, and over how many tasks pairs of bunches are dealt. The rows of a pair may be in memory at once.
+BUNCH, TASKS = 256, 128
