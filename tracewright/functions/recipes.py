@@ -55,7 +55,8 @@ def base64_decode(data: Column) -> Column:
     def decoded(u: Column) -> Column:
         return bound(F.when(F.length(u) % 4 == 0, F.try_to_binary(u, F.lit("base64"))), lambda found: F.when(base64_encode(found) == u.cast("binary"), found))
 
-    return bound(bound(without(F.trim(text(data), F.lit(BLANK)), " \n\r"), usual), decoded)
+    # both in one level
+    return F.aggregate(F.array(without(F.trim(text(data), F.lit(BLANK)), " \n\r")), F.lit(None).cast("string"), lambda _, plain: usual(plain), decoded)
 
 
 def base64_encode(data: Column) -> Column:
@@ -87,14 +88,14 @@ STEPS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-#: Steps by name that run in Python, where an input can't be bound.
-OUTSIDE = ("zlib_compress", "zlib_decompress")
+#: Steps by name whose input isn't bound: those that run in Python, where it can't be, and those that bind what they use again. Spark resolves a level of bound values in a pass, and takes no more than 100.
+UNBOUND = ("zlib_compress", "zlib_decompress", "hex_decode", "base64_decode")
 
 
 def step(data: Column, how: str | tuple[str, bytes]) -> Column:
     if isinstance(how, tuple):
         return octets.exclusive_or(data, how[1])
-    return STEPS[how](data) if how in OUTSIDE else bound(data, STEPS[how])
+    return STEPS[how](data) if how in UNBOUND else bound(data, STEPS[how])
 
 
 def cook(data: Column, steps: Sequence[str | tuple[str, bytes]]) -> Column:
